@@ -67,7 +67,7 @@ def lookup_owned(
 ) -> DataFrame:
     """Answer requests for rows by id and owner: someone else's row and a missing row look the same."""
     visible = df.select(row_id, owner, *columns, F.lit(True).alias("found"))
-    joined = lookup_join(requests, visible, [row_id, owner], spread=requests.columns, slice_rows=slice_rows)
+    joined = lookup_join(requests, visible, [row_id, owner], slice_rows=slice_rows)
     return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -267,7 +267,7 @@ def rate_limit(
     if mutations:
         crowded = crowded | (F.sum("__m").over(whole) > mutations.burst + 1)
     busy = islands.withColumn("__busy", crowded).where("__busy").select(key, "__cell", "__island")
-    tagged = lookup_join(rows, busy, [key, "__cell"], spread=[row_id], slice_rows=slice_rows)
+    tagged = lookup_join(rows, busy, [key, "__cell"], slice_rows=slice_rows, distinct_by=[row_id])
 
     limit = F.when(F.col("__mutation"), min(b.burst for b in buckets) + 1).otherwise(everything.burst + 1)
     most = everything.burst + 1

@@ -20,7 +20,7 @@ def verify_digests(
     """
     seen = actual.select(*on, F.col("size").alias("actual_size"), F.col("sha256").alias("actual_sha256"),
                          F.lit(True).alias("__seen"))
-    joined = lookup_join(expected, seen, on, spread=expected.columns, slice_rows=slice_rows)
+    joined = lookup_join(expected, seen, on, slice_rows=slice_rows)
     return joined.withColumn(
         "verdict",
         first_of(
@@ -41,7 +41,7 @@ def plan_uploads(
     uploaded; one whose declared or computed digest is equal is skipped; otherwise it is a conflict.
     """
     there = remote.select(*on, "declared_sha256", "computed_sha256", F.lit(True).alias("__there"))
-    joined = lookup_join(local, there, on, spread=local.columns, slice_rows=slice_rows)
+    joined = lookup_join(local, there, on, slice_rows=slice_rows)
     action = first_of(
         (F.col("__there").isNull(), "upload"),
         (F.col("declared_sha256") == F.col("sha256"), "skip"),

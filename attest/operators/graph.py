@@ -154,5 +154,5 @@ def resolve_edges(
 ) -> DataFrame:
     """Every edge with ``known``: whether its target exists. Use when the edges themselves are needed."""
     known = nodes.select(F.col(node).alias(target), F.lit(True).alias("known"))
-    joined = lookup_join(edges, known, [target], spread=edges.columns, slice_rows=slice_rows)
+    joined = lookup_join(edges, known, [target], slice_rows=slice_rows)
     return joined.withColumn("known", F.coalesce("known", F.lit(False)))

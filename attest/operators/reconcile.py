@@ -18,14 +18,17 @@ def reconcile_links(
     name: str,
     position: str,
     slice_rows: int = SLICE_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Action per desired link: ``create``, ``conflict``, ``add``, ``update_path``, ``error`` or ``keep``.
 
     Both sides have ``group``, ``name``, ``url``, ``path``; ``existing`` also ``id`` and ``position``, and
     the first link of a name wins. A group with nothing existing is created whole. One link with another
     address makes its whole group a conflict. Existing-only links are left alone. A path change needs the
-    existing link's id; without it the link is an ``error``.
+    existing link's id; without it the link is an ``error``. ``sized_by`` is a cheaper table than
+    ``desired`` to count groups on.
     """
+    sized_by = desired if sized_by is None else sized_by
     first = existing.groupBy(group, name).agg(
         F.min_by(F.struct("url", "path", "id"), F.col(position)).alias("__old")
     )
@@ -39,7 +42,7 @@ def reconcile_links(
         .agg(F.bool_or("__clash").alias("__conflict"))
         .join(known_groups, group, "left")
     )
-    joined = lookup_join(compared, groups, [group], spread=[name], slice_rows=slice_rows)
+    joined = lookup_join(compared, groups, [group], slice_rows=slice_rows, distinct_by=[name], sized_by=sized_by)
     action = first_of(
         (F.col("__known").isNull(), "create"),
         (F.col("__conflict"), "conflict"),
@@ -62,8 +65,8 @@ def verify_targets(
     known = commits.select(F.col("id").alias("ref"), F.lit(True).alias("__commit"))
     target = F.coalesce(F.nullif(F.col("commit_id"), F.lit("")), F.col("target"))
     pointed = tags.select(F.col("name").alias("tag"), target.alias("tag_target"), F.lit(True).alias("__tag"))
-    joined = lookup_join(releases, known, ["ref"], spread=releases.columns, slice_rows=slice_rows)
-    joined = lookup_join(joined, pointed, ["tag"], spread=releases.columns, slice_rows=slice_rows)
+    joined = lookup_join(releases, known, ["ref"], slice_rows=slice_rows)
+    joined = lookup_join(joined, pointed, ["tag"], slice_rows=slice_rows, sized_by=releases)
     return joined.withColumn(
         "verdict",
         first_of(
@@ -90,7 +93,7 @@ def match_pins(
     Adds ``verdict``: ``unpinned``, ``source``, ``version``, ``release_version`` or ``ok``.
     """
     pinned = pins.select(*on, "pinned_sha", "pinned_version", F.lit(True).alias("__pin"))
-    joined = lookup_join(builds, pinned, on, spread=builds.columns, slice_rows=slice_rows)
+    joined = lookup_join(builds, pinned, on, slice_rows=slice_rows)
     return joined.withColumn(
         "verdict",
         first_of(

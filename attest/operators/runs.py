@@ -57,7 +57,7 @@ def mark_superseded(
     newest = runs.groupBy(*by).agg(
         F.max(F.when(candidate.between(-MAX_SAFE_INTEGER, MAX_SAFE_INTEGER), candidate)).alias("__newest")
     )
-    joined = lookup_join(runs, newest, by, spread=[run_id], slice_rows=slice_rows)
+    joined = lookup_join(runs, newest, by, slice_rows=slice_rows)
     return joined.withColumn("superseded", F.coalesce(F.col("__newest") > F.col(run_id), F.lit(False))).drop("__newest")
 
 

@@ -28,24 +28,27 @@ SAMPLES_PER_SLICE = 32
 
 _SLICE = "__slice"
 _SLICES = "__slices"
+_ROWS = "__rows"
+_PIECE = "__piece"
 _BOUNDS = "__bounds"
 _CARRY = "__carry_"
 _WHOLE = -1
 
 
 def hot_keys(df: DataFrame, by: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
-    """Keys with more than ``slice_rows`` rows and how many slices each needs; None when there is none.
+    """Keys with more than ``slice_rows`` rows, their row count and number of slices; None when there is none.
 
     The heaviest ``MAX_HOT_KEYS`` are kept: any other key has at most 1/``MAX_HOT_KEYS`` of the rows.
     """
     by = list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > slice_rows)
-    heaviest = counts.orderBy(F.col("__n").desc()).limit(MAX_HOT_KEYS).collect()
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_ROWS)).where(F.col(_ROWS) > slice_rows)
+    heaviest = counts.orderBy(F.col(_ROWS).desc()).limit(MAX_HOT_KEYS).collect()
     if not heaviest:
         return None
-    per_slice = max(slice_rows, math.ceil(sum(r["__n"] for r in heaviest) / MAX_SLICES))
-    rows = [(*[r[k] for k in by], math.ceil(r["__n"] / per_slice)) for r in heaviest]
-    schema = T.StructType([*[df.schema[k] for k in by], T.StructField(_SLICES, T.IntegerType())])
+    per_slice = max(slice_rows, math.ceil(sum(r[_ROWS] for r in heaviest) / MAX_SLICES))
+    rows = [(*[r[k] for k in by], r[_ROWS], math.ceil(r[_ROWS] / per_slice)) for r in heaviest]
+    sizes = [T.StructField(_ROWS, T.LongType()), T.StructField(_SLICES, T.IntegerType())]
+    schema = T.StructType([*[df.schema[k] for k in by], *sizes])
     return df.sparkSession.createDataFrame(rows, _nullable(schema))
 
 
@@ -66,31 +69,48 @@ def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     on: Sequence[str],
-    spread: Sequence[str],
     how: str = "left",
     slice_rows: int | None = SLICE_ROWS,
+    distinct_by: Sequence[str] | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows to a table with at most one row per key (many to one).
+    """Join rows to a table with at most one row per key (many to one); ``how`` is left or inner.
 
-    ``spread`` names columns that tell rows of one key apart, used to share a hot key out.
-    ``slice_rows=None`` skips the count where keys are known to be distinct on both sides.
+    ``distinct_by`` names columns that tell all rows of a key apart. Without it rows may be exact copies:
+    in the hot case copies are folded to one counted row for the join and unfolded after it, in pieces of
+    at most ``slice_rows``. ``sized_by`` is a cheaper table with the same keys to count on.
+    ``slice_rows=None`` skips the count where keys are known to be distinct.
     """
     on = list(on)
-    hot = hot_keys(rows, on, slice_rows) if slice_rows is not None else None
+    counted = sized_by if sized_by is not None else rows
+    hot = hot_keys(counted, on, slice_rows) if slice_rows is not None else None
     if hot is None:
         return rows.join(table, on, how)
+    columns, hot = rows.columns, hot.drop(_ROWS)
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
-    left = (
-        _tag_join(rows, hot, on)
-        .withColumn(_SLICE, F.pmod(F.xxhash64(*spread), slices).cast("int"))
-        .drop(_SLICES)
-    )
     right = (
         _tag_join(table, hot, on)
         .withColumn(_SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop(_SLICES)
     )
-    return left.join(right, [*on, _SLICE], how).drop(_SLICE)
+    if distinct_by is not None or any(isinstance(f.dataType, T.MapType) for f in rows.schema.fields):
+        spread = F.xxhash64(*(distinct_by or [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]))
+        left = _tag_join(rows, hot, on).withColumn(_SLICE, F.pmod(spread, slices).cast("int")).drop(_SLICES)
+        return left.join(right, [*on, _SLICE], how).drop(_SLICE)
+    piece = F.lit(slice_rows).cast("bigint")
+    tagged = _tag_join(rows, hot, on)
+    cold = tagged.where(F.col(_SLICES).isNull()).select(
+        *columns, F.lit(1).cast("bigint").alias(_ROWS), F.lit(0).alias(_SLICE)
+    )
+    folded = tagged.where(F.col(_SLICES).isNotNull()).groupBy(*columns, _SLICES).agg(F.count(F.lit(1)).alias(_ROWS))
+    pieces = folded.withColumn(_PIECE, F.explode(F.sequence(F.lit(0), F.ceil(F.col(_ROWS) / piece).cast("int") - 1)))
+    spread = F.pmod(F.xxhash64(*columns, _PIECE), F.col(_SLICES)).cast("int")
+    hot_rows = pieces.select(
+        *columns, F.least(piece, F.col(_ROWS) - F.col(_PIECE) * piece).alias(_ROWS), spread.alias(_SLICE)
+    )
+    joined = cold.unionByName(hot_rows).join(right, [*on, _SLICE], how)
+    unfolded = joined.withColumn(_PIECE, F.explode(F.array_repeat(F.lit(0), F.col(_ROWS).cast("int"))))
+    return unfolded.drop(_SLICE, _PIECE, _ROWS)
 
 
 class OrderedScan:
@@ -135,9 +155,8 @@ class OrderedScan:
         if hot is None:
             return None
         position = F.struct(*self.order)
-        total = df.groupBy(*self.by).agg(F.count(F.lit(1)).alias("__n"))
-        chance = F.col(_SLICES) * F.lit(float(SAMPLES_PER_SLICE)) / F.col("__n")
-        sizes = _tag_join(total, hot, self.by, "inner").select(*self.by, _SLICES, chance.alias("__p"))
+        chance = F.col(_SLICES) * F.lit(float(SAMPLES_PER_SLICE)) / F.col(_ROWS)
+        sizes = hot.select(*self.by, _SLICES, chance.alias("__p"))
         columns = list(dict.fromkeys([*self.by, *self.order]))
         sampled = _tag_join(df.select(*columns), sizes, self.by, "inner").where(F.rand(7) < F.col("__p"))
         sorted_sample = F.array_sort(F.collect_list(position))

@@ -96,6 +96,6 @@ def publication_plan(
     return {
         "targets": targets,
         "uploads": uploads,
-        "links": reconcile_links(desired, links, "release", "name", "position", slice_rows),
+        "links": reconcile_links(desired, links, "release", "name", "position", slice_rows, sized_by=files),
         "summary": summary,
     }
