@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +27,11 @@ def parse_records(
     """
     body = as_column(text)
     corrupt = "__corrupt"
-    batch = F.from_json(
-        body,
-        T.ArrayType(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt},
-    )
+    record = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    as_batch = F.when(F.ltrim(body).startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    items = F.from_json(as_batch, T.ArrayType(T.StringType()))
+    batch = F.transform(items, lambda item: F.from_json(item, record, options))
     small = df.withColumn("__bytes", byte_length(body))
     parsed = small.withColumn("__batch", F.when(F.col("__bytes") <= max_bytes, batch)).withColumn(
         "problem",
@@ -63,7 +65,8 @@ def read_records(
     oversized = listed.where(F.col("length") > max_bytes).select(
         "path", F.col("length").alias("size"), F.lit("too_large").alias("problem")
     )
-    within = listed.where(F.col("length") <= max_bytes).select("path", F.decode("content", F.lit("UTF-8")).alias("body"))
+    body = F.make_valid_utf8(F.col("content").cast("string"))
+    within = listed.where(F.col("length") <= max_bytes).select("path", body.alias("body"))
     accepted, refused = parse_records(within, "body", schema, max_bytes)
     return accepted.drop("body"), oversized.unionByName(refused.select("path", "size", "problem"))
 
@@ -83,6 +86,7 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_listing(df: DataFrame, path: str, text: str = "text") -> None:
-    """Publish listing blocks as plain text."""
-    df.select(F.rtrim(F.col(text)).alias("value")).write.mode("overwrite").text(path)
+def write_listing(df: DataFrame, path: str, order: Sequence[str] = ("block",), text: str = "text") -> None:
+    """Publish listing blocks as plain text, in order over the numbered part files."""
+    lines = df.orderBy(*order).select(F.regexp_replace(text, r"\n\z", "").alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -2,7 +2,8 @@
 
 Each processor keeps a few numbers per key and lets the event-time timer drop them once they can no longer
 matter. Rows of a key are taken in order of time within a micro-batch, and micro-batches in arrival order;
-size the trigger (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) to bound what one batch brings.
+size the trigger (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) to bound what one batch brings. Spark
+drops rows later than the watermark before they get here: give it as much delay as the source may have.
 """
 
 from __future__ import annotations

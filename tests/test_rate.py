@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from attest.operators.access import ALL_REQUESTS, MUTATIONS, Bucket, LeakyBuckets, rate_limit
 from attest.streaming.keyed import stream_rate_limit
 
+START_MS = 1_700_000_000_000
+
 
 def traffic(seed, clients, n, span_ms):
     """Bursts, idle gaps and many requests in one millisecond; client 0 sends a third of everything."""
@@ -15,7 +17,7 @@ def traffic(seed, clients, n, span_ms):
     rows = []
     for i in range(n):
         client = 0 if rng.random() < 0.34 else rng.randrange(1, clients)
-        base = rng.choice([0, 0, span_ms // 3, span_ms - 500])
+        base = START_MS + rng.choice([0, 0, span_ms // 3, span_ms - 500])
         rows.append((client, base + rng.randrange(0, 40) * rng.choice([0, 1, 50, 900]), i, rng.random() < 0.4))
     return rows
 
