@@ -283,12 +283,13 @@ def rate_limit(
     in_order = candidates.repartition(key, "__island").sortWithinPartitions(key, "__island", "__tick", row_id)
     id_type = df.schema[row_id].dataType.simpleString()
     verdicts = in_order.mapInPandas(_fold(key, row_id, everything, mutations), f"`{row_id}` {id_type}, __ok boolean")
-    allowed = F.coalesce(F.col("__ok"), F.col("__island").isNull())
-    return (
-        tagged.join(verdicts, row_id, "left")
-        .withColumn("allowed", allowed)
-        .select(*df.columns, "allowed")
+    quiet = tagged.where(F.col("__island").isNull()).select(*df.columns, F.lit(True).alias("allowed"))
+    judged = (
+        tagged.where(F.col("__island").isNotNull())
+        .join(verdicts, row_id, "left")
+        .select(*df.columns, F.coalesce("__ok", F.lit(False)).alias("allowed"))
     )
+    return quiet.unionByName(judged)
 
 
 def _fold(key: str, row_id: str, everything: Bucket, mutations: Bucket | None):

@@ -1,15 +1,18 @@
 """Joins and ordered windows that survive a key holding a large share of all rows.
 
 Spark splits a skewed shuffle join at run time, but not when an aggregate sits under the join, and it
-never splits a window partition. Both helpers first count rows per key (one narrow, map-side combined
-aggregate) and only change the plan for keys above ``slice_rows``:
+never splits a window partition. Both helpers first look for keys with more than ``slice_rows`` rows in a
+thin sample of the key columns, and only change the plan for those:
 
 * ``lookup_join`` spreads a hot key's rows over slices and repeats its single lookup row per slice;
 * ``OrderedScan`` cuts a hot key's ordered rows at fixed boundary values, scans each slice alone, and
-  carries the slices' summaries across. Results are exact for any boundaries.
+  carries the slices' summaries across.
+
+The sample decides sizes only. Results are exact for any set of hot keys and any boundaries: a key the
+sample misses, or one that shares a hash with a hot key, takes a path that gives the same rows.
 
 What reaches the driver is the list of hot keys and the boundary values: at most ``MAX_HOT_KEYS`` and
-``MAX_SLICES`` rows whatever the data size. Colder keys take the ordinary path, so nothing is dropped.
+``MAX_SLICES`` rows whatever the data size.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import types as T
 SLICE_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SLICES = 50_000
-SAMPLES_PER_SLICE = 32
+SAMPLES_PER_SLICE = 64
+SEED = 7
 
-_SLICE = "__slice"
-_SLICES = "__slices"
+_KEY = "__key"
 _ROWS = "__rows"
+_SLICES = "__slices"
+_SLICE = "__slice"
 _PIECE = "__piece"
 _BOUNDS = "__bounds"
 _CARRY = "__carry_"
@@ -36,33 +41,27 @@ _WHOLE = -1
 
 
 def hot_keys(df: DataFrame, by: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
-    """Keys with more than ``slice_rows`` rows, their row count and number of slices; None when there is none.
+    """Hashes of the keys with more than ``slice_rows`` rows: ``__key, __rows, __slices``; None when there is none.
 
-    The heaviest ``MAX_HOT_KEYS`` are kept: any other key has at most 1/``MAX_HOT_KEYS`` of the rows.
+    Only key columns are read, and only a sample of about ``SAMPLES_PER_SLICE`` rows per ``slice_rows`` is
+    shuffled. The heaviest ``MAX_HOT_KEYS`` are kept: any other key has at most 1/``MAX_HOT_KEYS`` of the rows.
     """
-    by = list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_ROWS)).where(F.col(_ROWS) > slice_rows)
+    share = min(1.0, SAMPLES_PER_SLICE / slice_rows)
+    keys = df.select(F.xxhash64(*by).alias(_KEY))
+    sampled = keys if share == 1.0 else keys.sample(False, share, SEED)
+    counts = sampled.groupBy(_KEY).agg(F.count(F.lit(1)).alias(_ROWS)).where(F.col(_ROWS) > slice_rows * share)
     heaviest = counts.orderBy(F.col(_ROWS).desc()).limit(MAX_HOT_KEYS).collect()
     if not heaviest:
         return None
-    per_slice = max(slice_rows, math.ceil(sum(r[_ROWS] for r in heaviest) / MAX_SLICES))
-    rows = [(*[r[k] for k in by], r[_ROWS], math.ceil(r[_ROWS] / per_slice)) for r in heaviest]
-    sizes = [T.StructField(_ROWS, T.LongType()), T.StructField(_SLICES, T.IntegerType())]
-    schema = T.StructType([*[df.schema[k] for k in by], *sizes])
-    return df.sparkSession.createDataFrame(rows, _nullable(schema))
-
+    sizes = {r[_KEY]: math.ceil(r[_ROWS] / share) for r in heaviest}
+    per_slice = max(slice_rows, math.ceil(sum(sizes.values()) / MAX_SLICES))
+    rows = [(key, n, math.ceil(n / per_slice)) for key, n in sizes.items()]
+    return df.sparkSession.createDataFrame(rows, f"{_KEY} bigint, {_ROWS} bigint, {_SLICES} int")
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
-
-def _tag_join(df: DataFrame, tags: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Attach a bounded table (hot keys, boundaries, carries) by null-safe key equality."""
-    renamed = tags.withColumnsRenamed({k: f"__k_{k}" for k in on})
-    condition = F.lit(True)
-    for k in on:
-        condition = condition & df[k].eqNullSafe(renamed[f"__k_{k}"])
-    return df.join(F.broadcast(renamed), condition, how).drop(*[f"__k_{k}" for k in on])
+def _tag(df: DataFrame, by: Sequence[str], tags: DataFrame, how: str = "left") -> DataFrame:
+    """Attach facts about hot keys. The tags are bounded (see above), so they are broadcast."""
+    return df.join(F.broadcast(tags), F.xxhash64(*[df[k] for k in by]) == tags[_KEY], how).drop(_KEY)
 
 
 def lookup_join(
@@ -74,43 +73,45 @@ def lookup_join(
     distinct_by: Sequence[str] | None = None,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows to a table with at most one row per key (many to one); ``how`` is left or inner.
+    """Join rows to a table with at most one row per key (many to one); ``how`` is left, inner or left_semi.
 
     ``distinct_by`` names columns that tell all rows of a key apart. Without it rows may be exact copies:
     in the hot case copies are folded to one counted row for the join and unfolded after it, in pieces of
-    at most ``slice_rows``. ``sized_by`` is a cheaper table with the same keys to count on.
-    ``slice_rows=None`` skips the count where keys are known to be distinct.
+    at most ``slice_rows``. ``sized_by`` is a cheaper table with the same keys to sample.
+    ``slice_rows=None`` skips the sample where keys are known to be distinct.
     """
     on = list(on)
-    counted = sized_by if sized_by is not None else rows
-    hot = hot_keys(counted, on, slice_rows) if slice_rows is not None else None
+    sized_by = rows if sized_by is None else sized_by
+    hot = hot_keys(sized_by, on, slice_rows) if slice_rows is not None else None
     if hot is None:
         return rows.join(table, on, how)
-    columns, hot = rows.columns, hot.drop(_ROWS)
+    hot = hot.drop(_ROWS)
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
-    right = (
-        _tag_join(table, hot, on)
-        .withColumn(_SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop(_SLICES)
-    )
-    if distinct_by is not None or any(isinstance(f.dataType, T.MapType) for f in rows.schema.fields):
-        spread = F.xxhash64(*(distinct_by or [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]))
-        left = _tag_join(rows, hot, on).withColumn(_SLICE, F.pmod(spread, slices).cast("int")).drop(_SLICES)
-        return left.join(right, [*on, _SLICE], how).drop(_SLICE)
-    piece = F.lit(slice_rows).cast("bigint")
-    tagged = _tag_join(rows, hot, on)
+    right = _tag(table, on, hot).withColumn(_SLICE, F.explode(F.sequence(F.lit(0), slices - 1))).drop(_SLICES)
+    tagged = _tag(rows, on, hot)
+    comparable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+    if distinct_by is not None or len(comparable) < len(rows.columns):
+        spread = F.pmod(F.xxhash64(*(distinct_by or comparable)), slices).cast("int")
+        return tagged.withColumn(_SLICE, spread).drop(_SLICES).join(right, [*on, _SLICE], how).drop(_SLICE)
+    unfolded = _folded(tagged, rows.columns, slice_rows).join(right, [*on, _SLICE], how)
+    unfolded = unfolded.withColumn(_PIECE, F.explode(F.array_repeat(F.lit(0), F.col(_ROWS).cast("int"))))
+    return unfolded.drop(_SLICE, _PIECE, _ROWS)
+
+
+def _folded(tagged: DataFrame, columns: Sequence[str], slice_rows: int) -> DataFrame:
+    """Copies of hot rows as counted rows, at most ``slice_rows`` each, spread over their key's slices."""
     cold = tagged.where(F.col(_SLICES).isNull()).select(
         *columns, F.lit(1).cast("bigint").alias(_ROWS), F.lit(0).alias(_SLICE)
     )
-    folded = tagged.where(F.col(_SLICES).isNotNull()).groupBy(*columns, _SLICES).agg(F.count(F.lit(1)).alias(_ROWS))
-    pieces = folded.withColumn(_PIECE, F.explode(F.sequence(F.lit(0), F.ceil(F.col(_ROWS) / piece).cast("int") - 1)))
-    spread = F.pmod(F.xxhash64(*columns, _PIECE), F.col(_SLICES)).cast("int")
-    hot_rows = pieces.select(
-        *columns, F.least(piece, F.col(_ROWS) - F.col(_PIECE) * piece).alias(_ROWS), spread.alias(_SLICE)
+    piece = F.lit(slice_rows).cast("bigint")
+    counted = tagged.where(F.col(_SLICES).isNotNull()).groupBy(*columns, _SLICES).agg(F.count(F.lit(1)).alias(_ROWS))
+    pieces = counted.withColumn(_PIECE, F.explode(F.sequence(F.lit(0), F.ceil(F.col(_ROWS) / piece).cast("int") - 1)))
+    hot = pieces.select(
+        *columns,
+        F.least(piece, F.col(_ROWS) - F.col(_PIECE) * piece).alias(_ROWS),
+        F.pmod(F.xxhash64(*columns, _PIECE), F.col(_SLICES)).cast("int").alias(_SLICE),
     )
-    joined = cold.unionByName(hot_rows).join(right, [*on, _SLICE], how)
-    unfolded = joined.withColumn(_PIECE, F.explode(F.array_repeat(F.lit(0), F.col(_ROWS).cast("int"))))
-    return unfolded.drop(_SLICE, _PIECE, _ROWS)
+    return cold.unionByName(hot)
 
 
 class OrderedScan:
@@ -121,9 +122,10 @@ class OrderedScan:
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS):
         self.by, self.order = list(by), list(order)
-        bounds = self._boundaries(df, hot_keys(df, self.by, slice_rows))
+        hot = hot_keys(df, self.by, slice_rows)
+        bounds = None if hot is None else self._boundaries(df, hot)
         self.sliced = bounds is not None
-        self.rows = self._tag(df, bounds) if self.sliced else df
+        self.rows = self._sliced(df, bounds) if self.sliced else df
 
     def running(
         self,
@@ -134,15 +136,14 @@ class OrderedScan:
     ) -> "OrderedScan":
         """Add columns: the last non-null value, or the sum of a number, up to each row (or before it)."""
         last, total = dict(last or {}), dict(total or {})
-        rows = self.rows
         keys = [*self.by, _SLICE] if self.sliced else self.by
         end = Window.currentRow if inclusive else -1
         window = Window.partitionBy(*keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, end)
         local = {n: F.last(c, ignorenulls=True).over(window) for n, c in last.items()}
         local |= {n: F.coalesce(F.sum(c).over(window), F.lit(0)).cast("bigint") for n, c in total.items()}
-        scanned = rows.select("*", *[c.alias(n) for n, c in local.items()])
+        scanned = self.rows.select("*", *[c.alias(n) for n, c in local.items()])
         if self.sliced:
-            scanned = self._add_carry(rows, scanned, last, total)
+            scanned = self._carried(scanned, last, total)
         result = object.__new__(OrderedScan)
         result.by, result.order, result.sliced, result.rows = self.by, self.order, self.sliced, scanned
         return result
@@ -150,32 +151,23 @@ class OrderedScan:
     def result(self) -> DataFrame:
         return self.rows.drop(_SLICE)
 
-    def _boundaries(self, df: DataFrame, hot: DataFrame | None) -> DataFrame | None:
+    def _boundaries(self, df: DataFrame, hot: DataFrame) -> DataFrame | None:
         """Order values that cut each hot key into slices, taken once so every later use agrees."""
-        if hot is None:
-            return None
-        position = F.struct(*self.order)
         chance = F.col(_SLICES) * F.lit(float(SAMPLES_PER_SLICE)) / F.col(_ROWS)
-        sizes = hot.select(*self.by, _SLICES, chance.alias("__p"))
         columns = list(dict.fromkeys([*self.by, *self.order]))
-        sampled = _tag_join(df.select(*columns), sizes, self.by, "inner").where(F.rand(7) < F.col("__p"))
-        sorted_sample = F.array_sort(F.collect_list(position))
+        tags = hot.where(F.col(_SLICES) > 1).select(_KEY, _SLICES, chance.alias("__p"))
+        hot_rows = df.select(*columns).withColumn(_KEY, F.xxhash64(*self.by)).join(F.broadcast(tags), _KEY)
+        sampled = hot_rows.where(F.rand(SEED) < F.col("__p"))
+        positions = F.array_sort(F.collect_list(F.struct(*self.order)))
         cuts = F.transform(
             F.sequence(F.lit(1), F.col(_SLICES) - 1),
             lambda i: F.get(F.col("s"), (i * F.size("s") / F.col(_SLICES)).cast("int")),
         )
-        rows = (
-            sampled.groupBy(*self.by, _SLICES)
-            .agg(sorted_sample.alias("s"))
-            .where(F.col(_SLICES) > 1)
-            .select(*self.by, cuts.alias(_BOUNDS))
-        )
-        taken = rows.collect()
-        if not taken:
-            return None
-        return df.sparkSession.createDataFrame(taken, _nullable(rows.schema))
+        bounds = sampled.groupBy(_KEY, _SLICES).agg(positions.alias("s")).select(_KEY, cuts.alias(_BOUNDS))
+        taken = bounds.collect()
+        return df.sparkSession.createDataFrame(taken, bounds.schema) if taken else None
 
-    def _tag(self, df: DataFrame, bounds: DataFrame) -> DataFrame:
+    def _sliced(self, df: DataFrame, bounds: DataFrame) -> DataFrame:
         """Slice number of a row: how many boundaries of its key are at or before it (binary search)."""
         position = F.struct(*self.order)
         steps = [1 << k for k in range(MAX_SLICES.bit_length(), -1, -1)]
@@ -187,23 +179,27 @@ class OrderedScan:
 
         search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
         slice_no = F.when(F.col(_BOUNDS).isNull(), F.lit(_WHOLE)).otherwise(search)
-        return _tag_join(df, bounds, self.by).withColumn(_SLICE, slice_no).drop(_BOUNDS)
+        return _tag(df, self.by, bounds).withColumn(_SLICE, slice_no).drop(_BOUNDS)
 
-    def _add_carry(self, rows: DataFrame, scanned: DataFrame, last: Mapping[str, Column],
-                   total: Mapping[str, Column]) -> DataFrame:
+    def _carried(self, scanned: DataFrame, last: Mapping[str, Column], total: Mapping[str, Column]) -> DataFrame:
+        """Add what the slices before a row's own contribute."""
         position = F.struct(*self.order)
         summaries = [F.max_by(c, F.when(c.isNotNull(), position)).alias(n) for n, c in last.items()]
         summaries += [F.sum(c).alias(n) for n, c in total.items()]
-        per_slice = rows.where(F.col(_SLICE) != _WHOLE).groupBy(*self.by, _SLICE).agg(*summaries)
+        per_slice = self.rows.where(F.col(_SLICE) != _WHOLE).groupBy(*self.by, _SLICE).agg(*summaries)
         before = Window.partitionBy(*self.by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
         carried = [F.last(n, ignorenulls=True).over(before).alias(_CARRY + n) for n in last]
         carried += [F.sum(n).over(before).alias(_CARRY + n) for n in total]
-        # One row per slice of a sliced key: at most MAX_SLICES of them.
-        carry = per_slice.select(*self.by, _SLICE, *carried)
-        joined = _tag_join(scanned, carry, [*self.by, _SLICE])
+        keys = [*self.by, _SLICE]
+        # One row per slice of a sliced key, at most MAX_SLICES in all, so it is broadcast.
+        carry = per_slice.select(*[F.col(k).alias(_CARRY + "key_" + k) for k in keys], *carried)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(_CARRY + "key_" + k))
+        joined = scanned.join(F.broadcast(carry), same, "left")
         updates = {n: F.coalesce(F.col(n), F.col(_CARRY + n)) for n in last}
         updates |= {n: F.col(n) + F.coalesce(F.col(_CARRY + n), F.lit(0)) for n in total}
-        return joined.withColumns(updates).drop(*[_CARRY + n for n in [*last, *total]])
+        return joined.withColumns(updates).drop(*[c for c in joined.columns if c.startswith(_CARRY)])
 
 
 def with_ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "ordinal",

@@ -10,7 +10,8 @@ from attest.operators.digests import plan_uploads, verify_digests
 from attest.operators.reconcile import reconcile_links, verify_targets
 from attest.operators.rules import Rule, check
 from attest.operators.sets import duplicates, outcome_summary
-from attest.operators.skew import SLICE_ROWS
+from attest.operators.skew import SLICE_ROWS, lookup_join
+from attest.session import written
 
 
 def release_check(
@@ -80,14 +81,17 @@ def publication_plan(
 
     Only releases whose target is acceptable go on, and a release with a conflicting upload gets no links.
     ``releases(release, ref, tag)``, ``files(release, name, sha256)``, ``remote(release, name,
-    declared_sha256, computed_sha256)``, ``links(release, name, url, path, id, position)``.
+    declared_sha256, computed_sha256)``, ``links(release, name, url, path, id, position)``. Targets and
+    uploads are read several times, so each is computed once and kept in the shared folder.
     """
-    targets = verify_targets(releases, commits, tags, slice_rows)
+    targets = written(verify_targets(releases, commits, tags, slice_rows), "targets")
     sound = targets.where(F.col("verdict").isin("new_tag", "tag_matches")).select("release")
-    uploads = plan_uploads(files.join(sound, "release", "left_semi"), remote, ["release", "name"], slice_rows=None)
+    wanted = files.join(sound, "release", "left_semi")
+    uploads = written(plan_uploads(wanted, remote, ["release", "name"], slice_rows=None), "uploads")
     summary = outcome_summary(uploads, ["release"], "action", ["upload", "skip", "conflict"])
     clean = summary.where(F.col("n_conflict") == 0).select("release")
-    desired = uploads.join(clean, "release", "left_semi").select(
+    publishable = lookup_join(uploads, clean, ["release"], "left_semi", slice_rows, distinct_by=["name"])
+    desired = publishable.select(
         "release",
         "name",
         F.concat(F.lit(address_prefix), F.col("release").cast("string"), F.lit("/"), F.col("name").cast("string")).alias("url"),
@@ -96,6 +100,6 @@ def publication_plan(
     return {
         "targets": targets,
         "uploads": uploads,
-        "links": reconcile_links(desired, links, "release", "name", "position", slice_rows, sized_by=files),
+        "links": reconcile_links(desired, links, "release", "name", "position", slice_rows, sized_by=uploads),
         "summary": summary,
     }

@@ -42,13 +42,20 @@ def by_key(rows):
     return {k: sorted(g, key=lambda r: (r[1], r[2])) for k, g in groups.items()}
 
 
-def test_hot_keys_are_those_over_the_limit(skewed):
-    hot = {r["k"]: r["__rows"] for r in hot_keys(skewed, ["k"], SMALL).collect()}
+def test_hot_keys_are_those_over_the_limit(spark, skewed):
+    hot = {r["__key"]: r["__rows"] for r in hot_keys(skewed, ["k"], SMALL).collect()}
     counts = Counter(r[0] for r in skewed_rows())
-    assert hot == {k: n for k, n in counts.items() if n > SMALL}
+    hashes = spark.createDataFrame([(k,) for k in counts], "k int").select("k", F.xxhash64("k").alias("h")).collect()
+    assert hot == {r["h"]: counts[r["k"]] for r in hashes if counts[r["k"]] > SMALL}
     assert hot_keys(skewed, ["k"], 10_000) is None
 
 
+def test_a_thin_sample_finds_the_heavy_key(spark):
+    rows = spark.range(300_000).select(F.when(F.col("id") < 100_000, 0).otherwise(F.col("id")).alias("k"))
+    found = hot_keys(rows, ["k"], 10_000).collect()
+    assert len(found) == 1 and 80_000 < found[0]["__rows"] < 120_000
+
+
 @pytest.mark.parametrize("slice_rows", [7, SMALL, 10_000])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running_values(skewed, slice_rows, inclusive):
