@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +27,23 @@ CHANGE_EMOJI = {
 }
 TITLE_SHAPE = r"\A(\S+) \[v([^\]]+)\] ([a-z]+)(?:\(([a-z0-9][a-z0-9/-]*)\))?(!)?: (\S.*)\z"
 TITLE_LIMIT = 100
+
+
+@dataclass(frozen=True)
+class Secret:
+    """A pattern to mask, and lower-case texts one of which every match contains.
+
+    ``needs`` spares texts without any of them the pattern, which is most texts.
+    """
+
+    pattern: str
+    needs: tuple[str, ...] = ()
+
+
 # Token shapes that must never reach a log, and what replaces them.
-TOKEN_PATTERNS = (r"(?:glpat-|ghp_|github_pat_|bearer\s+)[A-Za-z0-9_.-]+",)
+TOKEN_PATTERNS = (
+    Secret(r"(?:glpat-|ghp_|github_pat_|bearer\s+)[A-Za-z0-9_.-]+", ("glpat-", "ghp_", "github_pat_", "bearer")),
+)
 MASK = "[REDACTED]"
 DESCRIPTION_LIMIT = 255
 
@@ -62,8 +79,10 @@ def parse_change_title(message: ColumnLike, expected_version: ColumnLike) -> Col
     )
 
 
-def redact(text: ColumnLike, literals: Sequence[str] = (), patterns: Sequence[str] = TOKEN_PATTERNS) -> Column:
-    """Mask known secrets longer than three characters, then anything shaped like a token.
+def redact(
+    text: ColumnLike, literals: Sequence[str] = (), patterns: Sequence[str | Secret] = TOKEN_PATTERNS
+) -> Column:
+    """Mask known secrets longer than three characters, then anything shaped like a token, in any case.
 
     ``literals`` is configuration (a handful of secrets of one deployment), held in the plan itself.
     """
@@ -71,8 +90,14 @@ def redact(text: ColumnLike, literals: Sequence[str] = (), patterns: Sequence[st
     for secret in literals:
         if len(secret) > 3:
             result = F.replace(result, F.lit(secret), F.lit(MASK))
-    for pattern in patterns:
-        result = F.regexp_replace(result, f"(?i){pattern}", MASK)
+    for secret in patterns:
+        secret = secret if isinstance(secret, Secret) else Secret(secret)
+        masked = F.regexp_replace(result, f"(?i){secret.pattern}", MASK)
+        if secret.needs:
+            lowered = F.lower(result)
+            likely = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n)) for n in secret.needs])
+            masked = F.when(likely, masked).otherwise(result)
+        result = masked
     return result
 
 

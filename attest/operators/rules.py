@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,19 @@ class Rule:
         return ~F.coalesce(self.ok, F.lit(False))
 
 
-_FAILED = "__failed"
+_VIOLATION = "__violation"
 
 
-def _failures(rules: Sequence[Rule]) -> Column:
+def any_broken(rules: Sequence[Rule]) -> Column:
+    return reduce(lambda a, b: a | b, [rule.broken() for rule in rules])
+
+
+def check(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> DataFrame:
+    """One row per broken rule: key columns, ``rule``, ``ordinal``, ``value``.
+
+    No shuffle, and each rule is evaluated once: a filter ahead of the projection would be cheaper only
+    for rules that cost nothing.
+    """
     entries = [
         F.when(
             rule.broken(),
@@ -36,12 +46,8 @@ def _failures(rules: Sequence[Rule]) -> Column:
         )
         for ordinal, rule in enumerate(rules, start=1)
     ]
-    return F.array_compact(F.array(*entries))
-
-
-def check(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> DataFrame:
-    """One row per broken rule: key columns, ``rule``, ``ordinal``, ``value``. No shuffle."""
-    return df.select(*key, F.explode(_failures(rules)).alias("v")).select(*key, "v.rule", "v.ordinal", "v.value")
+    each = df.select(*key, F.explode(F.array(*entries)).alias(_VIOLATION))
+    return each.where(F.col(_VIOLATION).isNotNull()).select(*key, f"{_VIOLATION}.*")
 
 
 def first_failure(df: DataFrame, rules: Sequence[Rule], name: str = "first_failure") -> DataFrame:
@@ -50,8 +56,6 @@ def first_failure(df: DataFrame, rules: Sequence[Rule], name: str = "first_failu
 
 
 def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows unchanged, and quarantined rows with the list of rules they broke."""
-    checked = df.withColumn(_FAILED, F.transform(_failures(rules), lambda v: v["rule"]))
-    accepted = checked.where(F.size(_FAILED) == 0).drop(_FAILED)
-    quarantined = checked.where(F.size(_FAILED) > 0).withColumnRenamed(_FAILED, "broken_rules")
-    return accepted, quarantined
+    """Accepted rows unchanged, and quarantined rows with the list of rules they broke (``broken_rules``)."""
+    names = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
+    return df.where(~any_broken(rules)), df.where(any_broken(rules)).withColumn("broken_rules", names)

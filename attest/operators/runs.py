@@ -65,12 +65,10 @@ def latest_gate(
     runs: DataFrame, by: Sequence[str], run_number: str, status: str, conclusion: str
 ) -> DataFrame:
     """Per key, whether the run with the highest number is completed with success."""
-    newest = runs.groupBy(*by).agg(
-        F.max(run_number).alias("run_number"),
-        F.max_by(F.struct(F.col(status).alias("s"), F.col(conclusion).alias("c")), F.col(run_number)).alias("__run"),
+    success = F.coalesce((F.col(status) == "completed") & (F.col(conclusion) == "success"), F.lit(False))
+    return runs.groupBy(*by).agg(
+        F.max(run_number).alias("run_number"), F.max_by(success, F.col(run_number)).alias("passed")
     )
-    passed = F.coalesce((F.col("__run.s") == "completed") & (F.col("__run.c") == "success"), F.lit(False))
-    return newest.withColumn("passed", passed).drop("__run")
 
 
 def gate_for(keys: DataFrame, gates: DataFrame, on: Sequence[str]) -> DataFrame:

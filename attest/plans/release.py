@@ -29,9 +29,6 @@ def release_check(
     head = check(manifests, _manifest_rules(), ["release"]).select(
         "release", F.lit(None).cast("string").alias("item"), "rule", "value"
     )
-    per_file = check(files, _file_rules(max_size), ["release", "name"]).select(
-        "release", F.col("name").alias("item"), "rule", "value"
-    )
     listed = files.select("release").distinct()
     empty = manifests.join(listed, "release", "left_anti").select(
         "release", F.lit(None).cast("string").alias("item"), F.lit("no_files").alias("rule"),
@@ -42,10 +39,10 @@ def release_check(
         F.col("n_rows").cast("string").alias("value"),
     )
     compared = verify_digests(files, actual, ["path"], slice_rows)
-    content = compared.where(F.col("verdict") != "match").select(
-        "release", F.col("name").alias("item"), F.col("verdict").alias("rule"), F.col("actual_sha256").alias("value")
+    per_file = check(compared, [*_file_rules(max_size), *_content_rules()], ["release", "name"]).select(
+        "release", F.col("name").alias("item"), "rule", "value"
     )
-    return head.unionByName(per_file).unionByName(empty).unionByName(repeated).unionByName(content)
+    return head.unionByName(empty).unionByName(repeated).unionByName(per_file)
 
 
 def _manifest_rules() -> list[Rule]:
@@ -67,6 +64,11 @@ def _file_rules(max_size: int) -> list[Rule]:
     ]
 
 
+def _content_rules() -> list[Rule]:
+    verdicts = ("missing", "size_mismatch", "digest_mismatch")
+    return [Rule(v, F.col("verdict") != v, F.col("actual_sha256")) for v in verdicts]
+
+
 def publication_plan(
     releases: DataFrame,
     commits: DataFrame,

@@ -7,6 +7,7 @@ from attest.functions.content import byte_length, digest
 from attest.functions.predicates import check_origin, classify_path, field_rule, is_hex, is_safe_name, is_version
 from attest.functions.state import map_run_state
 from attest.functions.text import (
+    Secret,
     describe_run,
     document_rewrites,
     extract_code,
@@ -296,7 +297,7 @@ def change_titles(t: Tables) -> DataFrame:
 
 # Shapes found in the test documents: addresses, commit ids and dotted quads.
 DOCUMENT_PATTERNS = (
-    r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
+    Secret(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", needs=("@",)),
     r"\b[0-9a-f]{40}\b",
     r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
 )
