@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.operators.assets import extract_assets
+from attest.operators.assets import asset_gate, extract_assets
 from attest.operators.catalog import build_index, fetch_receipt, list_children, search_catalog, search_index, search_pages
 from attest.queries.registry import Tables, query
 
@@ -57,3 +57,15 @@ SELECT page_id, asset, CASE WHEN regexp_matches(asset, '^[a-z]+://') THEN asset
 def page_assets(t: Tables) -> DataFrame:
     rows = extract_assets(t.pages.select("page_id", "url", "html"), "html", "url", r"[^\"]+")
     return rows.groupBy("page_id", "asset", "resolved", "same_origin").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("asset_gate", r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS asset,
+                  regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
+s AS (SELECT page_id, CASE WHEN regexp_matches(asset, '^[a-z]+://') THEN regexp_extract(asset, '^([a-z]+://[^/?#]+)', 1) = origin
+              ELSE NOT starts_with(asset, '//') END AS own FROM a)
+SELECT page_id, count(*) AS n_assets, bool_and(own) AS all_own, count(*) >= 6 AND bool_and(own) AS ok FROM s GROUP BY page_id
+""")
+def gated_pages(t: Tables) -> DataFrame:
+    rows = extract_assets(t.pages.select("page_id", "url", "html"), "html", "url", r"[^\"]+")
+    return asset_gate(rows, "page_id", least=6)

@@ -15,6 +15,7 @@ from attest.operators.sets import (
     duplicates,
     group_rules,
     group_verdict,
+    in_order,
     readiness,
     report_gate,
 )
@@ -362,6 +363,15 @@ def combined(t: Tables) -> DataFrame:
     )
 
 
+@query("in_order", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position FROM lineitem
+""")
+def numbered_lines(t: Tables) -> DataFrame:
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return in_order(t.lineitem.select(*columns), columns)
+
+
 @query("same_rows", """
 WITH b AS (SELECT p_partkey, p_name, p_brand, p_type, greatest(p_size, 3) AS p_size FROM part),
      a AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part)

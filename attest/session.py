@@ -33,10 +33,12 @@ def local_session(app: str = "attest", cores: str | None = None) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) a fresh local folder is used.
+    A session on one machine that names none (tests) gets a fresh local folder; a cluster must name one.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="attest-")
         spark.conf.set(CHECKPOINT_DIR, named)
     return named.rstrip("/")

@@ -11,6 +11,7 @@ from attest.operators.digests import checksum_listing, verify_digests
 from attest.operators.graph import resolve_edges
 from attest.operators.reconcile import changed_only, reconcile_links, verify_targets
 from attest.operators.runs import effective_release, mark_superseded
+from attest.operators.sets import in_order
 from attest.operators.skew import OrderedScan, hot_keys, lookup_join, with_ordinal
 
 SMALL = 40  # rows per slice: the hot key of these fixtures spans many slices
@@ -132,6 +133,7 @@ def test_operators_do_not_depend_on_slicing(spark, skewed):
             rows.select("k", F.col("id").alias("name"), F.col("ts").alias("url"), F.col("v").alias("path")),
             rows.where("ts < 100").select("k", F.col("id").alias("name"), F.when(F.col("k") == 3, 0).otherwise(F.col("ts")).alias("url"),
                                           F.lit("a").alias("path"), "id", F.col("id").alias("position")), "k", "name", "position", s),
+        "numbered": lambda s: in_order(rows, ["ts", "id"], "position", s),
         "listing": lambda s: checksum_listing(rows, ["k"], ["ts", "id"], "id", "v", 9, s),
     }
     for name, case in cases.items():
