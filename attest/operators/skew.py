@@ -5,14 +5,14 @@ never splits a window partition. Both helpers first look for keys with more than
 thin sample of the key columns, and only change the plan for those:
 
 * ``lookup_join`` spreads a hot key's rows over slices and repeats its single lookup row per slice;
-* ``OrderedScan`` cuts a hot key's ordered rows at fixed boundary values, scans each slice alone, and
-  carries the slices' summaries across.
+* ``OrderedScan`` cuts a hot key's ordered rows into slices with a range partitioning, scans each slice
+  alone, and carries the slices' summaries across.
 
-The sample decides sizes only. Results are exact for any set of hot keys and any boundaries: a key the
-sample misses, or one that shares a hash with a hot key, takes a path that gives the same rows.
+The sample decides sizes only. Results are exact for any set of hot keys and any slices: a key the sample
+misses, or one that shares a hash with a hot key, takes a path that gives the same rows.
 
-What reaches the driver is the list of hot keys and the boundary values: at most ``MAX_HOT_KEYS`` and
-``MAX_SLICES`` rows whatever the data size.
+What reaches the driver and is broadcast is the list of hot keys and one summary per slice: at most
+``MAX_HOT_KEYS`` and ``MAX_SLICES`` rows (one more per hot key) whatever the data size.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attest.session import written
+
 SLICE_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SLICES = 50_000
@@ -35,7 +37,6 @@ _ROWS = "__rows"
 _SLICES = "__slices"
 _SLICE = "__slice"
 _PIECE = "__piece"
-_BOUNDS = "__bounds"
 _CARRY = "__carry_"
 _WHOLE = -1
 
@@ -123,9 +124,8 @@ class OrderedScan:
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS):
         self.by, self.order = list(by), list(order)
         hot = hot_keys(df, self.by, slice_rows)
-        bounds = None if hot is None else self._boundaries(df, hot)
-        self.sliced = bounds is not None
-        self.rows = self._sliced(df, bounds) if self.sliced else df
+        self.sliced = hot is not None
+        self.rows = self._sliced(df, hot) if hot is not None else df
 
     def running(
         self,
@@ -151,35 +151,21 @@ class OrderedScan:
     def result(self) -> DataFrame:
         return self.rows.drop(_SLICE)
 
-    def _boundaries(self, df: DataFrame, hot: DataFrame) -> DataFrame | None:
-        """Order values that cut each hot key into slices, taken once so every later use agrees."""
-        chance = F.col(_SLICES) * F.lit(float(SAMPLES_PER_SLICE)) / F.col(_ROWS)
-        columns = list(dict.fromkeys([*self.by, *self.order]))
-        tags = hot.where(F.col(_SLICES) > 1).select(_KEY, _SLICES, chance.alias("__p"))
-        hot_rows = df.select(*columns).withColumn(_KEY, F.xxhash64(*self.by)).join(F.broadcast(tags), _KEY)
-        sampled = hot_rows.where(F.rand(SEED) < F.col("__p"))
-        positions = F.array_sort(F.collect_list(F.struct(*self.order)))
-        cuts = F.transform(
-            F.sequence(F.lit(1), F.col(_SLICES) - 1),
-            lambda i: F.get(F.col("s"), (i * F.size("s") / F.col(_SLICES)).cast("int")),
+    def _sliced(self, df: DataFrame, hot: DataFrame) -> DataFrame:
+        """Cut the rows of hot keys into ordered slices with a range partitioning; others stay whole.
+
+        The cut depends on what the partitioning samples, so the rows are written once with their slice and
+        every later use, also after the loss of an executor, sees the same one.
+        """
+        slices = hot.agg(F.sum(_SLICES)).first()[0]
+        tagged = _tag(df, self.by, hot.drop(_ROWS))
+        cold = tagged.where(F.col(_SLICES).isNull()).drop(_SLICES).withColumn(_SLICE, F.lit(_WHOLE))
+        ranged = (
+            _tag(df, self.by, hot.select(_KEY), "left_semi")
+            .repartitionByRange(int(slices), *self.by, *self.order)
+            .withColumn(_SLICE, F.spark_partition_id())
         )
-        bounds = sampled.groupBy(_KEY, _SLICES).agg(positions.alias("s")).select(_KEY, cuts.alias(_BOUNDS))
-        taken = bounds.collect()
-        return df.sparkSession.createDataFrame(taken, bounds.schema) if taken else None
-
-    def _sliced(self, df: DataFrame, bounds: DataFrame) -> DataFrame:
-        """Slice number of a row: how many boundaries of its key are at or before it (binary search)."""
-        position = F.struct(*self.order)
-        steps = [1 << k for k in range(MAX_SLICES.bit_length(), -1, -1)]
-
-        def advance(low: Column, step: Column) -> Column:
-            reach = low + step
-            passed = F.get(F.col(_BOUNDS), reach - 1) <= position
-            return F.when((reach <= F.size(_BOUNDS)) & F.coalesce(passed, F.lit(False)), reach).otherwise(low)
-
-        search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-        slice_no = F.when(F.col(_BOUNDS).isNull(), F.lit(_WHOLE)).otherwise(search)
-        return _tag(df, self.by, bounds).withColumn(_SLICE, slice_no).drop(_BOUNDS)
+        return cold.unionByName(written(ranged, "slices"))
 
     def _carried(self, scanned: DataFrame, last: Mapping[str, Column], total: Mapping[str, Column]) -> DataFrame:
         """Add what the slices before a row's own contribute."""
@@ -191,7 +177,7 @@ class OrderedScan:
         carried = [F.last(n, ignorenulls=True).over(before).alias(_CARRY + n) for n in last]
         carried += [F.sum(n).over(before).alias(_CARRY + n) for n in total]
         keys = [*self.by, _SLICE]
-        # One row per slice of a sliced key, at most MAX_SLICES in all, so it is broadcast.
+        # One row per key and slice, at most MAX_SLICES and one more per hot key, so it is broadcast.
         carry = per_slice.select(*[F.col(k).alias(_CARRY + "key_" + k) for k in keys], *carried)
         same = F.lit(True)
         for k in keys:
