@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
+# White space in the Unicode sense, and the edges of an ASCII word. Spelled out, because what
+# ``\s`` and ``\b`` cover differs between regular expression engines and Java versions.
+SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WORD_START = r"(?<![A-Za-z0-9_])"
+WORD_END = r"(?![A-Za-z0-9_])"
+
 
 def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value

@@ -28,6 +28,8 @@ def ipv4_number(address: ColumnLike) -> Column:
 
 def _networks(cidrs: Sequence[str]):
     shape = FIELD_SHAPES["cidr"]
+    if not cidrs:
+        raise ValueError("no ranges given")
     for text in cidrs:
         if text in UNIVERSAL_RANGES or not re.fullmatch(shape, text):
             raise ValueError(f"range not accepted: {text}")

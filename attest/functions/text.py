@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attest.functions.columns import ColumnLike, as_column, first_of
+from attest.functions.columns import SPACE, WORD_END, WORD_START, ColumnLike, as_column, first_of
 from attest.functions.predicates import STRICT_VERSION, is_version
 
 # The emoji that belongs to each change type.
@@ -25,7 +25,9 @@ CHANGE_EMOJI = {
     "build": "\U0001f680",
     "revert": "⏪",
 }
-TITLE_SHAPE = r"\A(\S+) \[v([^\]]+)\] ([a-z]+)(?:\(([a-z0-9][a-z0-9/-]*)\))?(!)?: (\S.*)\z"
+TITLE_SHAPE = (
+    rf"\A([^{SPACE}]+) \[v([^\]]+)\] ([a-z]+)(?:\(([a-z0-9][a-z0-9/-]*)\))?(!)?: ([^{SPACE}].*)\z"
+)
 TITLE_LIMIT = 100
 
 
@@ -42,7 +44,7 @@ class Secret:
 
 # Token shapes that must never reach a log, and what replaces them.
 TOKEN_PATTERNS = (
-    Secret(r"(?:glpat-|ghp_|github_pat_|bearer\s+)[A-Za-z0-9_.-]+", ("glpat-", "ghp_", "github_pat_", "bearer")),
+    Secret(rf"(?:glpat-|ghp_|github_pat_|bearer[{SPACE}]+)[A-Za-z0-9_.-]+", ("glpat-", "ghp_", "github_pat_", "bearer")),
 )
 MASK = "[REDACTED]"
 DESCRIPTION_LIMIT = 255
@@ -74,7 +76,7 @@ def parse_change_title(message: ColumnLike, expected_version: ColumnLike) -> Col
             (F.coalesce(F.element_at(emoji_of, group(3)), F.lit("")) != group(1), "emoji"),
             (group(2) != expected, "version"),
             (F.char_length(subject) > TITLE_LIMIT, "length"),
-            (subject.rlike(r"\A[\s ﻿]|[\s ﻿]\z"), "outer_space"),
+            (subject.rlike(rf"\A[{SPACE}]|[{SPACE}]\z"), "outer_space"),
         ).alias("problem"),
     )
 
@@ -111,7 +113,7 @@ def describe_run(source: ColumnLike, workflow: ColumnLike, status: ColumnLike, c
 
 def extract_code(text: ColumnLike) -> Column:
     """First stand-alone run of six digits, null when there is none."""
-    found = F.regexp_extract(as_column(text), r"\b[0-9]{6}\b", 0)
+    found = F.regexp_extract(as_column(text), rf"{WORD_START}[0-9]{{6}}{WORD_END}", 0)
     return F.when(found != "", found)
 
 

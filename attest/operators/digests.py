@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column, first_of
-from attest.operators.skew import SLICE_ROWS, lookup_join, with_ordinal
+from attest.functions.content import byte_length, digest
+from attest.operators.skew import SLICE_ROWS, OrderedScan, lookup_join
 
 
 def verify_digests(
@@ -76,9 +77,9 @@ def checksum_listing(
     concatenating a group's blocks in order gives the whole listing.
     """
     line = F.concat(as_column(sha256), F.lit("  "), as_column(name).cast("string"), F.lit("\n"))
-    return text_blocks(df, by, order, line, block_lines, slice_rows).withColumn(
-        "listing_sha256", F.sha2(F.col("text"), 256)
-    )
+    block = F.floor((F.col("__pos") - 1) / F.lit(block_lines)).cast("bigint")
+    listing = _blocks(df, by, order, line, block, "", slice_rows)
+    return listing.withColumn("listing_sha256", digest("text"))
 
 
 def concat_corpus(
@@ -88,24 +89,27 @@ def concat_corpus(
     title: ColumnLike,
     url: ColumnLike,
     body: ColumnLike,
-    block_pages: int = 1_000,
+    block_bytes: int = 16 << 20,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Pages as one text per group: a heading with title and address, a blank line, the body.
 
-    Pages are joined by a blank line; a large group continues in numbered blocks.
+    Pages are joined by a blank line. A group larger than ``block_bytes`` continues in numbered blocks, each
+    holding the whole pages that start within its share of the bytes.
     """
     page = F.concat(F.lit("# "), as_column(title).cast("string"), F.lit(" ("), as_column(url).cast("string"),
                     F.lit(")\n\n"), F.coalesce(as_column(body), F.lit("")))
-    return text_blocks(df, by, order, page, block_pages, slice_rows, separator="\n\n")
+    start = F.col("__end") - byte_length("__line")
+    block = F.floor(start / F.lit(block_bytes)).cast("bigint")
+    return _blocks(df, by, order, page, block, "\n\n", slice_rows)
 
 
-def text_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], line, block_lines: int,
-                slice_rows: int, separator: str = "") -> DataFrame:
-    """Join a group's texts in order, ``block_lines`` at a time."""
+def _blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], line: Column, block: Column, separator: str,
+            slice_rows: int) -> DataFrame:
+    """Join a group's texts in order, block by block; ``block`` is told the position and the bytes so far."""
     lines = df.select(*by, *[c for c in order if c not in by], line.alias("__line"))
-    numbered = with_ordinal(lines, by, order, "__pos", slice_rows)
-    block = F.floor((F.col("__pos") - 1) / F.lit(block_lines)).cast("bigint")
+    totals = {"__pos": F.lit(1), "__end": byte_length("__line")}
+    numbered = OrderedScan(lines, by, order, slice_rows).running(total=totals).result()
     entries = F.array_sort(F.collect_list(F.struct("__pos", "__line")))
     return (
         numbered.groupBy(*by, block.alias("block"))

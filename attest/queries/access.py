@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.functions.columns import WORD_END, WORD_START
 from attest.functions.network import in_cidr
 from attest.operators.access import (
     Bucket,
@@ -19,7 +20,9 @@ from attest.operators.access import (
 )
 from attest.queries.registry import Tables, query
 
-QUAD = r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
+QUAD_SHAPE = r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
+QUAD = rf"\b{QUAD_SHAPE}\b"
+ASCII_QUAD = f"{WORD_START}{QUAD_SHAPE}{WORD_END}"
 RANGES = ["10.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12", "203.0.113.0/24", "100.64.0.0/10", "128.0.0.0/2"]
 QUAD_NUMBER = """CAST(split_part(address, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(address, '.', 2) AS BIGINT) * 65536
    + CAST(split_part(address, '.', 3) AS BIGINT) * 256 + CAST(split_part(address, '.', 4) AS BIGINT)"""
@@ -35,7 +38,7 @@ SELECT doc_id AS id, address, valid AND ((num BETWEEN 167772160 AND 184549375) O
 """)
 def addresses(t: Tables) -> DataFrame:
     found = t.documents.select(
-        F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit(QUAD), F.lit(1))).alias("address")
+        F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit(ASCII_QUAD), F.lit(1))).alias("address")
     )
     built = F.concat_ws(".", F.col("user_id").cast("string"), F.bround(F.col("value") * 10).cast("int").cast("string"),
                         F.regexp_extract("props", "[0-9]+", 0), F.lit("1"))

@@ -99,14 +99,13 @@ def listings(t: Tables) -> DataFrame:
 
 
 @query("concat_corpus", r"""
-SELECT source, (pos - 1) // 25 AS block, count(*) AS n_lines,
-  string_agg(concat('# ', title, ' (/', lang, '/', doc_id, ')', chr(10), chr(10), text), chr(10) || chr(10) ORDER BY pos) AS text
-FROM (SELECT *, regexp_extract(text, '\A(.*?)(?:\r?\n|\z)', 1) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents)
-GROUP BY source, block
+WITH p AS (SELECT source, doc_id, concat('# ', regexp_extract(text, '\A(.*?)(?:\r?\n|\z)', 1), ' (/', lang, '/', doc_id, ')', chr(10), chr(10), text) AS page FROM documents),
+b AS (SELECT *, (sum(octet_length(encode(page))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(page))) // 20000 AS block FROM p)
+SELECT source, CAST(block AS BIGINT) AS block, count(*) AS n_lines, string_agg(page, chr(10) || chr(10) ORDER BY doc_id) AS text FROM b GROUP BY source, block
 """)
 def corpus(t: Tables) -> DataFrame:
     url = F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
-    return concat_corpus(t.documents, ["source"], ["doc_id"], first_line("text"), url, "text", block_pages=25)
+    return concat_corpus(t.documents, ["source"], ["doc_id"], first_line("text"), url, "text", block_bytes=20_000)
 
 
 LINKS_SQL = """

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.functions.columns import WORD_END, WORD_START
 from attest.functions.content import byte_length, digest
 from attest.functions.predicates import check_origin, classify_path, field_rule, is_hex, is_safe_name, is_version
 from attest.functions.state import map_run_state
@@ -18,7 +19,8 @@ from attest.functions.text import (
 )
 from attest.queries.registry import Tables, query
 
-HEX_TOKEN = r"\b[0-9A-Fa-f]{32,64}\b"
+HEX_SHAPE = "[0-9A-Fa-f]{32,64}"
+HEX_TOKEN = rf"\b{HEX_SHAPE}\b"
 
 
 @query("is_hex", rf"""
@@ -32,7 +34,7 @@ FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{HEX_TOKEN}'
       FROM documents)
 """)
 def hex_tokens(t: Tables) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(HEX_TOKEN), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(f"{WORD_START}{HEX_SHAPE}{WORD_END}"), F.lit(0))
     tokens = t.documents.select(
         "doc_id", F.explode(F.array_distinct(F.concat(found, F.array(digest("text"))))).alias("token")
     )
@@ -298,8 +300,8 @@ def change_titles(t: Tables) -> DataFrame:
 # Shapes found in the test documents: addresses, commit ids and dotted quads.
 DOCUMENT_PATTERNS = (
     Secret(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", needs=("@",)),
-    r"\b[0-9a-f]{40}\b",
-    r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
+    rf"{WORD_START}[0-9a-f]{{40}}{WORD_END}",
+    rf"{WORD_START}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{WORD_END}",
 )
 
 

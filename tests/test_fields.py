@@ -35,6 +35,7 @@ def test_hex(spark):
     ("strict", ["0.1.0", "10.20.30", "1.2.3-rc.0", "1.2.3-alpha.11"],
      ["01.2.3", "1.2", "1.2.3-rc.01", "1.2.3-dev.1", "1.2.3-rc", "v1.2.3", "1.2.3\n", None]),
     ("release", ["1.2.3", "01.2.3", "1.2.3-rc-1.x"], ["1.2.3-", "1.2.3+b", "v1.2.3", "1.2.3-a_b", "1.2.3\n"]),
+    ("build", ["1.2.3", "1.2.3-a_b.1"], ["1.2", "v1.2.3", "1.2.3-é", "1.2.3\n"]),
     ("tag", ["v1.2.3", "v1.2.3-beta.1"], ["1.2.3", "V1.2.3", "v1.2", "v1.2.3\n"]),
     ("mirror", ["refs/heads/release", "refs/tags/v1.2.3", "refs/tags/v1.2.3-rc.1"],
      ["refs/heads/main", "refs/tags/1.2.3", "refs/heads/release/x", "release"]),
@@ -103,7 +104,8 @@ def test_change_titles(spark):
         "🐛 [v1.2.3] feat: add": "emoji", "✨ [v1.2.3] feature: add": "emoji",
         "✨ [v1.2.4] feat: add": "version",
         "✨ [v1.2.3] feat: " + "é" * 83: None, "✨ [v1.2.3] feat: " + "é" * 84: "length",
-        "✨ [v1.2.3] feat: add ": "outer_space",
+        "✨ [v1.2.3] feat: add ": "outer_space", "✨ [v1.2.3] feat: add\u3000": "outer_space",
+        "✨ [v1.2.3] feat: \u00a0add": "shape",
     }
     result = evaluate(spark, list(cases), parse_change_title("v", F.lit("1.2.3"))["problem"])
     assert result == list(cases.values())
@@ -114,7 +116,7 @@ def test_change_titles(spark):
 
 
 def test_redaction(spark):
-    texts = ["key s3cret! and abc", "Bearer  abc.DEF-1 end", "x glpat-AbC_1 y ghp_22 z github_pat_3", "plain", None]
+    texts = ["key s3cret! and abc", "Bearer \u00a0abc.DEF-1 end", "x glpat-AbC_1 y ghp_22 z github_pat_3", "plain", None]
     assert evaluate(spark, texts, redact("v", ["s3cret!", "abc"])) == [
         "key [REDACTED] and abc", "[REDACTED] end", "x [REDACTED] y [REDACTED] z [REDACTED]", "plain", None]
 
@@ -134,8 +136,8 @@ def test_descriptions_codes_and_lines(spark):
     text = describe_run(F.lit("CI"), "s", F.lit("completed"), "c")
     result = evaluate(spark, [("w", "success"), ("w", None), ("w" * 300, "x")], text, "s string, c string")
     assert result[:2] == ["CI [w]: completed (success)", "CI [w]: completed"] and len(result[2]) == 255
-    assert evaluate(spark, ["code 123456.", "1234567 12345", "a1234567 654321", None], extract_code("v")) == [
-        "123456", None, "654321", None]
+    assert evaluate(spark, ["code 123456.", "1234567 12345", "a1234567 654321", "é123456é", None], extract_code("v")) == [
+        "123456", None, "654321", "123456", None]
     assert evaluate(spark, ["a\r\nb", "a\nb", "a", "", "\nb"], first_line("v")) == ["a", "a", "a", "", ""]
 
 
@@ -152,6 +154,6 @@ def test_address_ranges(spark):
     addresses = ["10.0.0.1", "11.0.0.1", "192.168.4.7", "10.0.0.256", "010.0.0.1", "2001:db8::5", "2001:db9::5", "::ffff:10.0.0.1", "x", None]
     result = evaluate(spark, addresses, in_cidr("v", ["10.0.0.0/8", "192.168.4.0/30", "192.168.4.4/30", "2001:db8::/32"]))
     assert result == [True, False, True, False, False, True, False, False, False, False]
-    for universal in ("0.0.0.0/0", "::/0", "anything"):
+    for refused in (["0.0.0.0/0"], ["::/0"], ["anything"], []):
         with pytest.raises(ValueError):
-            in_cidr("v", [universal])
+            in_cidr("v", refused)
