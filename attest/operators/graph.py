@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,17 +91,21 @@ def expect_matrix(
     return joined.withColumn("verdict", first_of(*cases, otherwise=F.lit("ok"))).drop("__metadata", "__taken")
 
 
-def fold_captures(df: DataFrame, by: Sequence[str], parts: Sequence[str], value: ColumnLike) -> DataFrame:
-    """One row per group: a map keyed by the joined parts (such as ``phone-dark``), and how many rows it took.
+def fold_captures(
+    df: DataFrame, by: Sequence[str], dims: Mapping[str, Sequence[str]], value: ColumnLike
+) -> DataFrame:
+    """One row per group: a map keyed by the joined dimensions (such as ``phone-dark``), and how many rows it took.
 
-    Rows are reduced to one per key before the map is built, so it is as large as the declared dimensions.
+    The dimensions are declared lists; each of their combinations is one conditional aggregate, so a group
+    is folded map-side whatever its size. Combinations without a row have no entry.
     """
-    label = F.concat_ws("-", *[F.col(p) for p in parts])
-    cells = df.groupBy(*by, label.alias("__k")).agg(
-        F.max(as_column(value)).alias("__v"), F.count(F.lit(1)).alias("__n")
-    )
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v"))))
-    return cells.groupBy(*by).agg(F.sum("__n").alias("n_captures"), entries.alias("captures"))
+    labels = ["-".join(parts) for parts in product(*dims.values())]
+    label = F.concat_ws("-", *[F.col(d) for d in dims])
+    cells = [F.max(F.when(label == k, as_column(value))).alias(f"__{i}") for i, k in enumerate(labels)]
+    counted = F.count_if(label.isin(*labels)).alias("n_captures")
+    folded = df.groupBy(*by).agg(counted, *cells)
+    keyed = F.map_from_arrays(F.array(*[F.lit(k) for k in labels]), F.array(*[F.col(f"__{i}") for i in range(len(labels))]))
+    return folded.select(*by, "n_captures", F.map_filter(keyed, lambda _, v: v.isNotNull()).alias("captures"))
 
 
 def missing_required(required: DataFrame, present: DataFrame, item: str) -> DataFrame:

@@ -70,17 +70,23 @@ def report_gate(df: DataFrame, by: Sequence[str], outcome: ColumnLike, errors: C
     return facts.withColumn("passed", (F.col("expected") > 0) & (bad == 0))
 
 
-def readiness(df: DataFrame, by: Sequence[str], check: str, passed: ColumnLike) -> DataFrame:
-    """All checks pass per group, with the names of those that fail.
+def readiness(
+    df: DataFrame, by: Sequence[str], check: ColumnLike, passed: ColumnLike, checks: Sequence[str]
+) -> DataFrame:
+    """All checks pass per group, with the names of those that fail in the declared order.
 
-    Names are reduced to distinct ones before they are listed, so a list is never longer than the set of checks.
+    ``checks`` is the declared list, so a group is one row of flags from a single aggregate. Failing rows of
+    a check that was not declared appear as ``other``.
     """
-    per_check = df.groupBy(*by, check).agg(F.bool_and(as_column(passed)).alias("__ok"))
-    failing = F.array_sort(F.collect_list(F.when(~F.coalesce(F.col("__ok"), F.lit(False)), F.col(check))))
-    return (
-        per_check.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n_checks"), failing.alias("failures"))
-        .withColumn("ready", F.size("failures") == 0)
+    name, ok = as_column(check), F.coalesce(as_column(passed), F.lit(False))
+    wanted = {c: name.eqNullSafe(F.lit(c)) for c in checks}
+    wanted["other"] = ~F.coalesce(name.isin(*checks), F.lit(False))
+    flags = {f"__{i}": F.bool_and(F.when(rows, ok)) for i, rows in enumerate(wanted.values())}
+    facts = df.groupBy(*by).agg(*[c.alias(n) for n, c in flags.items()])
+    seen = reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("bigint") for n in flags])
+    failed = F.array_compact(F.array(*[F.when(~F.col(n), F.lit(c)) for n, c in zip(flags, wanted)]))
+    return facts.select(*by, seen.alias("n_checks"), failed.alias("failures")).withColumn(
+        "ready", F.size("failures") == 0
     )
 
 

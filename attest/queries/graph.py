@@ -103,7 +103,7 @@ SELECT user_id, CAST(sum(n) AS BIGINT) AS n_captures, concat('{', string_agg(con
 """)
 def folded(t: Tables) -> DataFrame:
     rows = t.events.withColumn("half", F.when(F.hour("ts") < 12, "am").otherwise("pm"))
-    result = fold_captures(rows, ["user_id"], ["event_type", "half"], "event_id")
+    result = fold_captures(rows, ["user_id"], {"event_type": sorted(EVENT_TYPES), "half": ["am", "pm"]}, "event_id")
     return result.withColumn("captures", F.to_json("captures"))
 
 

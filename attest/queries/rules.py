@@ -334,7 +334,8 @@ FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, bool_and(valu
 """)
 def ready(t: Tables) -> DataFrame:
     rows = t.events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    result = readiness(rows, ["user_id", "day"], "event_type", F.col("value") < 15)
+    result = readiness(rows, ["user_id", "day"], "event_type", F.col("value") < 15,
+                       ["click", "error", "purchase", "signup", "view"])
     return result.withColumn("failures", F.array_join("failures", ","))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.operators.digests import plan_uploads
-from attest.operators.graph import expect_matrix, match_by_suffix
+from attest.operators.graph import expect_matrix, fold_captures, match_by_suffix
 from attest.operators.reconcile import current_options, option_drift, reconcile_links
 from attest.operators.rules import Rule, check, first_failure, split_valid
 from attest.operators.runs import classify_runs, effective_release, gate_for, latest_gate, mark_superseded
-from attest.operators.sets import group_rules, report_gate
+from attest.operators.sets import group_rules, readiness, report_gate
 from attest.plans.deploy import deploy_check
 from attest.plans.identity import identity_violations
 from attest.plans.jobs import job_policy
@@ -271,3 +271,15 @@ def test_records_from_a_column(spark):
     accepted, refused = parse_records(df, "body", T.StructType([T.StructField("k", T.LongType())]))
     assert rows(accepted.select("i", "k")) == Counter({(1, 1): 1})
     assert rows(refused.select("i", "problem")) == Counter({(2, "bad_json"): 1})
+
+
+def test_readiness_and_folded_captures(spark):
+    checks = spark.createDataFrame([("a", "x", True), ("a", "y", False), ("a", "x", True), ("b", "x", True), ("c", "z", False), ("c", "x", None)],
+                                   "g string, c string, ok boolean")
+    result = {r["g"]: (r["n_checks"], r["failures"], r["ready"]) for r in readiness(checks, ["g"], "c", "ok", ["y", "x"]).collect()}
+    assert result == {"a": (2, ["y"], False), "b": (1, [], True), "c": (2, ["x", "other"], False)}
+    captures = spark.createDataFrame([("s", "phone", "light", "1"), ("s", "phone", "light", "2"), ("s", "desktop", "dark", "3"), ("s", "watch", "dark", "4")],
+                                     "state string, viewport string, theme string, file string")
+    dims = {"viewport": ["phone", "desktop"], "theme": ["light", "dark"]}
+    row = fold_captures(captures, ["state"], dims, "file").first()
+    assert row["captures"] == {"phone-light": "2", "desktop-dark": "3"} and row["n_captures"] == 3
