@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attest.functions.columns import SPACE, WORD_END, WORD_START, ColumnLike, as_column, first_of
-from attest.functions.predicates import STRICT_VERSION, is_version
+from attest.functions.predicates import is_version
 
 # The emoji that belongs to each change type.
 CHANGE_EMOJI = {
@@ -25,6 +25,7 @@ CHANGE_EMOJI = {
     "build": "\U0001f680",
     "revert": "⏪",
 }
+# The shape of a change title and its longest length in code points.
 TITLE_SHAPE = (
     rf"\A([^{SPACE}]+) \[v([^\]]+)\] ([a-z]+)(?:\(([a-z0-9][a-z0-9/-]*)\))?(!)?: ([^{SPACE}].*)\z"
 )
@@ -47,6 +48,7 @@ TOKEN_PATTERNS = (
     Secret(rf"(?:glpat-|ghp_|github_pat_|bearer[{SPACE}]+)[A-Za-z0-9_.-]+", ("glpat-", "ghp_", "github_pat_", "bearer")),
 )
 MASK = "[REDACTED]"
+# Fixed value: the longest description a status service takes.
 DESCRIPTION_LIMIT = 255
 
 
@@ -59,8 +61,12 @@ def parse_change_title(message: ColumnLike, expected_version: ColumnLike) -> Col
     subject = first_line(message)
     expected = as_column(expected_version)
 
+    # One pass of the pattern: its six groups become six lines, which a title cannot contain itself.
+    parts = F.split(F.regexp_replace(subject, TITLE_SHAPE, "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+    shaped = F.coalesce(F.size(parts) == 6, F.lit(False))
+
     def group(i: int) -> Column:
-        return F.regexp_extract(subject, TITLE_SHAPE, i)
+        return F.when(shaped, F.element_at(parts, i)).otherwise("")
 
     emoji_of = F.create_map(*[F.lit(x) for pair in CHANGE_EMOJI.items() for x in pair])
     return F.struct(
@@ -72,7 +78,7 @@ def parse_change_title(message: ColumnLike, expected_version: ColumnLike) -> Col
         group(6).alias("summary"),
         first_of(
             (~is_version(expected, "strict"), "expected_version"),
-            (~F.coalesce(subject.rlike(TITLE_SHAPE), F.lit(False)), "shape"),
+            (~shaped, "shape"),
             (F.coalesce(F.element_at(emoji_of, group(3)), F.lit("")) != group(1), "emoji"),
             (group(2) != expected, "version"),
             (F.char_length(subject) > TITLE_LIMIT, "length"),
@@ -135,16 +141,3 @@ def document_rewrites(route: str, content_route: str, negotiated: bool = False)
     if negotiated:
         rules.append((rf"{route}((?:/[^/]+)*)/?", target))
     return rules
-
-
-__all__ = [
-    "CHANGE_EMOJI",
-    "STRICT_VERSION",
-    "describe_run",
-    "document_rewrites",
-    "extract_code",
-    "first_line",
-    "parse_change_title",
-    "redact",
-    "rewrite_path",
-]

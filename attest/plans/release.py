@@ -96,7 +96,7 @@ def publication_plan(
     desired = publishable.select(
         "release",
         "name",
-        F.concat(F.lit(address_prefix), F.col("release").cast("string"), F.lit("/"), F.col("name").cast("string")).alias("url"),
+        F.concat(F.lit(address_prefix), F.concat_ws("/", "release", "name")).alias("url"),
         F.concat(F.lit("/"), F.col("name").cast("string")).alias("path"),
     )
     return {
