@@ -90,12 +90,13 @@ def concat_corpus(
     url: ColumnLike,
     body: ColumnLike,
     block_bytes: int = 16 << 20,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int = 100_000,
 ) -> DataFrame:
     """Pages as one text per group: a heading with title and address, a blank line, the body.
 
     Pages are joined by a blank line. A group larger than ``block_bytes`` continues in numbered blocks, each
-    holding the whole pages that start within its share of the bytes.
+    holding the whole pages that start within its share of the bytes. Pages are wide rows, so slices are
+    shorter than elsewhere.
     """
     page = F.concat(F.lit("# "), as_column(title).cast("string"), F.lit(" ("), as_column(url).cast("string"),
                     F.lit(")\n\n"), F.coalesce(as_column(body), F.lit("")))

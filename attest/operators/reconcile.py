@@ -19,23 +19,28 @@ def reconcile_links(
     position: str,
     slice_rows: int = SLICE_ROWS,
     sized_by: DataFrame | None = None,
+    existing_groups: DataFrame | None = None,
 ) -> DataFrame:
     """Action per desired link: ``create``, ``conflict``, ``add``, ``update_path``, ``error`` or ``keep``.
 
     Both sides have ``group``, ``name``, ``url``, ``path``; ``existing`` also ``id`` and ``position``, and
     the first link of a name wins. A group with nothing existing is created whole. One link with another
     address makes its whole group a conflict. Existing-only links are left alone. A path change needs the
-    existing link's id; without it the link is an ``error``. ``sized_by`` is a cheaper table than
+    existing link's id; without it the link is an ``error``. ``existing_groups`` names groups that exist,
+    with or without links; groups with links exist anyway. ``sized_by`` is a cheaper table than
     ``desired`` to count groups on.
     """
     sized_by = desired if sized_by is None else sized_by
     first = existing.groupBy(group, name).agg(
         F.min_by(F.struct("url", "path", "id"), F.col(position)).alias("__old")
     )
-    known_groups = existing.groupBy(group).agg(F.lit(True).alias("__known"))
+    known = existing.select(group)
+    if existing_groups is not None:
+        known = known.unionByName(existing_groups.select(group))
+    known_groups = known.distinct().withColumn("__known", F.lit(True))
     # Names are distinct within a desired group, so only the group-level joins can meet a hot key.
     compared = desired.join(first, [group, name], "left").withColumn(
-        "__clash", F.coalesce(F.col("__old.url") != F.col("url"), F.lit(False))
+        "__clash", F.col("__old").isNotNull() & ~F.col("__old.url").eqNullSafe(F.col("url"))
     )
     groups = (
         compared.groupBy(group)

@@ -70,15 +70,19 @@ def test_upload_actions(spark):
 def test_links(spark):
     desired = spark.createDataFrame(
         [("new", "a", "u", "/a"), ("bad", "a", "u", "/a"), ("bad", "b", "u", "/b"), ("mix", "a", "u", "/a"),
-         ("mix", "b", "u", "/b"), ("mix", "c", "u", "/c"), ("mix", "d", "u", "/d")],
+         ("mix", "b", "u", "/b"), ("mix", "c", "u", "/c"), ("mix", "d", "u", "/d"), ("blank", "a", "u", "/a")],
         "release string, name string, url string, path string")
     existing = spark.createDataFrame(
         [("bad", "b", "other", "/b", 1, 0), ("mix", "a", "u", "/a", 2, 0), ("mix", "a", "other", "/x", 3, 1),
-         ("mix", "b", "u", "/old", 4, 2), ("mix", "c", "u", "/old", None, 3), ("mix", "z", "u", "/z", 9, 4)],
+         ("mix", "b", "u", "/old", 4, 2), ("mix", "c", "u", "/old", None, 3), ("mix", "z", "u", "/z", 9, 4),
+         ("blank", "a", None, "/a", 10, 0)],
         "release string, name string, url string, path string, id int, position int")
     result = {(r["release"], r["name"]): r["action"] for r in reconcile_links(desired, existing, "release", "name", "position").collect()}
-    assert result == {("new", "a"): "create", ("bad", "a"): "conflict", ("bad", "b"): "conflict", ("mix", "a"): "keep",
+    assert result == {("new", "a"): "create", ("blank", "a"): "conflict", ("bad", "a"): "conflict", ("bad", "b"): "conflict", ("mix", "a"): "keep",
                       ("mix", "b"): "update_path", ("mix", "c"): "error", ("mix", "d"): "add"}
+    groups = spark.createDataFrame([("new",)], "release string")
+    again = reconcile_links(desired, existing, "release", "name", "position", existing_groups=groups)
+    assert again.where("release = 'new'").first()["action"] == "add", "the group exists, only its links do not"
 
 
 def test_release_check(spark):
