@@ -237,6 +237,8 @@ def rate_limit(
 ) -> DataFrame:
     """Add ``allowed``: the verdict of the leaky buckets per request, in order of time and ``row_id``.
 
+    ``row_id`` must be unique; requests without a key are not limited.
+
     The fold is sequential per client, so only what can change its state reaches it:
 
     * time is cut in cells as long as a full bucket takes to drain; an empty cell resets the client, and
