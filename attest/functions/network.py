@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column
 from attest.functions.predicates import FIELD_SHAPES, UNIVERSAL_RANGES
+from attest.session import ship_with_plans
+
+ship_with_plans(__name__)
 
 DOTTED_QUAD = r"(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IPV4 = rf"{DOTTED_QUAD}(?:\.{DOTTED_QUAD}){{3}}"

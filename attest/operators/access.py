@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from attest.functions.columns import ColumnLike, as_column, first_of
 from attest.functions.network import in_cidr
 from attest.operators.skew import SLICE_ROWS, OrderedScan, lookup_join
+from attest.session import ship_with_plans
+
+ship_with_plans(__name__)
 
 # How long a code or flow lives, how often it may be tried, how long a session lasts.
 CODE_LIFETIME_SECONDS = 600

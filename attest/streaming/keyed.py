@@ -24,6 +24,9 @@ from attest.operators.access import (
     Bucket,
     LeakyBuckets,
 )
+from attest.session import ship_with_plans
+
+ship_with_plans(__name__)
 
 _TICK = "__tick"
 _FLAG = "__flag"
