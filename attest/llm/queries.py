@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.llm.decontaminate import HITS_SQL, hits
 from attest.llm.near_dedup import near_duplicates
 from attest.queries.registry import Query, Tables
 
@@ -24,3 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable:
 @query("op3_near_dedup")
 def op3_near_dedup(t: Tables) -> DataFrame:
     return near_duplicates(t.documents).drop("fp")
+
+
+@query("op4_decontamination", HITS_SQL)
+def op4_decontamination(t: Tables) -> DataFrame:
+    found = hits(t.documents, t.benchmark)
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated"
+    )
