@@ -151,7 +151,7 @@ WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
 bw AS (
   SELECT item_id, least(len(w), {WINDOW}) AS size,
-         unnest(list_transform(range(0, greatest(len(w) - {WINDOW}, 0) + 1), i -> array_to_string(w[i + 1 : i + {WINDOW}], ' '))) AS win
+         unnest(list_transform(range(0, greatest(len(w) - {WINDOW}, 0) + 1), lambda i: array_to_string(w[i + 1 : i + {WINDOW}], ' '))) AS win
   FROM b WHERE len(w) > 0),
 starts AS (
   SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS pos
