@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.decontaminate import HITS_SQL, hits
 from attest.llm.near_dedup import near_duplicates
+from attest.llm.token_files import read_tokens, with_crc32, write_tokens
 from attest.queries.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {}
@@ -34,3 +36,9 @@ def op4_decontamination(t: Tables) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated"
     )
+
+
+@query("op8_token_files")
+def op8_token_files(t: Tables) -> DataFrame:
+    path = write_tokens(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+    return with_crc32(read_tokens(t.spark, path)).withColumnRenamed("key", "doc_id")
