@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.decontaminate import HITS_SQL, hits
+from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
 from attest.llm.token_files import read_tokens, with_crc32, write_tokens
 from attest.queries.registry import Query, Tables
@@ -42,3 +43,8 @@ def op4_decontamination(t: Tables) -> DataFrame:
 def op8_token_files(t: Tables) -> DataFrame:
     path = write_tokens(t.documents, public_tokenizers.path("word_bpe_49k.json"))
     return with_crc32(read_tokens(t.spark, path)).withColumnRenamed("key", "doc_id")
+
+
+@query("op6_mixing")
+def op6_mixing(t: Tables) -> DataFrame:
+    return Mix(t.documents).taken().select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
