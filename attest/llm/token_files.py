@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Encoded words a worker remembers, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: The tokenizer's own way to cut a lower-case word of printable ASCII before its merges (fixed by its file).
 _ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 _PLAIN = r"[\x21-\x7e]+"
@@ -40,11 +41,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.parts = re.compile(_ASCII_PARTS).findall
         self.plain = re.compile(_PLAIN).fullmatch
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as 32-bit integers."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, model, out, hard = self.known, self.tokenizer.model, [], []
@@ -54,14 +56,14 @@ class WordEncoder:
             if ids is None:
                 if plain:
                     word = word.lower()
-                    ids = known[word] = [t.id for part in self.parts(word) for t in model.tokenize(part)]
+                    ids = known[word] = array("i", [t.id for part in self.parts(word) for t in model.tokenize(part)]).tobytes()
                 else:
                     hard.append(i)
             out.append(ids)
         if hard:
             encoded = self.tokenizer.encode_batch([words[i] for i in hard], add_special_tokens=False)
             for i, e in zip(hard, encoded):
-                out[i] = known["\0" + words[i]] = e.ids
+                out[i] = known["\0" + words[i]] = array("i", e.ids).tobytes()
         return out
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +72,8 @@ class WordEncoder:
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         ids = self.words([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for some in ids for i in some), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         starts = np.cumsum(sizes) - sizes
         n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
