@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attest.llm.decontaminate import HITS_SQL, hits
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
+from attest.llm.quality import quality
 from attest.llm.token_files import read_tokens, with_crc32, write_tokens
 from attest.queries.registry import Query, Tables
 
@@ -48,3 +49,8 @@ def op8_token_files(t: Tables) -> DataFrame:
 @query("op6_mixing")
 def op6_mixing(t: Tables) -> DataFrame:
     return Mix(t.documents).taken().select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(t: Tables) -> DataFrame:
+    return quality(t.documents, t.labels).drop("print")
