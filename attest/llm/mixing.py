@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from attest.session import written
 
 BLOCK_WORDS = 32
-LANE_WORDS = 4_000_000
+LANE_WORDS = 1_000_000
 SLOTS_PER_SHARD = 1024
 ROUNDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,7 +133,9 @@ class Mix:
         """``shard, slot, sid, block, pass``: which block each slot of each output shard takes."""
         low = F.expr("CAST(floor(CAST(first AS DECIMAL(38, 0)) * slots / n) AS BIGINT)")
         high = F.expr("CAST(floor(CAST(first + blocks AS DECIMAL(38, 0)) * slots / n) AS BIGINT)")
+        # A lane is one small row here and some ten thousands of slots below, so its size says nothing of theirs.
         some = self.lanes.withColumns({"low": low, "high": high}).where("high > low")
+        some = some.repartition(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "lane")
         slots = some.select("sid", "n", "slots_before", "all_slots", F.explode(F.expr("sequence(low, high - 1)")).alias("k"))
         slots = slots.withColumns({
             "q": F.col("slots_before") + F.col("k"), "i": F.pmod("k", "n"), "pass": F.expr("k DIV n"),
@@ -145,7 +147,7 @@ class Mix:
                             "sid", "block", "pass")
 
     def slots(self) -> DataFrame:
-        return self.drawn().join(self.blocks(), ["sid", "block"])
+        return self.drawn().hint("merge").join(self.blocks(), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """``key, source, size, source_size, target, taken`` for every row of ``docs``."""
