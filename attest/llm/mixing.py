@@ -159,3 +159,23 @@ class Mix:
         return rows.join(sums, same, "left").select(
             "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as documents: each row of ``docs`` once for each pass that takes some of its words, with those words.
+
+    A text taken whole stays as it is; of others the taken words are joined by one space. The other columns stay.
+    Rows are numbered in a written table, so a row that comes twice in ``docs`` is two documents here too.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    mix = Mix(rows, "__row", text, source, **options)
+    parts = mix.slots().select("sid", "pass", F.explode("pieces").alias("p"))
+    parts = parts.select("sid", F.col("p.lane").alias("lane"), F.col("p.start").alias("start"), "pass", F.struct("p.at", "p.n").alias("span"))
+    spans = parts.groupBy("sid", "lane", "start", "pass").agg(F.array_sort(F.collect_list("span")).alias("__spans"), F.sum("span.n").alias("n"))
+    held = mix.placed.where("size > 0").select("sid", "lane", "start", F.col("key").alias("__row"), "size")
+    taken = spans.join(held, ["sid", "lane", "start"]).select(
+        "__row", F.when(F.col("n") < F.col("size"), F.col("__spans")).alias("__spans"))
+    words = F.expr(f"regexp_extract_all(`{text}`, r'{WORD}', 0)")
+    joined = rows.join(taken, "__row").withColumn("__words", words)
+    some = F.expr("array_join(flatten(transform(__spans, s -> slice(__words, CAST(s.at AS INT) + 1, CAST(s.n AS INT)))), ' ')")
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(some)).select(*docs.columns)

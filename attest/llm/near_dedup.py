@@ -160,19 +160,31 @@ def linked(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS,
                     bucket: int = BUCKET) -> DataFrame:
-    """``key, fp, fingerprint, component_id``, one row for each row of ``docs``.
+    """``key, print, fp, root, fingerprint, component_id``, one row for each row of ``docs``.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest non-null key reachable.
     A null or empty text has fingerprint zero and is linked like any other. A null key takes part in links; its
-    component is null when no key in it is known. Repeated rows give repeated rows; other columns are not read.
+    component is null when no key in it is known. ``root`` names the component by its smallest fingerprint and
+    ``print`` is a hash of the text. Repeated rows give repeated rows; other columns are not read.
     """
-    prints = written(with_fingerprint(docs.select(F.col(key), F.col(text).alias("__text")), "__text").drop("__text"), "prints")
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("print"), F.col(text).alias("__text"))
+    prints = written(with_fingerprint(rows, "__text").drop("__text"), "prints")
     codes = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "codes")
     roots = components(near_links(codes.select("fp"), radius, bucket))
     rooted = codes.join(roots, codes["fp"] == roots["node"], "left")
     rooted = written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    classes = written(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
     return prints.join(classes, "fp").select(
-        key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        key, "print", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates: that with the smallest key (nulls last, then by text hash)."""
+    found = near_duplicates(docs, key, text, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "print")).alias("s"))
+    first = first.select(F.col("s.k").alias("__key"), F.col("s.print").alias("__print"))
+    same = docs[key].eqNullSafe(first["__key"]) & (F.xxhash64(docs[text]) == first["__print"])
+    kept = docs.join(first, same, "left_semi").withColumn("__print", F.xxhash64(text))
+    return kept.dropDuplicates([key, "__print"]).drop("__print")

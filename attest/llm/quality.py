@@ -33,7 +33,7 @@ LEXICON = 5_000
 SURPRISE = 20.0
 UNANNOTATED = 0.1
 #: A document whose votes alone leave it less chance than this is rejected whatever its score.
-SURELY_BAD = 0.01
+SURELY_BAD = 0.02
 #: Share of the bad documents an entry has to stand in, so that the words of one family of copies make none.
 LEAST_SHARE = 0.02
 BITS = 20
@@ -275,3 +275,11 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return scored.join(judged, same).select(
         scored["key"].alias(key), scored["print"], "posterior", "score", ((F.col("score") >= 0.5) & (F.col("posterior") >= SURELY_BAD)).alias("keep")
     )
+
+
+def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject."""
+    found = quality(docs, labels, key, text, **options).where("NOT keep")
+    bad = found.select(F.col(key).alias("__key"), F.col("print").alias("__print")).distinct()
+    same = docs[key].eqNullSafe(bad["__key"]) & (F.xxhash64(docs[text]) == bad["__print"])
+    return docs.join(bad, same, "left_anti")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.decontaminate import HITS_SQL, hits
+from attest.llm.licences import LICENCES_SQL, licences, url_path
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
 from attest.llm.quality import quality
 from attest.llm.token_files import read_tokens, with_crc32, write_tokens
 from attest.queries.registry import Query, Tables
 
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {"pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -26,9 +28,16 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op1_licence_scan", LICENCES_SQL)
+def op1_licence_scan(t: Tables) -> DataFrame:
+    """Pages as files; a folder's licence is stated by its index pages, whose address ends with a slash."""
+    index = F.coalesce(F.col("url").rlike(r"^[a-z]+://[^?#]+/([?#].*)?$"), F.lit(False))
+    return licences(t.pages, url_path(F.col("url")), index, "page_id", "html")
+
+
 @query("op3_near_dedup")
 def op3_near_dedup(t: Tables) -> DataFrame:
-    return near_duplicates(t.documents).drop("fp")
+    return near_duplicates(t.documents).select("doc_id", "fingerprint", "component_id")
 
 
 @query("op4_decontamination", HITS_SQL)
