@@ -27,11 +27,12 @@ ship_with_plans(__name__)
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+PIECE_BYTES = 8_000_000
 #: Encoded words a worker remembers, at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: The tokenizer's own way to cut a lower-case word of printable ASCII before its merges (fixed by its file).
 _ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-_PLAIN = r"[\x21-\x7e]+"
+_PLAIN = rb"[\x21-\x7e]+"
 
 
 class WordEncoder:
@@ -41,45 +42,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.parts = re.compile(_ASCII_PARTS).findall
         self.plain = re.compile(_PLAIN).fullmatch
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as 32-bit integers."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, model, out, hard = self.known, self.tokenizer.model, [], []
-        for i, word in enumerate(words):
-            plain = self.plain(word) is not None and "<|" not in word
-            ids = known.get(word.lower() if plain else "\0" + word)
+        known, tokenize, hard = self.known, self.tokenizer.model.tokenize, []
+        out = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word = words[i]
+            if self.plain(word) is None or b"<|" in word:
+                hard.append(i)
+                continue
+            low = word.lower()
+            ids = known.get(low)
             if ids is None:
-                if plain:
-                    word = word.lower()
-                    ids = known[word] = array("i", [t.id for part in self.parts(word) for t in model.tokenize(part)]).tobytes()
-                else:
-                    hard.append(i)
-            out.append(ids)
+                text = low.decode()
+                parts = [text] if low.isalpha() else self.parts(text)
+                ids = known[low] = array("i", [t.id for part in parts for t in tokenize(part)]).tobytes()
+            out[i] = known[word] = ids
         if hard:
-            encoded = self.tokenizer.encode_batch([words[i] for i in hard], add_special_tokens=False)
-            for i, e in zip(hard, encoded):
-                out[i] = known["\0" + words[i]] = array("i", e.ids).tobytes()
+            texts = [words[i].decode("utf-8", "replace") for i in hard]
+            for i, e in zip(hard, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+                out[i] = known[words[i]] = array("i", e.ids).tobytes()
         return out
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end_id`` after each text, and the number of ids of each text with it."""
         words, first = words_of(*joined(texts))
         coded = words.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self.words([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ids = self.words(coded.dictionary.to_pylist())
+        ids.append(array("i", [end_id]).tobytes())
+        # The end id is one more word after the words of each text.
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(ids) - 1)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        n = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        gathered = flat[np.repeat((starts[codes] if len(codes) else n) - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[first]
-        return np.insert(gathered, bounds[1:], end_id).astype(np.int32), np.diff(bounds) + 1
+        gathered = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        return gathered, np.diff(ends[first + np.arange(len(first))])
 
 
 def word_encoder(spec: str) -> WordEncoder:
@@ -107,7 +111,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = word_encoder(spec), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in pieces(batch, "__text"):
+            for some in pieces(batch, "__text", PIECE_BYTES):
                 ids, sizes = encoder.texts(some.column("__text"), end_id)
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids)

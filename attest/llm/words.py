@@ -7,6 +7,7 @@ import types
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from attest.session import ship_with_plans
 
@@ -45,7 +46,7 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
     """Slices of a batch whose texts have about ``most_bytes`` bytes or are one row."""
-    lengths = np.array([0 if t is None else len(t) for t in batch.column(column).to_pylist()], np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = 0
     while at < len(lengths):
         room = np.cumsum(lengths[at:])
