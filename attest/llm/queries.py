@@ -14,6 +14,7 @@ from attest.llm.licences import LICENCES_SQL, licences, url_path
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
 from attest.llm.quality import quality
+from attest.llm.substrings import remove_repeats
 from attest.llm.token_files import read_tokens, with_crc32, write_tokens
 from attest.queries.registry import Query, Tables
 
@@ -63,3 +64,8 @@ def op6_mixing(t: Tables) -> DataFrame:
 @query("op2_quality_classifier")
 def op2_quality_classifier(t: Tables) -> DataFrame:
     return quality(t.documents, t.labels).drop("print")
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(t: Tables) -> DataFrame:
+    return remove_repeats(t.documents)
