@@ -23,6 +23,8 @@ from attest.session import shared_dir, ship_with_plans, written
 ship_with_plans(__name__)
 
 CHUNK_BYTES = 4_000_000
+#: Stands for a chunk in what a bucket says of itself.
+BUCKET = -1
 MESSAGE = "bucket int, chunk long, payload binary"
 ANSWER = "chunk long, step int, bucket int, payload binary"
 
@@ -54,7 +56,8 @@ class Chunks:
     def ask(self, question: Callable, answer: Callable, step: int, known: DataFrame | None = None) -> DataFrame:
         """Answers ``chunk, step, bucket, payload`` to what ``question`` yields for each chunk, as a written table.
 
-        ``question(rows, answers)`` gives (bucket, payload) pairs, ``answer(payloads)`` a payload for each of a bucket's.
+        ``question(rows, answers)`` gives (bucket, payload) pairs, ``answer(payloads)`` a payload for each of a bucket's
+        and may add one for the bucket itself, which comes as chunk ``BUCKET``.
         """
 
         def send(rows: pa.Table, answers: pa.Table | None) -> pa.Table:
@@ -66,10 +69,12 @@ class Chunks:
 
         def reply(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("chunk")
-            payloads = answer(rows.column("payload").to_pylist())
+            payloads, n = answer(rows.column("payload").to_pylist()), len(rows)
+            chunks, bucket = rows.column("chunk").to_pylist(), rows.column("bucket")[0].as_py()
+            chunks += [BUCKET] * (len(payloads) - n)
             return pa.table([
-                rows.column("chunk"), pa.array(np.full(len(rows), step, np.int32)), rows.column("bucket"),
-                pa.array(payloads, pa.binary())], ["chunk", "step", "bucket", "payload"])
+                pa.array(chunks, pa.int64()), pa.array([step] * len(chunks), pa.int32()),
+                pa.array([bucket] * len(chunks), pa.int32()), pa.array(payloads, pa.binary())], ["chunk", "step", "bucket", "payload"])
 
         sent = self._each(send, MESSAGE, known)
         return written(sent.groupBy("bucket").applyInArrow(reply, ANSWER), "answers")
@@ -147,3 +152,19 @@ def shared_by_chunks(size: int) -> Callable[[list[bytes]], list[bytes]]:
         return split_bits(flags, [len(p) // size for p in payloads])
 
     return answer
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes, those from 255 on once more as 64-bit integers."""
+    large = counts[counts >= 255].astype("<i8")
+    return np.int64(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpack_counts(payload: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The counts packed at a place of a payload, and where they end."""
+    n = int(np.frombuffer(payload, "<i8", 1, at)[0])
+    counts = np.frombuffer(payload, np.uint8, n, at + 8).astype(np.int64)
+    large = counts == 255
+    many = int(large.sum())
+    counts[large] = np.frombuffer(payload[at + 8 + n : at + 8 + n + 8 * many], "<i8")
+    return counts, at + 8 + n + 8 * many

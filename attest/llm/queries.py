@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.decontaminate import HITS_SQL, hits
+from attest.llm.language_model import score_texts
 from attest.llm.licences import LICENCES_SQL, licences, url_path
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
@@ -69,3 +70,8 @@ def op2_quality_classifier(t: Tables) -> DataFrame:
 @query("op7_substring_dedup")
 def op7_substring_dedup(t: Tables) -> DataFrame:
     return remove_repeats(t.documents)
+
+
+@query("op5_language_model")
+def op5_language_model(t: Tables) -> DataFrame:
+    return score_texts(t.documents)
