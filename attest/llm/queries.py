@@ -15,6 +15,7 @@ from attest.llm.licences import LICENCES_SQL, licences, url_path
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
 from attest.llm.quality import quality
+from attest.llm.run_index import remove_shared
 from attest.llm.substrings import remove_repeats
 from attest.llm.token_files import read_tokens, with_crc32, write_tokens
 from attest.queries.registry import Query, Tables
@@ -75,3 +76,8 @@ def op7_substring_dedup(t: Tables) -> DataFrame:
 @query("op5_language_model")
 def op5_language_model(t: Tables) -> DataFrame:
     return score_texts(t.documents)
+
+
+@query("op9_run_index")
+def op9_run_index(t: Tables) -> DataFrame:
+    return remove_shared(t.documents)
