@@ -14,6 +14,7 @@ from attest.llm.language_model import score_texts
 from attest.llm.licences import LICENCES_SQL, licences, url_path
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
+from attest.llm.neighbours import neighbours
 from attest.llm.quality import quality
 from attest.llm.run_index import remove_shared
 from attest.llm.substrings import remove_repeats
@@ -81,3 +82,8 @@ def op5_language_model(t: Tables) -> DataFrame:
 @query("op9_run_index")
 def op9_run_index(t: Tables) -> DataFrame:
     return remove_shared(t.documents)
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(t: Tables) -> DataFrame:
+    return neighbours(t.embeddings, F.col("vec_id") % 20 == 0)
