@@ -10,6 +10,7 @@ samples are ``labelled`` and ``trained`` documents, picked by hash.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.words import joined, pieces, words_of
+from attest.llm.words import joined, pieces, process_cache, words_of
 from attest.session import ship_with_plans, written
 
 ship_with_plans(__name__)
@@ -37,6 +38,8 @@ SURELY_BAD = 0.02
 #: Share of the bad documents an entry has to stand in, so that the words of one family of copies make none.
 LEAST_SHARE = 0.02
 BITS = 20
+#: Words a worker remembers, at most.
+CACHE_WORDS = 300_000
 BEGINNINGS = (4, 5, 6)
 LABELLERS = ("capitals", "symbols", "repeats", "bars", "lexicon", "annotation")
 GOOD, BAD, NONE = 1, 0, 2
@@ -44,16 +47,51 @@ _SYMBOLS = np.frombuffer(b"%#$&*^~<>{}[]=+\\@!", np.uint8)
 _STYLE = len(LABELLERS) - 1
 
 
-def _hashed(word: bytes) -> list[int]:
+_LOW = (1 << BITS) - 1
+
+
+def _hashed(word: bytes) -> bytes:
     plain = word.decode("utf-8", "replace").lower().strip(".,;:!?%#$&*|()\"'")
     names = [plain, *[f"{plain[:k]}\0" for k in BEGINNINGS if len(plain) >= k]]
-    return [xxhash.xxh64_intdigest(n) & ((1 << BITS) - 1) for n in names]
+    return array("i", [xxhash.xxh64_intdigest(n) & _LOW for n in names]).tobytes()
+
+
+def _hashes(words: list[bytes]) -> list[bytes]:
+    """The hashed features of words, as 32-bit integers; a worker remembers some words."""
+    known = process_cache("hashed_words")
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    out = list(map(known.get, words))
+    for i in [i for i, h in enumerate(out) if h is None]:
+        out[i] = known[words[i]] = _hashed(words[i])
+    return out
+
+
+def _twice(features: np.ndarray) -> np.ndarray:
+    """The feature "two or more different words of the text have this"."""
+    return features & ~_LOW | (features * 0x9E3779B1 + 0x85EBCA6B) & _LOW
+
+
+def relevant(features: np.ndarray) -> np.ndarray:
+    """Which features have to be looked at to find the given ones."""
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[features] = True
+    return wanted | wanted[_twice(np.arange(1 << BITS))]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return x[new], np.diff(np.append(new, len(x)))
 
 
 class Features:
-    """Style votes of some texts and their hashed features, ``doc << BITS | feature``, sorted and distinct."""
+    """Style votes of some texts and their hashed features, ``doc << BITS | feature``, sorted and distinct.
+
+    With ``only``, just the features that it marks are looked at.
+    """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, only: np.ndarray | None = None):
         data, starts = joined(texts)
         words, first = words_of(data, starts)
         self.n = len(texts)
@@ -62,20 +100,23 @@ class Features:
         known = coded.dictionary.to_pylist()
         doc = np.repeat(np.arange(self.n), np.diff(first))
         n_words = np.diff(first)
-        pairs = np.unique(doc * max(len(known), 1) + codes)
-        hashes = [_hashed(w) for w in known]
-        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-        flat = np.fromiter((h for some in hashes for h in some), np.int64, int(sizes.sum()))
+        hashes = _hashes(known)
+        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 4
+        flat = np.frombuffer(b"".join(hashes), np.int32).astype(np.int64)
+        some = np.ones(len(codes), bool)
+        if only is not None:
+            owner = np.repeat(np.arange(len(sizes)), sizes)[only[flat]]
+            flat = flat[only[flat]]
+            sizes = np.bincount(owner, minlength=len(sizes))
+            some = (sizes > 0)[codes] if len(codes) else some
+        pairs, _ = _distinct(doc[some] * max(len(known), 1) + codes[some])
         at, code = pairs // max(len(known), 1), pairs % max(len(known), 1)
         n = sizes[code] if len(code) else np.zeros(0, np.int64)
         ends = np.cumsum(n)
         index = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(n.sum()) if len(code) else n
-        pairs, seen = np.unique(np.repeat(at, n) << BITS | flat[index], return_counts=True)
+        pairs, seen = _distinct(np.repeat(at, n) << BITS | flat[index])
         # A beginning of two or more different words of a text is one more feature.
-        low = (1 << BITS) - 1
-        twice = pairs[seen > 1]
-        twice = twice & ~low | (twice * 0x9E3779B1 + 0x85EBCA6B) & low
-        self.pairs = np.unique(np.concatenate([pairs, twice]))
+        self.pairs, _ = _distinct(np.concatenate([pairs, _twice(pairs[seen > 1])]))
         self.votes = np.full((self.n, _STYLE), NONE, np.int64)
         capital = (data >= 65) & (data <= 90)
         letter = capital | ((data >= 97) & (data <= 122)) | (data >= 0xC0)
@@ -100,13 +141,13 @@ class Features:
         return total[starts[1:]] - total[starts[:-1]]
 
     def look_up(self, lexicon: np.ndarray) -> None:
-        hits = np.bincount(self.pairs[np.isin(self.pairs & ((1 << BITS) - 1), lexicon)] >> BITS, minlength=self.n)
+        hits = np.bincount(self.pairs[np.isin(self.pairs & _LOW, lexicon)] >> BITS, minlength=self.n)
         self.votes[:, 4] = np.where(hits >= 2, BAD, np.where(hits == 0, GOOD, NONE)) if len(lexicon) else NONE
 
     def all(self) -> np.ndarray:
         """The hashed features with one for each labeller's bad vote, above the hashed ones."""
         at, labeller = np.nonzero(self.votes == BAD)
-        return np.unique(np.concatenate([self.pairs, at << BITS | labeller]))
+        return _distinct(np.concatenate([self.pairs, at << BITS | labeller]))[0]
 
 
 def _lexicon(docs: DataFrame, labels: DataFrame, labelled: int) -> np.ndarray:
@@ -119,7 +160,7 @@ def _lexicon(docs: DataFrame, labels: DataFrame, labelled: int) -> np.ndarray:
             for part in pieces(batch, "text"):
                 pairs = Features(part.column("text")).pairs
                 good = part.column("good").to_numpy(zero_copy_only=False).astype(bool)[pairs >> BITS]
-                both = (pairs & ((1 << BITS) - 1)) * 2 + good
+                both = (pairs & _LOW) * 2 + good
                 ids, n = np.unique(both, return_counts=True)
                 columns = [ids // 2, np.where(ids % 2 == 0, n, 0), np.where(ids % 2 == 1, n, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["f", "bad", "good"])
@@ -162,7 +203,7 @@ def train(rows: np.ndarray, n: int, good: np.ndarray, rounds: int = 150) -> tupl
 
     Both classes weigh the same while the weights are found, the bias then gets their true shares; a feature has to stand in about four documents of the rarer class to count.
     """
-    doc, feature = rows >> BITS, rows & ((1 << BITS) - 1)
+    doc, feature = rows >> BITS, rows & _LOW
     ids, feature, seen = np.unique(feature, return_inverse=True, return_counts=True)
     often = seen >= 2
     keep = often[feature]
@@ -205,10 +246,12 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     marked = written(marked, "marked")
     lexicon = _lexicon(rows, marked, labelled)
 
+    in_lexicon = relevant(lexicon)
+
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                found = Features(part.column("text"))
+                found = Features(part.column("text"), in_lexicon)
                 found.look_up(lexicon)
                 code = found.votes @ 3 ** np.arange(_STYLE)
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("print"), pa.array(code)], ["key", "print", "votes"])
@@ -235,7 +278,7 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                 found.look_up(lexicon)
                 pairs = found.all()
                 ends = np.searchsorted(pairs, np.arange(found.n + 1) << BITS)
-                lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array((pairs & _LOW).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("print"), part.column("posterior"), lists], ["print", "posterior", "f"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +300,16 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     for r in model:
         if r["f"] >= 0:
             dense[r["f"]] = r["w"]
+    weighted = in_lexicon | relevant(np.flatnonzero(dense))
     bias = next((r["w"] for r in model if r["f"] < 0), 0.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                found = Features(part.column("text"))
+                found = Features(part.column("text"), weighted)
                 found.look_up(lexicon)
                 pairs = found.all()
-                sums = np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], found.n) + bias
+                sums = np.bincount(pairs >> BITS, dense[pairs & _LOW], found.n) + bias
                 chance = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("print"), pa.array(chance)], ["key", "print", "score"])
 
