@@ -6,15 +6,11 @@ import ipaddress
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column
-from attest.functions.predicates import FIELD_SHAPES, UNIVERSAL_RANGES
-from attest.session import ship_with_plans
-
-ship_with_plans(__name__)
+from attest.functions.predicates import FIELD_SHAPES
 
 DOTTED_QUAD = r"(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IPV4 = rf"{DOTTED_QUAD}(?:\.{DOTTED_QUAD}){{3}}"
@@ -34,7 +30,7 @@ def _networks(cidrs: Sequence[str]):
     if not cidrs:
         raise ValueError("no ranges given")
     for text in cidrs:
-        if text in UNIVERSAL_RANGES or not re.fullmatch(shape, text):
+        if not re.fullmatch(shape, text) or ipaddress.ip_network(text, strict=False).prefixlen == 0:
             raise ValueError(f"range not accepted: {text}")
     return [ipaddress.ip_network(c, strict=False) for c in cidrs]
 
@@ -43,8 +39,8 @@ def in_cidr(address: ColumnLike, cidrs: Sequence[str]) -> Column:
     """Whether an address lies in one of the configured ranges.
 
     IPv4 is a hash lookup per prefix length in use (at most 32), so no range join is planned however
-    long the list is. IPv6 has no built-in parser and goes through one vectorised function, only
-    planned when the list holds an IPv6 range.
+    long the list is. An IPv6 address is spelled out in full and compared as text with the bounds of each range.
+    A range of every address is refused however it is written.
     """
     networks = _networks(cidrs)
     a = as_column(address)
@@ -61,25 +57,24 @@ def in_cidr(address: ColumnLike, cidrs: Sequence[str]) -> Column:
         mask = (0xFFFFFFFF << (32 - length)) & 0xFFFFFFFF
         inside = inside | number.bitwiseAND(F.lit(mask)).isin(*values)
     inside = F.coalesce(inside, F.lit(False))
-    if wide:
-        inside = inside | _in_ipv6(wide)(a)
+    spelled = ipv6_hex(a)
+    for network in wide:
+        low, high = (f"{int(x):032x}" for x in (network.network_address, network.broadcast_address))
+        inside = inside | F.coalesce(spelled.between(low, high), F.lit(False))
     return inside
 
 
-def _in_ipv6(networks):
-    bounds = [(int(n.network_address), int(n.broadcast_address)) for n in networks]
-
-    @F.pandas_udf("boolean")
-    def contained(addresses: pd.Series) -> pd.Series:
-        def test(text) -> bool:
-            if text is None or ":" not in text:
-                return False
-            try:
-                value = int(ipaddress.IPv6Address(text))
-            except ValueError:
-                return False
-            return any(low <= value <= high for low, high in bounds)
-
-        return addresses.map(test).astype("bool")
-
-    return contained
+def ipv6_hex(address: ColumnLike) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, null for anything else."""
+    a = F.lower(as_column(address))
+    quad = F.regexp_extract(a, rf":({IPV4})\z", 1)
+    digits = F.lpad(F.lower(F.hex(ipv4_number(quad))), 8, "0")
+    tail = F.concat(F.left(digits, F.lit(4)), F.lit(":"), F.right(digits, F.lit(4)))
+    text = F.when(quad == "", a).otherwise(F.concat(F.left(a, F.char_length(a) - F.char_length(quad)), tail))
+    halves = F.split(text, "::")
+    first, second = (F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda g: g != "") for i in (0, 1))
+    missing = 8 - F.size(first) - F.size(second)
+    groups = F.when(F.size(halves) == 1, F.split(text, ":")).when(
+        (F.size(halves) == 2) & (missing >= 1), F.concat(first, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), second))
+    right = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")) & ~text.rlike(r":::|\A:[^:]|[^:]:\z|\A:\z")
+    return F.when(right, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))

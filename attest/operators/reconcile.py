@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column, first_of
+from attest.functions.predicates import is_version
 from attest.operators.skew import SLICE_ROWS, OrderedScan, lookup_join
 
 
@@ -84,9 +85,10 @@ def verify_targets(
 
 
 def extends_version(version: ColumnLike, base: ColumnLike) -> Column:
-    """The same version, or the base with a ``-suffix``."""
+    """The same version, or the base with a ``-suffix``, in the grammar of build versions."""
     v, b = as_column(version), as_column(base)
-    return F.coalesce((v == b) | v.startswith(F.concat(b, F.lit("-"))), F.lit(False))
+    extends = F.coalesce((v == b) | v.startswith(F.concat(b, F.lit("-"))), F.lit(False))
+    return extends & is_version(v, "build")
 
 
 def match_pins(

@@ -22,7 +22,7 @@ def group_rules(
     expected_kinds: Sequence[str],
     max_size: int = MAX_FILE_BYTES,
 ) -> DataFrame:
-    """Verdict per group: exactly one row of each expected kind, sizes in (0, ``max_size``].
+    """Verdict per group: exactly one row of each expected kind, whole sizes in (0, ``max_size``].
 
     The expected kinds are a short declared list, so they are counted as flags in the one aggregate.
     """
@@ -32,7 +32,7 @@ def group_rules(
         reduce(lambda a, b: a + b, [F.max(F.when(k == x, 1).otherwise(0)) for x in expected_kinds])
         .cast("bigint").alias("n_kinds"),
         F.bool_and(F.coalesce(k.isin(*expected_kinds), F.lit(False))).alias("kinds_known"),
-        F.bool_and(F.coalesce((s > 0) & (s <= max_size), F.lit(False))).alias("sizes_ok"),
+        F.bool_and(F.coalesce((s > 0) & (s <= max_size) & (s == F.floor(s)), F.lit(False))).alias("sizes_ok"),
     )
     wanted = len(expected_kinds)
     return facts.withColumns({

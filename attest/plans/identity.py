@@ -14,6 +14,11 @@ from attest.operators.rules import Rule, check
 # Fixed value: the longest accepted address.
 MAX_EMAIL = 254
 
+TYPES = {
+    "string": r"\ASTRING\z", "number": r"\A(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z", "boolean": r"\ABOOLEAN\z",
+    "object": r"\AOBJECT<", "array": r"\AARRAY<",
+}
+
 
 def conform_rules(
     json: ColumnLike,
@@ -21,10 +26,12 @@ def conform_rules(
     allowed: Sequence[str],
     max_length: Mapping[str, int] | None = None,
     formats: Mapping[str, str] | None = None,
+    types: Mapping[str, str] | None = None,
 ) -> list[Rule]:
-    """Rules of one JSON object: parseable, required keys, no other keys, lengths, formats.
+    """Rules of one JSON object: parseable, required keys, no other keys, types, lengths, formats.
 
-    Length and format judge a value only where it is present.
+    ``types`` names string, number, boolean, object or array; a JSON null is present and of none of them. Length and
+    format judge a value only where it is present.
     """
     column = as_column(json)
     keys = F.json_object_keys(column)
@@ -36,6 +43,11 @@ def conform_rules(
     rules += [Rule(f"required:{k}", keys.isNull() | F.array_contains(keys, k)) for k in required]
     extra = F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))
     rules.append(Rule("additional", keys.isNull() | (F.size(extra) == 0), F.array_join(F.array_sort(extra), ",")))
+    parsed = F.try_parse_json(column)
+    for k, kind in (types or {}).items():
+        found = F.schema_of_variant(F.try_variant_get(parsed, f'$["{k}"]', "variant"))
+        right = F.coalesce(found.rlike(TYPES[kind]), F.lit(False))
+        rules.append(Rule(f"type:{k}", keys.isNull() | ~F.array_contains(keys, k) | right, found))
     rules += [
         Rule(f"length:{k}", value(k).isNull() | (F.char_length(value(k)) <= n), F.char_length(value(k)))
         for k, n in (max_length or {}).items()
@@ -55,4 +67,4 @@ def conform(df: DataFrame, json: ColumnLike, key: Sequence[str], **shape) -> Dat
 def identity_violations(df: DataFrame, traits: ColumnLike, key: Sequence[str]) -> DataFrame:
     """An identity has exactly an e-mail address of at most ``MAX_EMAIL`` characters."""
     return conform(df, traits, key, required=["email"], allowed=["email"],
-                   max_length={"email": MAX_EMAIL}, formats={"email": "email"})
+                   max_length={"email": MAX_EMAIL}, formats={"email": "email"}, types={"email": "string"})

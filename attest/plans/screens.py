@@ -11,8 +11,7 @@ from attest.functions.columns import ColumnLike, as_column
 from attest.operators.graph import dangling_edges, first_membership, uncovered
 from attest.operators.rules import Rule, check
 
-# How a screen is named and how much it must be described.
-ID_PREFIX = "GB-"
+# How many digits a screen's name has and how much it must be described.
 ID_DIGITS = 3
 MIN_DESCRIPTION = 200
 
@@ -23,7 +22,7 @@ def padded(index: ColumnLike, digits: int) -> Column:
     return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0"))
 
 
-def screen_rules(expected: int | Column, prefix: str = ID_PREFIX, digits: int = ID_DIGITS,
+def screen_rules(expected: int | Column, prefix: str = "", digits: int = ID_DIGITS,
                  with_edges: bool = True) -> list[Rule]:
     limit = F.lit(expected) if isinstance(expected, int) else expected
     rules = [

@@ -46,26 +46,47 @@ def indexed_pages(t: Tables) -> DataFrame:
     return search_index(build_index(t.documents, "doc_id", "text"), "doc_id", QUERY_TEXT)
 
 
-@query("extract_assets", r"""
-WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS asset,
-                  regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages)
-SELECT page_id, asset, CASE WHEN regexp_matches(asset, '^[a-z]+://') THEN asset WHEN starts_with(asset, '//') THEN concat(split_part(origin, '/', 1), asset)
-         WHEN starts_with(asset, '/') THEN concat(origin, asset) ELSE concat(origin, '/', asset) END AS resolved,
-  CASE WHEN regexp_matches(asset, '^[a-z]+://') THEN regexp_extract(asset, '^([a-z]+://[^/?#]+)', 1) = origin ELSE NOT starts_with(asset, '//') END AS same_origin,
-  count(*) AS n_rows FROM a GROUP BY ALL
-""")
+# Addresses of every kind: the pages' rooted ones, and by page relative, climbing, query and fragment ones and full ones with a port.
+ASSETS_SQL = r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[^#]*') AS document,
+                  regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
+                  CASE page_id % 6 WHEN 1 THEN replace(html, 'href="/', 'href="') WHEN 2 THEN replace(html, 'href="/', 'href="../')
+         WHEN 3 THEN replace(html, 'href="/', 'href="?') WHEN 4 THEN replace(html, 'href="/', 'href="#')
+         WHEN 5 THEN replace(html, 'href="/', concat('href="', regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), CASE WHEN starts_with(url, 'https:') THEN ':443/' ELSE ':80/' END))
+         ELSE html END AS html FROM pages),
+f AS (SELECT *, regexp_extract(path, '^(.*/)[^/]*$', 1) AS folder FROM p),
+a AS (SELECT *, unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS asset FROM f),
+r AS (SELECT page_id, asset, origin, CASE
+    WHEN regexp_matches(asset, '^[a-z]+:') THEN asset
+    WHEN starts_with(asset, '//') THEN concat(split_part(origin, '/', 1), asset)
+    WHEN starts_with(asset, '/') THEN concat(origin, asset)
+    WHEN starts_with(asset, '?') THEN concat(origin, path, asset)
+    WHEN starts_with(asset, '#') THEN concat(document, asset)
+    WHEN starts_with(asset, '../') THEN concat(origin, regexp_extract(folder, '^(.*/)[^/]+/$|^/$', 1), CASE WHEN folder = '/' THEN '/' ELSE '' END, substr(asset, 4))
+    ELSE concat(origin, folder, asset) END AS resolved FROM a),
+s AS (SELECT *, regexp_replace(regexp_extract(resolved, '^([a-z]+://[^/?#]+)', 1), '^(https://.*):443$|^(http://.*):80$', '\1\2') = origin AS same_origin FROM r)
+"""
+
+
+def linked_pages(t: Tables) -> DataFrame:
+    origin = F.regexp_extract("url", r"\A([a-z]+://[^/?#]+)", 1)
+    full = F.concat(F.lit('href="'), origin, F.when(F.col("url").startswith("https:"), ":443/").otherwise(":80/"))
+    forms = [F.lit('href="'), F.lit('href="../'), F.lit('href="?'), F.lit('href="#'), full]
+    html = F.col("html")
+    for i, form in enumerate(forms, 1):
+        html = F.when(F.col("page_id") % 6 == i, F.replace("html", F.lit('href="/'), form)).otherwise(html)
+    rows = t.pages.select("page_id", "url", html.alias("html"))
+    return extract_assets(rows, "html", "url", r"[^\"]+")
+
+
+@query("extract_assets", ASSETS_SQL + "SELECT page_id, asset, resolved, same_origin, count(*) AS n_rows FROM s GROUP BY ALL")
 def page_assets(t: Tables) -> DataFrame:
-    rows = extract_assets(t.pages.select("page_id", "url", "html"), "html", "url", r"[^\"]+")
+    rows = linked_pages(t)
     return rows.groupBy("page_id", "asset", "resolved", "same_origin").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("asset_gate", r"""
-WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS asset,
-                  regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
-s AS (SELECT page_id, CASE WHEN regexp_matches(asset, '^[a-z]+://') THEN regexp_extract(asset, '^([a-z]+://[^/?#]+)', 1) = origin
-              ELSE NOT starts_with(asset, '//') END AS own FROM a)
-SELECT page_id, count(*) AS n_assets, bool_and(own) AS all_own, count(*) >= 6 AND bool_and(own) AS ok FROM s GROUP BY page_id
+@query("asset_gate", ASSETS_SQL + """
+SELECT page_id, count(*) AS n_assets, bool_and(same_origin) AS all_own, count(*) >= 6 AND bool_and(same_origin) AS ok FROM s GROUP BY page_id
 """)
 def gated_pages(t: Tables) -> DataFrame:
-    rows = extract_assets(t.pages.select("page_id", "url", "html"), "html", "url", r"[^\"]+")
-    return asset_gate(rows, "page_id", least=6)
+    return asset_gate(linked_pages(t), "page_id", least=6)

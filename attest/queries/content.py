@@ -18,7 +18,7 @@ from attest.operators.reconcile import (
 from attest.operators.sets import outcome_summary
 from attest.plans.release import publication_plan
 from attest.queries.registry import Tables, query
-from attest.sources.records import read_content
+from attest.sources.records import content_table
 
 
 def stored_documents(t: Tables) -> DataFrame:
@@ -265,6 +265,8 @@ def publication(t: Tables) -> DataFrame:
     return plan["links"].select("release", "name", action.alias("action"))
 
 
-@query("read_content")
-def content_files(t: Tables) -> DataFrame:
-    return read_content(t.spark, t.folder)
+@query("content_table", """
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, CASE WHEN octet_length(encode(text)) <= 4000 THEN sha256(text) END AS sha256 FROM documents
+""")
+def contents(t: Tables) -> DataFrame:
+    return content_table(t.documents.select("doc_id", "text"), "text", max_bytes=4000)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.columns import WORD_END, WORD_START
 from attest.functions.content import byte_length, digest
-from attest.functions.predicates import check_origin, classify_path, field_rule, is_hex, is_safe_name, is_version
+from attest.functions.predicates import PathPolicy, check_origin, classify_path, field_rule, is_hex, is_safe_name, is_version
 from attest.functions.state import map_run_state
 from attest.functions.text import (
     Secret,
@@ -218,9 +218,10 @@ WITH p AS (
   FROM events
 ), n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM p)
 SELECT id, path, CASE
-  WHEN path IN ('CONTEXT.md', 'KEY_LINKS.md') THEN 'exact'
-  WHEN starts_with(path, 'private/') OR starts_with(path, 'research/') OR starts_with(path, 'ops/local/') THEN 'prefix'
-  WHEN regexp_matches(path, '\A(?:docs/)?content/docs/0[1-7]-.*\.mdx\z') THEN 'path_pattern'
+  WHEN path IN ('app/7.keys', 'web/.env.example') THEN 'exact'
+  WHEN starts_with(path, 'private/') OR starts_with(path, 'drafts/') THEN 'prefix'
+  WHEN regexp_matches(path, '\Adocs/content/docs/0[1-7]-.*\.mdx\z') THEN 'path_pattern'
+  WHEN regexp_matches(name, '\A3.*[.]txt\z') THEN 'name_pattern'
   WHEN contains(name, '.private.') THEN 'private_marker'
   WHEN name = '.env' OR (starts_with(name, '.env.') AND NOT ends_with(name, '.example')) THEN 'environment'
   WHEN regexp_matches(name, '\.(?:key|pem|tfstate)(?:\.|\z)') THEN 'key_or_state'
@@ -249,7 +250,11 @@ def paths(t: Tables) -> DataFrame:
         F.col("page_id").alias("id"), F.regexp_extract("url", r"\A[a-z]+://[^/]+/([^?#]*)", 1).alias("path")
     )
     rows = from_pages.unionByName(t.events.select(F.col("event_id").alias("id"), built.alias("path")))
-    return rows.withColumn("rule", classify_path("path"))
+    policy = PathPolicy(
+        exact=("app/7.keys", "web/.env.example"), prefixes=("private/", "drafts/"),
+        path_patterns=(r"\Adocs/content/docs/0[1-7]-.*\.mdx\z",), name_patterns=(r"\A3.*[.]txt\z",),
+    )
+    return rows.withColumn("rule", classify_path("path", policy))
 
 
 TITLE_SQL = r"""

@@ -47,16 +47,24 @@ def classified(t: Tables) -> DataFrame:
 
 
 @query("status_reports", RUNS + """,
-k AS (SELECT *, max(id) OVER (PARTITION BY event_type, user_id) AS newest FROM c WHERE problem IS NULL AND reason IS NULL AND event_type <> 'error')
-SELECT id, left(sha256(CAST(user_id AS VARCHAR)), 40) AS head_sha, concat('checks/', event_type) AS context,
-  CASE WHEN value < 10 THEN 'pending' WHEN value < 30 THEN 'success' ELSE 'failed' END AS state,
-  concat('https://ci.example.com/team/app/runs/', id) AS target_url,
-  concat('Checks [', event_type, ']: ', CASE WHEN value < 10 THEN 'queued' WHEN value < 30 THEN 'completed (success)' ELSE 'completed (failure)' END) AS description
-FROM k WHERE id = newest
+k AS (SELECT *, max(id) OVER (PARTITION BY event_type, user_id, other_event, CASE WHEN value > 45 THEN 'main' WHEN value < 40 THEN 'release' END) AS newest FROM c),
+p AS (SELECT *, coalesce(problem, CASE WHEN event_type = 'error' THEN 'unknown_name' WHEN user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) THEN 'missing_commit' END) AS refused
+      FROM k WHERE reason IS NULL)
+SELECT id, left(sha256(CAST(user_id AS VARCHAR)), CASE WHEN user_id = 7 THEN 39 ELSE 40 END) AS head_sha,
+  CASE WHEN refused IS NULL THEN concat('checks/', event_type) END AS context,
+  CASE WHEN refused IS NULL THEN CASE WHEN value < 10 THEN 'pending' WHEN value < 30 THEN 'success' ELSE 'failed' END END AS state,
+  concat('https://ci.example.com/team/app/runs/', CASE WHEN value >= 10 AND value < 11 THEN 'x' ELSE CAST(id AS VARCHAR) END) AS target_url,
+  CASE WHEN refused IS NULL THEN concat('Checks [', event_type, ']: ', CASE WHEN value < 10 THEN 'queued' WHEN value < 30 THEN 'completed (success)' ELSE 'completed (failure)' END) END AS description,
+  refused AS problem
+FROM p WHERE refused IS NOT NULL OR id = newest
 """)
 def reports(t: Tables) -> DataFrame:
     contexts = {kind: f"checks/{kind}" for kind in ("view", "click", "signup", "purchase")}
-    return status_reports(workflow_runs(t), REPOSITORY, contexts, RUN_URL, "Checks")
+    key = F.col("c_custkey")
+    # Of every tenth customer the commit is not there.
+    commit = F.when(key % 10 != 3, F.left(digest(key.cast("string")), F.lit(40)))
+    commits = t.customer.select(commit.alias("id"))
+    return status_reports(workflow_runs(t), REPOSITORY, contexts, RUN_URL, "Checks", commits=commits)
 
 
 @query("mark_superseded", """

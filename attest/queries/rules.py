@@ -139,11 +139,11 @@ def release_violations(t: Tables) -> DataFrame:
 
 SCREEN_SQL = r"""
 WITH s AS (
-  SELECT doc_id AS index, concat('GB-', CASE WHEN lang = 'es' THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INT), '0') END) AS id,
+  SELECT doc_id AS index, concat('S-', CASE WHEN lang = 'es' THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INT), '0') END) AS id,
     text, lang, source, n_chars, regexp_extract(text, '\A(.*?)(?:\r?\n|\z)', 1) AS title FROM documents
 ), n AS (SELECT count(*) AS n FROM documents)
 SELECT id, 'index' AS rule, CAST(1 AS BIGINT) AS ordinal, CAST(index AS VARCHAR) AS value FROM s, n WHERE NOT index < n.n
-UNION ALL SELECT id, 'id', 2, id FROM s WHERE id <> concat('GB-', lpad(CAST(index AS VARCHAR), CAST(greatest(3, length(CAST(index AS VARCHAR))) AS INT), '0'))
+UNION ALL SELECT id, 'id', 2, id FROM s WHERE id <> concat('S-', lpad(CAST(index AS VARCHAR), CAST(greatest(3, length(CAST(index AS VARCHAR))) AS INT), '0'))
 UNION ALL SELECT id, 'description', 3, CAST(length(text) AS VARCHAR) FROM s WHERE length(text) < 200
 UNION ALL SELECT id, 'title', 4, title FROM s WHERE title = ''
 UNION ALL SELECT id, 'controls', 7, NULL FROM s WHERE n_chars < 150
@@ -164,7 +164,7 @@ def screen_violations(t: Tables) -> DataFrame:
     )
     screens = docs.select(
         F.col("doc_id").alias("index"),
-        F.concat(F.lit("GB-"), number).alias("id"),
+        F.concat(F.lit("S-"), number).alias("id"),
         F.col("text").alias("description"),
         first_line("text").alias("title"),
         F.col("source").alias("summary"),
@@ -172,7 +172,7 @@ def screen_violations(t: Tables) -> DataFrame:
         F.when(F.col("n_chars") >= 150, F.array("source")).alias("controls"),
         F.array(step).alias("transitions"),
     )
-    return screen_check(screens, total.scalar())
+    return screen_check(screens, total.scalar(), prefix="S-")
 
 
 JOB_SQL = """
@@ -224,13 +224,15 @@ def turn_order(t: Tables) -> DataFrame:
 
 @query("conform", """
 WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN left(props, length(props) - 1)
-      WHEN 'click' THEN replace(props, '}', ', "x": 1}') WHEN 'view' THEN replace(props, '"k"', '"j"') ELSE props END AS body, event_type,
+      WHEN 'click' THEN replace(props, '}', ', "x": 1}') WHEN 'view' THEN replace(props, '"k"', '"j"')
+      WHEN 'signup' THEN regexp_replace(props, '([0-9]+)', '"\\1"') ELSE props END AS body, event_type,
       regexp_extract(props, '[0-9]+') AS k FROM events)
 SELECT event_id, 'object' AS rule, CAST(1 AS BIGINT) AS ordinal, body AS value FROM e WHERE event_type = 'error'
 UNION ALL SELECT event_id, 'required:k', 2, NULL FROM e WHERE event_type = 'view'
 UNION ALL SELECT event_id, 'additional', 3, CASE event_type WHEN 'click' THEN 'x' ELSE 'j' END FROM e WHERE event_type IN ('click', 'view')
-UNION ALL SELECT event_id, 'length:k', 4, '2' FROM e WHERE event_type NOT IN ('error', 'view') AND length(k) > 1
-UNION ALL SELECT event_id, 'format:k', 5, k FROM e WHERE event_type NOT IN ('error', 'view') AND k = '0'
+UNION ALL SELECT event_id, 'type:k', 4, 'STRING' FROM e WHERE event_type = 'signup'
+UNION ALL SELECT event_id, 'length:k', 5, '2' FROM e WHERE event_type NOT IN ('error', 'view') AND length(k) > 1
+UNION ALL SELECT event_id, 'format:k', 6, k FROM e WHERE event_type NOT IN ('error', 'view') AND k = '0'
 """)
 def shape_violations(t: Tables) -> DataFrame:
     kind, props = F.col("event_type"), F.col("props")
@@ -238,10 +240,12 @@ def shape_violations(t: Tables) -> DataFrame:
         F.when(kind == "error", F.left(props, F.length(props) - 1))
         .when(kind == "click", F.replace(props, F.lit("}"), F.lit(', "x": 1}')))
         .when(kind == "view", F.replace(props, F.lit('"k"'), F.lit('"j"')))
+        .when(kind == "signup", F.regexp_replace(props, "([0-9]+)", '"$1"'))
         .otherwise(props)
     )
     rows = t.events.select("event_id", body.alias("body"))
-    return conform(rows, "body", ["event_id"], required=["k"], allowed=["k"], max_length={"k": 1}, formats={"k": "port"})
+    return conform(rows, "body", ["event_id"], required=["k"], allowed=["k"], max_length={"k": 1}, formats={"k": "port"},
+                   types={"k": "number"})
 
 
 @query("deploy_check", """

@@ -22,15 +22,25 @@ def parse_records(
 ) -> tuple[DataFrame, DataFrame]:
     """Records of JSON documents, one object or a batch array each, and the documents refused.
 
-    Refused documents carry ``problem``: ``too_large`` or ``bad_json``; their content is never parsed
-    into records. Fields are those of ``schema``, never inferred.
+    Refused documents carry ``problem``: ``too_large`` or ``bad_json`` (also a blank or null one); their content is
+    never parsed into records. Fields are those of ``schema``, never inferred.
     """
     body = as_column(text)
+    # JSON's own white space.
+    trimmed = F.btrim(body, F.lit(" \t\n\r"))
     corrupt = "__corrupt"
     record = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
-    as_batch = F.when(F.ltrim(body).startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    items = F.from_json(as_batch, T.ArrayType(T.StringType()))
+    # The parser stops after the first value. Wrapped as a field, what follows must start with a brace or a further
+    # field; wrapped as an item, with a bracket or a further item: a document that passes both is one value.
+    field = F.from_json(
+        F.concat(F.lit('{"r":'), trimmed, F.lit("}")),
+        T.StructType([T.StructField("r", T.StringType()), T.StructField(corrupt, T.StringType())]), options)
+    strings = T.ArrayType(T.StringType())
+    whole = field[corrupt].isNull() & field["r"].isNotNull() & (
+        F.size(F.from_json(F.concat(F.lit("["), trimmed, F.lit("]")), strings)) == 1)
+    items = F.when(whole & trimmed.startswith("["), F.from_json(trimmed, strings)).when(
+        whole & trimmed.startswith("{"), F.array(trimmed))
     batch = F.transform(items, lambda item: F.from_json(item, record, options))
     small = df.withColumn("__bytes", byte_length(body))
     parsed = small.withColumn("__batch", F.when(F.col("__bytes") <= max_bytes, batch)).withColumn(
@@ -71,14 +81,28 @@ def read_records(
     return accepted.drop("body"), oversized.unionByName(refused.select("path", "size", "problem"))
 
 
+def content_table(
+    df: DataFrame, content: ColumnLike, max_bytes: int = MAX_FILE_BYTES, length: ColumnLike | None = None
+) -> DataFrame:
+    """Add ``length`` and ``sha256`` of a content column and leave it; over the limit the digest is null.
+
+    ``length`` may name a column that already has the number of bytes.
+    """
+    body = as_column(content).cast("binary")
+    size = (byte_length(body) if length is None else as_column(length)).cast("bigint")
+    sha256 = F.when(size <= max_bytes, digest(body))
+    rest = [c for c in df.columns if c not in ("length", "sha256") and c != content]
+    return df.select(*rest, size.alias("length"), sha256.alias("sha256"))
+
+
 def read_content(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Files below ``path`` with length and digest. Those over the limit keep a null digest and are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    read = files.where(F.col("length") <= max_bytes).select("path", "length", digest("content").alias("sha256"))
+    within = content_table(files.where(F.col("length") <= max_bytes).select("path", "length", "content"), "content", max_bytes, "length")
     skipped = files.where(F.col("length") > max_bytes).select(
         "path", "length", F.lit(None).cast("string").alias("sha256")
     )
-    return read.unionByName(skipped)
+    return within.unionByName(skipped)
 
 
 def write_json(df: DataFrame, path: str) -> None:

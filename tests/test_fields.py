@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attest.functions.network import in_cidr
-from attest.functions.predicates import check_origin, classify_path, field_rule, is_hex, is_safe_name, is_version
+from attest.functions.predicates import PathPolicy, check_origin, classify_path, field_rule, is_hex, is_safe_name, is_version
 from attest.functions.state import map_run_state
 from attest.functions.text import (
     describe_run,
@@ -84,15 +84,19 @@ def test_configuration_fields(spark, kind, good, bad):
 def test_private_paths(spark):
     cases = {
         "README.md": None, "src/.env.example": None, "src/keys.ts": None, "docs/06-ui.mdx": None, "a/terraform/x": None,
-        "CONTEXT.md": "exact", "docs/CONTEXT.md": None, "private/x": "prefix", "ops/local/x.yml": "prefix",
+        "NOTES.md": "exact", "docs/NOTES.md": None, "private/x": "prefix", "ops/local/x.yml": "prefix",
         "docs/content/docs/03-x.mdx": "path_pattern", "docs/content/docs/08-x.mdx": None,
-        "scripts/web-intelligence.mjs": "path_pattern", "img/MOBBIN set.ZIP": "name_pattern",
+        "scripts/web-probe.mjs": "path_pattern", "img/MOCKUPS set.ZIP": "name_pattern",
         "a/b.private.json": "private_marker", ".env": "environment", "a/.env.local": "environment",
         "a/.environment": None, "tls/site.pem": "key_or_state", "x.tfstate.backup": "key_or_state", "x.keys": None,
         "data/app.sqlite3": "database", "dump.sql.gz": "database", "x.db.md": None, "app.jks": "keystore",
         "android/local.properties": "name", "kubeconfig": "name", "a/.terraform/b": "segment",
     }
-    assert evaluate(spark, list(cases), classify_path("v")) == list(cases.values())
+    policy = PathPolicy(
+        exact=("NOTES.md",), prefixes=("private/", "ops/local/"), name_patterns=(r"(?i)\Amockups.*\.zip\z",),
+        path_patterns=(r"\Adocs/content/docs/0[1-7]-.*\.mdx\z", r"\Ascripts/.*probe"))
+    assert evaluate(spark, list(cases), classify_path("v", policy)) == list(cases.values())
+    assert evaluate(spark, ["NOTES.md", "private/x", "a/.env"], classify_path("v")) == [None, None, "environment"]
 
 
 def test_change_titles(spark):
@@ -154,6 +158,6 @@ def test_address_ranges(spark):
     addresses = ["10.0.0.1", "11.0.0.1", "192.168.4.7", "10.0.0.256", "010.0.0.1", "2001:db8::5", "2001:db9::5", "::ffff:10.0.0.1", "x", None]
     result = evaluate(spark, addresses, in_cidr("v", ["10.0.0.0/8", "192.168.4.0/30", "192.168.4.4/30", "2001:db8::/32"]))
     assert result == [True, False, True, False, False, True, False, False, False, False]
-    for refused in (["0.0.0.0/0"], ["::/0"], ["anything"], []):
+    for refused in (["0.0.0.0/0"], ["::/0"], ["1.2.3.4/0"], ["10.0.0.0/00"], ["2001:db8::/0"], ["anything"], []):
         with pytest.raises(ValueError):
             in_cidr("v", refused)

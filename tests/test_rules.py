@@ -5,9 +5,10 @@ from collections import Counter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attest.operators.assets import extract_assets
 from attest.operators.digests import plan_uploads
 from attest.operators.graph import expect_matrix, fold_captures, match_by_suffix
-from attest.operators.reconcile import current_options, option_drift, reconcile_links
+from attest.operators.reconcile import current_options, match_pins, option_drift, reconcile_links
 from attest.operators.rules import Rule, check, first_failure, split_valid
 from attest.operators.runs import classify_runs, effective_release, gate_for, latest_gate, mark_superseded
 from attest.operators.sets import group_rules, readiness, report_gate
@@ -16,6 +17,7 @@ from attest.plans.identity import identity_violations
 from attest.plans.jobs import job_policy
 from attest.plans.release import publication_plan, release_check
 from attest.plans.screens import evidence_index, screen_check
+from attest.plans.status import status_reports
 from attest.queries import Tables
 from attest.queries.content import upload_sides
 from attest.queries.rules import order_rules
@@ -180,22 +182,22 @@ def test_screens(spark):
         T.StructField("index", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("id", "description", "title", "summary", "category")],
         T.StructField("controls", T.ArrayType(T.StringType())), T.StructField("transitions", T.ArrayType(step))])
     df = spark.createDataFrame([
-        (0, "GB-000", long, "t", "s", "c", [], [("GB-001", "tap", "inferred"), ("GB-009", "tap", "inferred")]),
-        (1, "GB-1", long[1:], "", None, "c", None, None),
-        (2, "GB-002", long, "t", "s", "c", ["x"], [("GB-000", "", "inferred"), ("GB-000", "tap", "seen")]),
-        (1234, "GB-1234", long, "t", "s", "c", ["x"], []),
+        (0, "S-000", long, "t", "s", "c", [], [("S-001", "tap", "inferred"), ("S-009", "tap", "inferred")]),
+        (1, "S-1", long[1:], "", None, "c", None, None),
+        (2, "S-002", long, "t", "s", "c", ["x"], [("S-000", "", "inferred"), ("S-000", "tap", "seen")]),
+        (1234, "S-1234", long, "t", "s", "c", ["x"], []),
     ], schema)
-    got = {(r["id"], r["rule"]) for r in screen_check(df, 3).collect()}
-    assert got == {("GB-1", "id"), ("GB-1", "description"), ("GB-1", "title"), ("GB-1", "summary"), ("GB-1", "controls"),
-                   ("GB-002", "confidence"), ("GB-002", "action"), ("GB-1234", "index")}
-    journeys = spark.createDataFrame([(0, "first", ["GB-000", "GB-777"]), (1, "second", ["GB-000", "GB-002"])], "position int, title string, nodes array<string>")
+    got = {(r["id"], r["rule"]) for r in screen_check(df, 3, prefix="S-").collect()}
+    assert got == {("S-1", "id"), ("S-1", "description"), ("S-1", "title"), ("S-1", "summary"), ("S-1", "controls"),
+                   ("S-002", "confidence"), ("S-002", "action"), ("S-1234", "index")}
+    journeys = spark.createDataFrame([(0, "first", ["S-000", "S-777"]), (1, "second", ["S-000", "S-002"])], "position int, title string, nodes array<string>")
     index = evidence_index(df, journeys)
-    assert [(r["to"], r["n_edges"]) for r in index["unknown_targets"].collect()] == [("GB-001", 1), ("GB-009", 1)] or \
-        rows(index["unknown_targets"]) == Counter({("GB-001", 1): 1, ("GB-009", 1): 1})
-    assert [r["to"] for r in index["unknown_members"].collect()] == ["GB-777"]
-    assert {r["id"] for r in index["uncovered"].collect()} == {"GB-1", "GB-1234"}
+    assert [(r["to"], r["n_edges"]) for r in index["unknown_targets"].collect()] == [("S-001", 1), ("S-009", 1)] or \
+        rows(index["unknown_targets"]) == Counter({("S-001", 1): 1, ("S-009", 1): 1})
+    assert [r["to"] for r in index["unknown_members"].collect()] == ["S-777"]
+    assert {r["id"] for r in index["uncovered"].collect()} == {"S-1", "S-1234"}
     assert [(r["id"], r["category"], r["state_category"]) for r in index["screens"].collect()] == [
-        ("GB-000", "first", "c"), ("GB-1", None, "c"), ("GB-002", "second", "c"), ("GB-1234", None, "c")]
+        ("S-000", "first", "c"), ("S-1", None, "c"), ("S-002", "second", "c"), ("S-1234", None, "c")]
 
 
 def test_job_policy(spark):
@@ -213,10 +215,12 @@ def test_job_policy(spark):
 
 
 def test_identity_shape(spark):
-    texts = ['{"email": "a@b.cd"}', '{"email": "a@b.cd", "x": 1}', "{}", '{"email": "nope"}', '{"email": "%s@b.cd"}' % ("a" * 254), "nope"]
+    texts = ['{"email": "a@b.cd"}', '{"email": "a@b.cd", "x": 1}', "{}", '{"email": "nope"}', '{"email": "%s@b.cd"}' % ("a" * 254), "nope",
+             '{"email": null}', '{"email": ["a@b.co"]}', '{"email": 7}']
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {(r["i"], r["rule"]) for r in identity_violations(df, "t", ["i"]).collect()}
-    assert got == {(1, "additional"), (2, "required:email"), (3, "format:email"), (4, "length:email"), (5, "object")}
+    assert got == {(1, "additional"), (2, "required:email"), (3, "format:email"), (4, "length:email"), (5, "object"),
+                   (6, "type:email"), (7, "type:email"), (8, "type:email"), (8, "format:email")}
 
 
 def test_deploy_provenance(spark):
@@ -287,3 +291,47 @@ def test_readiness_and_folded_captures(spark):
     dims = {"viewport": ["phone", "desktop"], "theme": ["light", "dark"]}
     row = fold_captures(captures, ["state"], dims, "file").first()
     assert row["captures"] == {"phone-light": "2", "desktop-dark": "3"} and row["n_captures"] == 3
+
+
+def test_documents_are_one_object_or_one_batch(spark):
+    good = {'{"k":1}': [1], '\n [{"k":1},{"k":2}]\t': [1, 2], "[]": [], '{"k":1,"x":{"y":[1]}}': [1]}
+    bad = ["", " \n", None, '{"k":1},{"k":2}', '{"k":1}{"k":2}', '{"k":1} x', '{"k":1}],[{"k":2}', '{"k":1}}', "[1]", "7", "nul", '[{"k":1}] ]']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*good, *bad])], "i int, body string")
+    accepted, refused = parse_records(df, "body", T.StructType([T.StructField("k", T.LongType())]))
+    got = {}
+    for r in accepted.collect():
+        got.setdefault(r["body"], []).append(r["k"])
+    assert got == {t: k for t, k in good.items() if k}
+    assert sorted(r["i"] for r in refused.collect()) == list(range(len(good), len(good) + len(bad)))
+
+
+def test_assets_resolve_like_a_browser(spark):
+    page = "https://a.example/en/25?page=2#top"
+    cases = {
+        "y.js": ("https://a.example/en/y.js", True), "../z.css": ("https://a.example/z.css", True), "./a/../b/.": ("https://a.example/en/b/", True),
+        "../../..": ("https://a.example/", True), "/r/../s.js?q=../x": ("https://a.example/s.js?q=../x", True), "?v=1": ("https://a.example/en/25?v=1", True),
+        "#end": ("https://a.example/en/25?page=2#end", True), "https://a.example:443/x.js": ("https://a.example:443/x.js", True),
+        "https://u:p@A.example/x.js": ("https://u:p@A.example/x.js", True), "https://a.example:8443/x.js": ("https://a.example:8443/x.js", False),
+        "http://a.example/x.js": ("http://a.example/x.js", False), "//b.example/x": ("https://b.example/x", False),
+        "//a.example/x": ("https://a.example/x", True), "mailto:a@a.example": ("mailto:a@a.example", False), "data:,x": ("data:,x", False),
+    }
+    html = "".join(f'<a href="{c}">' for c in cases)
+    rows = spark.createDataFrame([(page, html)], "url string, html string")
+    got = {r["asset"]: (r["resolved"], r["same_origin"]) for r in extract_assets(rows, "html", "url", r"[^\"]+").collect()}
+    assert got == cases
+
+
+def test_releases_extend_the_pinned_version_in_its_grammar(spark):
+    versions = {"1.0.0": "ok", "1.0.0-rc.1": "ok", "1.0.0-": "release_version", "1.0.0-a/b c": "release_version", "1.0.0.1": "release_version"}
+    builds = spark.createDataFrame([("c", "s", "1.0.0", v) for v in versions], "c string, source_sha string, version string, release_version string")
+    pins = spark.createDataFrame([("c", "s", "1.0.0")], "c string, pinned_sha string, pinned_version string")
+    assert {r["release_version"]: r["verdict"] for r in match_pins(builds, pins, ["c"]).collect()} == versions
+
+
+def test_untrusted_newer_run_supersedes(spark):
+    rows = [(5, "ci", "https://h/5"), (9, "ci", "https://elsewhere/9"), (3, "other", "https://h/3")]
+    runs = spark.createDataFrame(rows, "id long, name string, html_url string").selectExpr(
+        "*", "1 AS workflow_id", f"'{SHA}' AS head_sha", "'push' AS event", "'release' AS head_branch", "'r' AS repository", "'r' AS head_repository",
+        "'completed' AS status", "'success' AS conclusion").withColumn("workflow_id", F.col("name"))
+    got = {(r["id"], r["problem"], r["state"]) for r in status_reports(runs, "r", {"ci": "c"}, "https://h/", "s").collect()}
+    assert got == {(9, "html_url", None), (3, "unknown_name", None)}
