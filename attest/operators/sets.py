@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column
 from attest.functions.predicates import MAX_FILE_BYTES
-from attest.operators.skew import SLICE_ROWS, with_ordinal
+from attest.operators.skew import numbered
 
 
 def group_rules(
@@ -102,13 +102,12 @@ def outcome_summary(df: DataFrame, by: Sequence[str], action: ColumnLike, action
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(a == x).alias(f"n_{x}") for x in actions])
 
 
-def in_order(df: DataFrame, order: Sequence[str], name: str = "position", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Add each row's position (from 1) in the whole table's order; ``order`` must end with a unique column.
 
-    A large table is numbered slice by slice, so no single task sorts it. Sort by ``name`` to write in order.
+    The table is numbered range by range, so no single task sorts it. Sort by ``name`` to write in order.
     """
-    everything = df.withColumn("__all", F.lit(0))
-    return with_ordinal(everything, ["__all"], order, name, slice_rows).drop("__all")
+    return numbered(df, order, name)
 
 
 def combine(*frames: DataFrame) -> DataFrame:

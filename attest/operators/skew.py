@@ -1,23 +1,24 @@
 """Joins and ordered windows that survive a key holding a large share of all rows.
 
-Spark splits a skewed shuffle join at run time, but not when an aggregate sits under the join, and it
-never splits a window partition. Both helpers first look for keys with more than ``slice_rows`` rows in a
-thin sample of the key columns, and only change the plan for those:
+Spark splits a skewed shuffle join at run time, but not when an aggregate sits under the join, and it never splits a
+window partition. A thin sample of the key columns tells which keys have more than ``slice_rows`` rows, and how many
+slices those need:
 
-* ``lookup_join`` spreads a hot key's rows over slices and repeats its single lookup row per slice;
+* ``lookup_join`` spreads a key's rows over its slices and repeats its single lookup row per slice. It is one plan,
+  with or without such keys, and nothing runs while it is built;
 * ``OrderedScan`` cuts a hot key's ordered rows into slices with a range partitioning, scans each slice
-  alone, and carries the slices' summaries across.
+  alone, and carries the slices' summaries across;
+* ``numbered`` numbers a whole table by ranges and offsets, whatever its size.
 
 The sample decides sizes only. Results are exact for any set of hot keys and any slices: a key the sample
 misses, or one that shares a hash with a hot key, takes a path that gives the same rows.
 
-What reaches the driver and is broadcast is the list of hot keys and one summary per slice: at most
-``MAX_HOT_KEYS`` and ``MAX_SLICES`` rows (one more per hot key) whatever the data size.
+What is broadcast is the list of hot keys and one summary per slice: a key is hot from ``slice_rows`` rows on, so both
+have at most about one narrow row for each ``slice_rows`` rows (at two million, 8 MB for 10^12 rows). No key is left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,6 @@ from pyspark.sql import types as T
 from attest.session import written
 
 SLICE_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
-MAX_SLICES = 50_000
 SAMPLES_PER_SLICE = 64
 SEED = 7
 
@@ -41,27 +40,21 @@ _CARRY = "__carry_"
 _WHOLE = -1
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
-    """Hashes of the keys with more than ``slice_rows`` rows: ``__key, __rows, __slices``; None when there is none.
+def hot_keys(df: DataFrame, by: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Hashes of the keys with more than ``slice_rows`` rows, and their slices: ``__key, __rows, __slices``.
 
-    Only key columns are read, and only a sample of about ``SAMPLES_PER_SLICE`` rows per ``slice_rows`` is
-    shuffled. The heaviest ``MAX_HOT_KEYS`` are kept: any other key has at most 1/``MAX_HOT_KEYS`` of the rows.
+    Only key columns are read, and only a sample of about ``SAMPLES_PER_SLICE`` rows per ``slice_rows`` is shuffled.
     """
     share = min(1.0, SAMPLES_PER_SLICE / slice_rows)
     keys = df.select(F.xxhash64(*by).alias(_KEY))
     sampled = keys if share == 1.0 else keys.sample(False, share, SEED)
     counts = sampled.groupBy(_KEY).agg(F.count(F.lit(1)).alias(_ROWS)).where(F.col(_ROWS) > slice_rows * share)
-    heaviest = counts.orderBy(F.col(_ROWS).desc()).limit(MAX_HOT_KEYS).collect()
-    if not heaviest:
-        return None
-    sizes = {r[_KEY]: math.ceil(r[_ROWS] / share) for r in heaviest}
-    per_slice = max(slice_rows, math.ceil(sum(sizes.values()) / MAX_SLICES))
-    rows = [(key, n, math.ceil(n / per_slice)) for key, n in sizes.items()]
-    return df.sparkSession.createDataFrame(rows, f"{_KEY} bigint, {_ROWS} bigint, {_SLICES} int")
+    rows = F.ceil(F.col(_ROWS) / share)
+    return counts.select(_KEY, rows.alias(_ROWS), F.ceil(rows / slice_rows).cast("int").alias(_SLICES))
 
 
 def _tag(df: DataFrame, by: Sequence[str], tags: DataFrame, how: str = "left") -> DataFrame:
-    """Attach facts about hot keys. The tags are bounded (see above), so they are broadcast."""
+    """Attach facts about hot keys, of which there are few (see above), so they are broadcast."""
     return df.join(F.broadcast(tags), F.xxhash64(*[df[k] for k in by]) == tags[_KEY], how).drop(_KEY)
 
 
@@ -76,43 +69,37 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a table with at most one row per key (many to one); ``how`` is left, inner or left_semi.
 
-    ``distinct_by`` names columns that tell all rows of a key apart. Without it rows may be exact copies:
-    in the hot case copies are folded to one counted row for the join and unfolded after it, in pieces of
-    at most ``slice_rows``. ``sized_by`` is a cheaper table with the same keys to sample.
-    ``slice_rows=None`` skips the sample where keys are known to be distinct.
+    ``distinct_by`` names columns that tell all rows of a key apart; without it all columns do, and copies of a row
+    share a slice, which Spark's own splitting of skewed joins cuts further. ``sized_by`` is a cheaper table with the
+    same keys to sample. ``slice_rows=None`` is the plain join, where keys are known to be distinct.
     """
     on = list(on)
-    sized_by = rows if sized_by is None else sized_by
-    hot = hot_keys(sized_by, on, slice_rows) if slice_rows is not None else None
-    if hot is None:
+    if slice_rows is None:
         return rows.join(table, on, how)
-    hot = hot.drop(_ROWS)
+    # Both sides read one and the same broadcast.
+    hot = hot_keys(rows if sized_by is None else sized_by, on, slice_rows).select(_KEY, _SLICES)
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
     right = _tag(table, on, hot).withColumn(_SLICE, F.explode(F.sequence(F.lit(0), slices - 1))).drop(_SLICES)
-    tagged = _tag(rows, on, hot)
-    comparable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
-    if distinct_by is not None or len(comparable) < len(rows.columns):
-        spread = F.pmod(F.xxhash64(*(distinct_by or comparable)), slices).cast("int")
-        return tagged.withColumn(_SLICE, spread).drop(_SLICES).join(right, [*on, _SLICE], how).drop(_SLICE)
-    unfolded = _folded(tagged, rows.columns, slice_rows).join(right, [*on, _SLICE], how)
-    unfolded = unfolded.withColumn(_PIECE, F.explode(F.array_repeat(F.lit(0), F.col(_ROWS).cast("int"))))
-    return unfolded.drop(_SLICE, _PIECE, _ROWS)
-
-
-def _folded(tagged: DataFrame, columns: Sequence[str], slice_rows: int) -> DataFrame:
-    """Copies of hot rows as counted rows, at most ``slice_rows`` each, spread over their key's slices."""
-    cold = tagged.where(F.col(_SLICES).isNull()).select(
-        *columns, F.lit(1).cast("bigint").alias(_ROWS), F.lit(0).alias(_SLICE)
-    )
-    piece = F.lit(slice_rows).cast("bigint")
-    counted = tagged.where(F.col(_SLICES).isNotNull()).groupBy(*columns, _SLICES).agg(F.count(F.lit(1)).alias(_ROWS))
-    pieces = counted.withColumn(_PIECE, F.explode(F.sequence(F.lit(0), F.ceil(F.col(_ROWS) / piece).cast("int") - 1)))
-    hot = pieces.select(
-        *columns,
-        F.least(piece, F.col(_ROWS) - F.col(_PIECE) * piece).alias(_ROWS),
-        F.pmod(F.xxhash64(*columns, _PIECE), F.col(_SLICES)).cast("int").alias(_SLICE),
-    )
-    return cold.unionByName(hot)
+    comparable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = F.pmod(F.xxhash64(*(distinct_by or comparable)), slices).cast("int")
+    left = _tag(rows, on, hot).withColumn(_SLICE, spread).drop(_SLICES)
+    return left.join(right, [*on, _SLICE], how).drop(_SLICE)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Position (from 1) of each row in the whole table's order, which must be total.
+
+    Rows are range-partitioned, sorted and numbered inside their range, and written once, so that every use sees the
+    same ranges; the ranges' sizes give the offsets, one row per range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_ROWS, F.monotonically_increasing_id())
+    rows = written(ranged, "numbered")
+    piece, place = F.shiftright(_ROWS, 33).alias(_PIECE), F.col(_ROWS).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(piece).agg(F.count(F.lit(1)).alias(_SLICES))
+    before = Window.orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_PIECE, F.coalesce(F.sum(_SLICES).over(before), F.lit(0)).alias(_CARRY))
+    joined = rows.withColumn(_PIECE, piece).join(F.broadcast(offsets), _PIECE)
+    return joined.withColumn(name, place + F.col(_CARRY) + 1).drop(_PIECE, _ROWS, _CARRY)
 
 
 class OrderedScan:
@@ -124,8 +111,9 @@ class OrderedScan:
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS):
         self.by, self.order = list(by), list(order)
         hot = hot_keys(df, self.by, slice_rows)
-        self.sliced = hot is not None
-        self.rows = self._sliced(df, hot) if hot is not None else df
+        slices = hot.agg(F.sum(_SLICES)).first()[0]
+        self.sliced = slices is not None
+        self.rows = self._sliced(df, hot, int(slices)) if self.sliced else df
 
     def running(
         self,
@@ -151,18 +139,18 @@ class OrderedScan:
     def result(self) -> DataFrame:
         return self.rows.drop(_SLICE)
 
-    def _sliced(self, df: DataFrame, hot: DataFrame) -> DataFrame:
+    def _sliced(self, df: DataFrame, hot: DataFrame, slices: int) -> DataFrame:
         """Cut the rows of hot keys into ordered slices with a range partitioning; others stay whole.
 
         The cut depends on what the partitioning samples, so the rows are written once with their slice and
         every later use, also after the loss of an executor, sees the same one.
         """
-        slices = hot.agg(F.sum(_SLICES)).first()[0]
+        hot = written(hot, "hot")
         tagged = _tag(df, self.by, hot.drop(_ROWS))
         cold = tagged.where(F.col(_SLICES).isNull()).drop(_SLICES).withColumn(_SLICE, F.lit(_WHOLE))
         ranged = (
             _tag(df, self.by, hot.select(_KEY), "left_semi")
-            .repartitionByRange(int(slices), *self.by, *self.order)
+            .repartitionByRange(slices, *self.by, *self.order)
             .withColumn(_SLICE, F.spark_partition_id())
         )
         return cold.unionByName(written(ranged, "slices"))
@@ -177,7 +165,7 @@ class OrderedScan:
         carried = [F.last(n, ignorenulls=True).over(before).alias(_CARRY + n) for n in last]
         carried += [F.sum(n).over(before).alias(_CARRY + n) for n in total]
         keys = [*self.by, _SLICE]
-        # One row per key and slice, at most MAX_SLICES and one more per hot key, so it is broadcast.
+        # One row per hot key and slice, see above, so it is broadcast.
         carry = per_slice.select(*[F.col(k).alias(_CARRY + "key_" + k) for k in keys], *carried)
         same = F.lit(True)
         for k in keys:

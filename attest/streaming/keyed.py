@@ -49,14 +49,19 @@ def _keyed(
     step: Step,
     keep_ms: int,
     unit_us: int = 1,
+    flagged_first: bool = False,
 ) -> DataFrame:
-    """Run ``step`` over each key's rows and emit ``key, row_id, name``."""
+    """Run ``step`` over each key's rows and emit ``key, row_id, name``.
+
+    Rows are taken by time and ``row_id``; with ``flagged_first``, of equal times those with the first flag come first.
+    """
     timed = (
         stream.withColumn("__at", F.col(ts).cast("timestamp"))
         .withWatermark("__at", watermark)
         .select(key, row_id, "__at", F.floor(F.unix_micros("__at") / F.lit(unit_us)).alias(_TICK),
                 F.coalesce(flags[0], F.lit(False)).alias(_FLAG), F.coalesce(flags[1], F.lit(False)).alias(_FLAG2))
     )
+    order = [_FLAG] if flagged_first else []
     out = T.StructType([stream.schema[key], stream.schema[row_id], T.StructField(name, result_type)])
     state_type = T.StructType([T.StructField(f"s{i}", T.LongType()) for i in range(len(start))])
 
@@ -64,7 +69,7 @@ def _keyed(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values([_TICK, row_id])
+        rows = pd.concat(list(frames)).sort_values([_TICK, *order, row_id], ascending=[True, *[False] * len(order), True])
         current = state.get if state.exists else start
         current = tuple(None if v is None or pd.isna(v) else int(v) for v in current)
         results, last = [], 0
@@ -91,7 +96,10 @@ def stream_rate_limit(
     is_mutation: Column | None = None,
     watermark: str = "1 minute",
 ) -> DataFrame:
-    """``allowed`` per request, as ``access.rate_limit`` gives it for the same requests in a table."""
+    """``allowed`` per request, as ``access.rate_limit`` gives it for the same requests in a table.
+
+    Requests without a key are not limited; they pass by without state.
+    """
 
     def step(state: tuple, tick: int, mutation: bool, _: bool) -> tuple[tuple, bool]:
         buckets = LeakyBuckets(everything, mutations)
@@ -101,8 +109,10 @@ def stream_rate_limit(
 
     keep = max(b.drain_ms() for b in (everything, mutations) if b)
     flags = (is_mutation if is_mutation is not None else F.lit(False), F.lit(False))
-    return _keyed(stream, key, ts, row_id, flags, watermark, "allowed", T.BooleanType(),
-                  (0, None, 0, None), step, keep, unit_us=1000)
+    limited = _keyed(stream.where(F.col(key).isNotNull()), key, ts, row_id, flags, watermark, "allowed", T.BooleanType(),
+                     (0, None, 0, None), step, keep, unit_us=1000)
+    free = stream.where(F.col(key).isNull()).select(key, row_id, F.lit(True).alias("allowed"))
+    return limited.unionByName(free)
 
 
 def stream_flow_state(
@@ -136,7 +146,7 @@ def stream_flow_state(
         return (at, tried), verdict
 
     result = _keyed(stream, flow, ts, row_id, (started, submitted), watermark, "state", T.StringType(),
-                    (None, None), step, keep_seconds * 1000)
+                    (None, None), step, keep_seconds * 1000, flagged_first=True)
     return result.where(F.col("state").isNotNull())
 
 

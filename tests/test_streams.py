@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attest.operators.access import flow_state, request_counts, session_state
 from attest.operators.rules import Rule, check
-from attest.streaming.keyed import stream_flow_state, stream_session_state
+from attest.streaming.keyed import stream_flow_state, stream_rate_limit, stream_session_state
 from attest.streaming.latest import compact, latest_status, newest, stream_latest
 from attest.streaming.violations import stream_violations
 
@@ -87,3 +87,19 @@ def test_latest_never_goes_back_and_survives_replay(spark, tmp_path):
     assert rows(latest_status(spark, path, stream.schema, by, rank, payload)) == expected
     compact(spark, path, str(tmp_path / "short"), stream.schema, by, rank, payload)
     assert rows(latest_status(spark, str(tmp_path / "short"), stream.schema, by, rank, payload)) == expected
+
+
+def test_a_start_comes_before_a_submission_of_the_same_time(spark, tmp_path):
+    # The submission has the smaller id.
+    history = [(1, 1, START, "click"), (1, 2, START, "start"), (2, 3, START, "click")]
+    stream = stream_of(spark, str(tmp_path / "in"), history)
+    kind = F.col("kind")
+    result = stream_flow_state(stream, "user", "ts", "id", kind == "start", kind == "click")
+    assert rows(drain(result, str(tmp_path / "flows"))) == Counter({(1, 1, "open"): 1, (2, 3, "none"): 1})
+
+
+def test_requests_without_a_key_are_not_limited(spark, tmp_path):
+    history = [(None, i, START, "get") for i in range(60)] + [(1, 100 + i, START, "get") for i in range(60)]
+    stream = stream_of(spark, str(tmp_path / "in"), history)
+    got = Counter((r["user"], r["allowed"]) for r in drain(stream_rate_limit(stream, "user", "ts", "id"), str(tmp_path / "rates")).collect())
+    assert got[None, True] == 60 and got[1, True] == 21 and got[1, False] == 39
