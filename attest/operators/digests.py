@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attest.functions.columns import ColumnLike, as_column, first_of
 from attest.functions.content import byte_length, digest
 from attest.operators.skew import SLICE_ROWS, OrderedScan, lookup_join
+from attest.session import ship_with_plans
+
+ship_with_plans(__name__)
 
 
 def verify_digests(
@@ -82,6 +88,43 @@ def checksum_listing(
     return listing.withColumn("listing_sha256", digest("text"))
 
 
+def listing_digest(df: DataFrame, by: Sequence[str], order: Sequence[str], name: ColumnLike, sha256: ColumnLike) -> DataFrame:
+    """The digest of each group's whole listing, as ``checksum_listing`` writes it, and its number of lines.
+
+    A digest of a text is one pass over it. Lines are sorted by Spark, which spills, and stream through one running
+    hash: a group of any size needs memory for one batch of lines.
+    """
+    line = F.concat(as_column(sha256), F.lit("  "), as_column(name).cast("string"), F.lit("\n"))
+    rows = df.select(*by, *[c for c in order if c not in by], line.cast("binary").alias("__line"))
+    rows = rows.repartition(*by).sortWithinPartitions(*by, *order).select(*by, "__line")
+    keys = [rows.schema[c] for c in by]
+    out = T.StructType([*keys, T.StructField("n_lines", T.LongType()), T.StructField("listing_sha256", T.StringType())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, running, n = None, None, 0
+
+        def done() -> pa.RecordBatch:
+            values = [*group, n, running.hexdigest()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(values, [*types, pa.int64(), pa.string()])], [*by, "n_lines", "listing_sha256"])
+
+        for batch in batches:
+            types = [batch.column(i).type for i in range(len(by))]
+            columns = [batch.column(i).to_pylist() for i in range(len(by))]
+            for *key, text in zip(*columns, batch.column(len(by)).to_pylist()):
+                if key != group:
+                    if group is not None:
+                        yield done()
+                    group, running, n = key, hashlib.sha256(), 0
+                if text is not None:
+                    running.update(text)
+                n += 1
+        if group is not None:
+            yield done()
+
+    return rows.mapInArrow(hashed, out)
+
+
 def concat_corpus(
     df: DataFrame,
     by: Sequence[str],

@@ -9,7 +9,7 @@ from attest.functions.predicates import MAX_FILE_BYTES, is_hex, is_safe_name, is
 from attest.operators.digests import plan_uploads, verify_digests
 from attest.operators.reconcile import reconcile_links, verify_targets
 from attest.operators.rules import Rule, check
-from attest.operators.sets import duplicates, outcome_summary
+from attest.operators.sets import outcome_summary
 from attest.operators.skew import SLICE_ROWS, lookup_join
 from attest.session import written
 
@@ -23,21 +23,27 @@ def release_check(
 ) -> DataFrame:
     """Everything wrong with a set of releases: ``release``, ``item``, ``rule``, ``value``.
 
-    ``manifests(release, version, tag, ref, client_sha)``, ``files(release, path, name, sha256, size)``,
-    ``actual(path, sha256, size)``. An empty result means the releases may be published.
+    ``manifests(release, version, tag, ref, client_sha)``, ``files(release, path, name, sha256)``, where ``size`` may be
+    declared too, ``actual(path, sha256, size)``. The size limit judges what is there, not what is declared. An empty
+    result means the releases may be published.
     """
+    if "size" not in files.columns:
+        files = files.withColumn("size", F.lit(None).cast("bigint"))
     head = check(manifests, _manifest_rules(), ["release"]).select(
         "release", F.lit(None).cast("string").alias("item"), "rule", "value"
     )
-    listed = files.select("release").distinct()
-    empty = manifests.join(listed, "release", "left_anti").select(
+    # One aggregate says both which names repeat and which releases have no file.
+    named = files.select("release", F.col("name").cast("string").alias("item"), F.lit(1).alias("n"))
+    none = manifests.select("release", F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"))
+    names = named.unionByName(none).groupBy("release", "item").agg(F.sum("n").alias("n"))
+    repeated = names.where(F.col("n") > 1).select(
+        "release", "item", F.lit("duplicate_name").alias("rule"), F.col("n").cast("string").alias("value")
+    )
+    per_release = names.groupBy("release").agg(F.sum("n").alias("n"))
+    empty = per_release.where(F.col("n") == 0).select(
         "release", F.lit(None).cast("string").alias("item"), F.lit("no_files").alias("rule"),
         F.lit(None).cast("string").alias("value"),
     )
-    repeated = duplicates(files, ["release"], ["name"]).select(
-        "release", F.col("name").alias("item"), F.lit("duplicate_name").alias("rule"),
-        F.col("n_rows").cast("string").alias("value"),
-    )
     compared = verify_digests(files, actual, ["path"], slice_rows)
     per_file = check(compared, [*_file_rules(max_size), *_content_rules()], ["release", "name"]).select(
         "release", F.col("name").alias("item"), "rule", "value"
@@ -60,13 +66,18 @@ def _file_rules(max_size: int) -> list[Rule]:
         Rule("name", is_safe_name("name"), F.col("name")),
         Rule("sha256", is_hex("sha256", 64), F.col("sha256")),
         Rule("path", F.coalesce(F.col("path"), F.lit("")) != "", F.col("path")),
-        Rule("size", F.col("size") <= max_size, F.col("size")),
+        Rule("size", F.col("actual_size").isNull() | (F.col("actual_size") <= max_size), F.col("actual_size")),
     ]
 
 
 def _content_rules() -> list[Rule]:
-    verdicts = ("missing", "size_mismatch", "digest_mismatch")
-    return [Rule(v, F.col("verdict") != v, F.col("actual_sha256")) for v in verdicts]
+    seen, there = F.col("actual_sha256"), F.col("verdict") != "missing"
+    size = F.col("size").isNull() | F.col("size").eqNullSafe(F.col("actual_size"))
+    return [
+        Rule("missing", there, seen),
+        Rule("size_mismatch", ~there | size, seen),
+        Rule("digest_mismatch", ~there | F.col("sha256").eqNullSafe(seen), seen),
+    ]
 
 
 def publication_plan(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.content import byte_length, digest
 from attest.functions.text import first_line
-from attest.operators.digests import checksum_listing, concat_corpus, plan_uploads, undecided, verify_digests
+from attest.operators.digests import checksum_listing, concat_corpus, listing_digest, plan_uploads, undecided, verify_digests
 from attest.operators.reconcile import (
     changed_only,
     current_options,
@@ -98,6 +98,14 @@ def listings(t: Tables) -> DataFrame:
     return checksum_listing(rows, ["source"], ["doc_id"], "doc_id", "sha256", block_lines=20).drop("text")
 
 
+@query("listing_digest", """
+SELECT source, count(*) AS n_lines, sha256(string_agg(sha256(text) || '  ' || doc_id || chr(10), '' ORDER BY doc_id)) AS listing_sha256 FROM documents GROUP BY source
+""")
+def whole_listings(t: Tables) -> DataFrame:
+    rows = t.documents.select("source", "doc_id", digest("text").alias("sha256"))
+    return listing_digest(rows, ["source"], ["doc_id"], "doc_id", "sha256")
+
+
 @query("concat_corpus", r"""
 WITH p AS (SELECT source, doc_id, concat('# ', regexp_extract(text, '\A(.*?)(?:\r?\n|\z)', 1), ' (/', lang, '/', doc_id, ')', chr(10), chr(10), text) AS page FROM documents),
 b AS (SELECT *, (sum(octet_length(encode(page))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(page))) // 20000 AS block FROM p)

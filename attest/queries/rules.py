@@ -99,10 +99,11 @@ UNION ALL SELECT release, NULL, 'tag_matches_version', tag FROM m WHERE tag <> c
 UNION ALL SELECT release, NULL, 'ref', ref FROM m WHERE NOT regexp_matches(ref, '\A[0-9a-f]{40}\z')
 UNION ALL SELECT release, NULL, 'no_files', NULL FROM m WHERE release NOT IN (SELECT release FROM f)
 UNION ALL SELECT release, name, 'name', name FROM f WHERE contains(name, '/')
-UNION ALL SELECT release, name, 'size', CAST(size AS VARCHAR) FROM f WHERE size > 48
+UNION ALL SELECT f.release, f.name, 'size', CAST(a.size AS VARCHAR) FROM f JOIN a USING (path) WHERE a.size > 48
 UNION ALL SELECT release, name, 'duplicate_name', CAST(count(*) AS VARCHAR) FROM f GROUP BY release, name HAVING count(*) > 1
-UNION ALL SELECT f.release, f.name, CASE WHEN a.path IS NULL THEN 'missing' WHEN a.size <> f.size THEN 'size_mismatch' ELSE 'digest_mismatch' END, a.sha256
-  FROM f LEFT JOIN a USING (path) WHERE a.path IS NULL OR a.size <> f.size OR a.sha256 <> f.sha256
+UNION ALL SELECT f.release, f.name, 'missing', NULL FROM f LEFT JOIN a USING (path) WHERE a.path IS NULL
+UNION ALL SELECT f.release, f.name, 'size_mismatch', a.sha256 FROM f JOIN a USING (path) WHERE a.size <> f.size
+UNION ALL SELECT f.release, f.name, 'digest_mismatch', a.sha256 FROM f JOIN a USING (path) WHERE a.sha256 <> f.sha256
 """
 
 

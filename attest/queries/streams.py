@@ -11,7 +11,7 @@ from attest.queries.access import CLICKS, EVERYTHING, FLOWS, LIFETIME, RATE_SQL
 from attest.queries.registry import Tables, query
 from attest.session import shared_dir
 from attest.streaming.keyed import stream_flow_state, stream_rate_limit, stream_session_state
-from attest.streaming.latest import latest_status, stream_latest
+from attest.streaming.latest import latest_status, stream_latest, stream_updates
 from attest.streaming.violations import stream_violations
 
 
@@ -59,13 +59,14 @@ def streamed_rates(t: Tables) -> DataFrame:
 
 
 @query("stream_request_counts", """
-SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, count(*) AS n_requests, count(*) > 3 AS breach FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2
+SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, count(*) AS n_requests, count(*) > 3 AS breach FROM events GROUP BY 1, 2
 """)
 def streamed_counts(t: Tables) -> DataFrame:
-    """Windows are emitted once the watermark (one day behind the newest event) has passed their end."""
-    stream = event_stream(t).select("user_id", "ts")
-    return drained(t, request_counts(stream, "user_id", "ts", "1 day", budget=3, watermark="1 day"), "counts")
+    """Every window with what has been counted so far, the open ones too."""
+    folder = fresh_folder(t, "counts")
+    counts = request_counts(event_stream(t).select("user_id", "ts"), "user_id", "ts", "1 day", budget=3, watermark="1 day")
+    stream_updates(counts, f"{folder}/rows", f"{folder}/progress", available_now=True).awaitTermination()
+    return latest_status(t.spark, f"{folder}/rows", counts.schema, ["user_id", "window_start"], ["n_requests"], ["breach"])
 
 
 @query("stream_flow_state", FLOWS + """

@@ -44,6 +44,19 @@ def stream_latest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def stream_updates(updates: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Write what each micro-batch changed of an aggregate that may still change, such as counts of open windows.
+
+    Read it with ``latest_status``, ranked by the value that grows. A replayed batch overwrites itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
+
+    writer = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def latest_status(
     spark: SparkSession, path: str, schema: T.StructType, by: Sequence[str], rank: Sequence[str], payload: Sequence[str]
 ) -> DataFrame:

@@ -100,11 +100,19 @@ def test_release_check(spark):
     assert got == {
         (1, "b.apk", "digest_mismatch"), (2, None, "version"), (2, None, "tag_matches_version"), (2, None, "ref"),
         (2, None, "client_sha"), (2, "../a", "name"), (2, "c.exe", "missing"), (2, "c.exe", "duplicate_name"),
-        (2, "c.exe", "sha256"), (2, "c.exe", "size"), (2, "c.exe", "size_mismatch"), (2, "d.exe", "path"), (2, "d.exe", "missing"),
+        (2, "c.exe", "sha256"), (2, "c.exe", "size_mismatch"), (2, "c.exe", "digest_mismatch"), (2, "d.exe", "path"), (2, "d.exe", "missing"),
         (3, None, "tag_matches_version"), (3, None, "no_files"),
     }
 
 
+def test_the_real_size_counts_and_a_declared_one_is_optional(spark):
+    manifests = spark.createDataFrame([(1, "1.2.3", "v1.2.3", SHA, SHA)], "release int, version string, tag string, ref string, client_sha string")
+    files = spark.createDataFrame([(1, "p1", "a.deb", SHA256), (1, "p2", "b.deb", SHA256)], "release int, path string, name string, sha256 string")
+    actual = spark.createDataFrame([("p1", SHA256, 1 << 40), ("p2", SHA256, 1 << 30)], "path string, sha256 string, size long")
+    got = {(r["item"], r["rule"], r["value"]) for r in release_check(manifests, files, actual).collect()}
+    assert got == {("a.deb", "size", str(1 << 40))}
+
+
 def test_publication_plan_stops_at_bad_targets_and_conflicts(spark):
     releases = spark.createDataFrame([(1, "c1", "v1"), (2, "c9", "v2"), (3, "c1", "v3"), (4, "c1", "v4")], "release int, ref string, tag string")
     commits = spark.createDataFrame([("c1",)], "id string")
