@@ -31,17 +31,19 @@ GRAM = 20
 STRETCH = 200
 CHUNK_BYTES = 2_000_000
 #: Bytes of stretches indexed at once.
-INDEX_BYTES = 1_000_000
+INDEX_BYTES = 500_000
+#: How often the stretches of one piece are cut anew, at most.
+SEEDS = 6
 NAME_BYTES = 6
 _SEPARATOR = 0xFF  # in no UTF-8 text
 
 
-def least_pieces(data: np.ndarray, window: int, gram: int) -> np.ndarray:
+def least_pieces(data: np.ndarray, window: int, gram: int, seed: int = 0) -> np.ndarray:
     """The least hash of the pieces in each window."""
     eight = np.ascontiguousarray(sliding_window_view(data, 8)).view("<u8")[:, 0]
     n = len(data) - gram + 1
     with np.errstate(over="ignore"):
-        value = mixed(eight[:n])
+        value = mixed(eight[:n] + np.uint64(seed * 0x2545F4914F6CDD1D % (1 << 64)))
         for at in [*range(8, gram - 8, 8), gram - 8]:
             value = mixed(value * np.uint64(5) + eight[at : at + n])
     width, reach = window - gram + 1, 1
@@ -201,7 +203,68 @@ def _marks(strings: list[bytes], ranks: np.ndarray, window: int) -> np.ndarray:
     return marked[inside]
 
 
-def _compare(window: int):
+def _compared(strings: list[bytes], rank: np.ndarray, name: np.ndarray, window: int, gram: int, seed: int) -> list[np.ndarray]:
+    """For each string, which of its windows also stand in one of a smaller rank; equal windows have equal names.
+
+    Strings are indexed some ``INDEX_BYTES`` at a time, cut between names. The strings of one name that are too many
+    are cut anew by the least pieces of another hash, under which what they share falls together and what they don't
+    falls apart.
+    """
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    flags: list[np.ndarray] = [np.zeros(0, bool)] * len(strings)
+    order = np.argsort(name, kind="stable")
+    total = np.cumsum(size[order])
+    ends = np.append(np.flatnonzero(np.diff(name[order])) + 1, len(order)).tolist() if len(order) else []
+    start = held = 0
+    for begin, end in zip([0, *ends[:-1]], ends):
+        own = int(total[end - 1] - (total[begin - 1] if begin else 0))
+        if held and held + own > INDEX_BYTES:
+            _indexed(order[start:begin], strings, rank, size, flags, window, gram, seed)
+            start, held = begin, 0
+        held += own
+    _indexed(order[start:], strings, rank, size, flags, window, gram, seed)
+    return flags
+
+
+def _indexed(ids: np.ndarray, strings: list[bytes], rank: np.ndarray, size: np.ndarray, flags: list[np.ndarray],
+             window: int, gram: int, seed: int) -> None:
+    part = sorted(ids.tolist(), key=lambda i: rank[i])
+    firsts: dict[bytes, int] = {}
+    for i in part:
+        firsts.setdefault(strings[i], i)
+    ids = np.array(list(firsts.values()), np.int64)
+    if not len(ids):
+        return
+    n = size[ids] - window + 1
+    if size[ids].sum() > 2 * INDEX_BYTES and seed < SEEDS:
+        marks = np.concatenate(_cut_anew([strings[i] for i in ids.tolist()], rank[ids], window, gram, seed + 1))
+    else:
+        marks = _marks([strings[i] for i in ids.tolist()], rank[ids], window)
+    ends = np.cumsum(n)
+    for i, e, k in zip(ids.tolist(), ends.tolist(), n.tolist()):
+        flags[i] = marks[e - k : e]
+    for i in part:
+        j = firsts[strings[i]]
+        flags[i] = flags[j] if rank[i] == rank[j] else np.ones(size[i] - window + 1, bool)
+
+
+def _cut_anew(strings: list[bytes], rank: np.ndarray, window: int, gram: int, seed: int) -> list[np.ndarray]:
+    """``_compared`` for strings cut into stretches of the same least piece under another hash."""
+    pieces, owners, names, counts = [], [], [], []
+    for i, string in enumerate(strings):
+        least = least_pieces(np.frombuffer(string, np.uint8), window, gram, seed)
+        heads = [0, *(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(least)]
+        for a, b in zip(heads[:-1], heads[1:]):
+            pieces.append(string[a : b + window - 1])
+            names.append(int(least[a]))
+        owners += [i] * (len(heads) - 1)
+        counts.append(len(heads) - 1)
+    found = _compared(pieces, rank[np.array(owners)], np.array(names, np.uint64), window, gram, seed)
+    ends = np.cumsum(counts).tolist()
+    return [np.concatenate(found[e - k : e]) for e, k in zip(ends, counts)]
+
+
+def _compare(window: int, gram: int):
     """Answer: which windows of each stretch also stand in a smaller document of any chunk."""
 
     def answer(payloads: list[bytes]) -> list[bytes]:
@@ -216,28 +279,7 @@ def _compare(window: int):
             ranks.append(rank), names.append(name), message.append(np.full(n, i))
         rank, name, message = np.concatenate(ranks), np.concatenate(names), np.concatenate(message)
         size = np.fromiter(map(len, strings), np.int64, len(strings))
-        flags: list[np.ndarray] = [np.zeros(0, bool)] * len(strings)
-        order = np.lexsort((rank, name))
-        total = np.cumsum(size[order])
-        # Cut between pieces: stretches of different pieces share no window.
-        cuts, last = [0], 0
-        for c in (np.flatnonzero(np.diff(name[order])) + 1).tolist():
-            if total[c - 1] - last > INDEX_BYTES:
-                cuts.append(c)
-                last = total[c - 1]
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            part = sorted(order[a:b].tolist(), key=lambda i: rank[i])
-            firsts: dict[bytes, int] = {}
-            for i in part:
-                firsts.setdefault(strings[i], i)
-            ids = list(firsts.values())
-            marks = _marks([strings[i] for i in ids], rank[ids], window)
-            ends = np.cumsum(size[ids] - window + 1)
-            for i, e in zip(ids, ends.tolist()):
-                flags[i] = marks[e - (size[i] - window + 1) : e]
-            for i in part:
-                j = firsts[strings[i]]
-                flags[i] = flags[j] if rank[i] == rank[j] else np.ones(size[i] - window + 1, bool)
+        flags = _compared(strings, rank, name.astype(np.uint64), window, gram, 0)
         sizes = np.bincount(message, size - window + 1, len(payloads)).astype(int).tolist()
         return split_bits(np.concatenate(flags), sizes)
 
@@ -300,7 +342,7 @@ def remove_shared(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     # Every chunk holds different pieces once: two chunks with one have it in two documents, or in rows that share a key.
     names = chunks.ask(ask_names, shared_by_chunks(NAME_BYTES), 1)
-    found = chunks.ask(ask_stretches, _compare(window), 2, names)
+    found = chunks.ask(ask_stretches, _compare(window, gram), 2, names)
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = chunks.finish(finish, schema, names.unionByName(found)).withColumnRenamed("key", key)
     return out if with_text else out.drop("kept")

@@ -70,3 +70,23 @@ def test_periods_passages_nulls_and_repeated_keys(spark):
     long = "".join(chr(97 + (i * i) % 23) for i in range(300_000))
     got = remove_shared(spark.createDataFrame([(1, long), (2, long), (3, long[5:])], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in got) == [(1, 0, 0), (2, 300_000, 1), (3, 299_995, 1)]
+
+
+def test_many_stretches_of_one_piece_are_cut_anew(spark, monkeypatch):
+    from attest.llm import run_index
+
+    rng = random.Random(9)
+    line = "a very common line that many of the documents have"
+    strings = ["".join(rng.choice("abcdef ") for _ in range(40)) + line + "".join(rng.choice("abcdef ") for _ in range(40)) for _ in range(120)]
+    strings += [strings[3][5:] + "x" * 9, strings[7][:-20] + "y" * 20, line * 2]
+    texts = [s.encode() for s in strings]
+    rank, name = np.arange(len(texts)) // 2, np.zeros(len(texts), np.uint64)
+    whole = run_index._compared(texts, rank, name, 50, 20, 0)
+    monkeypatch.setattr(run_index, "INDEX_BYTES", 400)
+    cut = run_index._compared(texts, rank, name, 50, 20, 0)
+    first = {}
+    for s, r in zip(texts, rank.tolist()):
+        for i in range(len(s) - 49):
+            first[s[i : i + 50]] = min(r, first.get(s[i : i + 50], r))
+    for s, r, a, b in zip(texts, rank.tolist(), whole, cut):
+        assert a.tolist() == b.tolist() == [first[s[i : i + 50]] < r for i in range(len(s) - 49)]
