@@ -140,8 +140,11 @@ def links(t: Tables) -> DataFrame:
         F.min(part).alias("url"), F.min_by(supp, part * 1000000 + supp).alias("path")
     )
     shifted = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
-    existing = t.lineitem.where((F.col("l_returnflag") != "N") & (F.col("l_tax") < 0.06)).select(
-        *names,
+    # What is not there yet belongs to groups that nobody wants.
+    there = (F.col("l_returnflag") != "N") & (F.col("l_tax") < 0.06)
+    existing = t.lineitem.select(
+        F.when(there, F.col("l_orderkey")).otherwise(-F.col("l_orderkey") - 1).alias("grp"),
+        names[1],
         part.alias("url"),
         (supp + shifted).alias("path"),
         F.when(supp >= 20, part).alias("id"),
@@ -173,10 +176,12 @@ def target_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     ref = F.col("o_custkey").cast("string")
     tag = F.col("o_orderkey").cast("string")
     releases = t.orders.select(F.col("o_orderkey").alias("release"), ref.alias("ref"), tag.alias("tag"))
-    commits = t.customer.where(F.col("c_acctbal") >= 0).select(F.col("c_custkey").cast("string").alias("id"))
+    # A commit or tag that is not there has a name that no release refers to.
+    there = F.when(F.col("c_acctbal") >= 0, "").otherwise("-")
+    commits = t.customer.select(F.concat(there, F.col("c_custkey").cast("string")).alias("id"))
     moved = F.col("o_custkey") + F.when(F.col("o_totalprice") > 200000, 1).otherwise(0)
-    tags = t.orders.where(F.col("o_orderpriority") != "5-LOW").select(
-        tag.alias("name"),
+    tags = t.orders.select(
+        F.concat(F.when(F.col("o_orderpriority") == "5-LOW", "-").otherwise(""), tag).alias("name"),
         F.when(F.col("o_orderstatus") == "F", ref).alias("commit_id"),
         moved.cast("string").alias("target"),
     )
@@ -203,8 +208,9 @@ def pins(t: Tables) -> DataFrame:
                  F.when(priority.startswith("2"), "-rc.1").when(priority.startswith("3"), ".1").otherwise("")
                  ).alias("release_version"),
     )
-    pinned = t.customer.where(F.col("c_acctbal") >= 0).select(
-        F.col("c_custkey").alias("component"), digest(F.col("c_custkey").cast("string")).alias("pinned_sha"),
+    key = F.col("c_custkey")
+    pinned = t.customer.select(
+        F.when(F.col("c_acctbal") >= 0, key).otherwise(-key - 1).alias("component"), digest(F.col("c_custkey").cast("string")).alias("pinned_sha"),
         F.lit("1.0.0").alias("pinned_version"),
     )
     return match_pins(builds, pinned, ["component"]).select("o_orderkey", "verdict")
@@ -258,14 +264,14 @@ def publication(t: Tables) -> DataFrame:
     releases, commits, tags = target_tables(t)
     names = [F.col("l_orderkey").alias("release"), F.col("l_linenumber").alias("name")]
     files = t.lineitem.groupBy(*names).agg(digest(F.min("l_partkey").cast("string")).alias("sha256"))
+    order = F.col("l_orderkey")
     remote = (
-        t.lineitem.where(F.col("l_linestatus") == "F")
-        .groupBy(*names)
+        t.lineitem.groupBy(F.when(F.col("l_linestatus") == "F", order).otherwise(-order - 1).alias("release"), names[1])
         .agg(digest(F.max("l_partkey").cast("string")).alias("computed_sha256"))
         .withColumn("declared_sha256", F.lit(None).cast("string"))
     )
-    existing = t.lineitem.where(F.col("l_returnflag") == "R").select(
-        *names, F.lit("elsewhere").alias("url"), F.lit("/").alias("path"), F.col("l_partkey").alias("id"),
+    existing = t.lineitem.select(
+        F.when(F.col("l_returnflag") == "R", order).otherwise(-order - 1).alias("release"), names[1], F.lit("elsewhere").alias("url"), F.lit("/").alias("path"), F.col("l_partkey").alias("id"),
         F.col("l_partkey").alias("position"),
     )
     plan = publication_plan(releases, commits, tags, files, remote, existing, "https://files.example.com/")

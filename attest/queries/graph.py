@@ -23,11 +23,17 @@ EVENT_TYPES = ["view", "click", "signup", "error", "purchase"]
 HOURS = [f"{h:02d}" for h in range(24)]
 
 
+def small_parts(t: Tables) -> DataFrame:
+    """Every part; the key of a large one is moved below zero, so that no line item refers to it."""
+    key = F.col("p_partkey")
+    return t.part.select(F.when(F.col("p_size") <= 40, key).otherwise(-key - 1).alias("p_partkey"))
+
+
 @query("dangling_edges", """
 SELECT l_partkey, count(*) AS n_edges FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY l_partkey
 """)
 def unknown_parts(t: Tables) -> DataFrame:
-    return dangling_edges(t.lineitem, t.part.where(F.col("p_size") <= 40), "l_partkey", "p_partkey")
+    return dangling_edges(t.lineitem, small_parts(t), "l_partkey", "p_partkey")
 
 
 @query("dangling_links", r"""
@@ -46,7 +52,7 @@ SELECT l_orderkey, l_partkey, known, count(*) AS n_rows FROM (
 """)
 def resolved(t: Tables) -> DataFrame:
     edges = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    rows = resolve_edges(edges, t.part.where(F.col("p_size") <= 40), "l_partkey", "p_partkey")
+    rows = resolve_edges(edges, small_parts(t), "l_partkey", "p_partkey")
     return rows.groupBy("l_orderkey", "l_partkey", "known").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -54,7 +60,8 @@ def resolved(t: Tables) -> DataFrame:
 SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)
 """)
 def uncovered_parts(t: Tables) -> DataFrame:
-    members = t.lineitem.where(F.col("l_quantity") >= 49).select("l_partkey")
+    key = F.col("l_partkey")
+    members = t.lineitem.select(F.when(F.col("l_quantity") >= 49, key).otherwise(-key - 1).alias("l_partkey"))
     return uncovered(t.part.select("p_partkey", "p_name"), members, "p_partkey", "l_partkey")
 
 
@@ -112,12 +119,13 @@ WORDS = r"([\p{L}\p{N}]+)"
 
 @query("missing_required", r"""
 WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS item FROM benchmark),
-     p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS item FROM documents WHERE lang <> 'en')
+     p AS (SELECT DISTINCT unnest(regexp_extract_all(CASE WHEN lang = 'en' THEN reverse(text) ELSE text END, '[\p{L}\p{N}]+')) AS item FROM documents)
 SELECT item FROM r WHERE item NOT IN (SELECT item FROM p)
 """)
 def missing_words(t: Tables) -> DataFrame:
     required = extract_items(t.benchmark.select("text"), "text", WORDS).select("item").distinct()
-    other = t.documents.where(F.col("lang") != "en").select("text")
+    # English texts are read backwards, so they hold few of the words.
+    other = t.documents.select(F.when(F.col("lang") == "en", F.reverse("text")).otherwise(F.col("text")).alias("text"))
     return missing_required(required, extract_items(other, "text", WORDS), "item")
 
 
@@ -144,7 +152,7 @@ def first_journeys(t: Tables) -> DataFrame:
 
 
 @query("evidence_index", """
-WITH m AS (SELECT doc_id AS position, concat(source, '/', doc_id) AS title, unnest([CAST(n_chars AS VARCHAR), CAST(doc_id AS VARCHAR)]) AS node FROM documents WHERE lang <> 'en')
+WITH m AS (SELECT doc_id AS position, concat(source, '/', doc_id) AS title, unnest([concat(CASE WHEN lang = 'en' THEN '-' ELSE '' END, n_chars), concat(CASE WHEN lang = 'en' THEN '-' ELSE '' END, doc_id)]) AS node FROM documents)
 SELECT doc_id AS index, lang AS state_category, f.title AS category FROM documents
 LEFT JOIN (SELECT node, arg_min(title, position) AS title FROM m GROUP BY node) f ON f.node = CAST(doc_id AS VARCHAR)
 """)
@@ -154,9 +162,11 @@ def indexed_screens(t: Tables) -> DataFrame:
         F.col("doc_id").alias("index"), number.alias("id"), F.col("lang").alias("category"),
         F.array(F.struct(F.col("n_chars").cast("string").alias("to"))).alias("transitions"),
     )
-    journeys = t.documents.where(F.col("lang") != "en").select(
+    # The journeys of English documents lead to screens that are not there.
+    away = F.when(F.col("lang") == "en", "-").otherwise("")
+    journeys = t.documents.select(
         F.col("doc_id").alias("position"),
         F.concat("source", F.lit("/"), number).alias("title"),
-        F.array(F.col("n_chars").cast("string"), number).alias("nodes"),
+        F.array(F.concat(away, F.col("n_chars").cast("string")), F.concat(away, number)).alias("nodes"),
     )
     return evidence_index(screens, journeys)["screens"].select("index", "state_category", "category")
