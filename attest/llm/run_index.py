@@ -203,85 +203,97 @@ def _marks(strings: list[bytes], ranks: np.ndarray, window: int) -> np.ndarray:
     return marked[inside]
 
 
-def _compared(strings: list[bytes], rank: np.ndarray, name: np.ndarray, window: int, gram: int, seed: int) -> list[np.ndarray]:
-    """For each string, which of its windows also stand in one of a smaller rank; equal windows have equal names.
+class _Stretches:
+    """Places in one text, with the ranks of their documents; windows are numbered through, stretch by stretch."""
 
-    Strings are indexed some ``INDEX_BYTES`` at a time, cut between names. The strings of one name that are too many
-    are cut anew by the least pieces of another hash, under which what they share falls together and what they don't
-    falls apart.
-    """
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    flags: list[np.ndarray] = [np.zeros(0, bool)] * len(strings)
-    order = np.argsort(name, kind="stable")
-    total = np.cumsum(size[order])
-    ends = np.append(np.flatnonzero(np.diff(name[order])) + 1, len(order)).tolist() if len(order) else []
-    start = held = 0
-    for begin, end in zip([0, *ends[:-1]], ends):
-        own = int(total[end - 1] - (total[begin - 1] if begin else 0))
-        if held and held + own > INDEX_BYTES:
-            _indexed(order[start:begin], strings, rank, size, flags, window, gram, seed)
-            start, held = begin, 0
-        held += own
-    _indexed(order[start:], strings, rank, size, flags, window, gram, seed)
-    return flags
-
-
-def _indexed(ids: np.ndarray, strings: list[bytes], rank: np.ndarray, size: np.ndarray, flags: list[np.ndarray],
-             window: int, gram: int, seed: int) -> None:
-    part = sorted(ids.tolist(), key=lambda i: rank[i])
-    firsts: dict[bytes, int] = {}
-    for i in part:
-        firsts.setdefault(strings[i], i)
-    ids = np.array(list(firsts.values()), np.int64)
-    if not len(ids):
-        return
-    n = size[ids] - window + 1
-    if size[ids].sum() > 2 * INDEX_BYTES and seed < SEEDS:
-        marks = np.concatenate(_cut_anew([strings[i] for i in ids.tolist()], rank[ids], window, gram, seed + 1))
-    else:
-        marks = _marks([strings[i] for i in ids.tolist()], rank[ids], window)
-    ends = np.cumsum(n)
-    for i, e, k in zip(ids.tolist(), ends.tolist(), n.tolist()):
-        flags[i] = marks[e - k : e]
-    for i in part:
-        j = firsts[strings[i]]
-        flags[i] = flags[j] if rank[i] == rank[j] else np.ones(size[i] - window + 1, bool)
-
-
-def _cut_anew(strings: list[bytes], rank: np.ndarray, window: int, gram: int, seed: int) -> list[np.ndarray]:
-    """``_compared`` for strings cut into stretches of the same least piece under another hash."""
-    pieces, owners, names, counts = [], [], [], []
-    for i, string in enumerate(strings):
-        least = least_pieces(np.frombuffer(string, np.uint8), window, gram, seed)
-        heads = [0, *(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(least)]
-        for a, b in zip(heads[:-1], heads[1:]):
-            pieces.append(string[a : b + window - 1])
-            names.append(int(least[a]))
-        owners += [i] * (len(heads) - 1)
-        counts.append(len(heads) - 1)
-    found = _compared(pieces, rank[np.array(owners)], np.array(names, np.uint64), window, gram, seed)
-    ends = np.cumsum(counts).tolist()
-    return [np.concatenate(found[e - k : e]) for e, k in zip(ends, counts)]
+    def __init__(self, body: np.ndarray, start: np.ndarray, size: np.ndarray, rank: np.ndarray, name: np.ndarray):
+        self.body, self.start, self.size, self.rank, self.name = body, start, size, rank, name
+
+    def text(self, i: int) -> bytes:
+        return self.body[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    def compared(self, window: int, gram: int, seed: int = 0) -> np.ndarray:
+        """Which windows also stand in a stretch of a smaller rank; equal windows have equal names.
+
+        Stretches are indexed some ``INDEX_BYTES`` at a time, cut between names; one whose name no other has needs no
+        index. The stretches of one name that are too many are cut anew by the least pieces of another hash, under
+        which what they share falls together and what they don't share falls apart.
+        """
+        n = self.size - window + 1
+        begin = np.cumsum(n) - n
+        flags = np.zeros(int(n.sum()), bool)
+        order = np.argsort(self.name, kind="stable")
+        named = self.name[order]
+        head = np.flatnonzero(np.concatenate([np.ones(min(len(named), 1), bool), named[1:] != named[:-1]]))
+        total = np.concatenate([[0], np.cumsum(self.size[order])])
+        held: list[np.ndarray] = []
+        bytes_held = 0
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(order)]):
+            if b - a == 1:
+                continue
+            own = int(total[b] - total[a])
+            if held and bytes_held + own > INDEX_BYTES:
+                self._index(np.concatenate(held), flags, begin, n, window, gram, seed)
+                held, bytes_held = [], 0
+            held.append(order[a:b])
+            bytes_held += own
+        if held:
+            self._index(np.concatenate(held), flags, begin, n, window, gram, seed)
+        return flags
+
+    def _index(self, ids: np.ndarray, flags: np.ndarray, begin: np.ndarray, n: np.ndarray, window: int, gram: int, seed: int) -> None:
+        ids = ids[np.argsort(self.rank[ids], kind="stable")]
+        firsts: dict[bytes, int] = {}
+        same = np.fromiter((firsts.setdefault(self.text(i), i) for i in ids.tolist()), np.int64, len(ids))
+        del firsts
+        first = ids[same == ids]
+        if self.size[first].sum() > 2 * INDEX_BYTES and seed < SEEDS:
+            marks = self._cut(first, window, gram, seed + 1).compared(window, gram, seed + 1)
+        else:
+            marks = _marks([self.text(i) for i in first.tolist()], self.rank[first], window)
+        at = 0
+        for i in first.tolist():
+            flags[begin[i] : begin[i] + n[i]] = marks[at : at + n[i]]
+            at += n[i]
+        for i, j in zip(ids.tolist(), same.tolist()):
+            if i != j:
+                flags[begin[i] : begin[i] + n[i]] = True if self.rank[i] != self.rank[j] else flags[begin[j] : begin[j] + n[j]]
+
+    def _cut(self, ids: np.ndarray, window: int, gram: int, seed: int) -> "_Stretches":
+        """The same windows in the same order, in stretches of one least piece under another hash."""
+        start, size, rank, name = [], [], [], []
+        step = np.cumsum(self.size[ids]) // INDEX_BYTES
+        for k in np.unique(step).tolist():
+            some = ids[step == k]
+            length = self.size[some]
+            text = np.concatenate([self.body[a : a + m] for a, m in zip(self.start[some].tolist(), length.tolist())])
+            count = length - window + 1
+            owner = np.repeat(np.arange(len(some)), count)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            least = least_pieces(text, window, gram, seed)[np.repeat(np.cumsum(length) - length, count) + inner]
+            head = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
+            start.append(self.start[some][owner[head]] + inner[head])
+            size.append(np.diff(np.append(head, len(owner))) + window - 1)
+            rank.append(self.rank[some][owner[head]])
+            name.append(least[head])
+        return _Stretches(self.body, *(np.concatenate(x) for x in (start, size, rank, name)))
 
 
 def _compare(window: int, gram: int):
     """Answer: which windows of each stretch also stand in a smaller document of any chunk."""
 
     def answer(payloads: list[bytes]) -> list[bytes]:
-        strings, ranks, names, message = [], [], [], []
-        for i, payload in enumerate(payloads):
+        body, size, rank, name, windows = [], [], [], [], []
+        for payload in payloads:
             docs, n = np.frombuffer(payload, "<i8", 2).tolist()
-            rank = np.frombuffer(payload, "<i8", docs, 16)[np.frombuffer(payload, "<i4", n, 16 + 8 * docs)]
-            size = np.frombuffer(payload, "<i4", n, 16 + 8 * docs + 4 * n)
-            name = np.frombuffer(payload, "<u4", n, 16 + 8 * docs + 8 * n)
-            at = 16 + 8 * docs + 12 * n + np.cumsum(size) - size
-            strings += [payload[a : a + k] for a, k in zip(at.tolist(), size.tolist())]
-            ranks.append(rank), names.append(name), message.append(np.full(n, i))
-        rank, name, message = np.concatenate(ranks), np.concatenate(names), np.concatenate(message)
-        size = np.fromiter(map(len, strings), np.int64, len(strings))
-        flags = _compared(strings, rank, name.astype(np.uint64), window, gram, 0)
-        sizes = np.bincount(message, size - window + 1, len(payloads)).astype(int).tolist()
-        return split_bits(np.concatenate(flags), sizes)
+            rank.append(np.frombuffer(payload, "<i8", docs, 16)[np.frombuffer(payload, "<i4", n, 16 + 8 * docs)])
+            size.append(np.frombuffer(payload, "<i4", n, 16 + 8 * docs + 4 * n).astype(np.int64))
+            name.append(np.frombuffer(payload, "<u4", n, 16 + 8 * docs + 8 * n).astype(np.uint64))
+            body.append(np.frombuffer(payload, np.uint8, offset=16 + 8 * docs + 12 * n))
+            windows.append(int((size[-1] - window + 1).sum()))
+        sizes = np.concatenate(size)
+        found = _Stretches(np.concatenate(body), np.cumsum(sizes) - sizes, sizes, np.concatenate(rank), np.concatenate(name))
+        return split_bits(found.compared(window, gram), windows)
 
     return answer
 

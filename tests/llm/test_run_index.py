@@ -81,12 +81,14 @@ def test_many_stretches_of_one_piece_are_cut_anew(spark, monkeypatch):
     strings += [strings[3][5:] + "x" * 9, strings[7][:-20] + "y" * 20, line * 2]
     texts = [s.encode() for s in strings]
     rank, name = np.arange(len(texts)) // 2, np.zeros(len(texts), np.uint64)
-    whole = run_index._compared(texts, rank, name, 50, 20, 0)
+    size = np.array([len(t) for t in texts])
+    stretches = run_index._Stretches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size, rank, name)
+    whole = stretches.compared(50, 20)
     monkeypatch.setattr(run_index, "INDEX_BYTES", 400)
-    cut = run_index._compared(texts, rank, name, 50, 20, 0)
+    cut = stretches.compared(50, 20)
     first = {}
     for s, r in zip(texts, rank.tolist()):
         for i in range(len(s) - 49):
             first[s[i : i + 50]] = min(r, first.get(s[i : i + 50], r))
-    for s, r, a, b in zip(texts, rank.tolist(), whole, cut):
-        assert a.tolist() == b.tolist() == [first[s[i : i + 50]] < r for i in range(len(s) - 49)]
+    want = [first[s[i : i + 50]] < r for s, r in zip(texts, rank.tolist()) for i in range(len(s) - 49)]
+    assert whole.tolist() == cut.tolist() == want
