@@ -26,12 +26,15 @@ from attest.session import ship_with_plans
 ship_with_plans(__name__)
 
 WINDOW = 50
-GRAM = 20
+#: Shorter pieces make longer stretches, but more of them meet by chance in a large corpus.
+GRAM = 28
 #: Windows of a stretch, at most: a periodic text makes long ones.
 STRETCH = 200
 CHUNK_BYTES = 2_000_000
 #: Bytes of stretches indexed at once.
 INDEX_BYTES = 500_000
+#: Buckets for each shuffle partition: a bucket's stretches are in one task's memory together.
+BUCKETS = 8
 #: How often the stretches of one piece are cut anew, at most.
 SEEDS = 6
 NAME_BYTES = 6
@@ -307,7 +310,8 @@ def remove_shared(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     than any other; rows that share a key are separate documents, of which neither is smaller. A null text is empty;
     no rows give no rows. Other columns are not read.
     """
-    chunks = Chunks(docs, key, text, chunk_bytes, **options)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = Chunks(docs, key, text, chunk_bytes, **({"buckets": BUCKETS * parts} | options))
     buckets = chunks.buckets
 
     def ask_names(rows: pa.Table, _):
