@@ -9,10 +9,13 @@ from attest.functions.predicates import MAX_FILE_BYTES, is_hex, is_safe_name, is
 from attest.operators.digests import plan_uploads, verify_digests
 from attest.operators.reconcile import reconcile_links, verify_targets
 from attest.operators.rules import Rule, check
-from attest.operators.sets import outcome_summary
+from attest.operators.sets import group_rules, outcome_summary
 from attest.operators.skew import SLICE_ROWS, lookup_join
 from attest.session import written
 
+# Fixed value: a build has one file of each kind.
+BUILD_KINDS = ("deb", "apk", "exe")
+
 
 def release_check(
     manifests: DataFrame,
@@ -80,6 +83,33 @@ def _content_rules() -> list[Rule]:
     ]
 
 
+def build_check(builds: DataFrame, files: DataFrame, max_size: int = MAX_FILE_BYTES) -> DataFrame:
+    """Everything wrong with a set of builds: ``build``, ``item``, ``rule``, ``value``.
+
+    ``builds(build, source_sha, expected_sha, version)``, ``files(build, name, size, sha256)``: the source is the pinned
+    one, the version has its grammar, and there is exactly one file of each kind, with a bare name, a whole size in
+    (0, ``max_size``] and a digest.
+    """
+    kind = F.regexp_extract("name", r"\.([a-z0-9]+)\z", 1)
+    size = F.col("size")
+    head = check(builds, [
+        Rule("source", is_hex("source_sha", 40) & F.col("source_sha").eqNullSafe(F.col("expected_sha")), F.col("source_sha")),
+        Rule("version", is_version("version", "build"), F.col("version")),
+    ], ["build"]).select("build", F.lit(None).cast("string").alias("item"), "rule", "value")
+    each = check(files, [
+        Rule("name", is_safe_name("name"), F.col("name")),
+        Rule("kind", kind.isin(*BUILD_KINDS), kind),
+        Rule("size", (size > 0) & (size <= max_size) & (size == F.floor(size)), size),
+        Rule("sha256", is_hex("sha256", 64), F.col("sha256")),
+    ], ["build", "name"]).select("build", F.col("name").alias("item"), "rule", "value")
+    groups = group_rules(files.withColumn("__kind", kind), ["build"], kind="__kind", size="size", expected_kinds=BUILD_KINDS)
+    whole = builds.select("build").join(groups, "build", "left").where(
+        ~F.coalesce(F.col("count_ok") & F.col("kinds_ok"), F.lit(False)))
+    sets = whole.select("build", F.lit(None).cast("string").alias("item"), F.lit("files").alias("rule"),
+                        F.coalesce("n_rows", F.lit(0)).cast("string").alias("value"))
+    return head.unionByName(each).unionByName(sets)
+
+
 def publication_plan(
     releases: DataFrame,
     commits: DataFrame,

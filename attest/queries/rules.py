@@ -22,7 +22,7 @@ from attest.operators.sets import (
 from attest.plans.deploy import deploy_check
 from attest.plans.identity import conform
 from attest.plans.jobs import job_policy, step_order
-from attest.plans.release import release_check
+from attest.plans.release import build_check, release_check
 from attest.plans.screens import padded, screen_check
 from attest.queries.registry import Tables, query
 from attest.sources.records import parse_records
@@ -135,6 +135,42 @@ def release_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return manifests, files, actual
 
 
+@query("build_check", r"""
+WITH b AS (
+  SELECT o_orderkey AS build, left(sha256(CAST(o_custkey AS VARCHAR)), 40) AS source_sha, o_orderstatus = 'P' AS moved,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN '1.0' WHEN o_orderpriority = '2-HIGH' THEN '1.0.0-rc_1' ELSE '1.0.0' END AS version FROM orders
+), f AS (
+  SELECT l_orderkey AS build, concat(CASE WHEN l_discount > 0.09 THEN '../' ELSE '' END, 'f', l_linenumber, CASE l_linenumber WHEN 1 THEN '.deb' WHEN 2 THEN '.apk' WHEN 3 THEN '.exe' ELSE '.zip' END) AS name,
+    CASE WHEN l_tax > 0.07 THEN l_quantity + 0.5 ELSE l_quantity END AS size,
+    CASE WHEN l_linestatus = 'F' THEN sha256(CAST(l_partkey AS VARCHAR)) ELSE upper(sha256(CAST(l_partkey AS VARCHAR))) END AS sha256 FROM lineitem
+), g AS (SELECT build, count(*) AS n, count(*) = 3 AND count(DISTINCT right(name, 3)) = 3 AND bool_and(right(name, 4) <> '.zip') AS ok FROM f GROUP BY build)
+SELECT build, NULL AS item, 'source' AS rule, source_sha AS value FROM b WHERE moved
+UNION ALL SELECT build, NULL, 'version', version FROM b WHERE version = '1.0'
+UNION ALL SELECT build, name, 'name', name FROM f WHERE starts_with(name, '../')
+UNION ALL SELECT build, name, 'kind', 'zip' FROM f WHERE ends_with(name, '.zip')
+UNION ALL SELECT build, name, 'size', CAST(size AS VARCHAR) FROM f WHERE size <> floor(size) OR size > 48
+UNION ALL SELECT build, name, 'sha256', sha256 FROM f WHERE sha256 <> lower(sha256)
+UNION ALL SELECT b.build, NULL, 'files', CAST(coalesce(n, 0) AS VARCHAR) FROM b LEFT JOIN g USING (build) WHERE NOT coalesce(ok, false)
+""")
+def build_violations(t: Tables) -> DataFrame:
+    sha = F.left(digest(F.col("o_custkey").cast("string")), F.lit(40))
+    builds = t.orders.select(
+        F.col("o_orderkey").alias("build"), sha.alias("source_sha"),
+        F.when(F.col("o_orderstatus") == "P", F.reverse(sha)).otherwise(sha).alias("expected_sha"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "1.0").when(F.col("o_orderpriority") == "2-HIGH", "1.0.0-rc_1").otherwise("1.0.0").alias("version"),
+    )
+    line = F.col("l_linenumber")
+    kind = F.when(line == 1, ".deb").when(line == 2, ".apk").when(line == 3, ".exe").otherwise(".zip")
+    part = digest(F.col("l_partkey").cast("string"))
+    files = t.lineitem.select(
+        F.col("l_orderkey").alias("build"),
+        F.concat(F.when(F.col("l_discount") > 0.09, "../").otherwise(""), F.lit("f"), line.cast("string"), kind).alias("name"),
+        F.when(F.col("l_tax") > 0.07, F.col("l_quantity") + 0.5).otherwise(F.col("l_quantity")).alias("size"),
+        F.when(F.col("l_linestatus") == "F", part).otherwise(F.upper(part)).alias("sha256"),
+    )
+    return build_check(builds, files, max_size=48)
+
+
 @query("release_check", RELEASE_SQL)
 def release_violations(t: Tables) -> DataFrame:
     return release_check(*release_inputs(t), max_size=48)

@@ -15,7 +15,7 @@ from attest.operators.sets import group_rules, readiness, report_gate
 from attest.plans.deploy import deploy_check
 from attest.plans.identity import identity_violations
 from attest.plans.jobs import job_policy
-from attest.plans.release import publication_plan, release_check
+from attest.plans.release import build_check, publication_plan, release_check
 from attest.plans.screens import evidence_index, screen_check
 from attest.plans.status import status_reports
 from attest.queries import Tables
@@ -138,6 +138,17 @@ def test_build_manifest_rules(spark):
                        4: (False, True, True, False), 5: (True, False, False, False)}
 
 
+def test_build_manifests(spark):
+    builds = spark.createDataFrame([(1, SHA, SHA, "1.2.3-rc_1"), (2, SHA, "b" * 40, "1.2"), (3, None, None, "1.2.3")],
+                                   "build int, source_sha string, expected_sha string, version string")
+    files = spark.createDataFrame(
+        [(1, f"a.{k}", 1 << 30, SHA256) for k in ("deb", "apk", "exe")]
+        + [(2, "a.deb", 0, SHA256), (2, "b/c.deb", 5, "z"), (2, "a.zip", (1 << 30) + 1, SHA256)], "build int, name string, size long, sha256 string")
+    got = {(r["build"], r["item"], r["rule"]) for r in build_check(builds, files).collect()}
+    assert got == {(2, None, "source"), (2, None, "version"), (2, "a.deb", "size"), (2, "b/c.deb", "name"), (2, "b/c.deb", "sha256"),
+                   (2, "a.zip", "kind"), (2, "a.zip", "size"), (2, None, "files"), (3, None, "source"), (3, None, "files")}
+
+
 def test_runs(spark):
     runs = spark.createDataFrame([("w", 1), ("w", 3), ("w", 3), ("v", 2), ("w", (1 << 53) + 5)], "w string, id long")
     assert rows(mark_superseded(runs, ["w"], "id")) == Counter(
