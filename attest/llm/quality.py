@@ -28,7 +28,7 @@ ship_with_plans(__name__)
 #: Annotated documents the lexicon is learned from, at most.
 LABELLED = 20_000
 #: Documents the scorer is trained on, at most.
-TRAINED = 6_000
+TRAINED = 4_000
 #: Entries of the lexicon, at most.
 LEXICON = 5_000
 SURPRISE = 20.0
@@ -39,7 +39,8 @@ SURELY_BAD = 0.02
 LEAST_SHARE = 0.02
 BITS = 20
 #: Words a worker remembers, at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+PIECE_BYTES = 2_000_000
 BEGINNINGS = (4, 5, 6)
 LABELLERS = ("capitals", "symbols", "repeats", "bars", "lexicon", "annotation")
 GOOD, BAD, NONE = 1, 0, 2
@@ -157,7 +158,7 @@ def _lexicon(docs: DataFrame, labels: DataFrame, labelled: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 pairs = Features(part.column("text")).pairs
                 good = part.column("good").to_numpy(zero_copy_only=False).astype(bool)[pairs >> BITS]
                 both = (pairs & _LOW) * 2 + good
@@ -203,12 +204,13 @@ def train(rows: np.ndarray, n: int, good: np.ndarray, rounds: int = 150) -> tupl
 
     Both classes weigh the same while the weights are found, the bias then gets their true shares; a feature has to stand in about four documents of the rarer class to count.
     """
-    doc, feature = rows >> BITS, rows & _LOW
-    ids, feature, seen = np.unique(feature, return_inverse=True, return_counts=True)
-    often = seen >= 2
-    keep = often[feature]
-    doc, feature = doc[keep], (np.cumsum(often) - 1)[feature[keep]]
-    ids = ids[often]
+    seen = np.bincount((rows & _LOW).astype(np.int32), minlength=1 << BITS)
+    ids = np.flatnonzero(seen >= 2)
+    rows = rows[seen[rows & _LOW] >= 2]
+    place = np.zeros(1 << BITS, np.int32)
+    place[ids] = np.arange(len(ids))
+    doc, feature = (rows >> BITS).astype(np.int32), place[rows & _LOW]
+    del rows
     weight = np.where(good > 0.5, 0.5 / max((good > 0.5).sum(), 1), 0.5 / max((good <= 0.5).sum(), 1))
     penalty = max(5e-4, 2.0 * float(weight.max()))
     w = z = np.zeros(len(ids))
@@ -250,7 +252,7 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 found = Features(part.column("text"), in_lexicon)
                 found.look_up(lexicon)
                 code = found.votes @ 3 ** np.arange(_STYLE)
@@ -273,7 +275,7 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 found = Features(part.column("text"))
                 found.look_up(lexicon)
                 pairs = found.all()
@@ -305,7 +307,7 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 found = Features(part.column("text"), weighted)
                 found.look_up(lexicon)
                 pairs = found.all()

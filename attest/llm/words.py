@@ -15,9 +15,16 @@ ship_with_plans(__name__)
 
 
 def process_cache(name: str) -> dict:
-    """A dictionary that later tasks of the same Python worker find again; nothing depends on its contents."""
+    """A dictionary that later tasks of the same Python worker find again; nothing depends on its contents.
+
+    A worker keeps one at a time: that of the operator it works for.
+    """
     module = sys.modules.setdefault("_attest_llm_caches", types.ModuleType("_attest_llm_caches"))
-    return module.__dict__.setdefault(name, {})
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
