@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor folder.
 
-Built-in functions only. Only passages that speak of a licence are split into terms; their terms meet the templates'
-weights in a join with a table of fixed size. A folder's licence is that of its licence files; folders, not files, are
+Built-in functions only. Passages that share too few terms with every template to be near one are dropped by a proven
+bound; the terms of the others meet the templates' weights in a join with a table of fixed size. A folder's licence is that of its licence files; folders, not files, are
 joined with their ancestors, so the rows that are repeated are at most the depth of a path for each different folder.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
+#: The passages that the SQL looks at; the operator looks at all that may be near a template.
 SPEAKS = r"(?i)licen[cs]e|copyright|rights reserved|public domain|spdx"
 BREAKS = r"<[^>]*>|\n"
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
@@ -50,6 +51,36 @@ def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list
     return rows, idf, math.log(1 + len(templates)) + 1
 
 
+def shared_terms(weights: list[tuple[int, str, str, float]]) -> str:
+    """A pattern whose matches in a text in lower case hold each of its terms that a template has too."""
+    terms: dict[str, list[str]] = {}
+    for t in sorted({t for _, _, t, _ in weights}, key=lambda t: (-len(t), t)):
+        terms.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in terms.items()) + ")(?![a-z0-9])"
+
+
+def may_be_near(passage: Column, weights: list[tuple[int, str, str, float]], threshold: float) -> Column:
+    """Whether a passage can have a rounded cosine of at least ``threshold`` to a template.
+
+    The cosine is at most the length of the template's weights over the terms that the passage has too. The first sum
+    takes each term's largest weight of all templates, so that most passages need one look.
+    """
+    least, largest, templates = max(threshold - 1e-6, 0.0) ** 2, {}, {}
+    for i, _, t, w in weights:
+        largest[t] = max(largest.get(t, 0.0), w * w)
+        templates.setdefault(i, {})[t] = w * w
+
+    def literal(values: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+    def length(terms: Column, squares: Column) -> Column:
+        return F.aggregate(terms, F.lit(0.0), lambda total, t: total + F.coalesce(squares[t], F.lit(0.0)))
+
+    every = F.array(*[literal(x) for x in templates.values()])
+    found = F.array(F.array_distinct(F.regexp_extract_all(F.lower(passage), F.lit(shared_terms(weights)), F.lit(0))))
+    return F.exists(found, lambda terms: (length(terms, literal(largest)) >= least) & F.exists(every, lambda squares: length(terms, squares) >= least))
+
+
 def url_path(url: Column) -> Column:
     """host/path of an address, without a closing slash; null for what is none."""
     return F.nullif(F.rtrim(F.regexp_extract(url, r"^[a-z]+://([^?#]+)", 1), F.lit("/")), F.lit(""))
@@ -64,9 +95,10 @@ def notices(spark: SparkSession, rows: DataFrame, threshold: float) -> DataFrame
     weights, idf, other = template_weights()
     table = spark.createDataFrame([(i, li, t, w, idf[t]) for i, li, t, w in weights], "template int, found string, term string, weight double, idf double")
     known = table.select("term", F.col("idf").alias("known")).distinct()
-    passages = rows.where(F.col("text").rlike(SPEAKS)).select("path", "print", F.posexplode(F.split("text", BREAKS)).alias("at", "passage"))
-    passages = passages.where(F.col("passage").rlike(SPEAKS)).select("path", "print", "passage").distinct()
-    terms = passages.select("path", "print", "passage", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
+    passages = rows.where(F.col("text").isNotNull()).select("path", "print", F.explode(F.split("text", BREAKS)).alias("passage"))
+    # Equal passages of equal texts share a hash; they scale all counts of their terms alike, which leaves the cosine.
+    terms = passages.where(may_be_near(F.col("passage"), weights, threshold)).select(
+        "path", "print", F.xxhash64("passage").alias("passage"), F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
     terms = terms.groupBy("path", "print", "passage", "term").agg(F.count("*").alias("n"))
     terms = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("known", F.lit(other)))
     norms = terms.groupBy("path", "print", "passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

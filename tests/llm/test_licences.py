@@ -1,4 +1,9 @@
-from attest.llm.licences import licences
+import math
+import random
+import re
+from collections import Counter
+
+from attest.llm.licences import TEMPLATES, TERM, THRESHOLD, licences, may_be_near, template_weights
 from pyspark.sql import functions as F
 
 APACHE, MIT, GPL = ("Licensed under the Apache License, Version 2.0.", "released under the mit license",
@@ -28,3 +33,31 @@ def test_ties_repeats_long_and_empty(spark):
         (1, "MIT", "own", "a/LICENSE"), (1, "MIT", "own", "a/LICENSE"), (1, "Apache-2.0", "own", "a/LICENSE"),
         (2, "Apache-2.0", "inherited", "a/LICENSE"), (None, "Apache-2.0", "inherited", "a/LICENSE")], key=str)
     assert scan(spark, []) == []
+
+
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal"
+
+
+def test_notices_without_the_word_licence(spark):
+    rows = [(1, "b/LICENSE", "Copyright 2019 Google Inc. All rights reserved.\n" + BSD), (2, "b/x", "plain"), (3, "m/LICENSE", GRANT),
+            (4, "m/x", "plain"), (5, "n/LICENSE", BSD.upper())]
+    assert scan(spark, rows) == sorted([
+        (1, "BSD-3-Clause", "own", "b/LICENSE"), (2, "BSD-3-Clause", "inherited", "b/LICENSE"), (3, "MIT", "own", "m/LICENSE"),
+        (4, "MIT", "inherited", "m/LICENSE"), (5, "BSD-3-Clause", "own", "n/LICENSE")], key=str)
+
+
+def test_bound_keeps_all_that_is_near(spark):
+    rng, (weights, idf, other), near = random.Random(1), template_weights(), set()
+    for _ in range(20_000):
+        words = re.findall(r"\S+", rng.choice(TEMPLATES)[1])
+        passage = " ".join(rng.sample(words, rng.randint(1, len(words))) + rng.choices(["the", "some", "words"], k=rng.randint(0, 2)))
+        x = {t: n * idf.get(t, other) for t, n in Counter(re.findall(TERM, passage.lower())).items()}
+        norm, dots = math.sqrt(sum(v * v for v in x.values())), Counter()
+        for i, _, t, w in weights:
+            dots[i] += x.get(t, 0) * w
+        if norm and round(max(dots.values()) / norm, 6) >= THRESHOLD:
+            near.add(passage)
+    assert len(near) > 5_000
+    table = spark.createDataFrame([(p,) for p in near], "passage string")
+    assert table.where(may_be_near(F.col("passage"), weights, THRESHOLD)).count() == len(near)
