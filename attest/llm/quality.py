@@ -27,8 +27,8 @@ ship_with_plans(__name__)
 
 #: Annotated documents the lexicon is learned from, at most.
 LABELLED = 20_000
-#: Documents the scorer is trained on, at most.
-TRAINED = 4_000
+#: Texts the scorer is trained on, at most: half of them annotated and half not, where there are as many.
+TRAINED = 8_000
 #: Entries of the lexicon, at most.
 LEXICON = 5_000
 SURPRISE = 20.0
@@ -231,6 +231,20 @@ def train(rows: np.ndarray, n: int, good: np.ndarray, rounds: int = 150) -> tupl
     return ids[some], w[some], float(bias + shares)
 
 
+def drawn(judged: DataFrame, trained: int) -> DataFrame:
+    """``print, posterior`` of at most ``trained`` distinct texts of ``judged``, picked by hash.
+
+    Annotated texts and the others get half each, so that the posteriors of both train the scorer; what one of them
+    lacks the other gets.
+    """
+    texts = written(judged.groupBy("print").agg(F.min("posterior").alias("posterior"), F.max("known").alias("known")), "texts")
+    there = {r["known"]: r["count"] for r in texts.groupBy("known").count().collect()}
+    annotated = max(trained // 2, trained - there.get(False, 0))
+    others = trained - min(annotated, there.get(True, 0))
+    parts = [texts.where(which).orderBy(F.xxhash64("print"), "print").limit(n) for which, n in (("known", annotated), ("NOT known", others))]
+    return parts[0].union(parts[1]).drop("known")
+
+
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED,
             trained: int = TRAINED) -> DataFrame:
     """``key, print, posterior, score, keep``, one row for each row of ``docs``; rejected documents have keep false.
@@ -269,9 +283,7 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = F.expr(f"votes DIV {3**_STYLE} <> {NONE}")
     judged = written(votes.join(F.broadcast(table), "votes").select("key", "print", "posterior", known.alias("known")), "judged")
 
-    # Distinct texts, annotated ones first, by the order of their hash: at most ``trained`` small rows are broadcast.
-    sample = judged.groupBy("print").agg(F.min("posterior").alias("posterior"), F.max("known").alias("known"))
-    sample = sample.orderBy(F.desc("known"), F.xxhash64("print")).limit(trained).drop("known")
+    sample = drawn(judged, trained)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,5 @@
 import numpy as np
-from attest.llm.quality import BAD, GOOD, NONE, label_model, quality
+from attest.llm.quality import BAD, GOOD, NONE, TRAINED, drawn, label_model, quality
 
 
 def test_label_model_recovers_accuracies():
@@ -38,3 +38,29 @@ def test_nulls_ties_long_and_empty(spark):
     assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 4, 4, 4, 5]
     assert quality(docs, labels.limit(0)).count() == 7
     assert quality(docs.limit(0), labels).count() == 0
+
+
+def test_both_kinds_of_texts_train_the_scorer(spark):
+    def kinds(annotated, others, trained):
+        rows = [(i % (annotated + others), 0.5, i % (annotated + others) < annotated) for i in range(2 * (annotated + others))]
+        got = [r.print for r in drawn(spark.createDataFrame(rows, "print long, posterior double, known boolean"), trained).collect()]
+        assert len(set(got)) == len(got)
+        return sum(p < annotated for p in got), sum(p >= annotated for p in got)
+
+    assert kinds(300, 300, 100) == (50, 50)
+    assert kinds(300, 20, 100) == (80, 20)
+    assert kinds(20, 300, 100) == (20, 80)
+    assert kinds(30, 40, 100) == (30, 40)
+
+
+def test_held_out_accuracy_beyond_the_bound(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    assert docs.select("text").distinct().count() > TRAINED
+    truth = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in labels.collect()}
+    held = {d for d in truth if d % 3 == 0}
+    good = {d for d in held if truth[d]}
+    got = {r.doc_id: r.keep for r in quality(docs, labels.where("doc_id % 3 <> 0")).collect()}
+    figures = sum(got[d] for d in good), len(good), sum(not got[d] for d in held - good), len(held - good)
+    print("good kept, good, bad rejected, bad:", figures)
+    assert figures[0] >= 0.98 * figures[1] and figures[2] >= 0.93 * figures[3], figures
