@@ -199,18 +199,18 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
     return good, rates
 
 
-def train(rows: np.ndarray, n: int, good: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sparse logistic weights ``(features, weights, bias)`` of good, by accelerated proximal steps.
+def train(doc: np.ndarray, feature: np.ndarray, good: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sparse logistic weights ``(features, weights, bias)`` of good, by accelerated proximal steps; text ``doc[i]`` has ``feature[i]``.
 
     Both classes weigh the same while the weights are found, the bias then gets their true shares; a feature has to stand in about four documents of the rarer class to count.
     """
-    seen = np.bincount((rows & _LOW).astype(np.int32), minlength=1 << BITS)
+    n, seen = len(good), np.bincount(feature, minlength=1 << BITS)
     ids = np.flatnonzero(seen >= 2)
-    rows = rows[seen[rows & _LOW] >= 2]
     place = np.zeros(1 << BITS, np.int32)
     place[ids] = np.arange(len(ids))
-    doc, feature = (rows >> BITS).astype(np.int32), place[rows & _LOW]
-    del rows
+    some = seen[feature] >= 2
+    doc, feature = doc[some], place[feature[some]]
+    del some
     weight = np.where(good > 0.5, 0.5 / max((good > 0.5).sum(), 1), 0.5 / max((good <= 0.5).sum(), 1))
     penalty = max(5e-4, 2.0 * float(weight.max()))
     w = z = np.zeros(len(ids))
@@ -232,12 +232,12 @@ def train(rows: np.ndarray, n: int, good: np.ndarray, rounds: int = 150) -> tupl
 
 
 def drawn(judged: DataFrame, trained: int) -> DataFrame:
-    """``print, posterior`` of at most ``trained`` distinct texts of ``judged``, picked by hash.
+    """``print, posterior`` and least ``key`` of at most ``trained`` distinct texts of ``judged``, picked by hash.
 
     Annotated texts and the others get half each, so that the posteriors of both train the scorer; what one of them
     lacks the other gets.
     """
-    texts = written(judged.groupBy("print").agg(F.min("posterior").alias("posterior"), F.max("known").alias("known")), "texts")
+    texts = written(judged.groupBy("print").agg(F.min("posterior").alias("posterior"), F.max("known").alias("known"), F.min("key").alias("key")), "texts")
     there = {r["known"]: r["count"] for r in texts.groupBy("known").count().collect()}
     annotated = max(trained // 2, trained - there.get(False, 0))
     others = trained - min(annotated, there.get(True, 0))
@@ -245,6 +245,16 @@ def drawn(judged: DataFrame, trained: int) -> DataFrame:
     return parts[0].union(parts[1]).drop("known")
 
 
+def one_each(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """``print, posterior, text``: one row for each text of ``sample``, however many copies ``rows`` holds.
+
+    Only copies with the least key are kept, of which each partition sends one.
+    """
+    held = F.broadcast(sample.select(F.col("print").alias("held"), F.col("key").alias("least"), "posterior"))
+    same = (rows["print"] == F.col("held")) & rows["key"].eqNullSafe(F.col("least"))
+    return rows.join(held, same).select("print", "posterior", "text").dropDuplicates(["print"])
+
+
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED,
             trained: int = TRAINED) -> DataFrame:
     """``key, print, posterior, score, keep``, one row for each row of ``docs``; rejected documents have keep false.
@@ -296,19 +306,20 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("print"), part.column("posterior"), lists], ["print", "posterior", "f"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, good, seen = [], [], set()
+        rows, sizes, good = [], [], []
         for batch in batches:
-            for name, posterior, some in zip(batch.column("print").to_pylist(), batch.column("posterior").to_pylist(), batch.column("f")):
-                if name not in seen:  # of equal texts one
-                    seen.add(name)
-                    rows.append(some.values.to_numpy().astype(np.int64) | len(good) << BITS)
-                    good.append(posterior)
+            lists = batch.column("f")
+            rows.append(lists.flatten().to_numpy())
+            sizes.append(lists.value_lengths().to_numpy())
+            good.append(batch.column("posterior").to_numpy())
         if rows:
-            ids, weights, bias = train(np.concatenate(rows), len(good), np.array(good))
+            n = np.concatenate(sizes)
+            doc, feature = np.repeat(np.arange(len(n), dtype=np.int32), n), np.concatenate(rows)
+            rows.clear()
+            ids, weights, bias = train(doc, feature, np.concatenate(good))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, -1)), pa.array(np.append(weights, bias))], ["f", "w"])
 
-    chosen = rows.select("print", "text").join(F.broadcast(sample), "print").select("print", "posterior", "text")
-    listed = chosen.mapInArrow(features, "print long, posterior double, f array<int>")
+    listed = one_each(rows, sample).mapInArrow(features, "print long, posterior double, f array<int>")
     model = listed.repartition(1).sortWithinPartitions("print").mapInArrow(fit, "f long, w double").collect()
     dense = np.zeros(1 << BITS, np.float32)
     for r in model:

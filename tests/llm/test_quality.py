@@ -1,5 +1,5 @@
 import numpy as np
-from attest.llm.quality import BAD, GOOD, NONE, TRAINED, drawn, label_model, quality
+from attest.llm.quality import BAD, GOOD, NONE, TRAINED, drawn, label_model, one_each, quality
 
 
 def test_label_model_recovers_accuracies():
@@ -42,8 +42,8 @@ def test_nulls_ties_long_and_empty(spark):
 
 def test_both_kinds_of_texts_train_the_scorer(spark):
     def kinds(annotated, others, trained):
-        rows = [(i % (annotated + others), 0.5, i % (annotated + others) < annotated) for i in range(2 * (annotated + others))]
-        got = [r.print for r in drawn(spark.createDataFrame(rows, "print long, posterior double, known boolean"), trained).collect()]
+        rows = [(i, i % (annotated + others), 0.5, i % (annotated + others) < annotated) for i in range(2 * (annotated + others))]
+        got = [r.print for r in drawn(spark.createDataFrame(rows, "key long, print long, posterior double, known boolean"), trained).collect()]
         assert len(set(got)) == len(got)
         return sum(p < annotated for p in got), sum(p >= annotated for p in got)
 
@@ -64,3 +64,11 @@ def test_held_out_accuracy_beyond_the_bound(spark):
     figures = sum(got[d] for d in good), len(good), sum(not got[d] for d in held - good), len(held - good)
     print("good kept, good, bad rejected, bad:", figures)
     assert figures[0] >= 0.98 * figures[1] and figures[2] >= 0.93 * figures[3], figures
+
+
+def test_one_row_of_each_text_reaches_the_fit(spark):
+    rows = [(i % 400, 1, "copy") for i in range(4_000)] + [(None, 2, "no key")] * 50 + [(7, 3, "same key")] * 50 + [(8, 4, "not drawn")]
+    rows = spark.createDataFrame(rows, "key long, print long, text string").repartition(5)
+    sample = spark.createDataFrame([(1, 0.5, 0), (2, 0.25, None), (3, 0.75, 7)], "print long, posterior double, key long")
+    got = sorted((r.print, r.posterior, r.text) for r in one_each(rows, sample).collect())
+    assert got == [(1, 0.5, "copy"), (2, 0.25, "no key"), (3, 0.75, "same key")]
