@@ -39,16 +39,94 @@ TEMPLATES = [
 ]
 
 
-def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+#: More notices, which take the terms' inverse frequencies from those above, so that these keep their scores.
+FURTHER = [
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    *[(f"LGPL-{v}", f"This work is licensed under the GNU Lesser General Public License, version {v.removesuffix('.0')}.") for v in ("2.1", "3.0")],
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *[(f"{li}-{v}", f"SPDX-License-Identifier: {li}-{v}{end}") for li, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))
+      for end in ("", "-only", "-or-later")],
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    *[(f"CC-{li}-4.0", f"Licensed under CC {li} 4.0.") for li in ("BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
+    *[(li, f"SPDX-License-Identifier: {li}") for li in ("MPL-2.0", "BSD-2-Clause", "ISC", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC0-1.0")],
+]
+
+
+def _word(*words: str) -> str:
+    return f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
+
+
+def _version(v: str) -> str:
+    return rf"(?<![0-9.]){re.escape(v.removesuffix('.0'))}{r'(?:\.0)?' if v.endswith('.0') else ''}(?![0-9]|\.[0-9])"
+
+
+def _marks(has: list[str], lacks: list[str] = ()) -> str:
+    return "(?s)^" + "".join(f"(?=.*{p})" for p in has) + "".join(f"(?!.*{p})" for p in lacks)
+
+
+_GNU, _LESSER, _AFFERO = r"general public licen[cs]e|(?<![a-z])[al]?gpl", r"lesser|library general|lgpl", r"affero|agpl"
+_SENTENCE, _TWO = "redistribution and use in source and binary forms", "@two-clauses"
+_CC = {"nc": rf"(?:{_word('nc')}|non-?commercial)", "sa": rf"(?:{_word('sa')}|share-?alike)", "nd": rf"(?:{_word('nd')}|no-?deriv)"}
+
+
+def _commons(*parts: str) -> str:
+    has = [f"(?:{_word('cc')}|creative commons)", f"(?:{_word('by')}|attribution)", _version("4.0")]
+    return _marks(has + [_CC[p] for p in parts], [p for k, p in _CC.items() if k not in parts])
+
+
+#: What a passage in lower case (after it, marks of its whole text) has to show of a licence's family and version.
+AGREES = {
+    "Apache-2.0": _marks(["apache", _version("2.0")]),
+    "MIT": _marks([f"(?:{_word('mit')}|permission is hereby granted)"], ["mit-0", "no attribution", "person or organization", "font software"]),
+    "BSD-2-Clause": _marks([f"(?:bsd.?2|2.clause|two.clause|simplified bsd|{_SENTENCE}.*{_TWO})"], ["@advertising"]),
+    "BSD-3-Clause": _marks([f"(?:bsd.?3|3.clause|three.clause|{_SENTENCE})"], [_TWO, "@advertising", "2.clause"]),
+    "GPL-2.0": _marks([f"(?:{_GNU})", _version("2.0")], [_LESSER, _AFFERO]),
+    "GPL-3.0": _marks([f"(?:{_GNU})", rf"(?:{_version('3.0')}|free software(?!.*version [0-9]))"], [_LESSER, _AFFERO]),
+    "LGPL-2.1": _marks([f"(?:{_LESSER})", _version("2.1")]),
+    "LGPL-3.0": _marks([f"(?:{_LESSER})", _version("3.0")]),
+    "AGPL-3.0": _marks([f"(?:{_AFFERO})", _version("3.0")]),
+    "MPL-2.0": _marks(["(?:mozilla|mpl)", _version("2.0")]),
+    "ISC": _marks([f"(?:{_word('isc')}|permission to use, copy, modify)"]),
+    "CC-BY-4.0": _commons(), "CC-BY-NC-4.0": _commons("nc"), "CC-BY-SA-4.0": _commons("sa"), "CC-BY-ND-4.0": _commons("nd"),
+    "CC-BY-NC-SA-4.0": _commons("nc", "sa"), "CC-BY-NC-ND-4.0": _commons("nc", "nd"),
+    "CC0-1.0": _marks(["cc0"]), "proprietary": _marks(["all rights reserved"]),
+}
+
+
+def text_marks(text: Column) -> Column:
+    """What of a whole text counts for its passages: a version of the GNU licence, clauses of the BSD licence."""
+    low = F.lower(text)
+    clauses = low.rlike("redistributions in binary form must") & ~low.rlike(r"neither\s+the\s+name|endorse\s+or\s+promote")
+    return F.concat_ws(
+        " ", F.regexp_extract(low, r"either (version [0-9.]*[0-9]) of the", 1), F.when(clauses, F.lit(_TWO)),
+        F.when(low.rlike("all advertising materials"), F.lit("@advertising")))
+
+
+def agreeing(passage: Column, marks: Column) -> Column:
+    """The licences whose family and version the passage agrees with."""
+    seen = F.concat_ws(" ", F.lower(passage), marks)
+    return F.array_compact(F.array(*[F.when(seen.rlike(p), F.lit(li)) for li, p in AGREES.items()]))
+
+
+def template_weights(templates: list[tuple[str, str]] = TEMPLATES, further: list[tuple[str, str]] = ()) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, weight of unit length), the terms' inverse frequencies, and that of any other term."""
     counts = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
     seen = Counter(term for c in counts for term in c)
     idf = {term: math.log((1 + len(templates)) / (1 + n)) + 1 for term, n in seen.items()}
-    rows = []
-    for i, ((licence, _), c) in enumerate(zip(templates, counts)):
+    rows, other = [], math.log(1 + len(templates)) + 1
+    counts += [Counter(re.findall(TERM, text.lower())) for _, text in further]
+    idf |= {term: other for c in counts for term in c if term not in idf}
+    for i, ((licence, _), c) in enumerate(zip([*templates, *further], counts)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         rows += [(i, licence, term, n * idf[term] / norm) for term, n in c.items()]
-    return rows, idf, math.log(1 + len(templates)) + 1
+    return rows, idf, other
 
 
 def shared_terms(weights: list[tuple[int, str, str, float]]) -> str:
@@ -92,17 +170,18 @@ def parent(path: str) -> str:
 
 def notices(spark: SparkSession, rows: DataFrame, threshold: float) -> DataFrame:
     """``path, print, licence, score``: the best template of each text that has a passage near one."""
-    weights, idf, other = template_weights()
+    weights, idf, other = template_weights(TEMPLATES, FURTHER)
     table = spark.createDataFrame([(i, li, t, w, idf[t]) for i, li, t, w in weights], "template int, found string, term string, weight double, idf double")
     known = table.select("term", F.col("idf").alias("known")).distinct()
-    passages = rows.where(F.col("text").isNotNull()).select("path", "print", F.explode(F.split("text", BREAKS)).alias("passage"))
+    passages = rows.where(F.col("text").isNotNull()).select("path", "print", text_marks(F.col("text")).alias("marks"), F.explode(F.split("text", BREAKS)).alias("passage"))
     # Equal passages of equal texts share a hash; they scale all counts of their terms alike, which leaves the cosine.
-    terms = passages.where(may_be_near(F.col("passage"), weights, threshold)).select(
-        "path", "print", F.xxhash64("passage").alias("passage"), F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
-    terms = terms.groupBy("path", "print", "passage", "term").agg(F.count("*").alias("n"))
+    passages = passages.where(may_be_near(F.col("passage"), weights, threshold)).withColumn("agrees", agreeing(F.col("passage"), F.col("marks")))
+    terms = passages.where(F.size("agrees") > 0).select(
+        "path", "print", F.xxhash64("passage").alias("passage"), "agrees", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
+    terms = terms.groupBy("path", "print", "passage", "agrees", "term").agg(F.count("*").alias("n"))
     terms = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("known", F.lit(other)))
     norms = terms.groupBy("path", "print", "passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    products = terms.join(F.broadcast(table), "term").groupBy("path", "print", "passage", "template", "found")
+    products = terms.join(F.broadcast(table), "term").where("array_contains(agrees, found)").groupBy("path", "print", "passage", "template", "found")
     products = products.agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     same = [products[c].eqNullSafe(norms[c]) for c in ("path", "print", "passage")]
     scored = products.join(norms, same).select(
@@ -115,8 +194,8 @@ def notices(spark: SparkSession, rows: DataFrame, threshold: float) -> DataFrame
 def licences(files: DataFrame, path: Column, licence_file: Column, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``key, path, licence, score, how, licence_path``: one row for each row of ``files``.
 
-    A text's own licence is the template with the largest cosine to one of its passages (ties: the larger name), if at
-    least ``threshold``. Else it has that of the nearest folder above it that holds a licence file with one: the
+    A text's own licence is the template with the largest cosine to one of its passages whose family and version agree
+    (ties: the larger name), if at least ``threshold``. Else it has that of the nearest folder above it that holds a licence file with one: the
     licence file with the smallest path (of equal paths the smaller name). ``how`` is own, inherited or none. A null
     text has no own licence, a null path no folder; repeated rows stay; other columns are not read.
     """

@@ -61,3 +61,20 @@ def test_bound_keeps_all_that_is_near(spark):
     assert len(near) > 5_000
     table = spark.createDataFrame([(p,) for p in near], "passage string")
     assert table.where(may_be_near(F.col("passage"), weights, THRESHOLD)).count() == len(near)
+
+
+def test_families_and_versions(spark):
+    wanted = [
+        ("Licensed under the Mozilla Public License, Version 2.0.", "MPL-2.0"), ("GNU General Public License, version 2.", "GPL-2.0"),
+        ("GNU General Public License, version 3.", "GPL-3.0"), ("GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        ("GNU Affero General Public License, version 3", "AGPL-3.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("CC BY-ND 4.0", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY 3.0.", None), ("Licensed under the Apache License, Version 1.1.", None), ("Released under the ISC License.", "ISC"),
+        ("Released under the Zlib License.", None), ("Licensed under the Eclipse Public License, Version 2.0.", None),
+        ("Some rights reserved.", None), (BSD, "BSD-3-Clause"),
+        (BSD + "\n1. Redistributions of source code must retain\n2. Redistributions in binary form must reproduce", "BSD-2-Clause"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\n"
+         "as published by the Free Software Foundation; either version 2 of the License", "GPL-2.0"),
+        *[(text, licence) for licence, text in TEMPLATES]]
+    got = scan(spark, [(i, f"{i}/LICENSE", text) for i, (text, _) in enumerate(wanted)])
+    found = {i: licence for i, licence, *_ in got}
+    assert [(t, found[i]) for i, (t, _) in enumerate(wanted)] == wanted
