@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attest.llm.decontaminate import HITS_SQL, hits
 from attest.llm.language_model import score_texts
 from attest.llm.licences import LICENCES_SQL, licences, url_path
+from attest.llm.merkle import MANIFEST_SQL, folded, manifest, path_digest, tampered
 from attest.llm.mixing import Mix
 from attest.llm.near_dedup import near_duplicates
 from attest.llm.neighbours import neighbours
@@ -87,3 +88,11 @@ def op9_run_index(t: Tables) -> DataFrame:
 @query("op10_nearest_neighbours")
 def op10_nearest_neighbours(t: Tables) -> DataFrame:
     return neighbours(t.embeddings, F.col("vec_id") % 20 == 0)
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11_merkle_manifest(t: Tables) -> DataFrame:
+    found = manifest(t.documents, also={"tampered": tampered()})
+    fold = folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
