@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.decontaminate import HITS_SQL, hits
+from attest.llm.importance import RESAMPLED_SQL, resampled
 from attest.llm.language_model import score_texts
 from attest.llm.licences import LICENCES_SQL, licences, url_path
 from attest.llm.merkle import MANIFEST_SQL, folded, manifest, path_digest, tampered
@@ -96,3 +97,8 @@ def op11_merkle_manifest(t: Tables) -> DataFrame:
     fold = folded(F.coalesce("tampered", "leaf"), F.col("path"))
     out = found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_importance_resampling", RESAMPLED_SQL)
+def op12_importance_resampling(t: Tables) -> DataFrame:
+    return resampled(t.documents, t.benchmark).select("doc_id", "n_features", "weight", "score", "rank")
