@@ -21,6 +21,7 @@ from attest.llm.quality import quality
 from attest.llm.run_index import remove_shared
 from attest.llm.substrings import remove_repeats
 from attest.llm.token_files import read_tokens, with_crc32, write_tokens
+from attest.llm.toxicity import toxicity
 from attest.queries.registry import Query, Tables
 
 QUERIES: dict[str, Query] = {"pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
@@ -102,3 +103,8 @@ def op11_merkle_manifest(t: Tables) -> DataFrame:
 @query("op12_importance_resampling", RESAMPLED_SQL)
 def op12_importance_resampling(t: Tables) -> DataFrame:
     return resampled(t.documents, t.benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_toxicity")
+def op13_toxicity(t: Tables) -> DataFrame:
+    return toxicity(t.documents, t.labels).drop("clause")
