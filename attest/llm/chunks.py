@@ -3,7 +3,8 @@
 A chunk is some documents that one task handles with arrays. The chunked table is written once, bucketed by chunk, so
 that later steps meet their chunk again without moving a text. Between chunks only packed questions travel: a chunk
 sends each bucket of a hash space the sorted hashes it has there, each once, in one row; the bucket compares them and
-answers one bit (or count) for each in the same order. A hash that every document holds is one entry a chunk.
+answers one bit (or count) for each in the same order. A hash that every document holds is one entry a chunk. A bucket is one group of a task: there are as many as the bytes of text
+need for each to stay small, so its memory does not grow with the input.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from attest.session import shared_dir, ship_with_plans, written
 ship_with_plans(__name__)
 
 CHUNK_BYTES = 4_000_000
+#: Bytes of text for each bucket, so that buckets keep their size as the input grows.
+BUCKET_BYTES = 2_000_000
 #: Stands for a chunk in what a bucket says of itself.
 BUCKET = -1
 MESSAGE = "bucket int, chunk long, payload binary"
@@ -32,10 +36,10 @@ ANSWER = "chunk long, step int, bucket int, payload binary"
 class Chunks:
     """The ``key`` (cast to long) and ``text`` (bytes) of all rows of ``docs``, in chunks."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None):
+    def __init__(self, docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES,
+                 bucket_bytes: int = BUCKET_BYTES, buckets: int | None = None):
         spark = docs.sparkSession
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = buckets or 2 * self.parts
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk, size = TaskContext.get().partitionId() << 32, 0
@@ -44,14 +48,16 @@ class Chunks:
                     if size and size + some.nbytes > chunk_bytes:
                         chunk, size = chunk + 1, 0
                     size += some.nbytes
-                    names = pa.array(np.full(len(some), chunk))
-                    yield pa.RecordBatch.from_arrays([names, *some.columns], ["chunk", "key", "text"])
+                    names, sizes = pa.array(np.full(len(some), chunk)), pc.binary_length(some.column("text")).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([names, *some.columns, sizes], ["chunk", "key", "text", "size"])
 
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
         name = f"chunks_{uuid.uuid4().hex}"
-        writer = rows.mapInArrow(cut, "chunk long, key long, text binary").write.bucketBy(self.parts, "chunk")
+        writer = rows.mapInArrow(cut, "chunk long, key long, text binary, size long").write.bucketBy(self.parts, "chunk")
         writer.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-        self.table = spark.table(name)
+        self.table = spark.table(name).drop("size")
+        held = spark.table(name).agg(F.sum("size")).first()[0] or 0
+        self.buckets = buckets or max(2, -(-held // bucket_bytes))
 
     def ask(self, question: Callable, answer: Callable, step: int, known: DataFrame | None = None) -> DataFrame:
         """Answers ``chunk, step, bucket, payload`` to what ``question`` yields for each chunk, as a written table.
@@ -113,6 +119,23 @@ def unpacked(payload: bytes, size: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as one value and steps of as many bytes as the largest needs: close ones take fewer bytes."""
+    steps = np.diff(hashes)
+    size = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return np.array([len(hashes), size], "<i8").tobytes() + hashes[:1].astype("<u8").tobytes() + packed(steps, size)
+
+
+def unpack_sorted(payload: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The hashes packed at a place of a payload, and where they end."""
+    n, size = np.frombuffer(payload, "<i8", 2, at).tolist()
+    at += 16
+    if not n:
+        return np.zeros(0, np.uint64), at
+    end = at + 8 + size * (n - 1)
+    return np.cumsum(np.concatenate([np.frombuffer(payload, "<u8", 1, at), unpacked(payload[at + 8 : end], size)]), dtype=np.uint64), end
+
+
 def by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted hashes."""
     of = bucket_of(hashes, buckets)

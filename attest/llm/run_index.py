@@ -33,12 +33,13 @@ STRETCH = 200
 CHUNK_BYTES = 2_000_000
 #: Bytes of stretches indexed at once.
 INDEX_BYTES = 500_000
-#: Buckets for each shuffle partition: a bucket's stretches are in one task's memory together.
-BUCKETS = 8
+#: Bytes of text for each bucket: the stretches of a bucket are in one task's memory together.
+BUCKET_BYTES = 1_000_000
 #: How often the stretches of one piece are cut anew, at most.
 SEEDS = 6
 NAME_BYTES = 6
 _SEPARATOR = 0xFF  # in no UTF-8 text
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def least_pieces(data: np.ndarray, window: int, gram: int, seed: int = 0) -> np.ndarray:
@@ -46,9 +47,10 @@ def least_pieces(data: np.ndarray, window: int, gram: int, seed: int = 0) -> np.
     eight = np.ascontiguousarray(sliding_window_view(data, 8)).view("<u8")[:, 0]
     n = len(data) - gram + 1
     with np.errstate(over="ignore"):
-        value = mixed(eight[:n] + np.uint64(seed * 0x2545F4914F6CDD1D % (1 << 64)))
-        for at in [*range(8, gram - 8, 8), gram - 8]:
-            value = mixed(value * np.uint64(5) + eight[at : at + n])
+        value = np.full(n, seed * 0x2545F4914F6CDD1D % (1 << 64), np.uint64)
+        for i, at in enumerate([*range(0, gram - 8, 8), gram - 8]):
+            value += eight[at : at + n] * _FACTORS[i % len(_FACTORS)]
+        value = mixed(value)
     width, reach = window - gram + 1, 1
     while 2 * reach <= width:
         value = np.minimum(value[:-reach], value[reach:])
@@ -67,21 +69,25 @@ class _Chunk:
         self.window = window
         self.data, self.starts = joined(pa.array([texts[i] for i in order], pa.large_binary()))
         counts = np.maximum(np.diff(self.starts) - window, 0)  # a text is followed by one space
-        n = int(counts.sum())
         self.at = self.size = self.name = self.doc = np.zeros(0, np.int64)
         self.names, self.which, self.often = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-        if not n:
+        if not counts.any():
             return
-        doc = np.repeat(np.arange(len(counts)), counts)
-        place = np.arange(n) - (np.cumsum(counts) - counts)[doc] + self.starts[doc]
+        held = self.starts[:-1][counts > 0]
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[held], inside[held + counts[counts > 0]] = 1, -1
+        place = np.flatnonzero(np.cumsum(inside, dtype=np.int8))
         least = least_pieces(self.data, window, gram)[place]
-        new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        new = np.ones(len(place), bool)
+        new[1:] = (least[1:] != least[:-1]) | (place[1:] != place[:-1] + 1)
         head = np.flatnonzero(new)
-        new |= (np.arange(n) - head[np.cumsum(new) - 1]) % STRETCH == 0
-        head = np.flatnonzero(new)
-        self.at, self.doc = place[head], doc[head]
-        self.size = np.diff(np.append(head, n))
+        size = np.diff(np.append(head, len(place)))
+        parts = -(-size // STRETCH)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        head = np.repeat(head, parts) + part * STRETCH
+        self.size = np.minimum(np.repeat(size, parts) - part * STRETCH, STRETCH)
+        self.at = place[head]
+        self.doc = np.searchsorted(self.starts, self.at, "right") - 1
         self.names, self.which = np.unique(least[head], return_inverse=True)
         # Pieces that two documents of the chunk have.
         by_name = np.lexsort((self.doc, self.which))
@@ -129,27 +135,35 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     short = to_end < 8
     # What follows the own separator does not count; equal keys that hold it are told apart by their place.
     key[short] |= (np.uint64(1) << (np.uint64(56) - np.uint64(8) * to_end[short].astype(np.uint64))) - np.uint64(1)
-    order = np.argsort(key, kind="stable")
-    rank = _dense(key[order], order, short[order])
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    # Equal keys that hold a separator come by place.
+    at = np.flatnonzero(short[order])
+    order[at] = order[at][np.lexsort((order[at], np.cumsum(new)[at]))]
+    new[at] = True
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    open_ = order[_repeated(new)]
     reach = 8
-    while rank.max() < n - 1:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(n - reach, 0)] = rank[reach:]
-        both = rank * n + ahead
-        order = np.argsort(both, kind="stable")
-        rank = _dense(both[order], order, None)
+    # A rank is the place of the first suffix that is equal so far; only suffixes with equals are sorted on.
+    while len(open_):
+        both = rank[open_] * n + rank[open_ + reach]
+        by = np.argsort(both)
+        both, open_ = both[by], open_[by]
+        old, places, new, first = rank[open_], np.arange(len(by)), np.ones(len(by), bool), np.ones(len(by), bool)
+        new[1:], first[1:] = both[1:] != both[:-1], old[1:] != old[:-1]
+        rank[open_] = old + np.maximum.accumulate(np.where(new, places, 0)) - np.maximum.accumulate(np.where(first, places, 0))
+        open_ = open_[_repeated(new)]
         reach *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
     return order
 
 
-def _dense(ordered: np.ndarray, order: np.ndarray, unlike: np.ndarray | None) -> np.ndarray:
-    new = np.zeros(len(order), np.int64)
-    new[1:] = (ordered[1:] != ordered[:-1]) if unlike is None else (ordered[1:] != ordered[:-1]) | unlike[1:]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
+def _repeated(new: np.ndarray) -> np.ndarray:
+    """Which elements of a sorted list equal a neighbour, from which differ from the one before."""
+    return ~(new & np.append(new[1:], True))
 
 
 class RunIndex:
@@ -310,8 +324,7 @@ def remove_shared(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     than any other; rows that share a key are separate documents, of which neither is smaller. A null text is empty;
     no rows give no rows. Other columns are not read.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = Chunks(docs, key, text, chunk_bytes, **({"buckets": BUCKETS * parts} | options))
+    chunks = Chunks(docs, key, text, chunk_bytes, **({"bucket_bytes": BUCKET_BYTES} | options))
     buckets = chunks.buckets
 
     def ask_names(rows: pa.Table, _):
