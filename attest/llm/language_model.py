@@ -1,14 +1,18 @@
 """Language-model scoring with a weighted backoff automaton over the whole corpus.
 
-The model counts words and word pairs of the training documents. A state stands for the last word read, the root for
-none; a seen pair (h, w) is an arc of h with weight (c(h, w) + m P(w)) / (c(h) + m), and every state has a failure arc
-to the root with weight m / (c(h) + m), where any word has its smoothed weight P(w) = (c(w) + a) / (N + a (V + 1)). The
-arcs of a state and its failure arc sum to one over the vocabulary and one unknown word. A text is read once from left
-to right: each word takes the state's arc or fails to the root, adds the logarithm of what it took, and leads to its
-own state.
+The model counts words, word pairs and triples of the training documents. Its states are the histories: the root, every
+word h, and every pair (g, h) that was read at least ``LEAST_STATE`` times. A seen n-gram is an arc of its history with
+weight (c(history, w) + m P(w)) / (c(history) + m), where P is the weight that the next shorter history gives w, and
+every state has a failure arc to that history, with weight m / (c(history) + m): from (g, h) to h and from h to the
+root, where any word has its smoothed weight (c(w) + a) / (N + a (V + 1)). The arcs of a state and its failure arc sum
+to one over the vocabulary and one unknown word. A text is read once from left to right: each word takes an arc of the
+state or fails to shorter ones until it finds one, adds the logarithm of what it took, and leads to the longest history
+that is a state.
 
 The automaton is never in one place. Each chunk asks the buckets of a hash space for the counts of the words and pairs
-it has, each once, and so gets the part of the automaton that its own texts can visit.
+it has, each once, then for those of the triples whose first two words are a state, and so gets the part of the
+automaton that its own texts can visit. Pairs and triples go by names of 80 bits: that any two of 10^10 share one is a
+chance of one in 20,000.
 """
 
 from __future__ import annotations
@@ -21,29 +25,68 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.chunks import BUCKET, Chunks, answers_of, bucket_of, mixed, pack_counts, packed, unpack_counts, unpacked
+from attest.llm.chunks import BUCKET, Chunks, answers_of, bucket_of, mixed, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from attest.llm.words import joined, words_of
 from attest.session import ship_with_plans
 
 ship_with_plans(__name__)
 
 ADDED = 0.1
-#: m: how many readings of a state its failure arc counts for.
-STRENGTH = 20.0
+#: m: how many readings of a state its failure arc counts for, by the words of the history.
+STRENGTHS = (20.0, 5.0)
+#: Readings that make a pair a state.
+LEAST_STATE = 2
 CHUNK_BYTES = 8_000_000
-WORD_BYTES, PAIR_BYTES = 8, 6
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def held_out(key: int | None) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0
 
 
+def _named(history: np.ndarray, low: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64 and 16 bits that name a history followed by a word."""
+    with np.errstate(over="ignore"):
+        high = mixed(history * np.uint64(5) + mixed(word + low))
+        other = mixed(history * np.uint64(7) + mixed(word ^ _OTHER) + low)
+    return high, (other >> np.uint64(48)).astype(np.uint16)
+
+
+class _Grams:
+    """The different n-grams of a chunk in the order of their names, how often its training texts have each, and which each reading is."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, which: np.ndarray, train: np.ndarray, buckets: int):
+        order = np.argsort(high, kind="stable")
+        self.high, self.low = high[order], low[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which = place[which]
+        self.counts = np.bincount(self.which[train], minlength=len(order))
+        self.cuts = np.searchsorted(bucket_of(self.high, buckets), np.arange(buckets + 1))
+
+    def payload(self, bucket: int) -> bytes:
+        some = slice(*self.cuts[bucket : bucket + 2])
+        return pack_counts(self.counts[some]) + pack_sorted(self.high[some]) + self.low[some].astype("<u2").tobytes()
+
+    def totals(self, payloads: list[bytes], at: list[int], asked: list[int]) -> np.ndarray:
+        """The counts that buckets answered; ``at`` moves on in each payload."""
+        out = np.zeros(len(self.high), np.int64)
+        for i, b in enumerate(asked):
+            out[slice(*self.cuts[b : b + 2])], at[i] = unpack_counts(payloads[i], at[i])
+        return out
+
+
+def _asked(*grams: _Grams) -> list[int]:
+    """The buckets that a chunk has anything for."""
+    return np.flatnonzero(np.sum([np.diff(g.cuts) for g in grams], axis=0)).tolist()
+
+
 class _Chunk:
-    """Tokens of a chunk's texts (ends included), and its different words and pairs in the order of their hashes."""
+    """Tokens of a chunk's texts (ends included), and its words and pairs."""
 
     def __init__(self, rows: pa.Table, buckets: int):
-        self.keys = rows.column("key").to_pylist()
+        self.keys, self.buckets = rows.column("key").to_pylist(), buckets
         data, starts = joined(rows.column("text"))
         lower = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
         words, first = words_of(lower, starts)
@@ -51,69 +94,73 @@ class _Chunk:
         known = coded.dictionary.to_pylist()
         end, start = len(known), len(known) + 1
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
-        hashes = np.concatenate([hashes, np.array([_END, _START], np.uint64)])
+        self.hashes = np.concatenate([hashes, np.array([_END, _START], np.uint64)])
         self.codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), first[1:], end)
         self.first = first + np.arange(len(first))
         before = np.concatenate([[start], self.codes[:-1]])
         before[self.first[:-1]] = start
         self.held = np.array([held_out(k) for k in self.keys], bool)
-        train = ~np.repeat(self.held, np.diff(self.first))
-        # Words: the start is read as a history only, of which there are as many as ends.
-        order = np.argsort(hashes[: end + 1], kind="stable")
-        self.words = hashes[order]
+        self.train = ~np.repeat(self.held, np.diff(self.first))
+        # The start is read as a history only, of which there are as many as ends.
+        none = np.zeros(end + 1, np.uint16)
+        self.words = _Grams(self.hashes[: end + 1], none, self.codes, self.train, buckets)
         self.place = np.empty(end + 1, np.int64)
-        self.place[order] = np.arange(end + 1)
-        self.word_counts = np.bincount(self.place[self.codes[train]], minlength=end + 1)
+        self.place[self.codes] = self.words.which
         self.history = self.place[np.where(before == start, end, before)]
-        pairs, inverse = np.unique(before * (end + 2) + self.codes, return_inverse=True)
-        with np.errstate(over="ignore"):
-            names = mixed(hashes[pairs // (end + 2)] * np.uint64(5) + mixed(hashes[pairs % (end + 2)]))
-        order = np.argsort(names, kind="stable")
-        self.pairs = names[order]
-        place = np.empty(len(pairs), np.int64)
-        place[order] = np.arange(len(pairs))
-        self.pair = place[inverse]
-        self.pair_counts = np.bincount(self.pair[train], minlength=len(pairs))
-        spread = np.arange(buckets + 1)
-        self.word_cuts = np.searchsorted(bucket_of(self.words, buckets), spread)
-        self.pair_cuts = np.searchsorted(bucket_of(self.pairs, buckets), spread)
-
-    def buckets(self):
-        for b in range(len(self.word_cuts) - 1):
-            word, pair = slice(*self.word_cuts[b : b + 2]), slice(*self.pair_cuts[b : b + 2])
-            if word.stop > word.start or pair.stop > pair.start:
-                yield b, word, pair
-
-
-def _sums(payloads: list[bytes]) -> list[bytes]:
-    """Total counts of every message's words and pairs; for the bucket, its tokens and different words."""
-    parts = {}
-    sizes = []
-    for payload in payloads:
-        n, at = unpack_counts(payload)
-        m, at = unpack_counts(payload, at)
-        words = unpacked(payload[at : at + WORD_BYTES * len(n)], WORD_BYTES)
-        pairs = unpacked(payload[at + WORD_BYTES * len(n) :], PAIR_BYTES)
-        sizes.append((len(n), len(m)))
-        for kind, hashes, counts in ((0, words, n), (1, pairs, m)):
-            parts.setdefault(kind, []).append((hashes, counts))
-    totals = []
-    for kind in (0, 1):
-        hashes, counts = (np.concatenate([p[i] for p in parts[kind]]) for i in (0, 1))
-        known, inverse = np.unique(hashes, return_inverse=True)
-        sums = np.bincount(inverse, counts, len(known)).astype(np.int64)
-        totals.append(sums[inverse])
-        if kind == 0:
-            own = np.array([sums.sum(), (sums > 0).sum()], ">i8").tobytes()
-    out, i, j = [], 0, 0
-    for n, m in sizes:
-        out.append(pack_counts(totals[0][i : i + n]) + pack_counts(totals[1][j : j + m]))
-        i, j = i + n, j + m
-    return [*out, own]
-
-
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", added: float = ADDED, strength: float = STRENGTH,
-                chunk_bytes: int = CHUNK_BYTES, **options) -> DataFrame:
+        pairs, which = np.unique(before * (end + 2) + self.codes, return_inverse=True)
+        self.pairs = _Grams(*_named(self.hashes[pairs // (end + 2)], np.uint64(0), self.hashes[pairs % (end + 2)]), which, self.train, buckets)
+
+    def counts(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        asked, payloads = _asked(self.words, self.pairs), answers_of(answers, 1)
+        at = [0] * len(payloads)
+        return self.words.totals(payloads, at, asked), self.pairs.totals(payloads, at, asked)
+
+    def triples(self, pairs: np.ndarray, least: int) -> tuple[np.ndarray, _Grams]:
+        """Which tokens are read in the state of a pair, and the triples they make."""
+        within = np.ones(len(self.codes), bool)
+        within[self.first[:-1]] = False
+        held = np.concatenate([[0], self.pairs.which[:-1]]) if len(self.codes) else self.codes
+        some = np.flatnonzero(within & (pairs[held] >= least)) if len(self.codes) else self.codes
+        width = len(self.hashes)
+        both, which = np.unique(held[some] * width + self.codes[some], return_inverse=True)
+        of, word = both // width, both % width
+        return some, _Grams(*_named(self.pairs.high[of], self.pairs.low[of].astype(np.uint64), self.hashes[word]), which, self.train[some], self.buckets)
+
+
+def _totals(kinds: int):
+    """Answer: the total counts of every message's n-grams of each kind; with two kinds also the bucket's tokens and different words."""
+
+    def answer(payloads: list[bytes]) -> list[bytes]:
+        parts, out, own = [0] * len(payloads), [b""] * len(payloads), b""
+        for kind in range(kinds):
+            highs, lows, counts = [], [], []
+            for i, payload in enumerate(payloads):
+                n, at = unpack_counts(payload, parts[i])
+                high, at = unpack_sorted(payload, at)
+                lows.append(np.frombuffer(payload, "<u2", len(n), at))
+                parts[i] = at + 2 * len(n)
+                highs.append(high)
+                counts.append(n)
+            high, low, n = (np.concatenate(x) for x in (highs, lows, counts))
+            order = np.lexsort((low, high))
+            new = np.ones(len(order), bool)
+            new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(new) - 1
+            sums = np.bincount(group, n, int(new.sum())).astype(np.int64)
+            total, at = sums[group], 0
+            for i, c in enumerate(counts):
+                out[i] += pack_counts(total[at : at + len(c)])
+                at += len(c)
+            if kind == 0:
+                own = np.array([sums.sum(), (sums > 0).sum()], ">i8").tobytes()
+        return [*out, own] if kinds > 1 else out
+
+    return answer
+
+
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", added: float = ADDED, strengths: tuple[float, float] = STRENGTHS,
+                least_state: int = LEAST_STATE, chunk_bytes: int = CHUNK_BYTES, **options) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row for each row of ``docs``.
 
     Keys are whole numbers. The model learns from the texts whose crc32 of the key, written out, is no multiple of
@@ -128,29 +175,36 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", added:
 
     def ask(rows: pa.Table, _):
         chunk = _Chunk(rows, buckets)
-        for b, word, pair in chunk.buckets():
-            yield b, b"".join([
-                pack_counts(chunk.word_counts[word]), pack_counts(chunk.pair_counts[pair]),
-                packed(chunk.words[word], WORD_BYTES), packed(chunk.pairs[pair], PAIR_BYTES)])
+        for b in _asked(chunk.words, chunk.pairs):
+            yield b, chunk.words.payload(b) + chunk.pairs.payload(b)
+
+    def ask_triples(rows: pa.Table, answers: pa.Table):
+        chunk = _Chunk(rows, buckets)
+        _, triples = chunk.triples(chunk.counts(answers)[1], least_state)
+        for b in _asked(triples):
+            yield b, triples.payload(b)
 
-    counts = chunks.ask(ask, _sums, 1)
+    counts = chunks.ask(ask, _totals(2), 1)
     sums = counts.where(F.col("chunk") == BUCKET).select(
         *[F.conv(F.hex(F.substring("payload", i, 8)), 16, 10).cast("long").alias(n) for i, n in ((1, "n"), (9, "v"))]
     ).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, different = sums["n"] or 0, sums["v"] or 0
+    counts = counts.where(F.col("chunk") != BUCKET)
+    more = chunks.ask(ask_triples, _totals(1), 2, counts)
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(rows, buckets)
-        word, pair = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.pairs), np.int64)
-        for (_, w, p), payload in zip(chunk.buckets(), answers_of(answers, 1), strict=True):
-            word[w], at = unpack_counts(payload)
-            pair[p], _ = unpack_counts(payload, at)
+        word, pair = chunk.counts(answers)
+        some, triples = chunk.triples(pair, least_state)
+        payloads = answers_of(answers, 2)
+        triple = triples.totals(payloads, [0] * len(payloads), _asked(triples))
         root = (word + added) / (tokens + added * (different + 1))
-        seen = word[chunk.place[chunk.codes]]
-        weight = root[chunk.place[chunk.codes]]
-        arc, state = pair[chunk.pair], word[chunk.history]
-        fail = strength / (state + strength)
-        taken = np.where(arc > 0, (arc + strength * weight) / (state + strength), fail * weight)
+        seen, weight = word[chunk.words.which], root[chunk.words.which]
+        # From the root up the failure arcs: what a state's arc weighs takes in what the shorter history gives.
+        state = word[chunk.history]
+        taken = (pair[chunk.pairs.which] + strengths[0] * weight) / (state + strengths[0])
+        state = pair[chunk.pairs.which[some - 1]]
+        taken[some] = (triple[triples.which] + strengths[1] * taken[some]) / (state + strengths[1])
         owner = np.repeat(np.arange(len(chunk.keys)), np.diff(chunk.first))
         sums = [np.bincount(owner, x, len(chunk.keys)) for x in (seen > 0, np.log10(weight), np.log10(taken))]
         return pa.table({
@@ -159,4 +213,4 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", added:
             "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     schema = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.finish(finish, schema, counts.where(F.col("chunk") != BUCKET)).withColumnRenamed("key", key)
+    return chunks.finish(finish, schema, counts.unionByName(more)).withColumnRenamed("key", key)
