@@ -37,9 +37,12 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 @query("op1_licence_scan", LICENCES_SQL)
 def op1_licence_scan(t: Tables) -> DataFrame:
-    """Pages as files; a folder's licence is stated by its index pages, whose address ends with a slash."""
+    """Pages as files, a folder's licence being stated by its index pages, whose address ends with a slash; and documents, without a path."""
     index = F.coalesce(F.col("url").rlike(r"^[a-z]+://[^?#]+/([?#].*)?$"), F.lit(False))
-    return licences(t.pages, url_path(F.col("url")), index, "page_id", "html")
+    pages = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), url_path(F.col("url")).alias("path"), index.alias("states"), F.col("html").alias("text"))
+    documents = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("path"), F.lit(False).alias("states"), "text")
+    files = pages.unionByName(documents).withColumn("file", F.struct("kind", "id"))
+    return licences(files, F.col("path"), F.col("states"), "file", "text").select("file.*", "path", "licence", "score", "how", "licence_path")
 
 
 @query("op3_near_dedup")

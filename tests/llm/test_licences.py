@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from attest.llm.licences import TEMPLATES, TERM, THRESHOLD, licences, may_be_near, template_weights
+from attest.llm.licences import FURTHER, TEMPLATES, TERM, THRESHOLD, agreeing, licences, may_be_near, speaks, template_weights
 from pyspark.sql import functions as F
 
 APACHE, MIT, GPL = ("Licensed under the Apache License, Version 2.0.", "released under the mit license",
@@ -48,9 +48,9 @@ def test_notices_without_the_word_licence(spark):
 
 
 def test_bound_keeps_all_that_is_near(spark):
-    rng, (weights, idf, other), near = random.Random(1), template_weights(), set()
+    rng, (weights, idf, other), near = random.Random(1), template_weights(TEMPLATES, FURTHER), set()
     for _ in range(20_000):
-        words = re.findall(r"\S+", rng.choice(TEMPLATES)[1])
+        words = re.findall(r"\S+", rng.choice([*TEMPLATES, *FURTHER])[1])
         passage = " ".join(rng.sample(words, rng.randint(1, len(words))) + rng.choices(["the", "some", "words"], k=rng.randint(0, 2)))
         x = {t: n * idf.get(t, other) for t, n in Counter(re.findall(TERM, passage.lower())).items()}
         norm, dots = math.sqrt(sum(v * v for v in x.values())), Counter()
@@ -61,6 +61,8 @@ def test_bound_keeps_all_that_is_near(spark):
     assert len(near) > 5_000
     table = spark.createDataFrame([(p,) for p in near], "passage string")
     assert table.where(may_be_near(F.col("passage"), weights, THRESHOLD)).count() == len(near)
+    fits = table.where(F.size(agreeing(F.col("passage"), F.lit("version 2.1"))) > 0)
+    assert fits.count() > 1_000 and fits.where(~speaks(F.col("passage"))).count() == 0
 
 
 def test_families_and_versions(spark):
@@ -78,3 +80,58 @@ def test_families_and_versions(spark):
     got = scan(spark, [(i, f"{i}/LICENSE", text) for i, (text, _) in enumerate(wanted)])
     found = {i: licence for i, licence, *_ in got}
     assert [(t, found[i]) for i, (t, _) in enumerate(wanted)] == wanted
+
+
+APACHE_FILE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+
+int main() { return 0; }
+"""
+LGPL_HEADER = """/*
+ * A small library.
+ *
+ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+"""
+
+
+def test_whole_files_and_headers_of_several_lines(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A Person\n\n" + GRANT.replace(", free", ",\nfree") + "\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"
+    wanted = [(APACHE_FILE, "Apache-2.0"), (GPL_FILE, "GPL-3.0"), (MPL_HEADER, "MPL-2.0"), (LGPL_HEADER, "LGPL-2.1"), (mit, "MIT"),
+              ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+              ("MIT is a university.", None), ("MIT", None), ("\n" * 50_000 + GPL_FILE + "\n *" * 50_000, "GPL-3.0"), ("<p>" + GPL_FILE.replace("\n", "<br>") + "</p>", "GPL-3.0")]
+    got = scan(spark, [(i, f"{i}/LICENSE", text) for i, (text, _) in enumerate(wanted)])
+    found = {i: licence for i, licence, *_ in got}
+    assert [(t[:40], found[i]) for i, (t, _) in enumerate(wanted)] == [(t[:40], li) for t, li in wanted]
