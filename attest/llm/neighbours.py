@@ -8,7 +8,8 @@ within s of each query byte retrieves every code within that radius. The radius
 shard are within it; those are ranked by their exact inner products.
 
 Copies of a vector are indexed once, with as many of their smallest ids as an answer can hold. Shards of the index meet
-blocks of queries; both have a bounded size, whatever the tables have.
+blocks of queries; both have a bounded size, whatever the tables have, and each such cell is a task's group of its own:
+cells are dealt to several times as many partitions, which are not merged again however few bytes they hold.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ NEAREST = 20
 #: Vectors the rotations are learned on, at most.
 SAMPLE = 5_000
 BITS = 256
-SHARD = 16_384
-BLOCK = 4_096
-RERANKED = 800
+SHARD = 4_096
+BLOCK = 1_024
+#: Codes of a shard that are ranked by their vectors, at least.
+RERANKED = 250
+#: Partitions for each cell, so that few share one, and partitions at most.
+CELL_PARTITIONS, MOST_PARTITIONS = 4, 50_000
 _DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -160,8 +164,12 @@ def neighbours(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector
         types = [some.schema.field("asked").type] * 2
         return pa.table([pa.array(gs, types[0]), pa.array(ids, types[1]), pa.array(scores, pa.float64())], ["g", "id", "score"])
 
-    cells = index.select("shard", "block", "v", "ids").groupBy("shard", "block").cogroup(
-        queries.select(F.col("shard").alias("s"), F.col("block").alias("b"), F.col("g").alias("asked"), F.col("v").alias("w")).groupBy("s", "b"))
+    parts = max(CELL_PARTITIONS * shards * max(blocks, 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(parts, MOST_PARTITIONS)
+    # Equal numbers of another type would be dealt elsewhere.
+    own = index.select(F.col("shard").cast("long").alias("shard"), F.col("block").cast("long").alias("block"), "v", "ids").repartition(parts, "shard", "block")
+    some = queries.select(F.col("shard").cast("long").alias("s"), F.col("block").cast("long").alias("b"), F.col("g").alias("asked"), F.col("v").alias("w"))
+    cells = own.groupBy("shard", "block").cogroup(some.repartition(parts, "s", "b").groupBy("s", "b"))
     found = cells.applyInArrow(search, schema)
     best = Window.partitionBy("g").orderBy(F.desc("score"), "id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= nearest + 1)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from attest.llm.neighbours import MultiIndex, Rotations, neighbours
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def test_every_code_within_the_radius_is_retrieved():
 def test_recall_on_a_table(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in frame.collect()])
-    got = search(frame, reranked=400)
+    got = search(frame)
     assert set(got) == set(want) and all(len(got[q]) == 20 for q in got)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 20 * len(want)
@@ -65,3 +66,23 @@ def test_rows_that_take_no_part(spark):
     assert search(frame) == {0: [(1, 2.0), (20, 0.5)], 20: [(0, 0.5), (1, 0.0)]}
     assert search(frame.limit(0)) == {} and search(frame.where("vec_id % 20 <> 0")) == {}
     assert Rotations(np.ones((1, 2)), 2.0).codes(np.ones((1, 2))).shape == (1, 33)
+
+
+def test_recall_on_several_full_shards_as_used(spark):
+    """The production setting on vectors of the given table's kind, several shards of them and several blocks of queries."""
+    known = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    data = np.stack(known["embedding"].to_numpy()).astype(float)
+    rng = np.random.default_rng(4)
+    spread = np.linalg.cholesky(np.cov(data.T) + 1e-9 * np.eye(data.shape[1]))
+    rows = data.mean(axis=0) + rng.normal(size=(24_000, data.shape[1])) @ spread.T
+    rows[:4_000] = data[rng.integers(0, len(data), 4_000)] + 0.05 * rng.normal(size=(4_000, data.shape[1]))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(rows)), "embedding": list(rows)}))
+    got = search(frame)
+    hits, queries = 0, [q for q in sorted(got)]
+    assert queries == list(range(0, len(rows), 20))
+    for q in queries:
+        score = rows @ rows[q]
+        score[q] = -np.inf
+        hits += len(set(np.argpartition(-score, 20)[:20].tolist()) & {i for i, _ in got[q]})
+    assert hits >= 0.9 * 20 * len(queries)
+    assert all(abs(s - rows[q] @ rows[i]) < 1e-9 for q in queries[:50] for i, s in got[q])
