@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attest.llm.names import unused
+
 WINDOW = 13
 #: Windows of at most about 150 bytes each: 15 MB in every executor at most.
 BROADCAST_WINDOWS = 100_000
@@ -130,21 +132,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """The rows of ``docs`` without contaminated documents, or (``remove="spans"``) without the hit words."""
     found = hits(docs, benchmark, key, text, **options)
     some = found.where("contaminated" if remove == "documents" else "n_hit > 0")
-    some = some.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    same = docs[key].eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__hash"))
+    of, print_, spans, parts = unused(docs, "__key", "__hash", "__spans", "__pieces")
+    some = some.select(F.col(key).alias(of), F.col("text_hash").alias(print_), F.col("spans").alias(spans))
+    same = docs[key].eqNullSafe(some[of]) & (F.xxhash64(docs[text]) == some[print_])
     if remove == "documents":
         return docs.join(some, same, "left_anti")
-    some = some.dropDuplicates(["__key", "__hash"])
+    some = some.dropDuplicates([of, print_])
+    same = docs[key].eqNullSafe(some[of]) & (F.xxhash64(docs[text]) == some[print_])
     pieces = f"regexp_extract_all(`{text}`, r'{RAW_WORDS}|{RAW_SEPARATORS}', 0)"
-    joined = docs.join(some, same, "left").withColumn("__pieces", F.expr(pieces))
-    lead = f"CAST(get(__pieces, 0) RLIKE r'^{RAW_SEPARATORS}' AS INT)"
-    hit = f"(j + {lead}) % 2 = 0 AND exists(__spans, s -> (j - {lead}) DIV 2 >= s.at AND (j - {lead}) DIV 2 < s.at + s.size)"
-    cut = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(
-        F.expr(f"array_join(filter(__pieces, (x, j) -> NOT ({hit})), '')")
+    joined = docs.join(some, same, "left").withColumn(parts, F.expr(pieces))
+    lead = f"CAST(get({parts}, 0) RLIKE r'^{RAW_SEPARATORS}' AS INT)"
+    hit = f"(j + {lead}) % 2 = 0 AND exists({spans}, s -> (j - {lead}) DIV 2 >= s.at AND (j - {lead}) DIV 2 < s.at + s.size)"
+    cut = F.when(F.col(spans).isNull(), F.col(text)).otherwise(
+        F.expr(f"array_join(filter({parts}, (x, j) -> NOT ({hit})), '')")
     )
     return joined.withColumn(text, cut).select(*docs.columns)
 
 
+
 _SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}')"
 HITS_SQL = f"""
 WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.llm.names import unused
+from attest.operators.skew import numbered
 from attest.session import written
 
 BLOCK_WORDS = 32
@@ -61,32 +63,53 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("sid", "source", "source_size", F.coalesce(F.least("bound", level), "bound").alias("target"))
 
 
+def _copies(rows: DataFrame, by: list[str], order: list[str], tag: str) -> DataFrame:
+    """``rows`` with ``copy``, counting from 0 the rows that share ``by`` in the given order, however many there are.
+
+    Rows that are equal in all of these are alike, so their order, that of ``tag``, is of no account.
+    """
+    narrow = rows.select(*by, *order, tag)
+    again = narrow.groupBy(*by).count().where("count > 1").select(*[F.col(b).alias(f"__{b}") for b in by])
+    same = [narrow[b].eqNullSafe(again[f"__{b}"]) for b in by]
+    tied = numbered(narrow.join(again, same, "left_semi"), [*by, *order, tag], "__at")
+    first = tied.groupBy(*by).agg(F.min("__at").alias("__first")).select(*[F.col(b).alias(f"__{b}") for b in by], "__first")
+    same = [tied[b].eqNullSafe(first[f"__{b}"]) for b in by]
+    tied = tied.join(first, same).select(F.col(tag).alias("__tag"), (F.col("__at") - F.col("__first")).alias("copy"))
+    out = rows.join(tied, rows[tag] == tied["__tag"], "left").drop("__tag")
+    return out.withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
+
+
 class Mix:
     """A mix of ``docs``.
 
     ``placed``: every row with its source's size and target and its place (``sid, lane, start``); ``slots``: the
     output, one row per slot with its shard, block and ``pieces`` (which words ``at .. at + n`` of which place, and
     with ``with_text`` those words). A null text has no words and no slot; a null source is a source; sources
-    without words get no slot; repeated rows are documents of their own; no rows give no slots.
+    without words get no slot; repeated rows are documents of their own, told apart by a count of copies, so that the
+    mix is that of the rows and not of their files; no rows give no slots. ``tag`` is a column that numbers the rows;
+    ``tie`` orders rows that share key and text.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                  weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
-                 block_words: int = BLOCK_WORDS, lane_words: int = LANE_WORDS, seed: int = 42, with_text: bool = False):
+                 block_words: int = BLOCK_WORDS, lane_words: int = LANE_WORDS, seed: int = 42, with_text: bool = False,
+                 tag: str | None = None, tie: Column | None = None):
         self.block, self.seed, self.with_text = block_words, seed, with_text
         carried = [F.col(text).alias("text")] if with_text else []
         rows = docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("print"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carried,
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            (F.col(tag) if tag else F.monotonically_increasing_id()).alias("tag"), (F.lit(0) if tie is None else tie).alias("tie"), *carried,
         )
         rows = written(rows, "sized")
         sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.sources = written(targets(sizes, weights, share, most), "sources")
+        rows = _copies(rows, ["key", "print"], ["source", "tie"], "tag").drop("tie")
         lanes = F.greatest(F.ceil(F.col("source_size") / lane_words), F.lit(1))
         known = self.sources.withColumnRenamed("source", "__source")
         rows = rows.join(known, rows["source"].eqNullSafe(known["__source"])).drop("__source")
-        rows = rows.withColumn("lane", F.pmod(F.xxhash64("key", "print"), lanes))
-        lane = Window.partitionBy("sid", "lane").orderBy("key", "print", "size")
+        rows = rows.withColumn("lane", F.pmod(F.xxhash64("key", "print", "copy"), lanes))
+        lane = Window.partitionBy("sid", "lane").orderBy("key", "print", "copy")
         start = F.sum("size").over(lane.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
         self.placed = written(rows.withColumn("start", start), "placed")
         self.lanes = written(self._lanes(), "lanes")
@@ -161,21 +184,20 @@ class Mix:
         )
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as documents: each row of ``docs`` once for each pass that takes some of its words, with those words.
 
     A text taken whole stays as it is; of others the taken words are joined by one space. The other columns stay.
-    Rows are numbered in a written table, so a row that comes twice in ``docs`` is two documents here too.
+    The same rows give the same mix, however they lie in files; a row that comes twice is two documents.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    mix = Mix(rows, "__row", text, source, **options)
+    tag, spans, split = unused(docs, "__row", "__spans", "__words")
+    rows = written(docs.withColumn(tag, F.monotonically_increasing_id()), "rows")
+    mix = Mix(rows, key, text, source, tag=tag, tie=F.xxhash64(*docs.columns), **options)
     parts = mix.slots().select("sid", "pass", F.explode("pieces").alias("p"))
     parts = parts.select("sid", F.col("p.lane").alias("lane"), F.col("p.start").alias("start"), "pass", F.struct("p.at", "p.n").alias("span"))
-    spans = parts.groupBy("sid", "lane", "start", "pass").agg(F.array_sort(F.collect_list("span")).alias("__spans"), F.sum("span.n").alias("n"))
-    held = mix.placed.where("size > 0").select("sid", "lane", "start", F.col("key").alias("__row"), "size")
-    taken = spans.join(held, ["sid", "lane", "start"]).select(
-        "__row", F.when(F.col("n") < F.col("size"), F.col("__spans")).alias("__spans"))
-    words = F.expr(f"regexp_extract_all(`{text}`, r'{WORD}', 0)")
-    joined = rows.join(taken, "__row").withColumn("__words", words)
-    some = F.expr("array_join(flatten(transform(__spans, s -> slice(__words, CAST(s.at AS INT) + 1, CAST(s.n AS INT)))), ' ')")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(some)).select(*docs.columns)
+    found = parts.groupBy("sid", "lane", "start", "pass").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("n"))
+    held = mix.placed.where("size > 0").select("sid", "lane", "start", F.col("tag").alias(tag), "size")
+    taken = found.join(held, ["sid", "lane", "start"]).select(tag, F.when(F.col("n") < F.col("size"), F.col("spans")).alias(spans))
+    joined = rows.join(taken, tag).withColumn(split, F.expr(f"regexp_extract_all(`{text}`, r'{WORD}', 0)"))
+    some = F.expr(f"array_join(flatten(transform(`{spans}`, s -> slice(`{split}`, CAST(s.at AS INT) + 1, CAST(s.n AS INT)))), ' ')")
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(some)).select(*docs.columns)

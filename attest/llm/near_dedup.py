@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.components import components
+from attest.llm.names import unused
 from attest.session import ship_with_plans, written
 
 ship_with_plans(__name__)
@@ -186,5 +187,6 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "print")).alias("s"))
     first = first.select(F.col("s.k").alias("__key"), F.col("s.print").alias("__print"))
     same = docs[key].eqNullSafe(first["__key"]) & (F.xxhash64(docs[text]) == first["__print"])
-    kept = docs.join(first, same, "left_semi").withColumn("__print", F.xxhash64(text))
-    return kept.dropDuplicates([key, "__print"]).drop("__print")
+    (mark,) = unused(docs, "__print")
+    kept = docs.join(first, same, "left_semi").withColumn(mark, F.xxhash64(text))
+    return kept.dropDuplicates([key, mark]).drop(mark)

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
-from attest.llm.mixing import Mix, permuted
+from attest.llm.mixing import Mix, mixed, permuted
+
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +73,13 @@ def test_nulls_ties_long_and_empty(spark):
     assert sorted(((r.key, r.size) for r in got), key=str) == sorted([(1, 0), (1, 2), (1, 2), (None, 1), (2, 0), (3, 70_000)], key=str)
     assert all(r.taken <= 2 * r.size for r in got)
     assert Mix(docs.limit(0)).taken().count() == 0
+
+
+def test_the_mix_is_that_of_the_rows(spark, sf_dir):
+    """Other files, other partitions, repeated rows, a hot row, columns that clash: the same documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "1 AS __row", "2 AS __words", "3 AS __SPANS", "4 AS tag", "5 AS copy")
+    hot = docs.limit(1).selectExpr("explode(sequence(1, 300)) AS i", "*").drop("i").unionByName(docs.limit(3).withColumn("lang", F.lit("other")))
+    docs = docs.unionByName(hot).unionByName(docs.where("doc_id < 20"))
+    runs = [Counter(map(tuple, mixed(d, block_words=64, lane_words=3000).collect())) for d in (docs, docs.repartition(3), docs.repartitionByRange(5, "text"))]
+    assert runs[0] == runs[1] == runs[2]
+    assert mixed(docs).columns == docs.columns

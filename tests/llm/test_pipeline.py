@@ -60,3 +60,13 @@ def test_empty_and_null_documents(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() <= 4
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Columns that stages use inside stay what they are."""
+    names = ["__key", "__hash", "__print", "__row", "__words", "__spans", "__pieces", "print", "copy", "tag", "size", "sid"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *[f"doc_id AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+        rows = docs.collect()
+        assert rows and all(r[n] == r.doc_id for r in rows for n in names), name
