@@ -12,6 +12,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,22 @@ ship_with_plans(__name__)
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-PIECE_BYTES = 8_000_000
-#: Encoded words a worker remembers, at most.
-CACHE_WORDS = 500_000
+PIECE_BYTES = 6_000_000
+#: Encoded words a worker remembers, at most: the words of late, and those of before until they are forgotten.
+CACHE_WORDS = 1_000_000
 #: The tokenizer's own way to cut a lower-case word of printable ASCII before its merges (fixed by its file).
 _ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+_ENDS = (b".", b",", b";", b":", b"!", b"?")
 _PLAIN = rb"[\x21-\x7e]+"
+#: Letters of Latin script whose lower case does not depend on what surrounds them.
+_LATIN = "[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
 
 
 class WordEncoder:
@@ -42,28 +53,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.parts = re.compile(_ASCII_PARTS).findall
         self.plain = re.compile(_PLAIN).fullmatch
+        self.latin = re.compile(_LATIN).fullmatch
+        self.letters = byte_letters()
+
+    def _part(self, name: bytes) -> bytes:
+        """The ids of what the tokenizer merges as one, remembered."""
+        ids = self.known.get(name)
+        if ids is None:
+            ids = self.before.get(name)
+            if ids is None:
+                merged = name.decode("latin-1")
+                if not name.isascii():
+                    merged = merged.translate(self.letters)
+                ids = array("i", [t.id for t in self.tokenize(merged)]).tobytes()
+            self.known[name] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes | None:
+        """The ids of a word that is not all letters of ASCII, or None if only the whole tokenizer can tell."""
+        low = word.lower()
+        if self.plain(low):
+            return None if b"<|" in low else b"".join([self._part(p.encode()) for p in self.parts(low.decode())])
+        text = word.decode("utf-8", "replace").lower()
+        end = text[-1] if text[-1] in ".,;:" else ""
+        core = text[: len(text) - len(end)]
+        if self.latin(core) and is_normalized("NFC", text):
+            return self._part(core.encode()) + (self._part(end.encode()) if end else b"")
+        return None
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, tokenize, hard = self.known, self.tokenizer.model.tokenize, []
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.before = {}, self.known
+        known, before, part, hard = self.known, self.before, self._part, []
         out = list(map(known.get, words))
         for i in [i for i, ids in enumerate(out) if ids is None]:
             word = words[i]
-            if self.plain(word) is None or b"<|" in word:
-                hard.append(i)
-                continue
-            low = word.lower()
-            ids = known.get(low)
+            ids = before.get(word)
+            if ids is None:
+                low = word.lower()
+                if low.isalpha():
+                    ids = part(low)
+                elif low[-1:] in _ENDS and low[:-1].isalpha():
+                    ids = part(low[:-1]) + part(low[-1:])
+                else:
+                    ids = self._word(word)
             if ids is None:
-                text = low.decode()
-                parts = [text] if low.isalpha() else self.parts(text)
-                ids = known[low] = array("i", [t.id for part in parts for t in tokenize(part)]).tobytes()
-            out[i] = known[word] = ids
+                hard.append(i)
+            else:
+                out[i] = known[word] = ids
         if hard:
             texts = [words[i].decode("utf-8", "replace") for i in hard]
             for i, e in zip(hard, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
@@ -78,12 +121,14 @@ class WordEncoder:
         ids.append(array("i", [end_id]).tobytes())
         # The end id is one more word after the words of each text.
         codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(ids) - 1)
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
         n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        gathered = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return gathered, np.diff(ends[first + np.arange(len(first))])
+        ends = np.cumsum(n)
+        kind = np.int32 if max(len(flat), int(n.sum())) < 1 << 31 else np.int64
+        place = np.repeat(((np.cumsum(sizes) - sizes)[codes] - ends + n).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        return flat.take(place), np.diff(np.concatenate([[0], ends])[first + np.arange(len(first))])
 
 
 def word_encoder(spec: str) -> WordEncoder:
