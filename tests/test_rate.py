@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attest.operators.access import ALL_REQUESTS, MUTATIONS, Bucket, LeakyBuckets, rate_limit
+from attest.operators.access import ALL_REQUESTS, MUTATIONS, Bucket, LeakyBuckets, _islands, rate_limit
 from attest.streaming.keyed import stream_rate_limit
 
 START_MS = 1_700_000_000_000
@@ -48,6 +48,27 @@ def test_fold_equals_loop(spark, seed, buckets, slice_rows):
     assert got == folded(rows, *buckets)
 
 
+@pytest.mark.parametrize("buckets", [
+    (ALL_REQUESTS, MUTATIONS), (ALL_REQUESTS, None), (Bucket(3, 1000, 2), Bucket(1, 1000, 0)), (Bucket(7, 60_000, 4), Bucket(5, 7_000, 9)),
+])
+def test_a_client_that_never_pauses_is_folded_in_slices(spark, buckets):
+    """Steady traffic far over the budget, mutations only now and then: the same verdicts as one loop, from many slices."""
+    rng = random.Random(8)
+    cell = max(b.drain_ms() for b in buckets if b)
+    rows, ms = [], START_MS
+    for i in range(2400):
+        ms += rng.choice([0, 1, 1, cell // 120, cell // 40, cell // 14])
+        rows.append((0 if rng.random() < 0.8 else rng.randrange(1, 5), ms, i, (ms // (4 * cell)) % 3 == 0 and rng.random() < 0.3))
+    df = table(spark, rows)
+    result = rate_limit(df, "client", "ts", "id", *buckets, F.col("post"), fold_rows=150)
+    got = {r["id"]: r["allowed"] for r in result.collect()}
+    assert got == folded(rows, *buckets)
+    tick = F.unix_millis("ts")
+    tagged = df.withColumns({"__tick": tick, "__cell": F.floor(tick / F.lit(cell)), "__mutation": F.col("post") if buckets[1] else F.lit(False)})
+    slices = _islands(tagged, "client", *buckets, 150).where("client = 0 AND __sliced").select("__island", "__slice").distinct()
+    assert slices.count() >= 4
+
+
 def test_verdicts_of_the_buckets():
     bucket = LeakyBuckets(ALL_REQUESTS, MUTATIONS)
     assert [bucket.admit(0, False) for _ in range(23)] == [True] * 21 + [False] * 2
