@@ -212,15 +212,15 @@ WITH p AS (
   SELECT event_id, CASE event_type
       WHEN 'view' THEN concat('app/', user_id, CASE WHEN value < 20 THEN '.key' ELSE '.keys' END)
       WHEN 'click' THEN concat('web/.env', CASE WHEN value < 10 THEN '' WHEN value < 20 THEN '.local' ELSE '.example' END)
-      WHEN 'signup' THEN concat(CASE WHEN value < 10 THEN 'private/' ELSE 'public/' END, user_id, '/state', CASE WHEN value > 30 THEN '.sqlite3' ELSE '.txt' END)
+      WHEN 'signup' THEN concat(CASE WHEN value < 10 THEN 'vault/' ELSE 'public/' END, user_id, '/state', CASE WHEN value > 30 THEN '.sqlite3' ELSE '.txt' END)
       WHEN 'error' THEN concat('infra/', CASE WHEN value < 15 THEN '.terraform/' ELSE '' END, user_id, CASE WHEN value > 25 THEN '.private.json' ELSE '.p12' END)
-      ELSE concat('docs/content/docs/0', user_id, '-guide.mdx') END
+      ELSE concat('handbook/ch', user_id, '/draft.txt') END
   FROM events
 ), n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM p)
 SELECT id, path, CASE
   WHEN path IN ('app/7.keys', 'web/.env.example') THEN 'exact'
-  WHEN starts_with(path, 'private/') OR starts_with(path, 'drafts/') THEN 'prefix'
-  WHEN regexp_matches(path, '\Adocs/content/docs/0[1-7]-.*\.mdx\z') THEN 'path_pattern'
+  WHEN starts_with(path, 'vault/') OR starts_with(path, 'drafts/') THEN 'prefix'
+  WHEN regexp_matches(path, '\Ahandbook/ch[1-7]/[a-z]+\.txt\z') THEN 'path_pattern'
   WHEN regexp_matches(name, '\A3.*[.]txt\z') THEN 'name_pattern'
   WHEN contains(name, '.private.') THEN 'private_marker'
   WHEN name = '.env' OR (starts_with(name, '.env.') AND NOT ends_with(name, '.example')) THEN 'environment'
@@ -240,19 +240,19 @@ def paths(t: Tables) -> DataFrame:
         F.when(kind == "view", F.concat(F.lit("app/"), user, F.when(value < 20, ".key").otherwise(".keys")))
         .when(kind == "click", F.concat(F.lit("web/.env"),
                                         F.when(value < 10, "").when(value < 20, ".local").otherwise(".example")))
-        .when(kind == "signup", F.concat(F.when(value < 10, "private/").otherwise("public/"), user, F.lit("/state"),
+        .when(kind == "signup", F.concat(F.when(value < 10, "vault/").otherwise("public/"), user, F.lit("/state"),
                                          F.when(value > 30, ".sqlite3").otherwise(".txt")))
         .when(kind == "error", F.concat(F.lit("infra/"), F.when(value < 15, ".terraform/").otherwise(""), user,
                                         F.when(value > 25, ".private.json").otherwise(".p12")))
-        .otherwise(F.concat(F.lit("docs/content/docs/0"), user, F.lit("-guide.mdx")))
+        .otherwise(F.concat(F.lit("handbook/ch"), user, F.lit("/draft.txt")))
     )
     from_pages = t.pages.select(
         F.col("page_id").alias("id"), F.regexp_extract("url", r"\A[a-z]+://[^/]+/([^?#]*)", 1).alias("path")
     )
     rows = from_pages.unionByName(t.events.select(F.col("event_id").alias("id"), built.alias("path")))
     policy = PathPolicy(
-        exact=("app/7.keys", "web/.env.example"), prefixes=("private/", "drafts/"),
-        path_patterns=(r"\Adocs/content/docs/0[1-7]-.*\.mdx\z",), name_patterns=(r"\A3.*[.]txt\z",),
+        exact=("app/7.keys", "web/.env.example"), prefixes=("vault/", "drafts/"),
+        path_patterns=(r"\Ahandbook/ch[1-7]/[a-z]+\.txt\z",), name_patterns=(r"\A3.*[.]txt\z",),
     )
     return rows.withColumn("rule", classify_path("path", policy))
 

@@ -7,7 +7,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import SparkConf, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -26,8 +26,11 @@ def local_session(app: str = "attest", cores: str | None = None) -> SparkSession
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if SparkSession.getActiveSession() is None and not SparkConf().contains(CHECKPOINT_DIR):
+        # One machine: a folder of its own. A cluster names a shared one.
+        spark = spark.config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="attest-"))
+    spark = spark.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -35,14 +38,11 @@ def local_session(app: str = "attest", cores: str | None = None) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    A session on one machine that names none (tests) gets a fresh local folder; a cluster must name one.
+    ``local_session`` names one for a session on one machine; any other session must name one itself.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="attest-")
-        spark.conf.set(CHECKPOINT_DIR, named)
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     return named.rstrip("/")
 
 
