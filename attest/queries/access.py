@@ -18,6 +18,7 @@ from attest.operators.access import (
     route,
     session_state,
 )
+from attest.operators.lookup import lookup_range, match_route_table
 from attest.queries.registry import Tables, query
 
 QUAD_SHAPE = r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
@@ -46,6 +47,48 @@ def addresses(t: Tables) -> DataFrame:
     return rows.withColumn("allowed", in_cidr("address", RANGES))
 
 
+ADDRESS_ROWS = rf"""
+a AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '{QUAD}', 1)) AS address, 8 + length(text) % 25 AS bits FROM documents
+           UNION ALL SELECT event_id, concat(user_id, '.', CAST(value * 10 AS INT), '.', regexp_extract(props, '[0-9]+'), '.1'), 8 + length(props) % 25 FROM events),
+n AS (SELECT *, regexp_matches(address, '\A(?:(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|\z)){{{{4}}}}\z') AS valid, {QUAD_NUMBER} AS num FROM a)
+""".replace("{{4}}", "{4}")
+
+
+@query("lookup_range", f"""
+WITH {ADDRESS_ROWS},
+r AS (SELECT concat('r', bits) AS name, concat(address, '/', bits) AS range, bits, num FROM n WHERE valid AND bits < 32),
+v AS (SELECT DISTINCT num AS value FROM n WHERE valid),
+m AS (SELECT value, r.name, r.range, row_number() OVER (PARTITION BY value ORDER BY r.bits DESC, r.name, r.range) AS k
+      FROM v JOIN r ON v.value >> (32 - r.bits) = r.num >> (32 - r.bits))
+SELECT id, address, m.range, m.name FROM n LEFT JOIN m ON valid AND num = value AND k = 1
+""")
+def ranges_by_table(t: Tables) -> DataFrame:
+    """Every address makes a range as well, as wide as its row is long; they nest and repeat."""
+    bits = lambda c: (8 + F.char_length(c) % 25).alias("bits")
+    found = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit(ASCII_QUAD), F.lit(1))).alias("address"), bits("text"))
+    built = F.concat_ws(".", F.col("user_id").cast("string"), F.bround(F.col("value") * 10).cast("int").cast("string"),
+                        F.regexp_extract("props", "[0-9]+", 0), F.lit("1"))
+    rows = found.unionByName(t.events.select(F.col("event_id").alias("id"), built.alias("address"), bits("props")))
+    ranges = rows.where("bits < 32").select(F.concat(F.lit("r"), F.col("bits").cast("string")).alias("name"), F.concat("address", F.lit("/"), F.col("bits").cast("string")).alias("cidr"))
+    return lookup_range(rows.drop("bits"), "address", ranges)
+
+
+@query("match_route_table", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path, length(html) % 7 AS n FROM pages),
+r AS (SELECT starts_with(path, '/de/') AS exact, CASE WHEN starts_with(path, '/de/') THEN path ELSE left(path, 2 + length(path) % 4) END AS route, concat('b', n) AS backend FROM p),
+e AS (SELECT route, min(backend) AS backend FROM r WHERE exact GROUP BY route),
+l AS (SELECT path, arg_max(backend, length(route)) AS backend FROM (SELECT DISTINCT path FROM p)
+      JOIN (SELECT route, min(backend) AS backend FROM r WHERE NOT exact GROUP BY route) ON starts_with(path, route) GROUP BY path)
+SELECT page_id, p.path, coalesce(e.backend, l.backend) AS backend FROM p LEFT JOIN e ON e.route = p.path LEFT JOIN l ON l.path = p.path
+""")
+def backends_by_table(t: Tables) -> DataFrame:
+    paths = t.pages.select("page_id", F.regexp_extract("url", r"\A[a-z]+://[^/]+([^?#]*)", 1).alias("path"), (F.char_length("html") % 7).alias("n"))
+    exact = F.startswith(F.col("path"), F.lit("/de/"))
+    route = F.when(exact, F.col("path")).otherwise(F.left("path", 2 + F.char_length("path") % 4))
+    routes = paths.select(exact.alias("exact"), route.alias("route"), F.concat(F.lit("b"), F.col("n").cast("string")).alias("backend"))
+    return match_route_table(paths.drop("n"), "path", routes)
+
+
 @query("route", r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host,
    concat(CASE WHEN starts_with(url, 'https') THEN '/api' ELSE '/apis' END, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)) AS path,

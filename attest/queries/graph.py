@@ -17,6 +17,7 @@ from attest.operators.graph import (
     uncovered,
 )
 from attest.plans.screens import evidence_index
+from attest.operators.lookup import outside_table
 from attest.queries.registry import Tables, query
 
 EVENT_TYPES = ["view", "click", "signup", "error", "purchase"]
@@ -170,3 +171,17 @@ def indexed_screens(t: Tables) -> DataFrame:
         F.array(F.concat(away, F.col("n_chars").cast("string")), F.concat(away, number)).alias("nodes"),
     )
     return evidence_index(screens, journeys)["screens"].select("index", "state_category", "category")
+
+
+@query("outside_table", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM pages),
+i AS (SELECT page_id, path FROM p UNION ALL SELECT page_id, upper(path) FROM p),
+r AS (SELECT DISTINCT CASE WHEN starts_with(path, '/de/') THEN path ELSE left(path, 5) END AS route, starts_with(path, '/de/') AS exact FROM p)
+SELECT page_id, path, CASE WHEN regexp_matches(path, '/7[0-9]*$') THEN 'forbidden' ELSE 'unexpected' END AS reason
+FROM i WHERE regexp_matches(path, '/7[0-9]*$') OR NOT EXISTS (SELECT 1 FROM r WHERE (exact AND route = path) OR (NOT exact AND starts_with(path, route)))
+""")
+def unexpected_by_table(t: Tables) -> DataFrame:
+    paths = t.pages.select("page_id", F.regexp_extract("url", r"\A[a-z]+://[^/]+([^?#]*)", 1).alias("path"))
+    exact = F.startswith(F.col("path"), F.lit("/de/"))
+    allowed = paths.select(F.when(exact, F.col("path")).otherwise(F.left("path", F.lit(5))).alias("route"), exact.alias("exact")).distinct()
+    return outside_table(paths.unionByName(paths.withColumn("path", F.upper("path"))), "path", allowed, r"/7[0-9]*\z")
