@@ -115,7 +115,7 @@ def _commons(*parts: str) -> list[tuple[list[str], list[str]]]:
 #: of several pairs of patterns that are all there and patterns of which none is.
 AGREES = {
     "Apache-2.0": [(["apache", _version("2.0")], [])],
-    "MIT": [([f"(?:{_word('mit')}|permission is hereby granted)", "licen[cs]e|permission"], ["mit-0", "no attribution", "person or organization", "font software"])],
+    "MIT": [(["licen[cs]e|permission", f"(?:{_word('mit')}|permission is hereby granted)"], ["mit-0", "no attribution", "person or organization", "font software"])],
     "BSD-2-Clause": [(["bsd.?2|2.clause|two.clause|simplified bsd"], [_ADVERTISING]), ([_SENTENCE, _TWO], [_ADVERTISING])],
     "BSD-3-Clause": [([f"bsd.?3|3.clause|three.clause|{_SENTENCE}"], [_TWO, _ADVERTISING, "2.clause"])],
     "GPL-2.0": [([_GNU, _version("2.0")], [_LESSER, _AFFERO])],
@@ -123,7 +123,7 @@ AGREES = {
     "LGPL-2.1": [([_LESSER, _version("2.1")], [])],
     "LGPL-3.0": [([_LESSER, _version("3.0")], [])],
     "AGPL-3.0": [([_AFFERO, _version("3.0")], [])],
-    "MPL-2.0": [(["mozilla|mpl", _version("2.0")], [])],
+    "MPL-2.0": [([f"mozilla|{_word('mpl')}", _version("2.0")], [])],
     "ISC": [([f"{_word('isc')}|permission to use, copy, modify"], [])],
     "CC-BY-4.0": _commons(), "CC-BY-NC-4.0": _commons("nc"), "CC-BY-SA-4.0": _commons("sa"), "CC-BY-ND-4.0": _commons("nd"),
     "CC-BY-NC-SA-4.0": _commons("nc", "sa"), "CC-BY-NC-ND-4.0": _commons("nc", "nd"),

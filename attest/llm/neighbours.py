@@ -29,13 +29,15 @@ NEAREST = 20
 #: Vectors the rotations are learned on, at most.
 SAMPLE = 5_000
 BITS = 256
-SHARD = 4_096
+SHARD = 16_384
 BLOCK = 1_024
 #: Codes of a shard that are ranked by their vectors, at least.
-RERANKED = 250
+RERANKED = 800
 #: Partitions for each cell, so that few share one, and partitions at most.
 CELL_PARTITIONS, MOST_PARTITIONS = 4, 50_000
 _DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+#: The bytes at each distance from each byte.
+_NEAR = [[np.flatnonzero(row == s).tolist() for s in range(9)] for row in _DISTANCE]
 
 
 class Rotations:
@@ -75,19 +77,20 @@ class MultiIndex:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.orders = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.starts = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.orders)]
+        self.lists = []
+        for j, order in enumerate(self.orders):
+            edges = np.searchsorted(codes[order, j], np.arange(257)).tolist()
+            self.lists.append([order[a:b] for a, b in zip(edges[:-1], edges[1:])])
 
     def within(self, code: np.ndarray, enough: int) -> tuple[np.ndarray, int]:
         """All codes within the smallest probed radius that holds ``enough`` of them, or all codes; and the radius."""
         bytes_, n = self.codes.shape[1], len(self.codes)
         seen, found, far = np.zeros(n, bool), [], []
         for s in range(9):
-            parts = []
-            for j in range(bytes_):
-                for value in np.flatnonzero(_DISTANCE[code[j]] == s).tolist():
-                    parts.append(self.orders[j][self.starts[j][value] : self.starts[j][value + 1]])
-            new = np.unique(np.concatenate(parts))
-            new = new[~seen[new]]
+            parts = [own[value] for own, byte in zip(self.lists, code.tolist()) for value in _NEAR[byte][s]]
+            marked = np.zeros(n, bool)
+            marked[np.concatenate(parts)] = True
+            new = np.flatnonzero(marked & ~seen)
             seen[new] = True
             found.append(new)
             far.append(np.bitwise_count(self.codes[new] ^ code).sum(axis=1))
