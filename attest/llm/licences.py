@@ -225,16 +225,18 @@ def notices(texts: DataFrame, threshold: float) -> DataFrame:
     some = some.groupBy("print").agg(F.first(F.struct("text", "plain")).alias("t"))
     cut = some.select("print", text_marks(F.col("t.text")).alias("marks"), F.explode(passages(F.col("t.plain"))).alias("passage"))
     cut = written(cut.where(speaks(F.col("passage"))), "passages")
-    near = written(cut.select("passage").distinct().where(may_be_near(F.col("passage"), weights, threshold)), "near")
-    terms = near.select("passage", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
-    terms = terms.groupBy("passage", "term").agg(F.count("*").alias("n"))
+    # A passage goes by a 64-bit hash from here on: its text does not travel with each of its terms.
+    name = F.xxhash64("passage").alias("name")
+    near = cut.select("passage").distinct().where(may_be_near(F.col("passage"), weights, threshold))
+    terms = near.select(name, F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
+    terms = terms.groupBy("name", "term").agg(F.count("*").alias("n"))
     terms = written(terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("known", F.lit(other))), "terms")
-    norms = terms.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    products = terms.join(F.broadcast(table), "term").groupBy("passage", "template", "found").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = products.join(norms, "passage").select("passage", "found", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    norms = terms.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    products = terms.join(F.broadcast(table), "term").groupBy("name", "template", "found").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = products.join(norms, "name").select("name", "found", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     scored = scored.where(F.col("cosine") >= threshold)
-    scored = scored.groupBy("passage", "found").agg(F.max("cosine").alias("cosine"))
-    fits = cut.join(scored, "passage").where(F.array_contains(agreeing(F.col("passage"), F.col("marks")), F.col("found")))
+    scored = scored.groupBy("name", "found").agg(F.max("cosine").alias("cosine"))
+    fits = cut.withColumn("name", name).join(scored, "name").where(F.array_contains(agreeing(F.col("passage"), F.col("marks")), F.col("found")))
     best = F.max_by(F.struct("found", "cosine"), F.struct("cosine", F.col("found")))
     return fits.groupBy("print").agg(best.alias("b")).select("print", F.col("b.found").alias("licence"), F.col("b.cosine").alias("score"))
 
@@ -246,7 +248,7 @@ def licences(files: DataFrame, path: Column, licence_file: Column, key: str, tex
     (ties: the larger name), if at least ``threshold``. Else it has that of the nearest folder above it that holds a licence file with one: the
     licence file with the smallest path (of equal paths the smaller name). ``how`` is own, inherited or none. A null
     text has no own licence, a null path no folder; repeated rows stay; no rows give no rows; other columns are not
-    read. Equal texts go by a 64-bit hash.
+    read. Equal texts and passages go by 64-bit hashes.
     """
     rows = files.select(F.col(key).alias("key"), path.alias("path"), licence_file.alias("states"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     found = written(notices(rows.where(F.col("text").isNotNull()).select("print", "text"), threshold), "notices")
