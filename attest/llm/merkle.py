@@ -201,8 +201,9 @@ def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", field
     nodes = nodes.select("group", "pos", F.col("leaf").alias("digest"), "key", *extra)
     facts = sizes.agg(F.max("n").alias("most"), F.count("*").alias("groups")).first()
     below, subroots = reduced(nodes, sizes, facts["most"] or 0, fanout, ["key", *extra])
-    order = numbered(subroots, ["group"], "pos").select(F.lit("").alias("group"), (F.col("pos") - 1).alias("pos"), F.col("node").alias("digest"), F.col("group").alias("of"))
-    whole = sizes.agg(F.lit("").alias("group"), F.count("*").alias("n"))
+    order = numbered(subroots, ["group"], "pos").select(F.left("group", F.lit(0)).alias("group"), (F.col("pos") - 1).alias("pos"), F.col("node").alias("digest"), F.col("group").alias("of"))
+    # The tree above has one group, the empty text, spelled so that joins keep their key.
+    whole = sizes.groupBy(F.left("group", F.lit(0)).alias("group")).agg(F.count("*").alias("n"))
     tops, root = reduced(order, whole, facts["groups"], fanout, ["of"])
     known = tops.join(root, "group").select(F.col("of").alias("__of"), F.col("digest").alias("subroot"), F.col("path").alias("above"), F.col("node").alias("root"))
     out = below.join(known, below["group"] == known["__of"])
