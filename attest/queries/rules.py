@@ -8,6 +8,7 @@ from attest.functions.content import digest
 from attest.functions.text import first_line
 from attest.operators.rules import Rule, check, first_failure, split_valid
 from attest.operators.sets import (
+    same_rows_by_range,
     change_counts,
     combine,
     completeness,
@@ -427,6 +428,17 @@ def equal_tables(t: Tables) -> DataFrame:
     return change_counts(a, a.withColumn("p_size", F.greatest("p_size", F.lit(3))))
 
 
+@query("same_rows_by_range", """
+WITH a AS (SELECT o_orderkey, o_custkey FROM orders),
+     b AS (SELECT o_orderkey, CASE WHEN o_totalprice < 2000 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders),
+     x AS (SELECT o_orderkey, o_custkey, 1 AS d FROM a UNION ALL SELECT o_orderkey, o_custkey, -1 FROM b)
+SELECT o_orderkey, o_custkey, CAST(sum(d) AS BIGINT) AS surplus FROM x GROUP BY o_orderkey, o_custkey HAVING sum(d) <> 0
+""")
+def orders_read_back(t: Tables) -> DataFrame:
+    changed = F.when(F.col("o_totalprice") < 2000, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    return same_rows_by_range(t.orders.select("o_orderkey", "o_custkey"), t.orders.select("o_orderkey", changed.alias("o_custkey")), "o_orderkey")
+
+
 @query("parse_records", """
 WITH e AS (SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_type,
    CASE event_type WHEN 'view' THEN concat('[', props, ', ', props, ']') WHEN 'error' THEN left(props, length(props) - 1)
