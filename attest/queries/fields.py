@@ -17,6 +17,7 @@ from attest.functions.text import (
     redact,
     rewrite_path,
 )
+from attest.operators.secrets import redact_table
 from attest.queries.registry import Tables, query
 
 HEX_SHAPE = "[0-9A-Fa-f]{32,64}"
@@ -326,6 +327,23 @@ def redacted(t: Tables) -> DataFrame:
     return rows.select("doc_id", digest("r").alias("redacted_sha256"), (gone / 10).cast("bigint").alias("n_masks"))
 
 
+# Known secrets: every long word of digits and letters of the documents, and the beginnings of the benchmark's passages.
+@query("redact_table", r"""
+WITH s AS (SELECT DISTINCT secret FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]*[0-9][A-Za-z0-9_]{11,}')) AS secret FROM documents
+                                        UNION ALL SELECT left(text, 30) FROM benchmark) WHERE length(secret) > 3),
+h AS (SELECT doc_id, any_value(text) AS text, list(secret ORDER BY length(secret) DESC, secret) AS secrets FROM documents JOIN s ON contains(text, secret) GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN h.doc_id IS NULL THEN d.text ELSE list_reduce(list_prepend(d.text, secrets), lambda a, x: replace(a, x, '[REDACTED]')) END AS redacted
+      FROM documents d LEFT JOIN h USING (doc_id))
+SELECT doc_id, sha256(redacted) AS redacted_sha256, (length(redacted) - length(replace(redacted, '[REDACTED]', ''))) // 10 AS n_masks FROM m
+""")
+def redacted_by_table(t: Tables) -> DataFrame:
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]*[0-9][A-Za-z0-9_]{11,}"), F.lit(0))).alias("secret"))
+    secrets = words.unionByName(t.benchmark.select(F.left("text", F.lit(30)).alias("secret")))
+    masked = redact_table(t.documents.select("doc_id", "text"), "text", secrets, patterns=())
+    gone = F.char_length("redacted") - F.char_length(F.replace("redacted", F.lit("[REDACTED]"), F.lit("")))
+    return masked.select("doc_id", digest("redacted").alias("redacted_sha256"), (gone / 10).cast("bigint").alias("n_masks"))
+
+
 STATE_SQL = """
 WITH r AS (SELECT event_id, event_type,
     CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'waiting' ELSE 'completed' END AS status,
