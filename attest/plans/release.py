@@ -146,3 +146,28 @@ def publication_plan(
         "links": reconcile_links(desired, links, "release", "name", "position", slice_rows, sized_by=uploads),
         "summary": summary,
     }
+
+
+def checked_publication(
+    manifests: DataFrame,
+    files: DataFrame,
+    actual: DataFrame,
+    commits: DataFrame,
+    tags: DataFrame,
+    remote: DataFrame,
+    links: DataFrame,
+    address_prefix: str,
+    max_size: int = MAX_FILE_BYTES,
+    slice_rows: int = SLICE_ROWS,
+) -> dict[str, DataFrame]:
+    """``publication_plan`` of the releases in which ``release_check`` finds nothing wrong, and its ``violations``.
+
+    The tables are those of ``release_check`` and ``publication_plan``. A release with any violation is left out whole:
+    it has no target verdict, upload, link or summary.
+    """
+    violations = written(release_check(manifests, files, actual, max_size, slice_rows), "violations")
+    # One row per refused release.
+    valid = manifests.join(violations.select("release").distinct(), "release", "left_anti").select("release", "ref", "tag")
+    plan = publication_plan(
+        valid, commits, tags, files.select("release", "name", "sha256"), remote, links, address_prefix, slice_rows)
+    return {"violations": violations, **plan}

@@ -16,7 +16,7 @@ from attest.operators.reconcile import (
     verify_targets,
 )
 from attest.operators.sets import outcome_summary
-from attest.plans.release import publication_plan
+from attest.plans.release import checked_publication, publication_plan
 from attest.queries.registry import Tables, query
 from attest.sources.records import content_table
 
@@ -279,6 +279,54 @@ def publication(t: Tables) -> DataFrame:
     return plan["links"].select("release", "name", action.alias("action"))
 
 
+# Orders are releases and their lines files. Lines 1 to 3 have links already: as they should be, with another path, and
+# with another path and no id; of every eleventh order line 1 is linked elsewhere, every seventh has no links.
+@query("checked_publication", """
+WITH f AS (SELECT l_orderkey AS release, l_linenumber AS n, min(l_partkey) AS p, max(l_partkey) AS q, max(l_quantity) AS size, bool_or(l_linestatus = 'F') AS there
+           FROM lineitem GROUP BY ALL),
+r AS (SELECT o_orderkey AS release FROM orders JOIN customer ON c_custkey = o_custkey
+      WHERE o_orderstatus <> 'P' AND c_acctbal >= 0 AND NOT (o_orderpriority = '1-URGENT' AND o_totalprice > 200000)
+        AND o_orderkey NOT IN (SELECT release FROM f WHERE size > 49 OR (there AND p <> q))),
+g AS (SELECT release, release % 7 <> 0 AND bool_or(n <= 3) AS known, release % 11 = 0 AND bool_or(n = 1) AS clash FROM f GROUP BY release)
+SELECT release, concat(n, '.deb') AS name, CASE WHEN NOT known THEN 'create' WHEN clash THEN 'conflict' WHEN n > 3 THEN 'add'
+  WHEN n = 1 THEN 'keep' WHEN n = 2 THEN 'update_path' ELSE 'error' END AS action
+FROM f JOIN r USING (release) JOIN g USING (release)
+""")
+def published(t: Tables) -> DataFrame:
+    prefix = "https://files.example.com/"
+    ref = F.left(digest(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))), F.lit(40))
+    version = F.concat(F.lit("1."), F.col("o_orderkey").cast("string"), F.lit(".0"), F.when(F.col("o_orderstatus") == "P", "-rc_1").otherwise(""))
+    manifests = t.orders.select(
+        F.col("o_orderkey").alias("release"), version.alias("version"), F.concat(F.lit("v"), version).alias("tag"),
+        ref.alias("ref"), ref.alias("client_sha"))
+    away = F.when(F.col("c_acctbal") >= 0, "").otherwise("-")
+    commit = F.left(digest(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))), F.lit(40))
+    commits = t.customer.select(F.concat(away, commit).alias("id"))
+    tags = t.orders.select(
+        F.concat(F.when(F.col("o_orderpriority") == "1-URGENT", "v").otherwise("-"), version).alias("name"),
+        F.lit(None).cast("string").alias("commit_id"),
+        F.when(F.col("o_totalprice") > 200000, "moved").otherwise(ref).alias("target"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("release"), F.col("l_linenumber").alias("n")).agg(
+        digest(F.min("l_partkey").cast("string")).alias("sha256"), digest(F.max("l_partkey").cast("string")).alias("computed_sha256"),
+        F.max("l_quantity").alias("quantity"), F.bool_or(F.col("l_linestatus") == "F").alias("there"))
+    lines = lines.withColumn("name", F.concat(F.col("n").cast("string"), F.lit(".deb")))
+    lines = lines.withColumn("path", F.concat_ws("/", F.col("release").cast("string"), "name"))
+    # What is not there has a name that no release refers to.
+    actual = lines.select(F.concat(F.when(F.col("quantity") > 49, "-").otherwise(""), "path").alias("path"), "sha256", F.lit(1).cast("bigint").alias("size"))
+    remote = lines.select(
+        F.when(F.col("there"), F.col("release")).otherwise(-F.col("release") - 1).alias("release"), "name",
+        F.lit(None).cast("string").alias("declared_sha256"), "computed_sha256")
+    linked = (F.col("n") <= 3) & (F.col("release") % 7 != 0)
+    elsewhere = (F.col("n") == 1) & (F.col("release") % 11 == 0)
+    links = lines.select(
+        F.when(linked, F.col("release")).otherwise(-F.col("release") - 1).alias("release"), "name",
+        F.when(elsewhere, "elsewhere").otherwise(F.concat(F.lit(prefix), "path")).alias("url"),
+        F.when(F.col("n") == 1, F.concat(F.lit("/"), "name")).otherwise("/old").alias("path"),
+        F.when(F.col("n") != 3, F.col("n")).alias("id"), F.col("n").alias("position"))
+    plan = checked_publication(manifests, lines.select("release", "path", "name", "sha256"), actual, commits, tags, remote, links, prefix)
+    return plan["links"].select("release", "name", "action")
+
+
 @query("content_table", """
 SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, CASE WHEN octet_length(encode(text)) <= 4000 THEN sha256(text) END AS sha256 FROM documents
 """)

@@ -15,7 +15,7 @@ from attest.operators.sets import group_rules, readiness, report_gate
 from attest.plans.deploy import deploy_check
 from attest.plans.identity import identity_violations
 from attest.plans.jobs import job_policy
-from attest.plans.release import build_check, publication_plan, release_check
+from attest.plans.release import build_check, checked_publication, publication_plan, release_check
 from attest.plans.screens import evidence_index, screen_check
 from attest.plans.status import status_reports
 from attest.queries import Tables
@@ -127,6 +127,29 @@ def test_publication_plan_stops_at_bad_targets_and_conflicts(spark):
     assert [(r["release"], r["url"], r["action"]) for r in plan["links"].collect()] == [(1, "https://f.example.com/1/f", "create")]
 
 
+def test_publication_leaves_out_releases_with_violations(spark):
+    sha = "a" * 40
+    manifests = spark.createDataFrame(
+        [(r, f"1.{r}.0", f"v1.{r}.0", sha, sha) for r in (1, 2, 3)] + [(4, "1.4", "v1.4", sha, sha)],
+        "release int, version string, tag string, ref string, client_sha string")
+    names = ["keep", "moved", "lost", "new"]
+    files = spark.createDataFrame([(r, f"{r}/{n}", n, "b" * 64) for r in (1, 2, 3, 4) for n in names],
+                                  "release int, path string, name string, sha256 string")
+    # A file of release 3 is not there; release 4 has no proper version; release 2 has no links yet.
+    actual = files.where("path != '3/new'").selectExpr("path", "sha256", "1L AS size")
+    tags = spark.createDataFrame([], "name string, commit_id string, target string")
+    remote = spark.createDataFrame([], "release int, name string, declared_sha256 string, computed_sha256 string")
+    links = spark.createDataFrame(
+        [(r, n, f"https://f/{r}/{n}", path, i, 1) for r in (1, 3, 4)
+         for n, path, i in [("keep", "/keep", 1), ("moved", "/old", 2), ("lost", "/old", None)]],
+        "release int, name string, url string, path string, id int, position int")
+    plan = checked_publication(manifests, files, actual, spark.createDataFrame([(sha,)], "id string"), tags, remote, links, "https://f/")
+    assert {(r["release"], r["rule"]) for r in plan["violations"].collect()} == {(3, "missing"), (4, "version"), (4, "tag")}
+    assert {r["release"] for r in plan["targets"].collect()} == {1, 2}
+    assert {(r["release"], r["name"], r["action"]) for r in plan["links"].collect()} == {
+        (1, "keep", "keep"), (1, "moved", "update_path"), (1, "lost", "error"), (1, "new", "add"), *[(2, n, "create") for n in names]}
+
+
 def test_build_manifest_rules(spark):
     files = spark.createDataFrame(
         [(1, "deb", 5), (1, "apk", 5), (1, "exe", 1 << 30), (2, "deb", 5), (2, "deb", 5), (2, "exe", 5), (3, "deb", 0),
