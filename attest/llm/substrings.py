@@ -106,10 +106,11 @@ class _Chunk:
             self.hash = [window_hashes(self.words, window, b)[self.starts] for b in _BASES]
             alone = place < 0
             name[alone], place[alone] = self.hash[0][alone], self.starts[alone]
-            # A holder's occurrences, once each; several windows share one.
-            new = np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1])])
-            self.names, self.which = np.unique(name, return_inverse=True)
-            self.often = np.bincount(self.which[new], minlength=len(self.names)) > 1
+            # A holder's occurrences, once each: several windows in a row share one.
+            new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1])]))
+            self.names, which = np.unique(name[new], return_inverse=True)
+            self.often = np.bincount(which, minlength=len(self.names)) > 1
+            self.which = np.repeat(which, np.diff(np.append(new, len(name))))
         else:
             self.names, self.which, self.often = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
             self.hash = [np.zeros(0, np.uint64)] * 2
