@@ -54,7 +54,7 @@ def _in_words(texts: DataFrame, known: DataFrame) -> DataFrame:
     ).where(F.col("least").isNotNull())
     # Texts without a word of the least length end here: the shortest secret has four characters.
     words = texts.select("id", F.explode(F.array_distinct(F.filter(F.split("text", BREAK), lambda w: F.char_length(w) >= SHORTEST))).alias("word"))
-    words = words.join(F.broadcast(lengths), F.char_length("word") >= F.col("least"))
+    words = words.join(F.broadcast(lengths), F.least(F.char_length("word"), F.lit(0)) == F.least("least", F.lit(0))).where(F.char_length("word") >= F.col("least"))
     parts = words.select("id", "lengths", "word", "most", F.explode(F.sequence(F.lit(1), F.char_length("word"), F.lit(WORD_PART))).alias("at"))
     # A part reaches as far beyond its end as a piece that starts in it.
     parts = parts.select("id", "lengths", F.substring("word", F.col("at"), F.col("most") + (WORD_PART - 1)).alias("part"))
@@ -80,7 +80,7 @@ def _in_runs(texts: DataFrame, known: DataFrame) -> DataFrame:
     uses = uses.where(F.col("most").isNotNull())
     # A row for each second word: its shapes are no more than the sizes of secrets.
     shapes = spaced.groupBy("key").agg(F.collect_set("shape").alias("shapes"))
-    cut = texts.select("id", F.split("text", BREAK).alias("words")).join(F.broadcast(uses), F.size("words") > 1)
+    cut = texts.select("id", F.split("text", BREAK).alias("words")).join(F.broadcast(uses), F.least(F.size("words"), F.lit(0)) == F.least("longest", F.lit(0))).where(F.size("words") > 1)
 
     def opened(at: Column) -> Column:
         second = F.element_at("words", at + 1)
