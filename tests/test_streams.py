@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from attest.operators.access import flow_state, request_counts, session_state
+from attest.operators.access import MUTATIONS, flow_state, rate_limit, request_counts, session_state
 from attest.operators.rules import Rule, check
 from attest.streaming.keyed import stream_flow_state, stream_rate_limit, stream_session_state
 from attest.streaming.latest import compact, latest_status, newest, stream_latest
@@ -56,6 +56,59 @@ def test_flow_and_session_states(spark, tmp_path, history):
     assert rows(drain(sessions, str(tmp_path / "sessions")).select("id", "active")) == rows(expected.select("id", "active"))
 
 
+def settled(df, table, delay=60):
+    """Ids that the watermark has passed at the end of the stream."""
+    last = table.agg(F.max("at")).first()[0]
+    return df.join(table.where(F.col("at") <= last - delay).select("id"), "id", "left_semi")
+
+
+def shuffled(history, within=60):
+    """The same rows, each brought up to ``within`` seconds late."""
+    rng = random.Random(5)
+    return sorted(history, key=lambda r: r[2] + rng.randrange(within))
+
+
+def test_waiting_flows_and_sessions_of_rows_out_of_order(spark, tmp_path, history):
+    table = timed(spark.createDataFrame(history, SCHEMA))
+    stream = stream_of(spark, str(tmp_path / "in"), shuffled(history))
+    kind = F.col("kind")
+    flows = stream_flow_state(stream, "user", "ts", "id", kind == "start", kind == "try", wait=True)
+    expected = flow_state(table.where("kind = 'start'"), table.where("kind = 'try'"), "user", "ts", "id")
+    assert rows(drain(flows, str(tmp_path / "flows")).select("id", "state")) == rows(settled(expected, table).select("id", "state"))
+    assert {r["state"] for r in expected.select("state").distinct().collect()} >= {"none", "expired", "open"}
+    sessions = stream_session_state(stream, "user", "ts", "id", kind == "start", kind == "stop", 900, wait=True)
+    expected = session_state(table, "user", "ts", "id", kind == "start", kind == "stop", 900)
+    assert rows(drain(sessions, str(tmp_path / "sessions")).select("id", "active")) == rows(settled(expected, table).select("id", "active"))
+
+
+def test_rates_of_rows_out_of_order(spark, tmp_path):
+    rng = random.Random(11)
+    history = [(rng.choice([None, 0, 0, 0, 1]), i, START + t // 4, rng.choice(["get", "put"])) for i, t in enumerate(sorted(rng.randrange(2000) for _ in range(1200)))]
+    table = timed(spark.createDataFrame(history, SCHEMA))
+    stream = stream_of(spark, str(tmp_path / "in"), shuffled(history), size=300)
+    put = F.col("kind") == "put"
+    got = drain(stream_rate_limit(stream, "user", "ts", "id", mutations=MUTATIONS, is_mutation=put, wait=True), str(tmp_path / "rates"))
+    expected = rate_limit(table, "user", "ts", "id", mutations=MUTATIONS, is_mutation=put).where("user IS NOT NULL")
+    got = got.where("user IS NOT NULL")
+    assert rows(got.select("user", "id", "allowed")) == rows(settled(expected, table).select("user", "id", "allowed"))
+    assert {r[0] for r in got.select("allowed").distinct().collect()} == {True, False}
+
+
+def test_late_rows_are_reported_and_change_nothing(spark, tmp_path):
+    hour = 3600
+    history = [(1, 1, START, "start"), (1, 2, START + 10, "try"), (2, 3, START + hour, "stop"),
+               # These come when the watermark is beyond them: a start, a submission, and one of no flow.
+               (1, 4, START + 5, "start"), (1, 5, START + 6, "try"), (None, 6, START + 7, "try"), (2, 7, START + 2 * hour, "stop"),
+               (None, 9, START + 2 * hour, "try"), (1, 8, START + 90 * 86_400, "try"), (2, 10, START + 91 * 86_400, "stop")]
+    stream = stream_of(spark, str(tmp_path / "in"), history, size=3)
+    kind = F.col("kind")
+    for wait in (False, True):
+        flows = stream_flow_state(stream, "user", "ts", "id", kind == "start", kind == "try", wait=wait)
+        # After ninety days the flow is still known.
+        assert rows(drain(flows, str(tmp_path / f"flows-{wait}"))) == Counter({
+            (1, 2, "open"): 1, (1, 4, "late"): 1, (1, 5, "late"): 1, (None, 6, "late"): 1, (None, 9, "none"): 1, (1, 8, "expired"): 1})
+
+
 def test_request_counts(spark, tmp_path, history):
     table = request_counts(timed(spark.createDataFrame(history, SCHEMA)), "user", "ts", "10 minutes", 3)
     last = max(r[2] for r in history)
