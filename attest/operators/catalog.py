@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column
 from attest.functions.content import byte_length, digest
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
+#: Pages of a block of a stored index, and folders that its terms are dealt to.
+BLOCK_PAGES = 64
+INDEX_FOLDERS = 64
 
 
 def search_catalog(df: DataFrame, name: ColumnLike, term: str) -> DataFrame:
@@ -59,7 +62,7 @@ def search_pages(df: DataFrame, page_id: str, text: ColumnLike, query: str, limi
 def build_index(df: DataFrame, page_id: str, text: ColumnLike) -> DataFrame:
     """Inverted index ``term``, page, ``frequency`` for a catalogue that is searched often.
 
-    Write it partitioned or bucketed by ``term``; ``search_index`` then reads only the query's words.
+    ``write_index`` stores it so that a search reads only what it needs.
     """
     words = F.explode(F.split(F.lower(as_column(text)), WORD_BREAK))
     return (
@@ -81,5 +84,66 @@ def search_index(index: DataFrame, page_id: str, query: str, limit: int | None =
     return scored.orderBy(F.col("score").desc(), F.col(page_id)).limit(limit)
 
 
+def write_index(df: DataFrame, page_id: str, text: ColumnLike, path: str, block_pages: int = BLOCK_PAGES,
+                folders: int = INDEX_FOLDERS) -> None:
+    """Store an inverted index for ``search_stored``.
+
+    Pages are dealt by hash to cells of about ``block_pages`` pages. A row is a block: one term in one cell, with its
+    postings, how many they are and the greatest frequency among them. Blocks lie in ``folders`` by the term's hash,
+    sorted by term and cell; a term of many blocks is spread over several files.
+    """
+    cells = max(1, -(-df.select(page_id).distinct().count() // block_pages))
+    postings = build_index(df, page_id, text).withColumn("cell", F.pmod(F.xxhash64(page_id), F.lit(cells)))
+    blocks = postings.groupBy("term", "cell").agg(
+        F.max("frequency").alias("most"),
+        F.count(F.lit(1)).alias("n_pages"),
+        F.collect_list(F.struct(F.col(page_id).alias("page"), "frequency")).alias("postings"),
+    ).withColumn("folder", _folder(F.col("term"), folders))
+    order = ["folder", "term", "cell"]
+    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str, query: str, folders: int = INDEX_FOLDERS) -> DataFrame:
+    """The stored blocks of the query's words; other folders are not listed and other terms not read."""
+    terms = query_terms(query)
+    within = F.col("folder").isin(*[_folder(F.lit(t), folders) for t in terms]) if terms else F.lit(False)
+    return spark.read.parquet(path).where(within & F.col("term").isin(*terms))
+
+
+def search_stored(spark: SparkSession, path: str, page_id: str, query: str, limit: int,
+                  folders: int = INDEX_FOLDERS) -> DataFrame:
+    """The rows of ``search_pages`` with a limit, from a stored index.
+
+    No page of a cell scores more than the sum of its blocks' greatest frequencies. The ``limit`` cells of the highest
+    bounds are scored first; the score of the last page that they would return is a threshold, and only cells whose
+    bound reaches it are scored then. Pages of equal score are never skipped, so ties are exact.
+    """
+    blocks = read_blocks(spark, path, query, folders)
+    chosen = reaching_cells(blocks, limit)
+    return _best(_scored(blocks, chosen), limit).select(F.col("page").alias(page_id), "score")
+
+
+def reaching_cells(blocks: DataFrame, limit: int) -> DataFrame:
+    """Cells that may hold one of the ``limit`` best pages, with their bound."""
+    bounds = blocks.groupBy("cell").agg(F.sum("most").alias("bound"))
+    first = bounds.orderBy(F.col("bound").desc(), "cell").limit(limit)
+    # One row: a full report's last score, nothing if there are fewer pages.
+    last = _best(_scored(blocks, first), limit).agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).first()
+    return bounds.where(F.col("bound") >= last["score"]) if last["n"] == limit else bounds
+
+
+def _scored(blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    hits = blocks.join(cells.select("cell"), "cell", "left_semi").select(F.explode("postings").alias("p"))
+    return hits.groupBy("p.page").agg(F.sum("p.frequency").alias("score"))
+
+
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    return scored.orderBy(F.col("score").desc(), "page").limit(limit)
+
+
+def _folder(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+
+
 def query_terms(query: str) -> list[str]:
     return sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})

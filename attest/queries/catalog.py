@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.operators.assets import asset_gate, extract_assets
-from attest.operators.catalog import build_index, fetch_receipt, list_children, search_catalog, search_index, search_pages
+from attest.operators.catalog import build_index, fetch_receipt, list_children, search_catalog, search_index, search_pages, search_stored, write_index
 from attest.queries.registry import Tables, query
+from attest.session import fresh_folder
 
 
 @query("search_catalog", "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring')")
@@ -46,6 +47,13 @@ def indexed_pages(t: Tables) -> DataFrame:
     return search_index(build_index(t.documents, "doc_id", "text"), "doc_id", QUERY_TEXT)
 
 
+@query("search_stored", f"SELECT doc_id, score FROM ({SCORES}) ORDER BY score DESC, doc_id LIMIT 25")
+def stored_pages(t: Tables) -> DataFrame:
+    folder = fresh_folder(t.spark, "index")
+    write_index(t.documents, "doc_id", "text", folder)
+    return search_stored(t.spark, folder, "doc_id", QUERY_TEXT, limit=25)
+
+
 # Addresses of every kind: the pages' rooted ones, and by page relative, climbing, query and fragment ones and full ones with a port.
 ASSETS_SQL = r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[^#]*') AS document,

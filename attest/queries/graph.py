@@ -18,7 +18,10 @@ from attest.operators.graph import (
 )
 from attest.plans.screens import evidence_index
 from attest.operators.lookup import outside_table
+from attest.plans.captures import CAPTURE_DIMENSIONS, capture_import
 from attest.queries.registry import Tables, query
+from attest.session import fresh_folder
+from attest.sources.versions import published
 
 EVENT_TYPES = ["view", "click", "signup", "error", "purchase"]
 HOURS = [f"{h:02d}" for h in range(24)]
@@ -115,6 +118,30 @@ def folded(t: Tables) -> DataFrame:
     return result.withColumn("captures", F.to_json("captures"))
 
 
+@query("capture_import", """
+WITH d AS (SELECT translate(CAST(doc_id AS VARCHAR), '0123456789', 'abcdefghij') AS state, coalesce(lang, '-') AS evidence, doc_id FROM documents),
+c AS (SELECT d.*, concat(v, '-', h) AS k FROM d CROSS JOIN (SELECT unnest(['compact', 'phone', 'tablet', 'desktop']) AS v) CROSS JOIN (SELECT unnest(['light', 'dark']) AS h))
+SELECT state, evidence, count(*) AS n_captures, concat('{', string_agg(concat('"', k, '":"', doc_id, '/', k, '"'), ',' ORDER BY k), '}') AS captures FROM c GROUP BY ALL
+""")
+def imported_captures(t: Tables) -> DataFrame:
+    """Two imports: the captures of every document, and then a set that has each of them twice, which is refused."""
+    state = F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij").alias("state")
+    states = t.documents.select(state, F.coalesce("lang", F.lit("-")).alias("evidence"), "doc_id")
+    captures = states.withColumn("at", F.col("doc_id") + 1)
+    for name, values in CAPTURE_DIMENSIONS.items():
+        captures = captures.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    columns = {
+        "evidence": "evidence", "taken_at": "at", "started_at": F.col("doc_id"), "outcome": F.lit("expected"),
+        "file": F.concat(F.col("doc_id").cast("string"), F.lit("/"), "viewport", F.lit("-"), "theme"),
+    }
+    folder = fresh_folder(t.spark, "captures")
+    for given in (captures, captures.unionByName(captures)):
+        capture_import(t.spark, folder, states, given, t.labels, "state", **columns)
+    keys = F.array_sort(F.map_keys("captures"))
+    ordered = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at("captures", k)))
+    return published(t.spark, folder, "states").select("state", "evidence", "n_captures", F.to_json(ordered).alias("captures"))
+
+
 WORDS = r"([\p{L}\p{N}]+)"
 
 
