@@ -23,8 +23,9 @@ from attest.operators.sets import (
 from attest.plans.deploy import deploy_check
 from attest.plans.identity import conform
 from attest.plans.jobs import job_policy, step_order
+from attest.plans.schema import schema_violations
 from attest.plans.release import build_check, release_check
-from attest.plans.screens import padded, screen_check
+from attest.plans.screens import evidence_problems, padded, screen_check
 from attest.queries.registry import Tables, query
 from attest.sources.records import parse_records
 
@@ -192,19 +193,21 @@ UNION ALL SELECT id, 'action', 9, NULL FROM s WHERE title = ''
 """
 
 
-@query("screen_check", SCREEN_SQL)
-def screen_violations(t: Tables) -> DataFrame:
-    docs = t.documents
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
+def screen_id() -> Column:
     number = F.when(F.col("lang") == "es", F.col("doc_id").cast("string")).otherwise(padded("doc_id", 3))
+    return F.concat(F.lit("S-"), number)
+
+
+def screens(t: Tables) -> DataFrame:
+    docs = t.documents
     step = F.struct(
         (F.col("doc_id") + 1).cast("string").alias("to"),
         first_line("text").alias("action"),
         F.when(F.col("lang") == "fr", "seen").otherwise("inferred").alias("confidence"),
     )
-    screens = docs.select(
+    return docs.select(
         F.col("doc_id").alias("index"),
-        F.concat(F.lit("S-"), number).alias("id"),
+        screen_id().alias("id"),
         F.col("text").alias("description"),
         first_line("text").alias("title"),
         F.col("source").alias("summary"),
@@ -212,7 +215,36 @@ def screen_violations(t: Tables) -> DataFrame:
         F.when(F.col("n_chars") >= 150, F.array("source")).alias("controls"),
         F.array(step).alias("transitions"),
     )
-    return screen_check(screens, total.scalar(), prefix="S-")
+
+
+@query("screen_check", SCREEN_SQL)
+def screen_violations(t: Tables) -> DataFrame:
+    total = t.documents.agg(F.count(F.lit(1)).alias("n"))
+    return screen_check(screens(t), total.scalar(), prefix="S-")
+
+
+@query("evidence_problems", f"""
+WITH d AS (SELECT *, CASE WHEN doc_id < 100 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END AS three FROM documents),
+s AS (SELECT *, concat('S-', CASE WHEN lang = 'es' THEN CAST(doc_id AS VARCHAR) ELSE three END) AS id, CAST(doc_id + 1 AS VARCHAR) AS target FROM d),
+m AS (SELECT id AS member FROM s WHERE lang IS DISTINCT FROM 'en' UNION ALL SELECT concat('S-', n_chars) FROM s)
+SELECT 'count' AS problem, NULL AS item, count(*) AS n_rows FROM s
+UNION ALL SELECT 'duplicate_id', id, count(*) FROM s GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'no_file', id, count(*) FROM s WHERE lang = 'fr' GROUP BY id
+UNION ALL SELECT 'unknown_target', target, count(*) FROM s WHERE target NOT IN (SELECT id FROM s) GROUP BY target
+UNION ALL SELECT 'unknown_member', member, count(*) FROM m WHERE member NOT IN (SELECT id FROM s) GROUP BY member
+UNION ALL SELECT 'uncovered', id, count(*) FROM s WHERE id NOT IN (SELECT member FROM m) GROUP BY id
+UNION ALL SELECT concat('rule_', rule), id, count(*) FROM ({SCREEN_SQL}) GROUP BY ALL
+""")
+def unsound_screens(t: Tables) -> DataFrame:
+    """One screen more is expected than there is; French documents have no picture, English ones a single journey."""
+    total = t.documents.agg((F.count(F.lit(1)) + 1).alias("n"))
+    picture = F.when(F.col("lang").eqNullSafe("fr"), ".jpg").otherwise(".png")
+    files = t.documents.select(F.concat(F.lit("screen "), F.col("doc_id").cast("string"), picture).alias("file"))
+    second = F.concat(F.lit("S-"), F.col("n_chars").cast("string"))
+    own = F.when(~F.col("lang").eqNullSafe("en"), screen_id())
+    journeys = t.documents.select(F.col("doc_id").alias("position"), first_line("text").alias("title"),
+                                  F.array_compact(F.array(own, second)).alias("nodes"))
+    return evidence_problems(screens(t), journeys, files, "file", total.scalar(), prefix="S-")
 
 
 JOB_SQL = """
@@ -262,6 +294,52 @@ def turn_order(t: Tables) -> DataFrame:
     return step_order(t.conversations, "conv_id", "turn", F.col("role") == "user", long_answer)
 
 
+DOCUMENT_SCHEMA = {
+    "type": "object",
+    "required": ["id", "origin", "size"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 10},
+        "origin": {
+            "type": "object",
+            "required": ["lang", "source"],
+            "properties": {"lang": {"enum": ["en", "de"]}, "source": {"$ref": "#/definitions/source"}},
+        },
+        "size": {"type": "integer", "maximum": 1500},
+        "words": {"type": "array", "maxItems": 200, "items": {"type": "string", "maxLength": 9}},
+    },
+    "definitions": {"source": {"type": "string", "pattern": r"\Asrc[0-9]\z"}},
+}
+
+
+@query("schema_violations", r"""
+WITH d AS (SELECT *, string_split(text, ' ') AS words FROM documents), w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d)
+SELECT doc_id, '$.id' AS path, 'minimum' AS keyword, CAST(doc_id AS VARCHAR) AS value FROM d WHERE doc_id < 10
+UNION ALL SELECT doc_id, '$.origin.lang', 'enum', lang FROM d WHERE lang NOT IN ('en', 'de')
+UNION ALL SELECT doc_id, '$.origin.lang', 'required', NULL FROM d WHERE lang IS NULL
+UNION ALL SELECT doc_id, '$.origin.source', 'pattern', source FROM d WHERE NOT regexp_matches(source, '^src[0-9]$')
+UNION ALL SELECT doc_id, '$.origin.source', 'required', NULL FROM d WHERE source IS NULL
+UNION ALL SELECT doc_id, '$.size', 'maximum', CAST(n_chars AS VARCHAR) FROM d WHERE n_chars > 1500 AND lang IS DISTINCT FROM 'es'
+UNION ALL SELECT doc_id, '$.size', 'type', CAST(n_chars AS VARCHAR) FROM d WHERE lang = 'es'
+UNION ALL SELECT doc_id, '$.size', 'required', NULL FROM d WHERE n_chars IS NULL
+UNION ALL SELECT doc_id, '$.note', 'additionalProperties', lang FROM d WHERE lang = 'fr'
+UNION ALL SELECT doc_id, '$.words', 'maxItems', NULL FROM d WHERE len(words) > 200
+UNION ALL SELECT doc_id, concat('$.words[', i, ']'), 'maxLength', word FROM w WHERE length(word) > 9
+""")
+def nested_shape_violations(t: Tables) -> DataFrame:
+    """Documents as nested JSON: in Spanish ones the size is a string, French ones have a field more."""
+    common = [F.col("doc_id").alias("id"), F.struct("lang", "source").alias("origin"), F.split("text", " ").alias("words")]
+    size = F.col("n_chars")
+    body = (
+        F.when(F.col("lang") == "es", F.to_json(F.struct(*common, size.cast("string").alias("size"))))
+        .when(F.col("lang") == "fr", F.to_json(F.struct(*common, size.alias("size"), F.col("lang").alias("note"))))
+        .otherwise(F.to_json(F.struct(*common, size.alias("size"))))
+    )
+    found = schema_violations(t.documents.select("doc_id", body.alias("body")), "body", DOCUMENT_SCHEMA, ["doc_id"])
+    # The value of a list that is too long is the whole list.
+    return found.withColumn("value", F.when(F.col("keyword") != "maxItems", F.col("value")))
+
+
 @query("conform", """
 WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN left(props, length(props) - 1)
       WHEN 'click' THEN replace(props, '}', ', "x": 1}') WHEN 'view' THEN replace(props, '"k"', '"j"')
