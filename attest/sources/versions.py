@@ -52,8 +52,14 @@ def publish(spark: SparkSession, path: str, tables: Mapping[str, DataFrame], gat
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """A table of the newest version; none before the first."""
+    stage = newest_stage(spark, path)
+    return spark.read.parquet(f"{stage}/{name}") if stage else None
+
+
+def newest_stage(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest version, for readers that need several of its tables to belong together."""
     latest = _latest(spark, path)
-    return spark.read.parquet(f"{latest[1]}/{name}") if latest else None
+    return latest[1] if latest else None
 
 
 def _latest(spark: SparkSession, path: str) -> tuple[int, str] | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attest.operators.access import MUTATIONS, flow_state, rate_limit, request_counts, session_state
 from attest.operators.rules import Rule, check
 from attest.streaming.keyed import stream_flow_state, stream_rate_limit, stream_session_state
-from attest.streaming.latest import compact, latest_status, newest, stream_latest
+from attest.streaming.latest import compact, fold_history, latest_status, newest, stream_latest
 from attest.streaming.violations import stream_violations
 
 SCHEMA = "user int, id long, at long, kind string"
@@ -142,6 +142,40 @@ def test_latest_never_goes_back_and_survives_replay(spark, tmp_path):
     assert rows(latest_status(spark, str(tmp_path / "short"), stream.schema, by, rank, payload)) == expected
 
 
+def test_history_is_folded_under_a_stream(spark, tmp_path):
+    updates = [(1, 5, START, "queued"), (2, 1, START, "queued"), (1, 5, START + 9, "completed"), (1, 3, START + 50, "late"),
+               (3, 1, START, "queued"), (2, 2, START + 1, "running")]
+    folder, path, progress = (str(tmp_path / n) for n in ("in", "rows", "progress"))
+    by, rank, payload = ["user"], ["id", "at"], ["kind"]
+
+    def arrive(part):
+        stream = stream_of(spark, folder, part, size=1)
+        stream_latest(stream, by, rank, payload, path, progress, True).awaitTermination()
+        return stream.schema
+
+    def current():
+        return latest_status(spark, path, schema, by, rank, payload)
+
+    schema = arrive(updates[:1])
+    # The only batch may still be replayed.
+    assert fold_history(spark, path, schema, by, rank, payload) is None
+    arrive(updates[1:4])
+    before = current()
+    held = rows(before)
+    assert fold_history(spark, path, schema, by, rank, payload) == 2
+    assert rows(current()) == held == rows(before) == Counter({(1, 5, START + 9, "completed"): 1, (2, 1, START, "queued"): 1})
+    # Nothing new to fold; the last batch is written again, as after a failure.
+    assert fold_history(spark, path, schema, by, rank, payload) == 2
+    newest(spark.createDataFrame(updates[3:4], SCHEMA), by, rank, payload).write.mode("overwrite").parquet(f"{path}/batch_id=3")
+    arrive(updates[4:])
+    expected = Counter({(1, 5, START + 9, "completed"): 1, (2, 2, START + 1, "running"): 1, (3, 1, START, "queued"): 1})
+    assert rows(current()) == expected
+    assert fold_history(spark, path, schema, by, rank, payload) == 4
+    assert rows(current()) == expected
+    plan = current()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "_folded" in plan
+
+
 def test_a_start_comes_before_a_submission_of_the_same_time(spark, tmp_path):
     # The submission has the smaller id.
     history = [(1, 1, START, "click"), (1, 2, START, "start"), (2, 3, START, "click")]
