@@ -89,16 +89,19 @@ def write_index(df: DataFrame, page_id: str, text: ColumnLike, path: str, block_
     """Store an inverted index for ``search_stored``.
 
     Pages are dealt by hash to cells of about ``block_pages`` pages. A row is a block: one term in one cell, with its
-    postings, how many they are and the greatest frequency among them. Blocks lie in ``folders`` by the term's hash,
+    pages, their frequencies and the greatest of these. Blocks lie in ``folders`` by the term's hash,
     sorted by term and cell; a term of many blocks is spread over several files.
     """
     cells = max(1, -(-df.select(page_id).distinct().count() // block_pages))
-    postings = build_index(df, page_id, text).withColumn("cell", F.pmod(F.xxhash64(page_id), F.lit(cells)))
-    blocks = postings.groupBy("term", "cell").agg(
-        F.max("frequency").alias("most"),
-        F.count(F.lit(1)).alias("n_pages"),
-        F.collect_list(F.struct(F.col(page_id).alias("page"), "frequency")).alias("postings"),
-    ).withColumn("folder", _folder(F.col("term"), folders))
+    # Dealt once by cell; counts and blocks then need no shuffle of their own.
+    cell = F.pmod(F.xxhash64(page_id), F.lit(cells)).alias("cell")
+    dealt = df.select(cell, F.col(page_id).alias("page"), as_column(text).alias("text")).repartition("cell")
+    words = dealt.select("cell", "page", F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("term"))
+    counted = words.where(F.col("term") != "").groupBy("cell", "page", "term").agg(F.count(F.lit(1)).alias("frequency"))
+    found = F.collect_list(F.struct("page", "frequency"))
+    blocks = counted.groupBy("cell", "term").agg(F.max("frequency").alias("most"), found.alias("found")).select(
+        "cell", "term", "most", F.col("found.page").alias("pages"), F.col("found.frequency").alias("frequencies"),
+        _folder(F.col("term"), folders).alias("folder"))
     order = ["folder", "term", "cell"]
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(path)
 
@@ -133,8 +136,8 @@ def reaching_cells(blocks: DataFrame, limit: int) -> DataFrame:
 
 
 def _scored(blocks: DataFrame, cells: DataFrame) -> DataFrame:
-    hits = blocks.join(cells.select("cell"), "cell", "left_semi").select(F.explode("postings").alias("p"))
-    return hits.groupBy("p.page").agg(F.sum("p.frequency").alias("score"))
+    hits = blocks.join(cells.select("cell"), "cell", "left_semi").select(F.explode(F.arrays_zip("pages", "frequencies")).alias("p"))
+    return hits.groupBy(F.col("p.pages").alias("page")).agg(F.sum("p.frequencies").alias("score"))
 
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:

@@ -47,4 +47,4 @@ def test_only_the_words_folders_are_listed(spark, stored):
     files = read_blocks(spark, stored, "w1").inputFiles()
     assert {re.search(r"folder=(\d+)", f).group(1) for f in files} and len(files) >= 1
     read = read_blocks(spark, stored, "w1").select("cell", "most")._jdf.queryExecution().executedPlan().toString()
-    assert "postings" not in re.search(r"ReadSchema: (\S+)", read).group(1)
+    assert "pages" not in re.search(r"ReadSchema: (\S+)", read).group(1)
