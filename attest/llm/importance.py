@@ -1,6 +1,6 @@
 """Importance resampling: draw the documents whose hashed n-grams look most like those of target texts.
 
-Texts are cut by Arrow kernels (``ascii_lower``, ``split_pattern_regex``, ``list_flatten``, ``dictionary_encode``);
+Texts are cut by Arrow kernels (``split_pattern_regex``, ``list_flatten``, ``ascii_lower``, ``dictionary_encode``);
 n-grams are shifted dictionary indices, and only distinct ones are hashed: the CRC of an n-gram goes on from that of
 its first words. The buckets of every document are written once as a list column. Bucket counts of documents and
 target give each bucket a gain; a second, narrow pass takes the gains of each list and sums them by segments. Gumbel
@@ -32,15 +32,16 @@ LEAST_WORDS = 20
 PERCENT = 10
 SEED = "2024"
 PIECE_BYTES = 4_000_000
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, A-Z in lower case, and the text each stands in; a null text has none."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _SEPARATORS)
+    parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), _SEPARATORS)
     flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
     some = pc.not_equal(flat, "")
-    return flat.filter(some), owner.filter(some).to_numpy(zero_copy_only=False)
+    # Words are lowered, not texts: the kernel reads a slice of a cast array from the wrong place.
+    return pc.ascii_lower(flat.filter(some)), owner.filter(some).to_numpy(zero_copy_only=False)
 
 
 def features(texts: pa.Array, orders: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -58,6 +58,12 @@ def test_equals_a_plain_loop(spark, orders):
     assert found(docs, target, **options) == expected
 
 
+def test_batches_of_several_pieces(spark):
+    rows = [(i, t) for i, t in enumerate([*texts(3, 60), *["Alpha of the " * n for n in (150_000, 200_000, 400_000)], *texts(4, 60)])]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert found(docs, spark.createDataFrame([("the alpha",)], "text string")) == brute(rows, ["the alpha"])
+
+
 def test_repeated_rows_ties_and_clashing_columns(spark):
     rows = [(7, "the of alpha " * 10)] * 40 + [(8, "the")] * 5
     docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(1).alias(c) for c in ("key", "print", "tag", "buckets", "score", "rank")])
