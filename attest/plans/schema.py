@@ -2,11 +2,13 @@
 
 The whole schema, nested objects and arrays included, becomes a single column: a table is read once, nothing is
 shuffled and no Python runs. Each violation has the path of the value in its document, such as ``$.user.tags[3]``.
+A text is parsed once and an object or array opened once, whatever the number of keywords that look at it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +18,15 @@ from attest.functions.predicates import field_rule
 
 _VIOLATIONS = "array<struct<path:string,keyword:string,value:string>>"
 # Types of VARIANT by their names in JSON Schema; an integer is a number without a fraction.
-_KINDS = {
-    "string": r"\ASTRING\z", "number": r"\A(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z", "boolean": r"\ABOOLEAN\z", "null": r"\AVOID\z",
-    "object": r"\AOBJECT<", "array": r"\AARRAY<",
+_KINDS: dict[str, Callable[[Column], Column]] = {
+    "string": lambda kind: kind == "STRING",
+    "number": lambda kind: kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
+    "boolean": lambda kind: kind == "BOOLEAN",
+    "null": lambda kind: kind == "VOID",
+    "object": lambda kind: kind.startswith("OBJECT<"),
+    "array": lambda kind: kind.startswith("ARRAY<"),
 }
+_OF_OBJECTS, _OF_ARRAYS = ("properties", "required", "additionalProperties"), ("items", "minItems", "maxItems")
 #: Keywords that assert something and are not compiled; a schema with one of them is refused rather than half obeyed.
 REFUSED = ("anyOf", "oneOf", "not", "if", "then", "else", "patternProperties", "propertyNames", "dependencies", "dependentRequired",
            "dependentSchemas", "contains", "uniqueItems", "minProperties", "maxProperties", "prefixItems", "additionalItems",
@@ -34,9 +41,9 @@ def schema_violations(df: DataFrame, json: ColumnLike, schema: Mapping, key: Seq
     ``REFUSED``, references outside the schema and schemas that contain themselves raise ``ValueError``.
     """
     text = as_column(json)
-    parsed = F.try_parse_json(text)
-    whole = _Compiler(schema).violations(schema, parsed, F.lit("$"), ())
-    found = F.when(parsed.isNull(), _one(F.lit("$"), "json", text)).otherwise(whole)
+    compiler = _Compiler(schema)
+    found = _with(F.try_parse_json(text), lambda parsed: F.when(parsed.isNull(), _one(F.lit("$"), "json", text)).otherwise(
+        compiler.violations(schema, parsed, F.lit("$"), ())))
     return df.select(*key, F.explode(found).alias("__v")).select(*key, "__v.*")
 
 
@@ -49,6 +56,21 @@ def _none() -> Column:
     return F.array().cast(_VIOLATIONS)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """The array that ``use`` makes of a value that is computed once, however often ``use`` names it."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+@dataclass(frozen=True)
+class _Value:
+    """A value, the name of its type, and its fields or items, null where it has none or its schema does not ask."""
+
+    node: Column
+    kind: Column
+    members: Column
+    items: Column
+
+
 class _Compiler:
     def __init__(self, root: Mapping):
         self.root = root
@@ -62,9 +84,25 @@ class _Compiler:
         for name in REFUSED:
             if name in schema:
                 raise ValueError(f"keyword {name} is not compiled")
+        no_members, no_items = F.lit(None).cast("map<string,variant>"), F.lit(None).cast("array<variant>")
+        if not any(k in schema for k in (*_OF_OBJECTS, *_OF_ARRAYS)):
+            return _with(F.schema_of_variant(node), lambda k: self._all(schema, _Value(node, k, no_members, no_items), path, within))
+        members = node.try_cast("map<string,variant>") if any(k in schema for k in _OF_OBJECTS) else no_members
+        items = node.try_cast("array<variant>") if any(k in schema for k in _OF_ARRAYS) else no_items
+
+        def judged(opened: Column) -> Column:
+            members, items = opened["members"], opened["items"]
+            # An opened value tells its type; the name of the type is a walk through all of it.
+            kind = F.when(members.isNotNull(), "OBJECT<").when(items.isNotNull(), "ARRAY<").otherwise(F.schema_of_variant(node))
+            return _with(kind, lambda k: self._all(schema, _Value(node, k, members, items), path, within))
+
+        return _with(F.struct(members.alias("members"), items.alias("items")), judged)
+
+    def _all(self, schema: Mapping, value: _Value, path: Column, within: tuple[str, ...]) -> Column:
+        node = value.node
         parts = [F.when(node.isNotNull() & ~F.coalesce(ok, F.lit(False)), _one(path, keyword, _text(node))).otherwise(_none())
-                 for keyword, ok in self._assertions(schema, node)]
-        parts += self._members(schema, node, path, within)
+                 for keyword, ok in self._assertions(schema, value)]
+        parts += self._members(schema, value, path, within)
         parts += [self.violations(s, node, path, within) for s in schema.get("allOf", ())]
         if "$ref" in schema:
             target = schema["$ref"]
@@ -86,18 +124,19 @@ class _Compiler:
             found = found[step]
         return found
 
-    def _assertions(self, schema: Mapping, node: Column) -> list[tuple[str, Column]]:
+    def _assertions(self, schema: Mapping, value: _Value) -> list[tuple[str, Column]]:
         """Keywords about the value itself, with whether it holds."""
+        node = value.node
         made: list[tuple[str, Column]] = []
         if "type" in schema:
             names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
-            made.append(("type", _any([_is(node, n) for n in names])))
+            made.append(("type", _any([_is(value, n) for n in names])))
         for keyword in ("enum", "const"):
             if keyword in schema:
                 values = schema[keyword] if keyword == "enum" else [schema[keyword]]
-                made.append((keyword, _any([_equals(node, v) for v in values])))
+                made.append((keyword, _any([_equals(value, v) for v in values])))
         text, number = _text(node), _number(node)
-        length, n_items = F.char_length(text), F.size(_items(node))
+        length, n_items = F.char_length(text), F.size(value.items)
         bounds: dict[str, tuple[str, Callable[[Column | str], Column]]] = {
             "minLength": ("string", lambda n: length >= n),
             "maxLength": ("string", lambda n: length <= n),
@@ -113,14 +152,14 @@ class _Compiler:
         for keyword, (kind, holds) in bounds.items():
             if keyword in schema:
                 bound = schema[keyword]
-                made.append((keyword, ~_is(node, kind) | holds(bound if isinstance(bound, str) else F.lit(float(bound)))))
+                made.append((keyword, ~_is(value, kind) | holds(bound if isinstance(bound, str) else F.lit(float(bound)))))
         return made
 
-    def _members(self, schema: Mapping, node: Column, path: Column, within: tuple[str, ...]) -> list[Column]:
+    def _members(self, schema: Mapping, value: _Value, path: Column, within: tuple[str, ...]) -> list[Column]:
         """Violations of an object's fields and an array's items."""
         parts = []
         fields = schema.get("properties", {})
-        members = _fields(node)
+        members = value.members
         keys = F.map_keys(members)
         for name in schema.get("required", ()):
             lacking = members.isNotNull() & ~F.array_contains(keys, name)
@@ -133,7 +172,7 @@ class _Compiler:
             judged = F.transform(extra, lambda k: self._other(others, F.try_element_at(members, k), F.concat(path, F.lit("."), k), within))
             parts.append(F.coalesce(F.flatten(judged), _none()))
         if "items" in schema:
-            judged = F.transform(_items(node), lambda item, i: self.violations(
+            judged = F.transform(value.items, lambda item, i: self.violations(
                 schema["items"], item, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), within))
             parts.append(F.coalesce(F.flatten(judged), _none()))
         return parts
@@ -148,14 +187,6 @@ def _step(path: Column, name: str) -> Column:
     return F.concat(path, F.lit("." + name))
 
 
-def _fields(node: Column) -> Column:
-    return F.when(_is(node, "object"), node.try_cast("map<string,variant>"))
-
-
-def _items(node: Column) -> Column:
-    return F.when(_is(node, "array"), node.try_cast("array<variant>"))
-
-
 def _text(node: Column) -> Column:
     return F.try_variant_get(node, "$", "string")
 
@@ -165,24 +196,24 @@ def _number(node: Column) -> Column:
     return F.try_variant_get(node, "$", "double")
 
 
-def _is(node: Column, kind: str) -> Column:
+def _is(value: _Value, kind: str) -> Column:
     if kind == "integer":
-        number = _number(node)
-        return _is(node, "number") & (number == F.floor(number))
+        number = _number(value.node)
+        return _is(value, "number") & (number == F.floor(number))
     if kind not in _KINDS:
         raise ValueError(f"type {kind} is unknown")
-    return F.coalesce(F.schema_of_variant(node).rlike(_KINDS[kind]), F.lit(False))
-
-
-def _equals(node: Column, value: object) -> Column:
-    if value is None:
-        return _is(node, "null")
-    if isinstance(value, bool):
-        return _is(node, "boolean") & (F.try_variant_get(node, "$", "boolean") == F.lit(value))
-    if isinstance(value, str):
-        return _is(node, "string") & (_text(node) == F.lit(value))
-    if isinstance(value, (int, float)):
-        return _is(node, "number") & (_number(node) == F.lit(float(value)))
+    return F.coalesce(_KINDS[kind](value.kind), F.lit(False))
+
+
+def _equals(value: _Value, wanted: object) -> Column:
+    if wanted is None:
+        return _is(value, "null")
+    if isinstance(wanted, bool):
+        return _is(value, "boolean") & (F.try_variant_get(value.node, "$", "boolean") == F.lit(wanted))
+    if isinstance(wanted, str):
+        return _is(value, "string") & (_text(value.node) == F.lit(wanted))
+    if isinstance(wanted, (int, float)):
+        return _is(value, "number") & (_number(value.node) == F.lit(float(wanted)))
     raise ValueError("only plain values are compared")
 
 

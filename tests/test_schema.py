@@ -114,3 +114,15 @@ def test_random_documents(spark):
     expected = sorted((i, *v) for i, d in enumerate(documents) for v in plain(SCHEMA, d))
     assert len({v[2] for v in expected}) == 7 and len({re.sub(r"\d", "", v[1]) for v in expected}) > 8
     assert found(spark, SCHEMA, [json.dumps(d) for d in documents]) == expected
+
+
+def test_a_text_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "{}")], "i int, t string")
+    fields = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(fields, "10000")
+    try:
+        plan = schema_violations(rows, "t", SCHEMA, ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(fields)
+    # Where it comes from, where it is parsed, and where it is shown if it is not JSON.
+    assert len(re.findall(r"\bt#\d+", plan)) <= 4
