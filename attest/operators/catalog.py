@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.functions.columns import ColumnLike, as_column
 from attest.functions.content import byte_length, digest
+from attest.session import ship_with_plans
+
+ship_with_plans(__name__)
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 #: Pages of a block of a stored index, and folders that its terms are dealt to.
 BLOCK_PAGES = 64
 INDEX_FOLDERS = 64
+#: Cells whose blocks of a folder lie in one file.
+FILE_CELLS = 16_384
+#: Words of a cell that are counted at once.
+HELD_WORDS = 5_000_000
 
 
 def search_catalog(df: DataFrame, name: ColumnLike, term: str) -> DataFrame:
@@ -90,20 +101,62 @@ def write_index(df: DataFrame, page_id: str, text: ColumnLike, path: str, block_
 
     Pages are dealt by hash to cells of about ``block_pages`` pages. A row is a block: one term in one cell, with its
     pages, their frequencies and the greatest of these. Blocks lie in ``folders`` by the term's hash,
-    sorted by term and cell; a term of many blocks is spread over several files.
+    sorted by term and cell; a term of many blocks is spread over several files. Texts are shuffled once, to their cells,
+    whose words are counted as they stream by; blocks are shuffled once, to their files. A cell of very long pages has
+    several blocks of a term.
     """
     cells = max(1, -(-df.select(page_id).distinct().count() // block_pages))
-    # Dealt once by cell; counts and blocks then need no shuffle of their own.
     cell = F.pmod(F.xxhash64(page_id), F.lit(cells)).alias("cell")
-    dealt = df.select(cell, F.col(page_id).alias("page"), as_column(text).alias("text")).repartition("cell")
-    words = dealt.select("cell", "page", F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("term"))
-    counted = words.where(F.col("term") != "").groupBy("cell", "page", "term").agg(F.count(F.lit(1)).alias("frequency"))
-    found = F.collect_list(F.struct("page", "frequency"))
-    blocks = counted.groupBy("cell", "term").agg(F.max("frequency").alias("most"), found.alias("found")).select(
-        "cell", "term", "most", F.col("found.page").alias("pages"), F.col("found.frequency").alias("frequencies"),
-        _folder(F.col("term"), folders).alias("folder"))
-    order = ["folder", "term", "cell"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(path)
+    dealt = df.select(cell, F.col(page_id).alias("page"), as_column(text).alias("text")).repartition("cell").sortWithinPartitions("cell")
+    words = dealt.select("cell", "page", F.split(F.lower("text"), WORD_BREAK).alias("words"))
+    kind = words.schema["page"].dataType.simpleString()
+    blocks = words.mapInArrow(_blocks, f"cell bigint, term string, most int, pages array<{kind}>, frequencies array<int>")
+    blocks = blocks.withColumn("folder", _folder(F.col("term"), folders))
+    # Cells of one file: a folder of more cells has several files.
+    spread = F.pmod("cell", F.lit(-(-cells // FILE_CELLS)))
+    blocks.repartition("folder", spread).sortWithinPartitions("folder", "term", "cell").write.partitionBy("folder").parquet(path)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages that come cell by cell with their words; one cell is held at a time, or a part of it."""
+    held, size, cell = [], 0, None
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        cuts = np.flatnonzero(np.diff(cells)) + 1
+        for at, end in zip([0, *cuts], [*cuts, len(cells)]):
+            if end == at:
+                continue
+            if held and (cells[at] != cell or size > HELD_WORDS):
+                yield _block(cell, held)
+                held, size = [], 0
+            cell = cells[at]
+            held.append(batch.slice(at, end - at))
+            size += pc.sum(pc.list_value_length(held[-1].column("words"))).as_py() or 0
+    if held:
+        yield _block(cell, held)
+
+
+def _block(cell: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each term of some pages of a cell."""
+    lists = pa.concat_arrays([b.column("words") for b in held])
+    pages = pa.concat_arrays([b.column("page") for b in held]).dictionary_encode(null_encoding="encode")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = pc.list_flatten(lists)
+    some = pc.not_equal(words, "")
+    owner = np.repeat(pages.indices.to_numpy(zero_copy_only=False), lengths)[some.to_numpy(zero_copy_only=False)]
+    terms, n = words.filter(some).dictionary_encode(), len(pages.dictionary)
+    found, frequency = np.unique(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + owner, return_counts=True)
+    term, page = found // max(n, 1), found % max(n, 1)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    offsets = pa.array(np.append(starts, len(term)).astype(np.int32))
+    frequency = frequency.astype(np.int32)
+    columns = [
+        np.full(len(starts), cell, np.int64), terms.dictionary,
+        np.maximum.reduceat(frequency, starts) if len(starts) else frequency,
+        pa.ListArray.from_arrays(offsets, pages.dictionary.take(pa.array(page))), pa.ListArray.from_arrays(offsets, pa.array(frequency)),
+    ]
+    columns = [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns]
+    return pa.RecordBatch.from_arrays(columns, ["cell", "term", "most", "pages", "frequencies"])
 
 
 def read_blocks(spark: SparkSession, path: str, query: str, folders: int = INDEX_FOLDERS) -> DataFrame:

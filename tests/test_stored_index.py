@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from attest.operators import catalog
 from attest.operators.catalog import reaching_cells, read_blocks, search_pages, search_stored, write_index
 
 
@@ -48,3 +49,17 @@ def test_only_the_words_folders_are_listed(spark, stored):
     assert {re.search(r"folder=(\d+)", f).group(1) for f in files} and len(files) >= 1
     read = read_blocks(spark, stored, "w1").select("cell", "most")._jdf.queryExecution().executedPlan().toString()
     assert "pages" not in re.search(r"ReadSchema: (\S+)", read).group(1)
+
+
+def test_parts_of_a_cell_and_repeated_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "HELD_WORDS", 50)
+    monkeypatch.setattr(catalog, "FILE_CELLS", 3)
+    rows = [(f"p{i % 150}" if i % 40 else None, "w1 w2 W1 " * (i % 7) + "été") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id string, text string").repartition(3)
+    write_index(pages, "page_id", "text", str(tmp_path / "blocks"), block_pages=16)
+    counts = {}
+    for page, text in rows:
+        counts[page] = counts.get(page, 0) + len(re.findall("w1|été", text.lower()))
+    best = sorted(counts.items(), key=lambda r: (-r[1], r[0] is not None, r[0] or ""))[:20]
+    got = search_stored(spark, str(tmp_path / "blocks"), "page_id", "w1 été", 20).collect()
+    assert [tuple(r) for r in got] == best
