@@ -40,8 +40,13 @@ def reconcile_links(
         known = known.unionByName(existing_groups.select(group))
     known_groups = known.distinct().withColumn("__known", F.lit(True))
     # Names are distinct within a desired group, so only the group-level joins can meet a hot key.
-    compared = desired.join(first, [group, name], "left").withColumn(
-        "__clash", F.col("__old").isNotNull() & ~F.col("__old.url").eqNullSafe(F.col("url"))
+    # What the old link says of the new one is told before the next shuffle, so that its address and path stay behind.
+    compared = desired.join(first, [group, name], "left").select(
+        *desired.columns,
+        F.col("__old").isNotNull().alias("__there"),
+        (F.col("__old").isNotNull() & ~F.col("__old.url").eqNullSafe(F.col("url"))).alias("__clash"),
+        F.col("__old.path").eqNullSafe(F.col("path")).alias("__same_path"),
+        F.col("__old.id").alias("__id"),
     )
     groups = (
         compared.groupBy(group)
@@ -52,12 +57,12 @@ def reconcile_links(
     action = first_of(
         (F.col("__known").isNull(), "create"),
         (F.col("__conflict"), "conflict"),
-        (F.col("__old").isNull(), "add"),
-        (F.col("__old.path").eqNullSafe(F.col("path")), "keep"),
-        (F.col("__old.id").isNull(), "error"),
+        (~F.col("__there"), "add"),
+        (F.col("__same_path"), "keep"),
+        (F.col("__id").isNull(), "error"),
         otherwise=F.lit("update_path"),
     )
-    return joined.select(*desired.columns, F.col("__old.id").alias("existing_id"), action.alias("action"))
+    return joined.select(*desired.columns, F.col("__id").alias("existing_id"), action.alias("action"))
 
 
 def verify_targets(

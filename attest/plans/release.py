@@ -127,10 +127,11 @@ def publication_plan(
     declared_sha256, computed_sha256)``, ``links(release, name, url, path, id, position)``. Targets and
     uploads are read several times, so each is computed once and kept in the shared folder.
     """
-    targets = written(verify_targets(releases, commits, tags, slice_rows), "targets")
+    targets = written(verify_targets(releases, commits, tags, slice_rows), "targets", "zstd")
     sound = targets.where(F.col("verdict").isin("new_tag", "tag_matches")).select("release")
-    wanted = files.join(sound, "release", "left_semi")
-    uploads = written(plan_uploads(wanted, remote, ["release", "name"], slice_rows=None), "uploads")
+    # Files meet their remote ones by release and name first, so that their digests are dealt by release only once.
+    uploads = plan_uploads(files, remote, ["release", "name"], slice_rows=None).join(sound, "release", "left_semi")
+    uploads = written(uploads, "uploads", "zstd")
     summary = outcome_summary(uploads, ["release"], "action", ["upload", "skip", "conflict"])
     clean = summary.where(F.col("n_conflict") == 0).select("release")
     publishable = lookup_join(uploads, clean, ["release"], "left_semi", slice_rows, distinct_by=["name"])

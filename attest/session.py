@@ -51,10 +51,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder once and read it back, so that several uses do not compute it again."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write a table to the shared folder once and read it back, so that several uses do not compute it again.
+
+    ``compression`` names a codec of Parquet; ``zstd`` halves digests in hex, which the default leaves as they are.
+    """
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from attest.plans.release import publication_plan
 from attest.queries import QUERIES
 
 BATCH = [name for name in QUERIES if not name.startswith("stream_")]
@@ -45,3 +46,16 @@ def test_scans_are_pruned_and_filtered(spark, sf_dir):
                                              ("readiness", 1), ("fold_captures", 1), ("request_counts", 1), ("code_outcomes", 1)])
 def test_one_shuffle_is_enough(spark, sf_dir, name, exchanges):
     assert len(re.findall(r"\bExchange hashpartitioning", plan(spark, sf_dir, name))) == exchanges
+
+
+def test_publication_deals_digests_once_and_packs_them(spark):
+    one = "1" * 64
+    releases = spark.createDataFrame([(1, "c", "v1"), (2, "gone", "v2")], "release long, ref string, tag string")
+    commits, tags = spark.createDataFrame([("c",)], "id string"), spark.createDataFrame([], "name string, commit_id string, target string")
+    files = spark.createDataFrame([(1, "a", one), (2, "a", one)], "release long, name string, sha256 string")
+    remote = spark.createDataFrame([(1, "a", None, one)], "release long, name string, declared_sha256 string, computed_sha256 string")
+    links = spark.createDataFrame([(1, "a", "https://x/1/a", "/b", 7, 0)], "release long, name string, url string, path string, id long, position long")
+    plan = publication_plan(releases, commits, tags, files, remote, links, "https://x/")
+    assert [tuple(r) for r in plan["uploads"].select("release", "name", "action").collect()] == [(1, "a", "skip")]
+    assert [tuple(r) for r in plan["links"].collect()] == [(1, "a", "https://x/1/a", "/a", 7, "update_path")]
+    assert all(".zstd." in f for name in ("uploads", "targets") for f in plan[name].inputFiles())
