@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.columns import ColumnLike, as_column, first_of
-from attest.functions.content import byte_length, digest
+from attest.functions.content import byte_length, digest, packed, unpacked
 from attest.operators.skew import SLICE_ROWS, OrderedScan, lookup_join
 from attest.session import ship_with_plans
 
@@ -25,9 +25,10 @@ def verify_digests(
 
     Adds ``verdict``: ``match``, ``size_mismatch``, ``digest_mismatch`` or ``missing``.
     """
-    seen = actual.select(*on, F.col("size").alias("actual_size"), F.col("sha256").alias("actual_sha256"),
+    seen = actual.select(*on, F.col("size").alias("actual_size"), packed("sha256").alias("actual_sha256"),
                          F.lit(True).alias("__seen"))
-    joined = lookup_join(expected, seen, on, slice_rows=slice_rows)
+    joined = lookup_join(expected.withColumn("sha256", packed("sha256")), seen, on, slice_rows=slice_rows)
+    joined = joined.withColumns({c: unpacked(c) for c in ("sha256", "actual_sha256")})
     return joined.withColumn(
         "verdict",
         first_of(
