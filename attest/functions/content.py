@@ -13,18 +13,5 @@ def digest(content: ColumnLike) -> Column:
     return F.sha2(as_column(content), 256)
 
 
-def packed(sha256: ColumnLike) -> Column:
-    """A digest in lower-case hex as 33 bytes, any other text as its bytes; equal where the texts are."""
-    text = as_column(sha256)
-    return F.when(text.rlike(r"\A[0-9a-f]{64}\z"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
-
-
-def unpacked(sha256: ColumnLike) -> Column:
-    """The text that ``packed`` packed."""
-    data = as_column(sha256)
-    rest = F.substring(data, 2, 1 << 30)
-    return F.when(F.substring(data, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
-
-
 def byte_length(content: ColumnLike) -> Column:
     return F.octet_length(as_column(content)).cast("bigint")

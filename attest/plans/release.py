@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.content import packed, unpacked
 from attest.functions.predicates import MAX_FILE_BYTES, is_hex, is_safe_name, is_version
 from attest.operators.digests import plan_uploads, verify_digests
 from attest.operators.reconcile import reconcile_links, verify_targets
@@ -130,12 +129,8 @@ def publication_plan(
     """
     targets = written(verify_targets(releases, commits, tags, slice_rows), "targets", "zstd")
     sound = targets.where(F.col("verdict").isin("new_tag", "tag_matches")).select("release")
-    # Digests travel packed; equal ones stay equal.
-    there = remote.withColumns({c: packed(c) for c in ("declared_sha256", "computed_sha256")})
-    wanted = files.withColumn("sha256", packed("sha256")).join(sound, "release", "left_semi")
-    planned = plan_uploads(wanted, there, ["release", "name"], slice_rows=None)
-    digests = ("sha256", "declared_sha256", "computed_sha256")
-    uploads = written(planned.withColumns({c: unpacked(c) for c in digests}), "uploads", "zstd")
+    wanted = files.join(sound, "release", "left_semi")
+    uploads = written(plan_uploads(wanted, remote, ["release", "name"], slice_rows=None), "uploads", "zstd")
     summary = outcome_summary(uploads, ["release"], "action", ["upload", "skip", "conflict"])
     clean = summary.where(F.col("n_conflict") == 0).select("release")
     publishable = lookup_join(uploads, clean, ["release"], "left_semi", slice_rows, distinct_by=["name"])
