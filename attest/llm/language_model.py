@@ -18,6 +18,7 @@ chance of one in 20,000.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ STRENGTHS = (20.0, 5.0)
 #: Readings that make a pair a state.
 LEAST_STATE = 2
 CHUNK_BYTES = 8_000_000
+#: Names that are made at a time.
+_SLICE = 1 << 16
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -45,25 +48,39 @@ def held_out(key: int | None) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0
 
 
-def _named(history: np.ndarray, low: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64 and 16 bits that name a history followed by a word."""
-    with np.errstate(over="ignore"):
-        high = mixed(history * np.uint64(5) + mixed(word + low))
-        other = mixed(history * np.uint64(7) + mixed(word ^ _OTHER) + low)
-    return high, (other >> np.uint64(48)).astype(np.uint16)
+def _named(history: np.ndarray, low: np.ndarray | None, word: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64 and 16 bits that name each history ``of`` followed by the word ``at``, a slice at a time."""
+    high, rest = np.empty(len(of), np.uint64), np.empty(len(of), np.uint16)
+    for i in range(0, len(of), _SLICE):
+        some = slice(i, i + _SLICE)
+        h, w = history[of[some]], word[at[some]]
+        more = np.uint64(0) if low is None else low[of[some]].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            high[some] = mixed(h * np.uint64(5) + mixed(w + more))
+            rest[some] = mixed(h * np.uint64(7) + mixed(w ^ _OTHER) + more) >> np.uint64(48)
+    return high, rest
 
 
 class _Grams:
     """The different n-grams of a chunk in the order of their names, how often its training texts have each, and which each reading is."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, which: np.ndarray, train: np.ndarray, buckets: int):
-        order = np.argsort(high, kind="stable")
-        self.high, self.low = high[order], low[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.which = place[which]
-        self.counts = np.bincount(self.which[train], minlength=len(order))
-        self.cuts = np.searchsorted(bucket_of(self.high, buckets), np.arange(buckets + 1))
+    def __init__(self, high: np.ndarray, low: np.ndarray, which: np.ndarray, counts: np.ndarray, buckets: int):
+        self.high, self.low, self.which, self.counts = high, low, which, counts
+        self.cuts = np.searchsorted(bucket_of(high, buckets), np.arange(buckets + 1))
+
+    @staticmethod
+    def read(high: np.ndarray, low: np.ndarray, train: np.ndarray, buckets: int) -> _Grams:
+        """Of the names of all readings. One that shares its upper bits with another may come twice: its bucket adds both up."""
+        order = np.argsort(high)
+        high, low = high[order], low[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        starts = np.flatnonzero(new)
+        high, low = high[starts], low[starts]
+        which = np.empty(len(order), np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        counts = np.add.reduceat(train[order], starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32)
+        return _Grams(high, low, which, counts, buckets)
 
     def payload(self, bucket: int) -> bytes:
         some = slice(*self.cuts[bucket : bucket + 2])
@@ -88,27 +105,35 @@ class _Chunk:
     def __init__(self, rows: pa.Table, buckets: int):
         self.keys, self.buckets = rows.column("key").to_pylist(), buckets
         data, starts = joined(rows.column("text"))
-        lower = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
+        # Arrays are as long as the texts have bytes or words: each goes when it has been read, and none is wider than it must be.
+        lower = data | (((data >= 65) & (data <= 90)).view(np.uint8) << np.uint8(5))
+        del data
         words, first = words_of(lower, starts)
+        del lower
         coded = words.dictionary_encode()
+        del words
         known = coded.dictionary.to_pylist()
         end, start = len(known), len(known) + 1
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
-        self.hashes = np.concatenate([hashes, np.array([_END, _START], np.uint64)])
-        self.codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), first[1:], end)
+        self.hashes = np.fromiter(chain(map(xxhash.xxh64_intdigest, known), (_END, _START)), np.uint64, end + 2)
+        del known
+        self.codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], end)
+        del coded
         self.first = first + np.arange(len(first))
-        before = np.concatenate([[start], self.codes[:-1]])
+        before = np.empty(len(self.codes), np.int32)
+        before[1:] = self.codes[:-1]
         before[self.first[:-1]] = start
         self.held = np.array([held_out(k) for k in self.keys], bool)
         self.train = ~np.repeat(self.held, np.diff(self.first))
         # The start is read as a history only, of which there are as many as ends.
-        none = np.zeros(end + 1, np.uint16)
-        self.words = _Grams(self.hashes[: end + 1], none, self.codes, self.train, buckets)
-        self.place = np.empty(end + 1, np.int64)
-        self.place[self.codes] = self.words.which
-        self.history = self.place[np.where(before == start, end, before)]
-        pairs, which = np.unique(before * (end + 2) + self.codes, return_inverse=True)
-        self.pairs = _Grams(*_named(self.hashes[pairs // (end + 2)], np.uint64(0), self.hashes[pairs % (end + 2)]), which, self.train, buckets)
+        order = np.argsort(self.hashes[: end + 1])
+        place = np.empty(end + 2, np.int32)
+        place[order] = np.arange(end + 1, dtype=np.int32)
+        place[start] = place[end]
+        which = place[self.codes]
+        counts = np.bincount(which[self.train], minlength=end + 1)
+        self.words = _Grams(self.hashes[order], np.zeros(end + 1, np.uint16), which, counts, buckets)
+        self.history = place[before]
+        self.pairs = _Grams.read(*_named(self.hashes, None, self.hashes, before, self.codes), self.train, buckets)
 
     def counts(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         asked, payloads = _asked(self.words, self.pairs), answers_of(answers, 1)
@@ -119,12 +144,10 @@ class _Chunk:
         """Which tokens are read in the state of a pair, and the triples they make."""
         within = np.ones(len(self.codes), bool)
         within[self.first[:-1]] = False
-        held = np.concatenate([[0], self.pairs.which[:-1]]) if len(self.codes) else self.codes
-        some = np.flatnonzero(within & (pairs[held] >= least)) if len(self.codes) else self.codes
-        width = len(self.hashes)
-        both, which = np.unique(held[some] * width + self.codes[some], return_inverse=True)
-        of, word = both // width, both % width
-        return some, _Grams(*_named(self.pairs.high[of], self.pairs.low[of].astype(np.uint64), self.hashes[word]), which, self.train[some], self.buckets)
+        within[1:] &= (pairs >= least)[self.pairs.which[:-1]]
+        some = np.flatnonzero(within).astype(np.int32)
+        names = _named(self.pairs.high, self.pairs.low, self.hashes, self.pairs.which[some - 1], self.codes[some])
+        return some, _Grams.read(*names, self.train[some], self.buckets)
 
 
 def _totals(kinds: int):

@@ -1,11 +1,13 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from attest.llm.chunks import pack_sorted, unpack_sorted
-from attest.llm.language_model import score_texts
+from attest.llm.language_model import _Chunk, score_texts
 
 
 def brute(rows, m=20.0, m3=5.0):
@@ -78,3 +80,18 @@ def test_sorted_hashes_pack():
         x = np.sort(rng.integers(0, most, n, np.uint64, endpoint=True))
         got, end = unpack_sorted(b"xx" + pack_sorted(x) + b"yy", 2)
         assert (got == x).all() and end == len(pack_sorted(x)) + 2
+
+
+def test_memory_of_a_chunk():
+    """A worker holds one chunk, and its arrays must not be many times as large as its texts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"W{i}" for i in rng.zipf(1.3, 1000) % 100_000) for _ in range(400)]
+    rows = pa.table({"key": pa.array(range(len(texts))), "text": pa.array([t.encode() for t in texts])})
+    tracemalloc.start()
+    try:
+        chunk = _Chunk(rows, 50)
+        some, triples = chunk.triples(np.full(len(chunk.pairs.high), 2), 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(some) and len(triples.high) and peak < 24 * sum(map(len, texts))
