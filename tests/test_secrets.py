@@ -58,3 +58,17 @@ def test_plan_looks_up_by_equality(spark):
     table = spark.range(10).selectExpr("concat('secret-', id) AS secret")
     plan = found_secrets(rows, "text", table)._jdf.queryExecution().optimizedPlan().toString()
     assert "piece" in plan and "Inner, (piece" in plan
+
+
+def test_common_second_words_are_not_cut_out(spark):
+    """Only runs that begin as a secret does are compared: here one of three thousand."""
+    texts = spark.createDataFrame([(str(i), f"word{i} of the things in it") for i in range(3000)] + [("x", "a secret of the things")], "id string, text string")
+    known = module.known_secrets(spark.createDataFrame([("secret of the",)], "secret string"))
+    assert [r["id"] for r in module._in_runs(texts, known).collect()] == ["x"]
+
+
+def test_more_secrets_than_bits(spark, monkeypatch):
+    monkeypatch.setattr(module, "SLOTS", 1)
+    secrets = [f"my key{i} word" for i in range(300)] + ["o w", " lead", "tail "]
+    texts = [f"so my key{i} words and tail lead" for i in range(290, 310)] + ["two words"]
+    assert masked(spark, texts, secrets) == [fold(t, secrets) for t in texts]
