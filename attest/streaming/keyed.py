@@ -13,7 +13,7 @@ that could is. Timers need Spark's RocksDB state store, which these functions ch
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -70,44 +70,54 @@ class _Sequential(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         fresh = []
         for frame in rows:
-            batch = pa.Table.from_pandas(frame[self.schema.names], self.schema, preserve_index=False)
-            behind = self._until(batch, passed)
-            late = batch.filter(behind)
+            batch = pa.Table.from_arrays([pa.array(frame[f.name], f.type, from_pandas=True) for f in self.schema], schema=self.schema)
+            late, batch = self._split(batch, passed)
             if late.num_rows:
                 yield self._output(key, late, [self.late] * late.num_rows)
-            batch = batch.filter(pc.invert(behind))
             if self.wait:
                 self._store(batch)
             elif batch.num_rows:
                 fresh.append(batch)
         if fresh:
-            yield from self._taken(key, pa.concat_tables(fresh).sort_by(self.order))
-            self._expire(passed)
+            last = yield from self._taken(key, self._ordered(fresh))
+            self._expire(last, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         batches = [pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get()] if self.wait else []
+        last = None
         if batches:
-            batch = pa.concat_tables(batches)
-            ready = self._until(batch, passed)
+            ready, later = zip(*(self._split(b, passed) for b in batches))
             self.waiting.clear()
-            self._store(batch.filter(pc.invert(ready)))
-            yield from self._taken(key, batch.filter(ready).sort_by(self.order))
-        self._expire(passed)
-
-    def _expire(self, passed: int) -> None:
-        """Drop the state, or come back when it may be dropped."""
-        if self.keep_ms is None or not self.current.exists():
+            self._store(pa.concat_tables(later))
+            last = yield from self._taken(key, self._ordered(ready))
+        if last is None and (state := self.current.get()) is not None:
+            last = state[-1]
+        self._expire(last, passed)
+
+    def _expire(self, last: int | None, passed: int) -> None:
+        """Drop the state, or come back when it may be dropped. ``last`` is the time that it holds."""
+        if self.keep_ms is None or last is None:
             return
-        until = self.current.get()[-1] * self.unit_us // 1000 + self.keep_ms
+        until = last * self.unit_us // 1000 + self.keep_ms
         if until > passed:
             self.handle.registerTimer(until)
         else:
             self.current.clear()
 
-    def _until(self, batch: pa.Table, passed: int) -> pa.ChunkedArray:
-        """Which rows the watermark has passed; a row of its own millisecond counts as passed."""
-        return pc.less(batch[_TICK], (passed + 1) * 1000 // self.unit_us)
+    def _split(self, batch: pa.Table, passed: int) -> tuple[pa.Table, pa.Table]:
+        """The rows that the watermark has passed, and the others; a row of its own millisecond counts as passed."""
+        behind = batch[_TICK].to_numpy() < (passed + 1) * 1000 // self.unit_us
+        if behind.all():
+            return batch, batch.slice(0, 0)
+        if not behind.any():
+            return batch.slice(0, 0), batch
+        return batch.filter(pa.array(behind)), batch.filter(pa.array(~behind))
+
+    def _ordered(self, batches: Sequence[pa.Table]) -> pa.Table:
+        batch = pa.concat_tables(batches)
+        ticks = batch[_TICK].to_numpy()
+        return batch if (ticks[1:] > ticks[:-1]).all() else batch.sort_by(self.order)
 
     def _store(self, batch: pa.Table) -> None:
         if not batch.num_rows:
@@ -120,10 +130,12 @@ class _Sequential(StatefulProcessor):
         # A timer expires when the watermark is beyond it.
         self.handle.registerTimer(first - 1)
 
-    def _taken(self, key, batch: pa.Table) -> Iterator[pd.DataFrame]:
-        state = self.start
-        if self.current.exists():
-            state = tuple(None if v is None or pd.isna(v) else int(v) for v in self.current.get()[:-1])
+    def _taken(self, key, batch: pa.Table) -> Generator[pd.DataFrame, None, int | None]:
+        """Take rows in their order; returns the time of the last."""
+        if not batch.num_rows:
+            return None
+        held = self.current.get()
+        state = self.start if held is None else tuple(None if v is None or pd.isna(v) else int(v) for v in held[:-1])
         last = None
         for at in range(0, batch.num_rows, _PIECE):
             piece = batch.slice(at, _PIECE)
@@ -132,8 +144,8 @@ class _Sequential(StatefulProcessor):
                 state, result = self.step(state, last, flag, flag2)
                 results.append(result)
             yield self._output(key, piece, results)
-        if last is not None:
-            self.current.update((*state, last))
+        self.current.update((*state, last))
+        return last
 
     def _output(self, key, rows: pa.Table, results: list) -> pd.DataFrame:
         return pd.DataFrame({_KEY: [key[0]] * len(results), _ROW: rows[_ROW].to_pandas(), _RESULT: results})

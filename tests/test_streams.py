@@ -3,12 +3,14 @@
 import random
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from attest.operators.access import MUTATIONS, flow_state, rate_limit, request_counts, session_state
 from attest.operators.rules import Rule, check
-from attest.streaming.keyed import stream_flow_state, stream_rate_limit, stream_session_state
+from attest.streaming.keyed import _Sequential, stream_flow_state, stream_rate_limit, stream_session_state
 from attest.streaming.latest import compact, fold_history, latest_status, newest, stream_latest
 from attest.streaming.violations import stream_violations
 
@@ -190,3 +192,37 @@ def test_requests_without_a_key_are_not_limited(spark, tmp_path):
     stream = stream_of(spark, str(tmp_path / "in"), history)
     got = Counter((r["user"], r["allowed"]) for r in drain(stream_rate_limit(stream, "user", "ts", "id"), str(tmp_path / "rates")).collect())
     assert got[None, True] == 60 and got[1, True] == 21 and got[1, False] == 39
+
+
+def test_state_is_asked_for_once_a_key():
+    """Every call of the state store is a round trip: a key that waits needs five, whatever the number of its rows."""
+    calls, held = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, method):
+            def call(*args):
+                calls.append(method)
+                if method == "appendValue":
+                    held.setdefault(self.name, []).append(args[0])
+                elif method in ("update", "clear"):
+                    held[self.name] = args[0] if args else None
+                return held.get(self.name) or ([] if self.name == "waiting" else None) if method == "get" else held.get(self.name) is not None
+
+            return call
+
+    handle = State("timers")
+    handle.getValueState = handle.getListState = lambda name, schema: State(name)
+    work = _Sequential(pa.int64(), (0,), lambda state, tick, a, b: ((state[0] + 1,), state[0]), 10, 1000, False, None, True)
+    work.init(handle)
+    frame = pd.DataFrame({"tick": [5, 3, 4], "flag": [False] * 3, "flag2": [False] * 3, "row": [1, 2, 3]})
+    at = type("Timer", (), {"getCurrentWatermarkInMs": lambda self: self.now})()
+    at.now = 1
+    assert not list(work.handleInputRows(("k",), iter([frame]), at))
+    calls.clear()
+    at.now = 9
+    out = pd.concat(work.handleExpiredTimer(("k",), at, None))
+    assert list(out["row"]) == [2, 3, 1] and list(out["result"]) == [0, 1, 2] and held["current"] == (3, 5)
+    assert calls == ["get", "clear", "get", "update", "registerTimer"]
