@@ -18,6 +18,7 @@ from attest.operators.reconcile import (
 from attest.operators.sets import outcome_summary
 from attest.plans.release import checked_publication, publication_plan
 from attest.queries.registry import Tables, query
+from attest.session import written
 from attest.sources.records import content_table
 
 
@@ -306,9 +307,11 @@ def published(t: Tables) -> DataFrame:
         F.concat(F.when(F.col("o_orderpriority") == "1-URGENT", "v").otherwise("-"), version).alias("name"),
         F.lit(None).cast("string").alias("commit_id"),
         F.when(F.col("o_totalprice") > 200000, "moved").otherwise(ref).alias("target"))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("release"), F.col("l_linenumber").alias("n")).agg(
-        digest(F.min("l_partkey").cast("string")).alias("sha256"), digest(F.max("l_partkey").cast("string")).alias("computed_sha256"),
-        F.max("l_quantity").alias("quantity"), F.bool_or(F.col("l_linestatus") == "F").alias("there"))
+    # Files, what is there, remote files and links are all made of the same lines, so these are gathered once.
+    lines = written(t.lineitem.groupBy(F.col("l_orderkey").alias("release"), F.col("l_linenumber").alias("n")).agg(
+        F.min("l_partkey").alias("first"), F.max("l_partkey").alias("last"),
+        F.max("l_quantity").alias("quantity"), F.bool_or(F.col("l_linestatus") == "F").alias("there")), "lines", "zstd", remove_shuffles=True)
+    lines = lines.withColumns({"sha256": digest(F.col("first").cast("string")), "computed_sha256": digest(F.col("last").cast("string"))})
     lines = lines.withColumn("name", F.concat(F.col("n").cast("string"), F.lit(".deb")))
     lines = lines.withColumn("path", F.concat_ws("/", F.col("release").cast("string"), "name"))
     # What is not there has a name that no release refers to.
